@@ -1,0 +1,6 @@
+"""Every query of the memory engine by name, and the DuckDB SQL it is compared with."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
