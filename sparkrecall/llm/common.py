@@ -63,3 +63,8 @@ def lower_ascii(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
+
+
+def lowest(wanted: int, of: int) -> int:
+    """The signed 64-bit hash at or below which about `wanted` of `of` evenly hashed rows lie; the greatest if that is all."""
+    return (1 << 63) - 1 if wanted >= of else -(1 << 63) + (1 << 64) * wanted // of

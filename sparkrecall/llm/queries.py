@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from sparkrecall.llm.licenses import op3_license_rules
+from sparkrecall.llm.linededup import op5_suffix_line_dedup
+from sparkrecall.llm.maxent import op8_hashed_maxent
 from sparkrecall.llm.media import op2_tar_media
 from sparkrecall.llm.mixing import op10_curriculum_mix
 from sparkrecall.llm.packing import op7_bound_certified_packing
@@ -15,9 +18,12 @@ QUERIES = {
     for f in (
         op1_simhash_pivots,
         op2_tar_media,
+        op3_license_rules,
         op4_hypergeometric_shards,
+        op5_suffix_line_dedup,
         op6_nb_ngram_toxicity,
         op7_bound_certified_packing,
+        op8_hashed_maxent,
         op9_iblt_fingerprints,
         op10_curriculum_mix,
     )
