@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecall.llm.common import documents
+from sparkrecall.llm.common import documents, lowest
 
 BITS = 20
 ORDERS = (3, 4, 5)
@@ -93,12 +93,12 @@ def held_out(key: str = "doc_id"):
 
 
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 8000) -> Model:
-    """The model of at most `most_rows` labelled documents that aren't held out: those with the least hashes of their
-    keys. Of a key with several labels the largest counts; rows without a label don't. Keys and labels of these rows,
+    """The model of about `most_rows` labelled documents that aren't held out: those with low hashes of their keys.
+    Of a key with several labels the largest counts; rows without a label don't. Keys and labels of these rows,
     and their texts, are all that reaches the driver."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64(key), key).limit(most_rows)
-    picked = {r[0]: r[1] for r in chosen.select(key, "y").collect()}
+    chosen = known.where(F.xxhash64(key) <= lowest(most_rows, known.count()))
+    picked = {r[0]: r[1] for r in chosen.select(key, "y").limit(2 * most_rows).collect()}
     if not picked:
         return train([], [])
     small = docs.sparkSession.createDataFrame(pd.DataFrame({"k": list(picked)}), f"k {docs.schema[key].dataType.simpleString()}")
