@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +71,13 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def lowest(wanted: int, of: int) -> int:
     """The signed 64-bit hash at or below which about `wanted` of `of` evenly hashed rows lie; the greatest if that is all."""
     return (1 << 63) - 1 if wanted >= of else -(1 << 63) + (1 << 64) * wanted // of
+
+
+def stretches(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of stretches of at most `most` bytes, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to - at
+        at = to

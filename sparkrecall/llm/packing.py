@@ -8,15 +8,16 @@ documents in them are exchanged between the partitions and packed again. Rounds
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecall.llm.common import documents, materialize
+from sparkrecall.llm.common import documents, materialize, stretches
 
 SEQUENCE = 2048
 
@@ -140,46 +141,109 @@ def _numbered(done: list[DataFrame], names: list[str]) -> DataFrame:
     return out.select(*names, number.alias("sequence_id"), "offset")
 
 
-class _Ids(dict):
-    """Packed ids of the words met, a bounded number of them."""
+#: A sign that is one token where it stands alone. It parts words that are encoded in one call; words that hold it,
+#: or what a special token begins with, are encoded alone.
+_PART, _SPECIAL = "♥", "<|"
 
-    def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.encode, self.most = Tokenizer.from_file(path).encode, most
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > self.most:
-            self.clear()
-        for w in words:
-            self[w] = array("I", self.encode(w, add_special_tokens=False).ids).tobytes()
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE has for each byte: printable ones are themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-_ids: dict[str, _Ids] = {}
 
+class WordTokenizer:
+    """Ids of texts by a tokenizer that drops white space and has no token across any.
 
-def token_ids(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """Each text's ids by the word tokenizer, little-endian, and id 0 after them; null as empty.
-
-    This tokenizer drops white space and no token spans any, so a text's ids are those of its words one after the
-    other; words are encoded once while they are remembered. White space here is U+0020 and U+0009 to U+000D; other
-    space stays inside the words, where the tokenizer drops it.
+    A text's ids are those of its words one after the other, so each distinct word of some texts is encoded once, and the
+    texts are put together from the words' ids by Arrow. White space here is U+0020 and U+0009 to U+000D; other space
+    stays inside the words, where the tokenizer drops it. What the tokenizer does before its merges (normal form, lower
+    case, cutting into letters, digits and marks, bytes as letters) changes nothing about words of lower-case letters but
+    the last; these go straight to the merges.
     """
-    if path not in _ids:
-        _ids[path] = _Ids(path)
-    known = _ids[path]
-    for text in texts:
-        words = _words(text or "")
-        missing = {w for w in words if w not in known}
-        if missing:
-            known.learn(missing if len(known) + len(missing) <= known.most else set(words))
-        yield b"".join(map(known.__getitem__, words)) + b"\0\0\0\0"
-
 
-def _words(text: str) -> list[str]:
-    # str.split() also splits at other white space, none of which is part of a token
-    return text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else [w.decode() for w in text.encode().split()]
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        self.letters = _byte_letters() | {32: " "}  # blanks stay
+        (self.part,) = self.tokenizer.encode(_PART, add_special_tokens=False).ids
+
+    def _encoded(self, words: list[str], letters: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The words' ids, and how many each has, in groups."""
+        ids, sizes = [], []
+        for at in range(0, len(words), 50_000):
+            texts = [f" {_PART} ".join(words[i : i + 500]) for i in range(at, min(at + 50_000, len(words)), 500)]
+            if letters:
+                found = self.merges.encode_batch_fast([t.encode().decode("latin-1").translate(self.letters) for t in texts], add_special_tokens=False)
+            else:
+                found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            for one in found:
+                x = np.array(one.ids, np.uint32)
+                cuts = np.nonzero(x == self.part)[0]
+                sizes.append(np.diff(np.concatenate(([-1], cuts, [len(x)]))) - 1)
+                ids.append(x[x != self.part])
+        return ids, sizes
+
+    def words(self, distinct: pa.Array) -> pa.ListArray:
+        """list<uint32> of each word."""
+        plain = pc.and_(pc.utf8_is_alpha(distinct), pc.equal(pc.utf8_lower(distinct), distinct))
+        odd = pc.or_(pc.match_substring(distinct, _PART), pc.match_substring(distinct, _SPECIAL))
+        plain, odd = plain.to_numpy(zero_copy_only=False), odd.to_numpy(zero_copy_only=False)
+        texts = distinct.to_pylist()
+        for i in np.nonzero(plain & ~distinct_ascii(distinct))[0].tolist():
+            plain[i] = is_normalized("NFC", texts[i])
+        places, ids, sizes = [], [], []
+        for mine, letters in ((np.nonzero(plain & ~odd)[0], True), (np.nonzero(~plain & ~odd)[0], False)):
+            x, n = self._encoded([texts[i] for i in mine.tolist()], letters)
+            places.append(mine)
+            ids += x
+            sizes += n
+        alone = np.nonzero(odd)[0]
+        for i in alone.tolist():
+            ids.append(np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32))
+            sizes.append(np.array([len(ids[-1])]))
+        place, size = np.concatenate((*places, alone)), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.uint32)))
+        back = np.empty(len(place), np.int64)
+        back[place] = np.arange(len(place))
+        return found.take(pa.array(back))
+
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """uint32 ids of each text; null as empty."""
+        texts = pc.fill_null(texts, "")
+        # special tokens are such in the case they are written in; else A-Z in lower case, as the tokenizer has them
+        texts = pc.if_else(pc.match_substring(texts, _SPECIAL), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        many = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        coded = split.flatten().dictionary_encode()
+        words = self.words(coded.dictionary)
+        size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = np.concatenate(([0], np.cumsum(size[coded.indices.to_numpy()])))
+        ends = sizes[np.concatenate(([0], np.cumsum(many)))]
+        ids = words.take(coded.indices).flatten().to_numpy()
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield ids[a:b]
+
+
+def distinct_ascii(words: pa.Array) -> np.ndarray:
+    return pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def token_ids(texts: pa.Array, path: str) -> Iterator[bytes]:
+    """Each text's ids and id 0 after them, little-endian."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    for ids in _tokenizers[path].ids(texts):
+        yield ids.astype("<u4").tobytes() + b"\0\0\0\0"
 
 
 def pieces_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = SEQUENCE) -> DataFrame:
@@ -187,18 +251,17 @@ def pieces_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, piece, start, length, crc = [], [], [], [], []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for k, ids in zip(part.column(0).to_pylist(), token_ids(part.column(1).to_pylist(), path), strict=True):
+            for at, n in stretches(batch.column(1), 1 << 24):
+                rows, piece, start, length, crc = [], [], [], [], []
+                for row, ids in enumerate(token_ids(batch.column(1).slice(at, n), path), at):
                     for i in range(0, len(ids), 4 * capacity):
                         one = ids[i : i + 4 * capacity]
-                        keys.append(k)
+                        rows.append(row)
                         piece.append(i // (4 * capacity))
                         start.append(i // 4)
                         length.append(len(one) // 4)
                         crc.append(zlib.crc32(one))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=[key, "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=[key, "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(cut, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
