@@ -55,7 +55,7 @@ def when_demanded(part: Column, slope: Column) -> Column:
     return F.least(F.greatest(2 * part / (1 - half + root), F.lit(0.0)), F.lit(1.0))
 
 
-def curriculum(rows: DataFrame, seed: int = 0, piece_rows: int = 20_000, share: float = 1.5, most: int = 2) -> DataFrame:
+def curriculum(rows: DataFrame, seed: int = 0, piece_rows: int = 2_000, share: float = 1.5, most: int = 2) -> DataFrame:
     """`rows` (with columns source, size) with bigint source_size, double target, int copies, bigint taken and
     array<double> positions: the training times of the copies taken, one for each.
 
