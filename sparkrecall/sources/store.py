@@ -72,7 +72,7 @@ class JsonStore:
 
     def write(self, memories: DataFrame) -> None:
         record = F.struct(*(F.col(c) for c in memories.columns))
-        whole = memories.agg(F.to_json(F.struct(F.lit(VERSION).alias("version"), F.array_sort(F.collect_list(F.struct("ord", record.alias("r")))).getField("r").alias("records"))).alias("value"))
+        whole = memories.agg(F.to_json(F.struct(F.lit(VERSION).alias("version"), F.array_sort(F.collect_list(record), lambda a, b: F.when(a["ord"] < b["ord"], -1).otherwise(1)).alias("records"))).alias("value"))
         new = f"{self.path}.{uuid.uuid4().hex}"
         whole.coalesce(1).write.text(new)
         jvm = self.spark.sparkContext._jvm
