@@ -137,7 +137,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     decided = copies.join(repeated_runs(lines, min_words), ["t1", "t2"], "full_outer")
     decided = materialize(decided.withColumnRenamed("t1", "__t1").withColumnRenamed("t2", "__t2").withColumnRenamed("first", "__first").withColumnRenamed("last", "__last").withColumnRenamed("runs", "__runs"), "decided")
     clean = docs.drop("n_lines", "removed_lines", "removed_runs")
-    joined = clean.join(decided, (F.xxhash64(clean[text]) == F.col("__t1")) & (F.xxhash64(F.lit(1), clean[text]) == F.col("__t2")) & clean[text].isNotNull(), "left")
+    joined = clean.join(decided.hint("merge"), (F.xxhash64(clean[text]) == F.col("__t1")) & (F.xxhash64(F.lit(1), clean[text]) == F.col("__t2")) & clean[text].isNotNull(), "left")
     none = F.array().cast("array<struct<a:int,b:int>>")
     gone = F.when(F.col("__first").isNotNull() & ~F.col("__first").eqNullSafe(F.col(key)), F.array(F.struct(F.lit(0).alias("a"), F.col("__last").alias("b")))).otherwise(F.coalesce("__runs", none))
     out = joined.withColumn("removed_runs", gone).withColumn("__lines", F.split(text, "\n", -1))
