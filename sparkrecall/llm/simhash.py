@@ -22,6 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,24 +34,48 @@ from sparkrecall.llm.components import components
 GROUP = 8
 
 
-def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The fingerprint of one text, as a signed 64-bit number."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """uint64 hashes of a text's shingles, repeats included, some at a time: a very long text takes no more memory.
+
+    Fewer words than a shingle: the whole sequence. No words: nothing.
+    """
     words = (text or "").encode().lower().split()  # of bytes: A-Z only, and U+0020, U+0009 to U+000D
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) < shingle:
-        return int(np.uint64(digest(joined, seed)).astype(np.int64))
+        yield np.array([digest(joined, seed)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = len(words) - shingle + 1
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):  # a very long text takes no more memory at once
-        pairs = zip(starts[at : min(n, at + (1 << 16))].tolist(), ends[at + shingle - 1 : min(n, at + (1 << 16)) + shingle - 1].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in pairs], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">u8")[0].astype(np.uint64).astype(np.int64))
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1]
+    ends = ends[shingle - 1 :]
+    for at in range(0, len(starts), 1 << 16):
+        pairs = zip(starts[at : at + (1 << 16)].tolist(), ends[at : at + (1 << 16)].tolist(), strict=True)
+        yield np.array([digest(joined[a:b], seed) for a, b in pairs], np.uint64)
+
+
+_LANES = np.uint64(0x0101010101010101)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits. Every eighth bit at once is summed in the bytes of a word, 255 at most."""
+    padded = np.zeros(-(-len(hashes) // 255) * 255, np.uint64)
+    padded[: len(hashes)] = hashes
+    rows = padded.reshape(-1, 255)
+    out = np.empty((8, 8), np.int64)  # byte, bit in it
+    for bit in range(8):
+        out[:, bit] = ((rows >> np.uint64(bit)) & _LANES).sum(axis=1).astype("<u8").view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+    return out.reshape(64)
+
+
+def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The fingerprint of one text, as a signed 64-bit number."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle, seed):
+        ones += bit_counts(hashes)
+        n += len(hashes)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", name: str = "fp") -> DataFrame:
@@ -165,5 +190,149 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, key: s
     return marked.join(named, "fp").select(F.col("key").alias(key), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# ---- near copies that differ in more than a few bits -------------------------------------------------------------------
+
+#: 64-bit words of a wide fingerprint.
+WIDE = 8
+
+
+def wide_fingerprint_of(text: str | None, shingle: int) -> np.ndarray:
+    """WIDE words (uint64) of a fingerprint over WIDE mixes of each shingle's hash."""
+    ones, n = np.zeros((WIDE, 64), np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        n += len(hashes)
+        for k in range(WIDE):
+            with np.errstate(over="ignore"):
+                x = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            ones[k] += bit_counts(x ^ (x >> np.uint64(31)))
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").reshape(WIDE)
+
+
+def differing_share(similarity: float) -> float:
+    """The share of bits in which texts differ whose sets of shingles have this Jaccard similarity: the angle between
+    equally long vectors of that overlap, over pi."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def bands(n: int, similarity: float, recall: float = 0.97) -> tuple[int, int]:
+    """(bits in a band, bands) such that unrelated fingerprints share a band by chance about every fourth time among n,
+    and ones just `similarity` alike share some band with probability `recall`."""
+    bits = max(12, int(np.ceil(np.log2(max(n, 2)))) + 2)
+    one = (1 - differing_share(similarity)) ** bits
+    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - one)))
+
+
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Differing bits of wide fingerprints."""
+    if not len(a):
+        return pd.Series([], dtype="int32")
+    x, y = (np.frombuffer(b"".join(c), np.uint64).reshape(-1, WIDE) for c in (a, b))
+    return pd.Series(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32))
+
+
+def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Of sets of hashes, packed in order."""
+    out = []
+    for p, q in zip(a, b, strict=True):
+        x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(1.0 if len(x) + len(y) == 0 else both / (len(x) + len(y) - both))
+    return pd.Series(out, dtype="float64")
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, set) of (node, text)."""
+
+    @F.pandas_udf("binary")
+    def packed(batch: pd.Series) -> pd.Series:
+        some = lambda t: [*shingle_hashes(t, shingle), np.zeros(0, np.uint64)]
+        return pd.Series([np.unique(np.concatenate(some(t))).tobytes() for t in batch], dtype=object)
+
+    return texts.select("node", packed("text").alias("set"))
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """`pairs` (a, b) with boolean close: bits decide where they leave no doubt, three deviations from what the
+    similarity lets expect; between, the sets of shingles do."""
+    share = differing_share(similarity)
+    spread = 3 * (share * (1 - share) * 64 * WIDE) ** 0.5
+    low, high = int(share * 64 * WIDE - spread), int(share * 64 * WIDE + spread)
+    left = pairs.join(reps.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a")
+    both = left.join(reps.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+    told = materialize(both.withColumn("d", F.pandas_udf(_distance, "int")("fa", "fb")).select("a", "b", "d"), "distances")
+    doubt = told.where((F.col("d") > low) & (F.col("d") <= high)).select("a", "b")
+    nodes = doubt.select(F.col("a").alias("node")).unionByName(doubt.select(F.col("b").alias("node"))).distinct()
+    wanted = reps.join(nodes, "node").select("node", F.col("first").alias("key"))
+    texts = docs.join(wanted, docs["key"].eqNullSafe(wanted["key"])).groupBy("node").agg(F.min("text").alias("text"))
+    sets = materialize(_sets(texts, shingle), "sets")
+    met = doubt.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    sure = told.where((F.col("d") <= low) | (F.col("d") > high)).select("a", "b", (F.col("d") <= low).alias("close"))
+    return materialize(sure.unionByName(met.select("a", "b", (F.pandas_udf(_jaccard, "double")("sa", "sb") >= similarity).alias("close"))), "verified")
+
+
+def _wide_links(reps: DataFrame, docs: DataFrame, n: int, shingle: int, similarity: float, recall: float, block_rows: int) -> DataFrame:
+    """(a, b) of nodes that are as similar.
+
+    Candidates share the coordinate offsets to some band of one-bit references, that is, those bits. In a block of more
+    than block_rows every node meets the least; those that aren't close to it are a block of their own, and so on.
+    """
+    bits, many = bands(n, similarity, recall)
+    rng = np.random.default_rng(11)
+    places = np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(many)])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                set_ = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")
+                keys = np.concatenate([(np.int64(i) << 48) + set_[:, p].astype(np.int64) @ weights for i, p in enumerate(places)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(part.column(0).to_numpy(), many)), pa.array(keys)], names=["node", "key"])
+
+    blocks = materialize(reps.select("node", "fp").mapInArrow(keyed, "node bigint, key bigint"), "bands")
+    found = None
+    while True:
+        sizes = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+        met = materialize(blocks.join(sizes, "key"), "met")
+        small = met.where(F.col("n") <= block_rows)
+        l, r = small.alias("l"), small.alias("r")
+        pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+        large = met.where((F.col("n") > block_rows) & (F.col("node") != F.col("least")))
+        stars = large.select(F.col("least").alias("a"), F.col("node").alias("b"))
+        told = _verified(materialize(pairs.unionByName(stars).distinct(), "pairs"), reps, docs, shingle, similarity)
+        new = told.where("close").select("a", "b")
+        found = new if found is None else found.unionByName(new)
+        apart = told.where("not close").select(F.col("a").alias("least"), F.col("b").alias("node"))
+        blocks = materialize(large.join(apart, ["least", "node"], "left_semi").select("node", "key"), "bands")
+        if blocks.isEmpty():
+            return found
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, key: str = "doc_id", text: str = "text", block_rows: int = 64) -> DataFrame:
+    """(key, component_id) of documents whose sets of shingles are `similarity` alike or more, by SimHash.
+
+    At such similarities fingerprints differ in many bits: a distance of a sixth of the bits leaves no reference whose
+    distances could tell pairs apart, and no few segments untouched. So the fingerprint has 64 * WIDE bits, candidates
+    share one of many sampled bands, and a pair's bits, or in doubt its shingles, decide. Pairs just at the threshold are
+    found with probability `recall`, closer ones more surely, equal fingerprints always. Nulls, repeats and empty tables
+    as in near_duplicates.
+    """
+
+    @F.pandas_udf("binary")
+    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([wide_fingerprint_of(t, shingle).tobytes() for t in batch], dtype=object)
+
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    marked = materialize(own.select("key", wide("text").alias("fp")), "wide")
+    reps = materialize(marked.groupBy("fp").agg(F.min("key").alias("first")).withColumn("node", F.xxhash64("fp")), "distinct")
+    parts = materialize(components(_wide_links(reps, own, reps.count(), shingle, similarity, recall, block_rows)), "parts")
+    of = reps.join(parts, "node", "left").select("fp", "first", F.coalesce("component", "node").alias("component"))
+    ids = of.groupBy("component").agg(F.min("first").alias("component_id"))
+    return marked.join(of.join(ids, "component").select("fp", "component_id"), "fp").select(F.col("key").alias(key), "component_id")
+
+
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
