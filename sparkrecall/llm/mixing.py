@@ -42,8 +42,8 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFram
     full = F.coalesce(F.sum("source_size").over(before), F.lit(0)) * most  # what the sources before this take if all are at their limit
     total = F.sum("source_size").over(W.partitionBy()) * share
     level = (total - full) / F.sum("weight").over(after)  # if this and all later sources are below their limit
-    marked = known.withColumn("level", level).withColumn("below", F.col("level") <= F.col("source_size") * most / F.col("weight"))
-    held = marked.withColumn("level", F.min(F.when(F.col("below"), F.struct(F.col("source_size") / F.col("weight"), "level"))).over(W.partitionBy())["level"])
+    marked = known.withColumn("level", level).withColumn("place", F.row_number().over(up)).withColumn("below", F.col("level") <= F.col("source_size") * most / F.col("weight"))
+    held = marked.withColumn("level", F.min(F.when(F.col("below"), F.struct("place", "level"))).over(W.partitionBy())["level"])
     target = F.least(F.col("source_size") * F.lit(most), F.coalesce(F.col("level") * F.col("weight"), F.col("source_size") * F.lit(most)))
     return held.select("source", "source_size", "weight", "slope", target.cast("double").alias("target"))
 
