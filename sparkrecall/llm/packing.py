@@ -1,8 +1,9 @@
 """Packing token sequences: best-fit decreasing in partitions, certified by lower bounds, repacked where they gap.
 
 A partition is packed by best-fit decreasing. Dual-feasible functions bound from below the bins that any packing of the
-same lengths needs; a partition that uses no more is done. Those that use more give up their loosest bins: the
-documents in them are exchanged between the partitions and packed again. Rounds go on while they save bins.
+same lengths needs; a partition that uses no more is certified and done, but for its loosest bin. Those that use more
+give up their loosest bins. The documents in these are exchanged between the partitions and packed again. Rounds go on
+while they save bins.
 """
 
 from __future__ import annotations
@@ -68,12 +69,16 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = SEQUENCE) -> tuple[
 
 
 def loosest(fill: np.ndarray, gap: int, capacity: int = SEQUENCE) -> np.ndarray:
-    """Which bins a partition with a gap gives up: the loosest, until they have room for gap + 1 whole bins, and as many more."""
+    """Which bins a partition gives up. With a gap, the loosest, until they have room for gap + 1 whole bins, and as many
+    more. Certified, the loosest one, if it isn't full: bounds are rounded up in each partition, and what that loses over
+    all partitions is saved where these bins' documents meet."""
     out = np.zeros(len(fill), bool)
+    order = np.argsort(fill, kind="stable")
     if gap > 0:
-        order = np.argsort(fill, kind="stable")
         enough = int(np.searchsorted(np.cumsum(capacity - fill[order]), (gap + 1) * capacity)) + 1
         out[order[: max(32, 2 * enough)]] = True
+    elif len(fill) and fill[order[0]] < capacity:
+        out[order[0]] = True
     return out
 
 
