@@ -156,24 +156,34 @@ SCHEDULES = [
 HABITS = [r"(?i)i (?:usually|always|often|typically) (.*?)(?:\.|,|$)", r"(?i)my routine (?:is|includes) (.*?)(?:\.|,|$)", r"(?i)every (?:day|morning|evening|week) i (.*?)(?:\.|,|$)"]
 
 
-def support_importance(text: Column, role: Column) -> Column:
+# Words that raise a message's importance or severity, inside other words too.
+SUPPORT_TROUBLE = ("issue", "problem", "bug", "error", "complaint", "frustrated")
+SUPPORT_WISHES = ("prefer", "like", "want")
+SEVERITY = {"high": ("urgent", "critical", "emergency"), "medium": ("frustrated", "annoying")}
+ASSISTANT_IMPORTANCE = {
+    0.95: ("birthday", "appointment", "meeting", "anniversary", "deadline", "important", "remember"),
+    0.8: ("prefer", "goal", "plan", "want to", "need to"),
+    0.7: ("usually", "always", "often", "routine"),
+}
+
+
+def _by_words(text: Column, table: dict, otherwise: object) -> Column:
+    """The first key of the table any of whose words the text holds."""
     low = F.lower(text)
-    return F.when((role == "customer") & contains_any(low, "issue", "problem", "bug", "error", "complaint", "frustrated"), 0.9).when(contains_any(low, "prefer", "like", "want"), 0.7).otherwise(0.5)
+    return F.coalesce(*(F.when(contains_any(low, *words), F.lit(key)) for key, words in table.items()), F.lit(otherwise))
+
+
+def support_importance(text: Column, role: Column) -> Column:
+    trouble = (role == "customer") & contains_any(F.lower(text), *SUPPORT_TROUBLE)
+    return F.when(trouble, 0.9).otherwise(_by_words(text, {0.7: SUPPORT_WISHES}, 0.5))
 
 
 def severity(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(contains_any(low, "urgent", "critical", "emergency"), "high").when(contains_any(low, "frustrated", "annoying"), "medium").otherwise("low")
+    return _by_words(text, SEVERITY, "low")
 
 
 def assistant_importance(text: Column) -> Column:
-    low = F.lower(text)
-    return (
-        F.when(contains_any(low, "birthday", "appointment", "meeting", "anniversary", "deadline", "important", "remember"), 0.95)
-        .when(contains_any(low, "prefer", "goal", "plan", "want to", "need to"), 0.8)
-        .when(contains_any(low, "usually", "always", "often", "routine"), 0.7)
-        .otherwise(0.6)
-    )
+    return _by_words(text, ASSISTANT_IMPORTANCE, 0.6)
 
 
 def _found(text: Column, pattern: str, made: Column, **more: Column) -> Column:

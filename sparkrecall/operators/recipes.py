@@ -63,11 +63,23 @@ def personality(memories: DataFrame) -> DataFrame:
     return out.withColumn("score", F.least(F.lit(100), F.col("preferences") * 5 + F.col("personal_info") * 10 + F.col("habits") * 3))
 
 
+# What is suggested, and the kind of memory that each needs.
+SUGGESTIONS = [
+    ("p", "Tell me more about your preferences"),
+    ("p", "Get personalized recommendations"),
+    ("s", "Review your schedule"),
+    ("s", "Add a new appointment"),
+    ("h", "Check on your routines"),
+    ("h", "Set a new habit reminder"),
+    (None, "Share personal information"),
+    (None, "Set a goal"),
+]
+
+
 def suggestions(memories: DataFrame) -> DataFrame:
     """(actor_id, suggestions): the first four that apply."""
     p = memories.groupBy("actor_id").agg(F.max(F.col("memory_type") == "preference").alias("p"), F.max(F.col("category") == "schedule").alias("s"), F.max(F.col("category") == "habit").alias("h"))
-    some = lambda test, *texts: [F.when(F.col(test), F.lit(t)) for t in texts]
-    all_ = [*some("p", "Tell me more about your preferences", "Get personalized recommendations"), *some("s", "Review your schedule", "Add a new appointment"), *some("h", "Check on your routines", "Set a new habit reminder"), F.lit("Share personal information"), F.lit("Set a goal")]
+    all_ = [F.when(F.col(needs), F.lit(t)) if needs else F.lit(t) for needs, t in SUGGESTIONS]
     return p.select("actor_id", F.slice(F.array_compact(F.array(*all_)), 1, 4).alias("suggestions"))
 
 
@@ -75,33 +87,70 @@ def _first(memories: Column, test) -> Column:
     return F.get(F.filter(memories, test), F.lit(0))
 
 
+# The replies of both assistants. {} stands for what a memory says.
+SUPPORT_REPLIES = {
+    "greet_known": "Hello! I see you've contacted us before about some issues. How can I help you today? Is this related to your previous {}?",
+    "greet": "Hello! Welcome to customer support. How can I assist you today?",
+    "issue_known": 'I understand you\'re experiencing an issue. I can see this might be related to a previous problem you had: "{}". Let me help you troubleshoot this. Can you provide more details about what\'s happening?',
+    "issue": "I'm sorry to hear you're experiencing an issue. Can you please describe what's happening in detail so I can assist you better?",
+    "status_known": 'Let me check the status of your recent issue: "{}". I\'ll look into this and provide you with an update shortly.',
+    "status": "I'd be happy to check the status for you. Can you please specify which issue or request you'd like an update on?",
+    "thanks": "You're welcome! Is there anything else I can help you with today?",
+    "preference": "Based on your preferences ({}), I'd recommend... How does that sound?",
+    "any": "I understand your concern. Based on our previous conversations, I can see that we've discussed {}. Let me help you with your current question.",
+    "none": "I'd be happy to help you with that. Can you provide more details so I can assist you better?",
+}
+ASSISTANT_REPLIES = {
+    "personal_known": "Based on what you've told me: {}",
+    "personal": "I don't have that information yet. Could you share it with me?",
+    "schedule_known": "Here's what I found in your schedule: {}",
+    "schedule": "I don't see any scheduled items. Would you like to add something?",
+    "recommend_known": "Based on your preferences ({}), I'd suggest looking for something similar. What specific area would you like recommendations for?",
+    "recommend": "I'd be happy to make recommendations. Can you tell me more about what you're looking for?",
+    "habit_known": "I remember your routine includes: {}. I'll help you stay on track!",
+    "habit": "I'll help you build and maintain good routines. What would you like to be reminded about?",
+    "goal_known": "I see you're working on: {}. How can I help you make progress?",
+    "goal": "I'd love to help you set and achieve your goals. What would you like to work on?",
+    "greet_known": "{}! How can I assist you today?",
+    "greet": "{}! How can I help you today?",
+    "any": "I understand. Based on our previous conversations about {}, how can I help you today?",
+    "none": "I'm here to help! The more you tell me about yourself, the better I can assist you with personalized recommendations and reminders.",
+}
+
+
+def _saying(replies: dict[str, str], name: str, x: Column) -> Column:
+    before, _, after = replies[name].partition("{}")
+    return F.concat(F.lit(before), x, F.lit(after))
+
+
+def _either(replies: dict[str, str], name: str, known: Column, x: Column) -> Column:
+    """The reply that names x, if it is known, else the plain one."""
+    return F.when(known, _saying(replies, f"{name}_known", x)).otherwise(F.lit(replies[name]))
+
+
 def support_reply(message: Column, memories: Column) -> Column:
     """The support desk's reply to a message, given the selected memories (array of structs with memory_type and text)."""
-    low = F.lower(message)
+    low, R = F.lower(message), SUPPORT_REPLIES
     says = lambda *p: X.contains_any(low, *p)
     issue = _first(memories, lambda m: X.contains_any(F.lower(m["text"]), "issue", "problem"))
     named = _first(memories, lambda m: X.contains_any(F.lower(m["text"]), "issue"))
     liked = _first(memories, lambda m: m["memory_type"] == "preference")
-    said = lambda a, x, b: F.concat(F.lit(a), x, F.lit(b))
-    or_else = lambda x, a, b: F.when(x.isNotNull(), a).otherwise(F.lit(b))
-    return (
-        F.when(says("hello", "hi"), or_else(issue, said("Hello! I see you've contacted us before about some issues. How can I help you today? Is this related to your previous ", F.lower(issue["text"]), "?"), "Hello! Welcome to customer support. How can I assist you today?"))
-        .when(says("issue", "problem"), or_else(issue, said("I understand you're experiencing an issue. I can see this might be related to a previous problem you had: \"", issue["text"], "\". Let me help you troubleshoot this. Can you provide more details about what's happening?"), "I'm sorry to hear you're experiencing an issue. Can you please describe what's happening in detail so I can assist you better?"))
-        .when(says("status", "update"), or_else(named, said("Let me check the status of your recent issue: \"", named["text"], "\". I'll look into this and provide you with an update shortly."), "I'd be happy to check the status for you. Can you please specify which issue or request you'd like an update on?"))
-        .when(says("thank"), "You're welcome! Is there anything else I can help you with today?")
-        .when(liked.isNotNull(), said("Based on your preferences (", liked["text"], "), I'd recommend... How does that sound?"))
-        .when(F.size(memories) > 0, said("I understand your concern. Based on our previous conversations, I can see that we've discussed ", F.get(memories, F.lit(0))["text"], ". Let me help you with your current question."))
-        .otherwise("I'd be happy to help you with that. Can you provide more details so I can assist you better?")
-    )
+    rules = [
+        (says("hello", "hi"), _either(R, "greet", issue.isNotNull(), F.lower(issue["text"]))),
+        (says("issue", "problem"), _either(R, "issue", issue.isNotNull(), issue["text"])),
+        (says("status", "update"), _either(R, "status", named.isNotNull(), named["text"])),
+        (says("thank"), F.lit(R["thanks"])),
+        (liked.isNotNull(), _saying(R, "preference", liked["text"])),
+        (F.size(memories) > 0, _saying(R, "any", F.get(memories, F.lit(0))["text"])),
+    ]
+    return F.coalesce(*(F.when(test, reply) for test, reply in rules), F.lit(R["none"]))
 
 
 def assistant_reply(message: Column, memories: Column, hour: Column) -> Column:
     """The personal assistant's reply, given the selected memories (structs with memory_type, text, category)."""
-    low = F.lower(message)
+    low, R = F.lower(message), ASSISTANT_REPLIES
     says = lambda *p: X.contains_any(low, *p)
     about = lambda category, *p: _first(memories, lambda m: (m["category"] == category) | X.contains_any(F.lower(m["text"]), *p))
-    said = lambda a, x, b="": F.concat(F.lit(a), x, F.lit(b))
-    or_else = lambda x, a, b: F.when(x.isNotNull(), a).otherwise(b if isinstance(b, Column) else F.lit(b))
     personal, habit = about("personal_info", "birthday", "name"), about("habit", "routine")
     planned = F.filter(memories, lambda m: (m["category"] == "schedule") | X.contains_any(F.lower(m["text"]), "scheduled"))
     likes = _first(memories, lambda m: (m["memory_type"] == "preference") & ~F.contains(F.lower(m["text"]), F.lit("dislikes")))
@@ -109,13 +158,13 @@ def assistant_reply(message: Column, memories: Column, hour: Column) -> Column:
     named = _first(memories, lambda m: F.contains(F.lower(m["text"]), F.lit("name")))
     name = F.coalesce(F.trim(F.try_element_at(F.split(named["text"], ":"), F.lit(2))), F.lit("undefined"))
     hello = X.greeting(hour)
-    return (
-        F.when(says("what is my", "when is my"), or_else(personal, said("Based on what you've told me: ", personal["text"]), "I don't have that information yet. Could you share it with me?"))
-        .when(says("what do i have", "schedule", "appointment"), F.when(F.size(planned) > 0, said("Here's what I found in your schedule: ", F.array_join(F.transform(planned, lambda m: m["text"]), ", "))).otherwise("I don't see any scheduled items. Would you like to add something?"))
-        .when(says("recommend", "suggest", "what should i"), or_else(likes, said("Based on your preferences (", likes["text"], "), I'd suggest looking for something similar. What specific area would you like recommendations for?"), "I'd be happy to make recommendations. Can you tell me more about what you're looking for?"))
-        .when(says("remind me", "routine"), or_else(habit, said("I remember your routine includes: ", habit["text"], ". I'll help you stay on track!"), "I'll help you build and maintain good routines. What would you like to be reminded about?"))
-        .when(says("goal", "achieve"), or_else(goal, said("I see you're working on: ", goal["text"], ". How can I help you make progress?"), "I'd love to help you set and achieve your goals. What would you like to work on?"))
-        .when(says("hello", "hi", "good"), or_else(named, F.concat(hello, F.lit(", "), name, F.lit("! How can I assist you today?")), F.concat(hello, F.lit("! How can I help you today?"))))
-        .when(F.size(memories) > 0, said("I understand. Based on our previous conversations about ", F.lower(F.get(memories, F.lit(0))["text"]), ", how can I help you today?"))
-        .otherwise("I'm here to help! The more you tell me about yourself, the better I can assist you with personalized recommendations and reminders.")
-    )
+    rules = [
+        (says("what is my", "when is my"), _either(R, "personal", personal.isNotNull(), personal["text"])),
+        (says("what do i have", "schedule", "appointment"), _either(R, "schedule", F.size(planned) > 0, F.array_join(F.transform(planned, lambda m: m["text"]), ", "))),
+        (says("recommend", "suggest", "what should i"), _either(R, "recommend", likes.isNotNull(), likes["text"])),
+        (says("remind me", "routine"), _either(R, "habit", habit.isNotNull(), habit["text"])),
+        (says("goal", "achieve"), _either(R, "goal", goal.isNotNull(), goal["text"])),
+        (says("hello", "hi", "good"), F.when(named.isNotNull(), _saying(R, "greet_known", F.concat(hello, F.lit(", "), name))).otherwise(_saying(R, "greet", hello))),
+        (F.size(memories) > 0, _saying(R, "any", F.lower(F.get(memories, F.lit(0))["text"]))),
+    ]
+    return F.coalesce(*(F.when(test, reply) for test, reply in rules), F.lit(R["none"]))
