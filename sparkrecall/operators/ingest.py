@@ -103,10 +103,20 @@ def upsert(stored: DataFrame, changed: DataFrame) -> DataFrame:
     return out.select(*pick)
 
 
-def enriched(memories: DataFrame) -> DataFrame:
+class PlaneEmbedding:
+    """The model's own embedding: two numbers. Another needs the same two methods."""
+
+    def embed(self, text: Column) -> Column:
+        return X.embedding(X.tokenize(text))
+
+    def similarity(self, a: Column, b: Column) -> Column:
+        return X.similarity(a, b)
+
+
+def enriched(memories: DataFrame, embedding=None) -> DataFrame:
     """With tokens, embedding, temporal, temporal_order, entities, has_problem and has_device, read off the text once."""
     c = F.col
-    out = memories.withColumn("tokens", X.tokenize(c("text"))).withColumn("embedding", X.embedding(c("tokens"))).withColumn("temporal", P.temporal(c("text"))).withColumn("temporal_order", P.temporal_order(c("text"))).withColumn("entities", P.entities(c("text")))
+    out = memories.withColumn("tokens", X.tokenize(c("text"))).withColumn("embedding", (embedding or PlaneEmbedding()).embed(c("text"))).withColumn("temporal", P.temporal(c("text"))).withColumn("temporal_order", P.temporal_order(c("text"))).withColumn("entities", P.entities(c("text")))
     return out.withColumn("has_problem", P.has_type(c("entities"), "PROBLEM")).withColumn("has_device", P.has_type(c("entities"), "OBJECT"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkrecall.functions import patterns as P
 from sparkrecall.functions import text as X
-from sparkrecall.operators.ingest import enriched
+from sparkrecall.operators.ingest import PlaneEmbedding, enriched
 from sparkrecall.operators.lifecycle import live
 
 _OPTIONAL = {"actor_id": "string", "thread_id": "string", "memory_types": "array<string>", "scopes": "array<string>", "metadata": "map<string,string>", "limit": "int", "min_score": "double", "max_items": "int", "max_chars": "int"}
@@ -74,21 +74,21 @@ def _top(scored: DataFrame, order: list[Column], default: int) -> DataFrame:
     return kept.select("q.query_id", "rank", *(F.col(f"m.{n}") for n in _KEPT if n in have), "score", "reasons")
 
 
-def enhanced_hits(queries: DataFrame, memories: DataFrame, as_of: Column) -> DataFrame:
+def enhanced_hits(queries: DataFrame, memories: DataFrame, as_of: Column, embedding=None) -> DataFrame:
     """As lexical_hits, by the query's class: embedding, overlap, entities, time and problem boosts. At least 0.05;
-    limit 20, within 1 to 100. What is read off the memories' texts is taken from their columns if there, else made."""
-    c = F.col
-    q = with_defaults(queries).withColumn("q_tokens", X.tokenize(c("query"))).withColumn("q_embedding", X.embedding(c("q_tokens"))).withColumn("q_class", P.classify(c("query")))
+    limit 20, within 1 to 100. `embedding` says what a text's vector is and how alike two are. What is read off the memories' texts is taken from their columns if there, else made."""
+    c, vectors = F.col, embedding or PlaneEmbedding()
+    q = with_defaults(queries).withColumn("q_tokens", X.tokenize(c("query"))).withColumn("q_embedding", vectors.embed(c("query"))).withColumn("q_class", P.classify(c("query")))
     # only tokens of the lower-cased query count, repeats and all; entities lower-cased
     q = q.withColumn("q_entities", F.transform(P.query_entities(c("query")), F.lower))
-    m = memories if "entities" in memories.columns else enriched(memories)
+    m = memories if "entities" in memories.columns else enriched(memories, vectors)
     met = candidates(q, m, as_of)
     kind, when, first = c("q.q_class.type"), c("q.q_class.temporal_type"), c("q.q_class.first_issue")
     relevant = c("m.temporal.relevant")
     matched = F.filter(c("m.entities"), lambda e: F.array_contains(c("q.q_entities"), F.lower(e["text"])) | F.array_contains(c("q.q_tokens"), F.lower(e["text"])))
     devices = F.filter(c("m.entities"), lambda e: (e["type"] == "OBJECT") & F.exists(c("q.q_entities"), lambda x: F.contains(x, F.lower(e["text"]))))
     met = (
-        met.withColumn("semantic", X.similarity(c("q.q_embedding"), c("m.embedding")))
+        met.withColumn("semantic", vectors.similarity(c("q.q_embedding"), c("m.embedding")))
         .withColumn("lexical", X.overlap(c("q.q_tokens"), c("m.tokens")))
         .withColumn("recency", X.recency(as_of, c("m.last_seen_at")))
         .withColumn("boost", _boost())

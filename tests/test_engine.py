@@ -310,3 +310,27 @@ def test_search_filters_and_limits(spark):
     q = spark.createDataFrame([("a", "tea", "t", "a", "", "", [], 1000), ("b", "tea", "t", "a", None, "t1", None, 0), ("c", "tea", "nobody", "a", None, None, None, 5)], "query_id string, query string, tenant_id string, app_id string, actor_id string, thread_id string, memory_types array<string>, limit int")
     n = {r.query_id: r.n for r in S.lexical_hits(q, m, now()).groupBy("query_id").agg(F.count("*").alias("n")).collect()}
     assert n == {"a": 100, "b": 1}
+
+
+def test_another_embedding(spark):
+    class Lengths:
+        def embed(self, text):
+            return F.length(text)
+
+        def similarity(self, a, b):
+            return F.when(a == b, 1.0).otherwise(0.0)
+
+    m = I.ingest(frame(spark, [observation(0, "abcde", at=NOW), observation(1, "abcdefgh", at=NOW)]), now())
+    q = spark.createDataFrame([("a", "zzzzz", "t", "a")], "query_id string, query string, tenant_id string, app_id string")
+    assert [r.ord for r in S.enhanced_hits(q, m, now(), Lengths()).orderBy("rank").collect()] == [0, 1]
+
+
+def test_insights_are_drawn_from_a_stream(spark, tmp_path):
+    rows = [(i, f"e{i}", "t", "a", "u", "s", NOW, "user", "an issue with my GPS") for i in range(6)]
+    e = spark.createDataFrame(rows, "seq long, event_id string, tenant_id string, app_id string, actor_id string, session_id string, ts timestamp, role string, content string")
+    e.coalesce(1).write.parquet(str(tmp_path / "e"))
+    found = []
+    q = T.extract_stream(spark.readStream.schema(e.schema).parquet(str(tmp_path / "e")), lambda df, n: found.extend(df.collect()), every="0 seconds", checkpointLocation=str(tmp_path / "c"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.content for r in found) == sorted(r.content for r in Y.drawn(e).collect()) and len(found) == 7
