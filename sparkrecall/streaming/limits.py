@@ -22,25 +22,29 @@ def rate_limited(requests: DataFrame, limit: int, window_ms: int = WINDOW_MS) ->
     """`requests` (identity, ts, seq) with boolean allowed, int retry_after (seconds, of those that aren't).
 
     A window begins with the first request that no window holds and ends window_ms later; the limit's excess in it is
-    turned away. Where windows begin depends on all requests before, so they are folded in order; an identity's requests
-    are first cut where a pause of a whole window resets any state, so that a fold is over one busy stretch.
+    turned away. Where windows begin depends on all requests before, so the times are folded in order, to the windows'
+    beginnings alone; an identity's requests are first cut where a pause of a whole window resets any state, so that a
+    fold is over one busy stretch. Requests find their window as the last beginning before them.
     """
-    ms = F.unix_millis("ts")
     by = W.partitionBy("identity").orderBy("ts", "seq")
-    rows = requests.withColumn("ms", ms).withColumn("new", F.coalesce((F.col("ms") - F.lag("ms").over(by) >= window_ms).cast("int"), F.lit(1)))
-    rows = rows.withColumn("stretch", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    per = rows.groupBy("identity", "stretch").agg(F.array_sort(F.collect_list(F.struct("ms", "seq"))).alias("all"))
-    start = F.struct(F.array().cast("array<struct<seq:bigint,begin:bigint,n:int>>").alias("out"), F.lit(None).cast("bigint").alias("begin"), F.lit(0).alias("n"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = s["begin"].isNull() | (x["ms"] - s["begin"] >= window_ms)
-        begin, n = F.when(fresh, x["ms"]).otherwise(s["begin"]), F.when(fresh, 1).otherwise(s["n"] + 1)
-        return F.struct(F.concat(s["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), begin.alias("begin"), n.alias("n")))).alias("out"), begin.alias("begin"), n.alias("n"))
-
-    marks = per.select("identity", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("m")).select("identity", "m.*")
-    out = requests.join(marks, ["identity", "seq"])
-    wait = F.ceil((F.col("begin") + window_ms - F.unix_millis("ts")) / 1000).cast("int")
-    return out.withColumn("allowed", F.col("n") <= limit).withColumn("retry_after", F.when(F.col("n") > limit, F.greatest(wait, F.lit(1)))).drop("begin", "n")
+    rows = requests.withColumn("__ms", F.unix_millis("ts"))
+    new = F.coalesce((F.col("__ms") - F.lag("__ms").over(by) >= window_ms).cast("int"), F.lit(1))
+    rows = rows.withColumn("__new", new).withColumn("__stretch", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    per = rows.groupBy("identity", "__stretch").agg(F.array_sort(F.collect_list("__ms")).alias("times"))
+    start = F.array().cast("array<bigint>")
+
+    def step(begins: Column, ms: Column) -> Column:
+        fresh = (F.size(begins) == 0) | (ms - F.try_element_at(begins, F.lit(-1)) >= window_ms)
+        return F.when(fresh, F.concat(begins, F.array(ms))).otherwise(begins)
+
+    begins = per.select("identity", F.explode(F.aggregate("times", start, step)).alias("__ms")).withColumn("__begins", F.lit(True))
+    both = rows.drop("__new", "__stretch").withColumn("__begins", F.lit(False)).unionByName(begins, allowMissingColumns=True)
+    last = W.partitionBy("identity").orderBy("__ms", F.desc("__begins")).rowsBetween(W.unboundedPreceding, 0)
+    placed = both.withColumn("__begin", F.max(F.when(F.col("__begins"), F.col("__ms"))).over(last)).where("not __begins")
+    numbered = placed.withColumn("__n", F.row_number().over(W.partitionBy("identity", "__begin").orderBy("__ms", "seq")))
+    wait = F.ceil((F.col("__begin") + window_ms - F.col("__ms")) / 1000).cast("int")
+    out = numbered.withColumn("allowed", F.col("__n") <= limit).withColumn("retry_after", F.when(F.col("__n") > limit, F.greatest(wait, F.lit(1))))
+    return out.select(*requests.columns, "allowed", "retry_after")
 
 
 def rate_limit_stream(requests: DataFrame, limit: int, window_ms: int = WINDOW_MS) -> DataFrame:
