@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,6 +56,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's own bound of a batch of rows that goes to Python.
+_BATCH, _SPARKS_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Rows go to Python in batches of at most `most` bytes from now on, unless the session has a bound of its own."""
+    if spark.conf.get(_BATCH) == _SPARKS_BOUND:
+        spark.conf.set(_BATCH, most)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of `value`, with `value` computed once for each row, however often `body` names it."""
     return F.transform(F.array(value), body)[0]
@@ -81,3 +93,25 @@ def stretches(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
         yield at, to - at
         at = to
+
+
+def merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have `least` bytes."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        some.append(batch)
+        if sum(b.nbytes for b in some) >= least:
+            yield pa.concat_batches(some)
+            some = []
+    if some:
+        yield pa.concat_batches(some)
+
+
+def trim() -> None:
+    """Gives a Python worker's free memory back: workers are kept for the next stage, beside which it would count."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

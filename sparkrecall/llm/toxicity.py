@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecall.llm.common import documents, lowest
+from sparkrecall.llm.common import bounded_batches, documents, lowest, trim
 
 BITS = 20
 ORDERS = (3, 4, 5)
@@ -57,10 +57,9 @@ def train(texts: list[str | None], labels: list[int], least_texts: int = 3, leas
     weights = np.zeros(1 << BITS, np.float32)
     if not pos or not neg:
         return Model(weights, bias)
-    sets = [np.unique(features(t)) for t in texts]
     p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for s, label in zip(sets, labels, strict=True):
-        (p if label else q)[s] += 1
+    for t, label in zip(texts, labels, strict=True):
+        (p if label else q)[np.unique(features(t))] += 1
     r = np.log((p + 1) / (pos + 2)) - np.log((q + 1) / (neg + 2))
     share = (p + q) / (pos + neg)
     z = (p - share * pos) / np.sqrt(np.maximum(share * (1 - share) * pos * neg / (pos + neg), 1e-9))
@@ -71,16 +70,19 @@ def train(texts: list[str | None], labels: list[int], least_texts: int = 3, leas
         return Model(weights, bias)
     place = np.full(1 << BITS, -1, np.int64)
     place[kept] = np.arange(len(kept))
-    columns = [c[c >= 0] for c in (place[s] for s in sets)]
-    row, col = np.repeat(np.arange(len(sets)), [len(c) for c in columns]), np.concatenate(columns)
+    # the features are made anew, since only those kept take memory
+    columns = [np.unique(c[c >= 0]).astype(np.int32) for c in (place[features(t)] for t in texts)]
+    n = len(texts)
+    row, col = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in columns]), np.concatenate(columns)
+    del columns, p, q, share, z, strength
     scale = r[kept]
     value = scale[col]
     w, b = np.zeros(len(kept)), bias
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)  # Adam over all texts at once
     for step in range(1, steps + 1):
-        margin = b + np.bincount(row, value * w[col], minlength=len(sets))
-        error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y) / len(sets)
-        grad = np.append(np.bincount(col, value * error[row], minlength=len(kept)) + penalty * w / len(sets), error.sum())
+        margin = b + np.bincount(row, value * w[col], minlength=n)
+        error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y) / n
+        grad = np.append(np.bincount(col, value * error[row], minlength=len(kept)) + penalty * w / n, error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
@@ -92,7 +94,7 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
-def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 8000) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 6000) -> Model:
     """The model of about `most_rows` labelled documents that aren't held out: those with low hashes of their keys.
     Of a key with several labels the largest counts; rows without a label don't. Keys and labels of these rows,
     and their texts, are all that reaches the driver."""
@@ -108,12 +110,14 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """`docs` with a double column `name`. Null texts score as empty ones do."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([shared.value.score(t) for t in batch], dtype="float64")
+        trim()
 
     return docs.withColumn(name, score(F.col(text)))
 
