@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecall.llm.common import documents, materialize
+from sparkrecall.llm.common import bounded_batches, documents, materialize, trim
 from sparkrecall.llm.components import components
 
 #: References in each segment's group.
@@ -86,6 +86,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", nam
         for batch in batches:
             yield pd.Series([fingerprint_of(x, shingle) for x in batch], dtype="int64")
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(name, fingerprints(F.col(text)))
 
 
@@ -272,51 +273,91 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
     return materialize(sure.unionByName(met.select("a", "b", (F.pandas_udf(_jaccard, "double")("sa", "sb") >= similarity).alias("close"))), "verified")
 
 
-def _wide_links(reps: DataFrame, docs: DataFrame, n: int, shingle: int, similarity: float, recall: float, block_rows: int) -> DataFrame:
+def forest(nodes: np.ndarray, fps: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Links (a, b) that connect just what pairs of at most `most` differing bits connect, one fewer than nodes at most."""
+    label, a, b = np.arange(len(nodes)), [], []
+    for i in range(len(nodes) - 1):
+        near = np.nonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(axis=1) <= most)[0] + i + 1
+        other = near[label[near] != label[i]]
+        for j in other.tolist():
+            if label[j] != label[i]:
+                a.append(int(nodes[i]))
+                b.append(int(nodes[j]))
+                label[label == label[j]] = label[i]
+    return a, b
+
+
+def _wide_links(reps: DataFrame, docs: DataFrame, n: int, shingle: int, similarity: float, recall: float, block_rows: int, task_rows: int) -> DataFrame:
     """(a, b) of nodes that are as similar.
 
-    Candidates share the coordinate offsets to some band of one-bit references, that is, those bits. In a block of more
-    than block_rows every node meets the least; those that aren't close to it are a block of their own, and so on.
+    Candidates share the coordinate offsets to some band of one-bit references, that is, those bits. Pairs of a block of
+    at most block_rows are verified by bits and, in doubt, shingles. In larger blocks, groups of near copies, bits alone
+    decide, and only a spanning forest leaves the task. In a block of more than task_rows, nodes near the least one link to
+    it; the others are cut by further bits, in several ways so that pairs stay together in some.
     """
     bits, many = bands(n, similarity, recall)
     rng = np.random.default_rng(11)
     places = np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(many)])
+    most = int(differing_share(similarity) * 64 * WIDE)
+
+    def keys_of(fps: pa.Array, some: np.ndarray) -> np.ndarray:
+        """(rows of `some`, fingerprints): the bits at each row's places as a number."""
+        set_ = np.unpackbits(np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")
+        return np.stack([set_[:, p].astype(np.int64) @ (np.int64(1) << np.arange(len(p), dtype=np.int64)) for p in some])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
+            for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 2000)
-                set_ = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")
-                keys = np.concatenate([(np.int64(i) << 48) + set_[:, p].astype(np.int64) @ weights for i, p in enumerate(places)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(part.column(0).to_numpy(), many)), pa.array(keys)], names=["node", "key"])
+                keys = keys_of(part.column(1), places) + (np.arange(many, dtype=np.int64) << 48)[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(part.column(0).to_numpy(), many)), pa.array(keys.reshape(-1))], names=["node", "key"])
+        trim()
 
-    blocks = materialize(reps.select("node", "fp").mapInArrow(keyed, "node bigint, key bigint"), "bands")
-    found = None
+    def connected(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
+        a, b = forest(table.column("node").to_numpy(), fps, most)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    blocks, found, level = materialize(reps.select("node", "fp").mapInArrow(keyed, "node bigint, key bigint"), "bands"), None, 0
     while True:
         sizes = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
         met = materialize(blocks.join(sizes, "key"), "met")
-        small = met.where(F.col("n") <= block_rows)
+        small, large = met.where(F.col("n") <= block_rows), met.where(F.col("n") > block_rows)
         l, r = small.alias("l"), small.alias("r")
-        pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        large = met.where((F.col("n") > block_rows) & (F.col("node") != F.col("least")))
-        stars = large.select(F.col("least").alias("a"), F.col("node").alias("b"))
-        told = _verified(materialize(pairs.unionByName(stars).distinct(), "pairs"), reps, docs, shingle, similarity)
-        new = told.where("close").select("a", "b")
+        pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+        new = _verified(materialize(pairs, "pairs"), reps, docs, shingle, similarity).where("close").select("a", "b")
+        whole = large.where(F.col("n") <= task_rows).join(reps.select("node", "fp"), "node")
+        new = new.unionByName(materialize(whole.groupBy("key").applyInArrow(connected, "a bigint, b bigint"), "forests"))
         found = new if found is None else found.unionByName(new)
-        apart = told.where("not close").select(F.col("a").alias("least"), F.col("b").alias("node"))
-        blocks = materialize(large.join(apart, ["least", "node"], "left_semi").select("node", "key"), "bands")
-        if blocks.isEmpty():
+        # the largest: every node meets the least of its block, and those that aren't near it go on
+        far = large.where((F.col("n") > task_rows) & (F.col("node") != F.col("least"))).join(reps.select("node", "fp"), "node")
+        far = far.join(reps.select(F.col("node").alias("least"), F.col("fp").alias("fl")), "least")
+        far = materialize(far.withColumn("d", F.pandas_udf(_distance, "int")("fp", "fl")).select("node", "least", "key", "fp", "d"), "stars")
+        found = found.unionByName(far.where(F.col("d") <= most).select(F.col("least").alias("a"), F.col("node").alias("b")))
+        left = far.where(F.col("d") > most)
+        if left.isEmpty():
             return found
+        level += 1
+        cuts = np.stack([np.random.default_rng([12, level]).permutation(64 * WIDE)[6 * i : 6 * i + 6] for i in range(8)])
+
+        def cut(batches: Iterator[pa.RecordBatch], cuts=cuts) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = keys_of(batch.column(2), cuts) + (np.arange(8, dtype=np.int64) << 6)[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(batch.column(0).to_numpy(), 8)), pa.array(np.tile(batch.column(1).to_numpy(), 8)), pa.array(keys.reshape(-1))], names=["node", "key", "more"])
+
+        again = left.select("node", "key", "fp").mapInArrow(cut, "node bigint, key bigint, more bigint")
+        blocks = materialize(again.select("node", F.xxhash64("key", "more").alias("key")), "bands")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, key: str = "doc_id", text: str = "text", block_rows: int = 64) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, key: str = "doc_id", text: str = "text", block_rows: int = 64, task_rows: int = 4096) -> DataFrame:
     """(key, component_id) of documents whose sets of shingles are `similarity` alike or more, by SimHash.
 
     At such similarities fingerprints differ in many bits: a distance of a sixth of the bits leaves no reference whose
     distances could tell pairs apart, and no few segments untouched. So the fingerprint has 64 * WIDE bits, candidates
     share one of many sampled bands, and a pair's bits, or in doubt its shingles, decide. Pairs just at the threshold are
-    found with probability `recall`, closer ones more surely, equal fingerprints always. Nulls, repeats and empty tables
+    found with probability `recall`, closer ones more surely, equal fingerprints always. Among more than block_rows that
+    share a band the bits alone decide, as do others there that link the two. Nulls, repeats and empty tables
     as in near_duplicates.
     """
 
@@ -324,11 +365,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     def wide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([wide_fingerprint_of(t, shingle).tobytes() for t in batch], dtype=object)
+        trim()
 
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     marked = materialize(own.select("key", wide("text").alias("fp")), "wide")
     reps = materialize(marked.groupBy("fp").agg(F.min("key").alias("first")).withColumn("node", F.xxhash64("fp")), "distinct")
-    parts = materialize(components(_wide_links(reps, own, reps.count(), shingle, similarity, recall, block_rows)), "parts")
+    parts = materialize(components(_wide_links(reps, own, reps.count(), shingle, similarity, recall, block_rows, task_rows)), "parts")
     of = reps.join(parts, "node", "left").select("fp", "first", F.coalesce("component", "node").alias("component"))
     ids = of.groupBy("component").agg(F.min("first").alias("component_id"))
     return marked.join(of.join(ids, "component").select("fp", "component_id"), "fp").select(F.col("key").alias(key), "component_id")
