@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecall.llm.common import documents, materialize, new_folder
+from sparkrecall.llm.common import bounded_batches, documents, materialize, new_folder
 
 UNIT = 64
 #: Signature and IHDR, with its checksum.
@@ -134,6 +134,7 @@ def store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
             out.write(bytes(1024))
             out.close()
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return materialize(docs.select(key, text).mapInArrow(write, f"`{key}` {kind}, n_bytes bigint, payload_bytes bigint, digest string, shard string, offset bigint, length bigint"), "index")
 
