@@ -308,7 +308,7 @@ def _wide_links(reps: DataFrame, docs: DataFrame, n: int, shingle: int, similari
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 2000)
+                part = batch.slice(at, 500)
                 keys = keys_of(part.column(1), places) + (np.arange(many, dtype=np.int64) << 48)[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(part.column(0).to_numpy(), many)), pa.array(keys.reshape(-1))], names=["node", "key"])
         trim()
