@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecall.llm.common import documents, materialize, stretches
+from sparkrecall.llm.common import bounded_batches, documents, materialize, merged, stretches, trim
 
 SEQUENCE = 2048
 
@@ -255,8 +255,8 @@ def pieces_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
     """(key, piece, start, length, ids_crc32) of every document's ids, cut only where they are more than capacity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, n in stretches(batch.column(1), 1 << 24):
+        for batch in merged(batches, 10 << 20):  # a word is encoded once in each stretch
+            for at, n in stretches(batch.column(1), 12 << 20):
                 rows, piece, start, length, crc = [], [], [], [], []
                 for row, ids in enumerate(token_ids(batch.column(1).slice(at, n), path), at):
                     for i in range(0, len(ids), 4 * capacity):
@@ -267,7 +267,10 @@ def pieces_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
                         length.append(len(one) // 4)
                         crc.append(zlib.crc32(one))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=[key, "piece", "start", "length", "ids_crc32"])
+        _tokenizers.clear()
+        trim()
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(cut, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
