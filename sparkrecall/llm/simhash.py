@@ -287,13 +287,22 @@ def forest(nodes: np.ndarray, fps: np.ndarray, most: int) -> tuple[list[int], li
     return a, b
 
 
+def sub_blocks(blocks: DataFrame, task_rows: int) -> DataFrame:
+    """`blocks` (node, key, n) with i and j: of more than task_rows nodes, about half as many are a part of the block, and
+    each node goes to the pairs (i, j) of its part and every part. So every two nodes of a block are together in some."""
+    parts = F.when(F.col("n") <= task_rows, F.lit(1)).otherwise(F.ceil(2 * F.col("n") / task_rows)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    met = blocks.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.select(*blocks.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
 def _wide_links(reps: DataFrame, docs: DataFrame, n: int, shingle: int, similarity: float, recall: float, block_rows: int, task_rows: int) -> DataFrame:
     """(a, b) of nodes that are as similar.
 
     Candidates share the coordinate offsets to some band of one-bit references, that is, those bits. Pairs of a block of
     at most block_rows are verified by bits and, in doubt, shingles. In larger blocks, groups of near copies, bits alone
-    decide, and only a spanning forest leaves the task. In a block of more than task_rows, nodes near the least one link to
-    it; the others are cut by further bits, in several ways so that pairs stay together in some.
+    decide, and only a spanning forest leaves the task. A block of more than task_rows is split, and every two of its parts
+    meet in a task of their own.
     """
     bits, many = bands(n, similarity, recall)
     rng = np.random.default_rng(11)
@@ -319,35 +328,15 @@ def _wide_links(reps: DataFrame, docs: DataFrame, n: int, shingle: int, similari
         a, b = forest(table.column("node").to_numpy(), fps, most)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    blocks, found, level = materialize(reps.select("node", "fp").mapInArrow(keyed, "node bigint, key bigint"), "bands"), None, 0
-    while True:
-        sizes = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-        met = materialize(blocks.join(sizes, "key"), "met")
-        small, large = met.where(F.col("n") <= block_rows), met.where(F.col("n") > block_rows)
-        l, r = small.alias("l"), small.alias("r")
-        pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-        new = _verified(materialize(pairs, "pairs"), reps, docs, shingle, similarity).where("close").select("a", "b")
-        whole = large.where(F.col("n") <= task_rows).join(reps.select("node", "fp"), "node")
-        new = new.unionByName(materialize(whole.groupBy("key").applyInArrow(connected, "a bigint, b bigint"), "forests"))
-        found = new if found is None else found.unionByName(new)
-        # the largest: every node meets the least of its block, and those that aren't near it go on
-        far = large.where((F.col("n") > task_rows) & (F.col("node") != F.col("least"))).join(reps.select("node", "fp"), "node")
-        far = far.join(reps.select(F.col("node").alias("least"), F.col("fp").alias("fl")), "least")
-        far = materialize(far.withColumn("d", F.pandas_udf(_distance, "int")("fp", "fl")).select("node", "least", "key", "fp", "d"), "stars")
-        found = found.unionByName(far.where(F.col("d") <= most).select(F.col("least").alias("a"), F.col("node").alias("b")))
-        left = far.where(F.col("d") > most)
-        if left.isEmpty():
-            return found
-        level += 1
-        cuts = np.stack([np.random.default_rng([12, level]).permutation(64 * WIDE)[6 * i : 6 * i + 6] for i in range(8)])
-
-        def cut(batches: Iterator[pa.RecordBatch], cuts=cuts) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = keys_of(batch.column(2), cuts) + (np.arange(8, dtype=np.int64) << 6)[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(batch.column(0).to_numpy(), 8)), pa.array(np.tile(batch.column(1).to_numpy(), 8)), pa.array(keys.reshape(-1))], names=["node", "key", "more"])
-
-        again = left.select("node", "key", "fp").mapInArrow(cut, "node bigint, key bigint, more bigint")
-        blocks = materialize(again.select("node", F.xxhash64("key", "more").alias("key")), "bands")
+    blocks = materialize(reps.select("node", "fp").mapInArrow(keyed, "node bigint, key bigint"), "bands")
+    sizes = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(blocks.join(sizes, "key"), "met")
+    small, large = met.where(F.col("n") <= block_rows), met.where(F.col("n") > block_rows)
+    l, r = small.alias("l"), small.alias("r")
+    pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    found = _verified(materialize(pairs, "pairs"), reps, docs, shingle, similarity).where("close").select("a", "b")
+    whole = sub_blocks(large, task_rows).join(reps.select("node", "fp"), "node")
+    return found.unionByName(materialize(whole.groupBy("key", "i", "j").applyInArrow(connected, "a bigint, b bigint"), "forests"))
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, key: str = "doc_id", text: str = "text", block_rows: int = 64, task_rows: int = 4096) -> DataFrame:

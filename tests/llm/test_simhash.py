@@ -124,3 +124,28 @@ def test_similar_documents(spark, block_rows, task_rows):
                     assert got[a] != got[b]
     assert total > 100 and alike / total > (0.95 if block_rows > 2 else 0.85)
     assert {got[10_000 + i] for i in range(90)} == {got[0]}
+
+
+def test_every_two_nodes_of_a_large_block_meet(spark):
+    """A node near the block's least one and another near only that node: their link was never looked at."""
+    blocks = spark.createDataFrame([(i, key, n) for key, n in ((1, 3), (2, 40)) for i in range(n)], "node bigint, key bigint, n bigint")
+    met = S.sub_blocks(blocks, 6).groupBy("key", "i", "j").agg(F.collect_list("node").alias("nodes")).collect()
+    for key, n in ((1, 3), (2, 40)):
+        seen = {(a, b) for r in met if r.key == key for a in r.nodes for b in r.nodes if a < b}
+        assert seen == {(a, b) for a in range(n) for b in range(a + 1, n)}
+    assert all(len(r.nodes) == len(set(r.nodes)) for r in met) and max(len(r.nodes) for r in met) < 20
+
+
+def test_chain_in_a_large_block(spark, monkeypatch):
+    """Texts that differ from the next in a few words each, all in one block: one component, though it is split."""
+    monkeypatch.setattr(S, "bands", lambda *_: (0, 1))
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    docs = []
+    for c in range(60):
+        docs.append((c, " ".join(words)))
+        for i in rng.sample(range(300), 3):
+            words[i] = f"z{c}x{i}"
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = S.similar_documents(df, block_rows=4, task_rows=8).collect()
+    assert {r.component_id for r in got} == {0}
