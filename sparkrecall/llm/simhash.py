@@ -254,37 +254,50 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("node", packed("text").alias("set"))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """`pairs` (a, b) with boolean close: bits decide where they leave no doubt, three deviations from what the
-    similarity lets expect; between, the sets of shingles do."""
+def _most(similarity: float) -> int:
+    """Bits in which texts that similar may differ: three deviations more than expected."""
     share = differing_share(similarity)
-    spread = 3 * (share * (1 - share) * 64 * WIDE) ** 0.5
-    low, high = int(share * 64 * WIDE - spread), int(share * 64 * WIDE + spread)
+    return int(share * 64 * WIDE + 3 * (share * (1 - share) * 64 * WIDE) ** 0.5)
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b) that are as similar: bits only rule out, the sets of shingles decide on all others."""
     left = pairs.join(reps.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a")
     both = left.join(reps.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
-    told = materialize(both.withColumn("d", F.pandas_udf(_distance, "int")("fa", "fb")).select("a", "b", "d"), "distances")
-    doubt = told.where((F.col("d") > low) & (F.col("d") <= high)).select("a", "b")
-    nodes = doubt.select(F.col("a").alias("node")).unionByName(doubt.select(F.col("b").alias("node"))).distinct()
+    near = materialize(both.where(F.pandas_udf(_distance, "int")("fa", "fb") <= _most(similarity)).select("a", "b"), "near")
+    nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     wanted = reps.join(nodes, "node").select("node", F.col("first").alias("key"))
     texts = docs.join(wanted, docs["key"].eqNullSafe(wanted["key"])).groupBy("node").agg(F.min("text").alias("text"))
     sets = materialize(_sets(texts, shingle), "sets")
-    met = doubt.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    sure = told.where((F.col("d") <= low) | (F.col("d") > high)).select("a", "b", (F.col("d") <= low).alias("close"))
-    return materialize(sure.unionByName(met.select("a", "b", (F.pandas_udf(_jaccard, "double")("sa", "sb") >= similarity).alias("close"))), "verified")
-
-
-def forest(nodes: np.ndarray, fps: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """Links (a, b) that connect just what pairs of at most `most` differing bits connect, one fewer than nodes at most."""
-    label, a, b = np.arange(len(nodes)), [], []
+    met = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    return materialize(met.where(F.pandas_udf(_jaccard, "double")("sa", "sb") >= similarity).select("a", "b"), "verified")
+
+
+def tree(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row before, differing bits): a spanning tree of least distances from row 0, without links of over `most` bits."""
+    best, via = np.full(len(fps), 1 << 20), np.zeros(len(fps), np.int64)
+    rows, at = [], 0
+    out = np.zeros(len(fps), bool)
+    for _ in range(len(fps) - 1):
+        out[at] = True
+        d = np.bitwise_count(fps ^ fps[at]).sum(axis=1, dtype=np.int64)
+        closer = (d < best) & ~out
+        best[closer], via[closer] = d[closer], at
+        at = int(np.argmin(np.where(out, 1 << 21, best)))
+        rows.append(at)
+    some = np.array([r for r in rows if best[r] <= most], np.int64)
+    return some, via[some], best[some]
+
+
+def across(nodes: np.ndarray, labels: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (a, b) of at most `most` differing bits and of different labels."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(len(nodes) - 1):
-        near = np.nonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(axis=1) <= most)[0] + i + 1
-        other = near[label[near] != label[i]]
-        for j in other.tolist():
-            if label[j] != label[i]:
-                a.append(int(nodes[i]))
-                b.append(int(nodes[j]))
-                label[label == label[j]] = label[i]
-    return a, b
+        other = np.nonzero(labels[i + 1 :] != labels[i])[0] + i + 1
+        near = other[np.bitwise_count(fps[other] ^ fps[i]).sum(axis=1) <= most]
+        a.append(np.full(len(near), nodes[i]))
+        b.append(nodes[near])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def sub_blocks(blocks: DataFrame, task_rows: int) -> DataFrame:
@@ -299,15 +312,16 @@ def sub_blocks(blocks: DataFrame, task_rows: int) -> DataFrame:
 def _wide_links(reps: DataFrame, docs: DataFrame, n: int, shingle: int, similarity: float, recall: float, block_rows: int, task_rows: int) -> DataFrame:
     """(a, b) of nodes that are as similar.
 
-    Candidates share the coordinate offsets to some band of one-bit references, that is, those bits. Pairs of a block of
-    at most block_rows are verified by bits and, in doubt, shingles. In larger blocks, groups of near copies, bits alone
-    decide, and only a spanning forest leaves the task. A block of more than task_rows is split, and every two of its parts
-    meet in a task of their own.
+    Candidates share the coordinate offsets to some band of one-bit references, that is, those bits; the sets of shingles
+    decide. All pairs of a block of at most block_rows are candidates. In larger blocks, groups of near copies, each
+    node first meets its nearest and the least of those near it. What these links leave apart is compared whole: of
+    blocks that hold several components, all near pairs between two of them are candidates. A block of more than
+    task_rows is split, and every two of its parts meet in a task of their own.
     """
     bits, many = bands(n, similarity, recall)
     rng = np.random.default_rng(11)
     places = np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(many)])
-    most = int(differing_share(similarity) * 64 * WIDE)
+    most = _most(similarity)
 
     def keys_of(fps: pa.Array, some: np.ndarray) -> np.ndarray:
         """(rows of `some`, fingerprints): the bits at each row's places as a number."""
@@ -322,11 +336,21 @@ def _wide_links(reps: DataFrame, docs: DataFrame, n: int, shingle: int, similari
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(part.column(0).to_numpy(), many)), pa.array(keys.reshape(-1))], names=["node", "key"])
         trim()
 
-    def connected(table: pa.Table) -> pa.Table:
+    def wide_of(table: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
+
+    def proposed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        nodes, fps = table.column("node").to_numpy(), wide_of(table)
+        row, before, d = tree(fps, most)
+        to_least = np.bitwise_count(fps ^ fps[0]).sum(axis=1, dtype=np.int64)[row]
+        least = pa.array(np.full(len(row), nodes[0]), mask=to_least > most)
+        return pa.table({"node": pa.array(nodes[row]), "d": pa.array(d), "near": pa.array(nodes[before]), "least": least})
+
+    def apart(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
-        a, b = forest(table.column("node").to_numpy(), fps, most)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        a, b = across(table.column("node").to_numpy(), table.column("label").to_numpy(), wide_of(table), most)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     blocks = materialize(reps.select("node", "fp").mapInArrow(keyed, "node bigint, key bigint"), "bands")
     sizes = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -334,9 +358,24 @@ def _wide_links(reps: DataFrame, docs: DataFrame, n: int, shingle: int, similari
     small, large = met.where(F.col("n") <= block_rows), met.where(F.col("n") > block_rows)
     l, r = small.alias("l"), small.alias("r")
     pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    found = _verified(materialize(pairs, "pairs"), reps, docs, shingle, similarity).where("close").select("a", "b")
-    whole = sub_blocks(large, task_rows).join(reps.select("node", "fp"), "node")
-    return found.unionByName(materialize(whole.groupBy("key", "i", "j").applyInArrow(connected, "a bigint, b bigint"), "forests"))
+    pairs = materialize(pairs, "pairs")
+    if large.isEmpty():
+        return _verified(pairs, reps, docs, shingle, similarity)
+    fps = reps.select("node", "fp")
+    chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / task_rows))
+    chunks = large.withColumn("chunk", chunk).join(fps, "node")
+    trees = chunks.groupBy("key", "chunk").applyInArrow(proposed, "node bigint, d bigint, near bigint, least bigint")
+    each = materialize(trees.groupBy("node").agg(F.min(F.struct("d", "near")).alias("nearest"), F.min("least").alias("least")), "trees")
+    first = each.select("node", F.col("nearest.near").alias("other")).unionByName(each.where("least is not null").select("node", F.col("least").alias("other")))
+    first = pairs.unionByName(first.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).distinct()
+    found = _verified(first, reps, docs, shingle, similarity)
+    labelled = large.join(components(found).withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = materialize(labelled, "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    whole = sub_blocks(labelled.join(mixed, "key"), task_rows).join(fps, "node")
+    rest = whole.groupBy("key", "i", "j").applyInArrow(apart, "a bigint, b bigint").distinct()
+    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "apart")
+    return found.unionByName(_verified(rest, reps, docs, shingle, similarity))
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, key: str = "doc_id", text: str = "text", block_rows: int = 64, task_rows: int = 4096) -> DataFrame:
@@ -344,10 +383,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     At such similarities fingerprints differ in many bits: a distance of a sixth of the bits leaves no reference whose
     distances could tell pairs apart, and no few segments untouched. So the fingerprint has 64 * WIDE bits, candidates
-    share one of many sampled bands, and a pair's bits, or in doubt its shingles, decide. Pairs just at the threshold are
-    found with probability `recall`, closer ones more surely, equal fingerprints always. Among more than block_rows that
-    share a band the bits alone decide, as do others there that link the two. Nulls, repeats and empty tables
-    as in near_duplicates.
+    share one of many sampled bands, and the shingles decide on all pairs that their bits don't rule out. Pairs just at the
+    threshold are found with probability `recall`, closer ones more surely, equal fingerprints always. Nulls, repeats and
+    empty tables as in near_duplicates.
     """
 
     @F.pandas_udf("binary")

@@ -149,3 +149,19 @@ def test_chain_in_a_large_block(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = S.similar_documents(df, block_rows=4, task_rows=8).collect()
     assert {r.component_id for r in got} == {0}
+
+
+@pytest.mark.parametrize(("block_rows", "task_rows"), [(2, 4096), (2, 40)])
+def test_large_blocks_verify_shingles(spark, monkeypatch, block_rows, task_rows):
+    """All in one large block: pairs just above 0.8 link, pairs just below don't, though their bits say little."""
+    monkeypatch.setattr(S, "bands", lambda *_: (0, 1))
+    docs = []
+    for g in range(80):
+        words = [f"g{g}w{i}" for i in range(204)]
+        own = list(words)
+        for i in range(4 if g % 2 else 5):  # each takes five of the 200 shingles: 180 of 220 are common, or 175 of 225
+            own[20 + 40 * i] = f"z{g}x{i}"
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(own))]
+    got = {r.doc_id: r.component_id for r in S.similar_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), block_rows=block_rows, task_rows=task_rows).collect()}
+    assert sum(got[2 * g] == got[2 * g + 1] for g in range(1, 80, 2)) >= 38  # of 40
+    assert all(got[2 * g] != got[2 * g + 1] for g in range(0, 80, 2))
