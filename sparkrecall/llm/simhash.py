@@ -197,18 +197,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, key: s
 WIDE = 8
 
 
-def wide_fingerprint_of(text: str | None, shingle: int) -> np.ndarray:
-    """WIDE words (uint64) of a fingerprint over WIDE mixes of each shingle's hash."""
-    ones, n = np.zeros((WIDE, 64), np.int64), 0
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, in order."""
+    out = np.zeros(0, np.uint64)
     for hashes in shingle_hashes(text, shingle):
-        n += len(hashes)
+        out = np.union1d(out, hashes)
+    return out
+
+
+def wide_fingerprint_of(hashes: np.ndarray) -> np.ndarray:
+    """WIDE words (uint64) of a fingerprint over WIDE mixes of each of a set of shingles' hashes."""
+    ones = np.zeros((WIDE, 64), np.int64)
+    for at in range(0, len(hashes), 1 << 16):
         for k in range(WIDE):
             with np.errstate(over="ignore"):
-                x = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
+                x = hashes[at : at + (1 << 16)] + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
                 x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             ones[k] += bit_counts(x ^ (x >> np.uint64(31)))
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").reshape(WIDE)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").reshape(WIDE)
 
 
 def differing_share(similarity: float) -> float:
@@ -248,8 +255,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 
     @F.pandas_udf("binary")
     def packed(batch: pd.Series) -> pd.Series:
-        some = lambda t: [*shingle_hashes(t, shingle), np.zeros(0, np.uint64)]
-        return pd.Series([np.unique(np.concatenate(some(t))).tobytes() for t in batch], dtype=object)
+        return pd.Series([shingle_set(t, shingle).tobytes() for t in batch], dtype=object)
 
     return texts.select("node", packed("text").alias("set"))
 
@@ -384,24 +390,28 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     At such similarities fingerprints differ in many bits: a distance of a sixth of the bits leaves no reference whose
     distances could tell pairs apart, and no few segments untouched. So the fingerprint has 64 * WIDE bits, candidates
     share one of many sampled bands, and the shingles decide on all pairs that their bits don't rule out. Pairs just at the
-    threshold are found with probability `recall`, closer ones more surely, equal fingerprints always. Nulls, repeats and
-    empty tables as in near_duplicates.
+    threshold are found with probability `recall`, closer ones more surely, equal sets always: how often a shingle occurs in
+    a text plays no part. Nulls, repeats and empty tables as in near_duplicates.
     """
 
-    @F.pandas_udf("binary")
-    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("node bigint, fp binary")
+    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.Series([wide_fingerprint_of(t, shingle).tobytes() for t in batch], dtype=object)
+            sets = [shingle_set(t, shingle) for t in batch]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 3) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"node": nodes, "fp": pd.Series([wide_fingerprint_of(s).tobytes() for s in sets], dtype=object)})
         trim()
 
     bounded_batches(docs.sparkSession)
-    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marked = materialize(own.select("key", wide("text").alias("fp")), "wide")
-    reps = materialize(marked.groupBy("fp").agg(F.min("key").alias("first")).withColumn("node", F.xxhash64("fp")), "distinct")
+    # texts of equal sets are one node; keys may be null or occur with other texts, so a text's hash goes with its key
+    own = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("h")).alias("key"), F.col(text).alias("text"))
+    marked = materialize(own.select("key", wide("text").alias("w")).select("key", "w.node", "w.fp"), "wide")
+    reps = materialize(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("key").alias("first")), "distinct")
     parts = materialize(components(_wide_links(reps, own, reps.count(), shingle, similarity, recall, block_rows, task_rows)), "parts")
-    of = reps.join(parts, "node", "left").select("fp", "first", F.coalesce("component", "node").alias("component"))
+    of = reps.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     ids = of.groupBy("component").agg(F.min("first").alias("component_id"))
-    return marked.join(of.join(ids, "component").select("fp", "component_id"), "fp").select(F.col("key").alias(key), "component_id")
+    named = of.join(ids, "component").select("node", "component_id")
+    return marked.join(named, "node").select(F.col("key.key").alias(key), F.col("component_id.key").alias("component_id"))
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

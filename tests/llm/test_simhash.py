@@ -165,3 +165,12 @@ def test_large_blocks_verify_shingles(spark, monkeypatch, block_rows, task_rows)
     got = {r.doc_id: r.component_id for r in S.similar_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), block_rows=block_rows, task_rows=task_rows).collect()}
     assert sum(got[2 * g] == got[2 * g + 1] for g in range(1, 80, 2)) >= 38  # of 40
     assert all(got[2 * g] != got[2 * g + 1] for g in range(0, 80, 2))
+
+
+def test_similar_documents_are_those_with_similar_sets(spark):
+    """Two texts with one shingle 300 times and 200 own ones differ; other multiplicities of the same shingles don't."""
+    same = "x " * 304
+    own = [" ".join(f"{c}{i}" for i in range(200)) for c in "abc"]
+    docs = [(1, same + own[0]), (2, same + own[1]), (3, own[2] + " " + own[2]), (4, (own[2] + " ") * 9), (None, "one text without a number"), (None, "and another text without any")]
+    got = S.similar_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (1, 1), (2, 2), (3, 3), (4, 3)]
