@@ -50,6 +50,20 @@ def test_stages_on_planted_cases(spark, tmp_path):
         d.unpersist()
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Rows are told apart by their texts too; each goes on once, and a repeated row only once."""
+    texts = [" ".join(f"{c}{i}" for i in range(100)) for c in "abcdef"]
+    docs = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (9, texts[4]), (9, texts[4]), (None, texts[4]), (None, texts[5]), (None, texts[5])]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    near = C.near_dedup(spark, df, str(tmp_path)).persist()
+    order = lambda x: (x[0] or 0, x[1])
+    expected = sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (None, texts[5])], key=order)
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=order) == expected
+    mixed = [(r.doc_id, r.text) for r in C.mixing_sources(spark, near, str(tmp_path)).collect()]
+    assert set(mixed) <= set(expected) and all(mixed.count(x) <= 2 for x in expected)
+    near.unpersist()
+
+
 def test_run(spark):
     rows = C.run(spark, DATA).collect()
     docs = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
