@@ -309,3 +309,16 @@ def test_next_documents(spark, odd, none, per_stretch):
     assert K.sketched(none).count() == 0
     (only,) = K.sketched(df.where("doc_id = 0")).collect()
     assert only.near_next == 1.0
+
+
+def test_wrapped_licence_headers(spark):
+    """Texts whose only stem is parted by a line end, blanks or a comment sign."""
+    cases = {
+        "Permission is\nhereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+        "// Permission is  hereby\n// granted, free of charge, to any\tperson obtaining a copy of this software": "mit",
+        "Permission to\n * use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "# Redistribution\n# and use in source and binary forms, with or without modification, are permitted": "bsd",
+        "a permission slip": "",
+    }
+    for r in L.license_scan(spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id bigint, text string")).collect():
+        assert r.labels == cases[r.text] and (r.score > 0) == bool(r.labels)
