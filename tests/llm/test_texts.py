@@ -257,6 +257,22 @@ def test_training_learns_a_pattern():
     assert X.log_p(trainer.w, f, y).mean() > before + 0.5
 
 
+def test_cells_grow_with_the_types():
+    head = np.bincount(np.repeat(np.arange(5000), np.arange(5000, 0, -1) % 90 + 1), minlength=X.DICTIONARY)
+    counts = X.Counts(head, int(head.sum()) + 1_000_000, 1_000_000)
+    of = X.cells(counts, 5000)
+    w = X.first_weights(counts, of)
+    assert w.width == 32 and (of != w.other).sum() == 32 * 31
+    one = [np.full(32 * 32, 7 + i, np.uint64) for i in range(4)]
+    p = np.exp(X.log_p(w, one, np.arange(32 * 32)).astype(np.float64))
+    assert p[: 32 * 31].sum() + p[w.other] == pytest.approx(1, abs=1e-5)
+
+
+def test_third_word_before_is_a_feature():
+    f = X._contexts(np.array([1, 2, 3, 9, 5, 2, 3, 9], np.uint64), np.array([8]))
+    assert len(f) == 4 and sum(x[3] != x[7] for x in f) == 1  # behind 1 2 3 and 5 2 3
+
+
 def test_scores_of_nothing(none):
     assert X.scores(none).count() == 0
 
