@@ -87,6 +87,38 @@ def check_signal(signal: str) -> None:
         raise ValueError(f"signal: one of {', '.join(SIGNALS)}")
 
 
+def _raised(rows: DataFrame, *rules: tuple[Column, str]) -> DataFrame:
+    """`rows`, of which one that breaks a rule fails the whole request, as it runs."""
+    test = F.lit(True)
+    for broken, message in rules:
+        test = test & F.when(F.coalesce(broken, F.lit(False)), F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)
+    return rows.where(test)
+
+
+def checked_search(queries: DataFrame) -> DataFrame:
+    """check_search for every query of a table; columns that it lacks have their defaults."""
+    c = F.col
+    missing = lambda n: c(n).isNull() | (c(n) == "")
+    rules = [(missing("query") | missing("tenant_id") | missing("app_id"), "query, tenant_id and app_id must not be empty")]
+    if "limit" in queries.columns:
+        rules.append((~c("limit").between(1, 100), "limit: from 1 to 100"))
+    if "min_score" in queries.columns:
+        rules.append((~c("min_score").between(0, 1), "min_score: from 0 to 1"))
+    return _raised(queries, *rules)
+
+
+def checked_budget(queries: DataFrame) -> DataFrame:
+    """check_budget for every query of a table."""
+    most = {"max_items": 30, "max_chars": 20000}
+    return _raised(queries, *((~F.col(n).between(1, m), f"{n}: from 1 to {m}") for n, m in most.items() if n in queries.columns))
+
+
+def checked_signals(signals: DataFrame) -> DataFrame:
+    """check_signal for every row."""
+    c = F.col
+    return _raised(signals, (c("signal").isNull() | ~c("signal").isin(SIGNALS), f"signal: one of {', '.join(SIGNALS)}"), (c("memory_id").isNull() | (c("memory_id") == ""), "memory_id must not be empty"))
+
+
 def parse_types(csv: Column) -> Column:
     """array<string> of a comma-separated list; null, no filter, if it is empty or any value is not in the domain."""
     parts = F.filter(F.transform(F.split(csv, ","), lambda x: F.trim(x)), lambda x: x != "")

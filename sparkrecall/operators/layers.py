@@ -19,6 +19,8 @@ from sparkrecall.functions import text as X
 
 # Devices looked for, and what insights say.
 DEVICES = ["samsung", "galaxy", "s22", "dell", "xps", "bike", "car"]
+#: The largest limit of a search.
+MOST = 100
 ISOLATION = {"tenant": ["tenant_id", "app_id", "actor_id"], "actor": ["actor_id"]}
 
 
@@ -77,66 +79,103 @@ class Strategy:
 STRATEGIES = (Strategy("semantic", semantic_facts, 0.7), Strategy("preference", preferences, 0.8), Strategy("summary", session_summaries, 0.6))
 
 
-def drawn(events: DataFrame, strategies: tuple[Strategy, ...] = STRATEGIES) -> DataFrame:
-    """Insights of every enabled strategy, with an id, in the order of the events and of the strategies."""
+def drawn(events: DataFrame, strategies: tuple[Strategy, ...] = STRATEGIES, whole: DataFrame | None = None) -> DataFrame:
+    """Insights of every enabled strategy, with an id, in the order of the events and of the strategies. `whole`: all
+    events of the sessions that `events` are part of, which summaries are made of."""
     out = None
     for n, s in enumerate(s for s in strategies if s.enabled):
-        rows = s.draw(events).where(F.col("confidence") >= s.threshold).withColumn("strategy", F.lit(n))
+        rows = s.draw(whole if whole is not None and s.draw is session_summaries else events).where(F.col("confidence") >= s.threshold).withColumn("strategy", F.lit(n))
         out = rows if out is None else out.unionByName(rows)
     key = F.concat_ws("|", *(F.col(c).cast("string") for c in ("tenant_id", "app_id", "actor_id", "seq", "strategy", "pos")))
     return out.withColumn("id", F.concat(F.lit("insight_"), F.substring(F.sha2(key, 256), 1, 16)))
 
 
-def stored(insights: DataFrame, isolation: str = "tenant", threshold: float = 0.8) -> DataFrame:
+def similar_pairs(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(a, b, oa, ob) of rows (id, order, content) of equal keys whose words overlap more than the threshold: ids and orders,
+    a before b.
+
+    Texts so alike share a word among the rarest of each, the first |x| - floor(threshold * |x|) by frequency, and are
+    no shorter than the threshold's share of one another; so pairs meet by rare words, not all with all. A pair is made
+    where its first shared word of these is.
+    """
+    held = rows.select(F.struct(*keys).alias("k"), "id", "order", F.array_distinct(X.raw_words(F.col("content"))).alias("w"))
+    told = held.select("k", "id", F.explode("w").alias("t")).withColumn("n", F.count("*").over(W.partitionBy("k", "t")))
+    ranked = told.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("r"))
+    rare = F.slice("r", 1, F.greatest(F.size("r") - F.floor(F.lit(threshold) * F.size("r")), F.lit(1)).cast("int"))
+    sides = held.join(ranked, "id").withColumn("r", rare).withColumn("t", F.explode("r"))
+    c = F.col
+    met = sides.alias("a").join(sides.alias("b"), (c("a.k") == c("b.k")) & (c("a.t") == c("b.t")) & (c("a.order") < c("b.order")) & (F.size("a.w") >= threshold * F.size("b.w")) & (F.size("b.w") >= threshold * F.size("a.w")))
+    once = c("a.t") == F.filter("a.r", lambda t: F.array_contains(c("b.r"), t))[0]
+    alike = met.where(once).where(X.jaccard(c("a.w"), c("b.w")) > threshold)
+    return alike.select(c("a.id").alias("a"), c("b.id").alias("b"), c("a.order").alias("oa"), c("b.order").alias("ob"))
+
+
+def stored(insights: DataFrame, isolation: str = "tenant", threshold: float = 0.8, as_of: Column | None = None, existing: DataFrame | None = None) -> DataFrame:
     """Insights merged into the first similar one stored before them: (actor keys, type, content, confidence,
-    importance, tags, extracted_from, n).
+    importance, tags, extracted_from, n, last_updated, order, id).
 
-    Similar means a word overlap above the threshold with what is stored, in order, so it is a fold; equal contents are
-    merged before it, since they always meet the same one, and what is left of one actor and type is few. Of equal ones
-    the first is stored, which keeps its importance and tags.
+    Similar means a word overlap above the threshold with what is stored, in order. Equal contents always meet the same
+    one, so they are merged first; of equal ones the first is stored, which keeps its importance and tags. Which of the
+    others stay is a fold over the numbers of those that have a similar one before; no words are compared in it. What
+    was merged into is updated at `as_of` (without it, at the latest of its events). `existing` insights, stored before,
+    stay as they are or are merged into; their order must be before that of the new.
     """
     keys = [*ISOLATION[isolation], "type"]
-    order = F.struct("seq", "strategy", "pos")
     rest = [k for k in ("tenant_id", "app_id", "actor_id") if k not in keys]
-    same = insights.groupBy(*keys, F.lower("content").alias("low")).agg(
-        F.min(order).alias("o"), F.min_by("content", order).alias("content"), F.max("confidence").alias("confidence"), F.min_by("importance", order).alias("importance"), F.min_by("tags", order).alias("tags"), *(F.min_by(k, order).alias(k) for k in rest),
-        F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "extracted_from"))), lambda x: x["extracted_from"]).alias("from"), F.count("*").alias("n"), F.max("last_updated").alias("last_updated"),
+    new = insights.withColumn("order", F.struct("seq", "strategy", "pos")).withColumn("was", F.lit(False)).withColumn("k", F.lit(1).cast("long"))
+    columns = [*keys, *rest, "id", "order", "was", "content", "confidence", "importance", "tags", "extracted_from", "k", "last_updated"]
+    rows = new.select(*columns)
+    if existing is not None:
+        rows = existing.withColumn("was", F.lit(True)).withColumn("k", F.col("n").cast("long")).select(*columns).unionByName(rows)
+    # stored ones of equal contents, which can be of several actors' past, stay apart
+    of = F.when(F.col("was"), F.col("id"))
+    same = rows.groupBy(*keys, F.lower("content").alias("low"), of.alias("of")).agg(
+        F.min("order").alias("order"), F.max("was").alias("was"), *(F.min_by(x, "order").alias(x) for x in ("id", "content", "importance", "tags", *rest)), F.max("confidence").alias("confidence"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("order", "extracted_from"))), lambda x: x["extracted_from"])).alias("extracted_from"), F.sum("k").alias("n"), F.max("last_updated").alias("last_updated"),
+    ).drop("low", "of")
+    pairs = similar_pairs(same, keys, threshold)
+    near = pairs.groupBy(F.col("b").alias("id")).agg(F.min("ob").alias("o"), F.array_sort(F.collect_list(F.struct(F.col("oa").alias("o"), F.col("a").alias("id")))).alias("before"))
+    item = F.struct("o", "id", F.transform("before", lambda x: x["id"]).alias("before"))
+    asked = same.where(~F.col("was")).select("id", F.struct(*keys).alias("k")).join(near, "id")
+    per = asked.groupBy("k").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    # the state: those merged, and into which; all others before are kept
+    none = F.create_map().cast("map<string,string>")
+
+    def step(gone: Column, x: Column) -> Column:
+        first = F.try_element_at(F.filter(x["before"], lambda y: ~F.map_contains_key(gone, y)), F.lit(1))
+        return X.let(first, lambda f: F.when(f.isNull(), gone).otherwise(F.map_concat(gone, F.map_from_arrays(F.array(x["id"]), F.array(f)))))
+
+    into = per.select(F.explode(F.aggregate("items", none, step)).alias("id", "into"))
+    named = same.join(into, "id", "left").withColumn("into", F.coalesce("into", "id"))
+    own = F.col("id") == F.col("into")
+    kept = lambda x: F.max(F.when(own, F.struct(x)))[x].alias(x)
+    merged = named.groupBy(F.col("into").alias("id")).agg(
+        *(kept(x) for x in (*keys, *rest, "content", "importance", "tags", "order", "was")), F.max("confidence").alias("confidence"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("order", "extracted_from"))), lambda x: x["extracted_from"])).alias("extracted_from"),
+        F.sum("n").alias("n"), F.max("last_updated").alias("last_updated"), F.count_if(~F.col("was")).alias("__new"),
     )
-    item = F.struct("o", "content", "confidence", "importance", "tags", *rest, F.flatten("from").alias("extracted_from"), "n", "last_updated")
-    per = same.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def merge(kept: Column, x: Column) -> Column:
-        similar = lambda k: X.jaccard(X.raw_words(k["content"]), X.raw_words(x["content"])) > threshold
-        at = X.let(F.transform(kept, similar), lambda s: F.array_position(s, F.lit(True)))
-        grown = lambda k: F.struct(
-            k["o"].alias("o"), k["content"].alias("content"), F.greatest(k["confidence"], x["confidence"]).alias("confidence"), k["importance"].alias("importance"), k["tags"].alias("tags"), *(k[r].alias(r) for r in rest),
-            F.concat(k["extracted_from"], x["extracted_from"]).alias("extracted_from"), (k["n"] + x["n"]).alias("n"), F.greatest(k["last_updated"], x["last_updated"]).alias("last_updated"),
-        )
-        return X.let(at, lambda p: F.when(p == 0, F.concat(kept, F.array(x))).otherwise(F.transform(kept, lambda k, i: F.when(i + 1 == p, grown(k)).otherwise(k))))
+    # an insight stored before is updated if anything met it, a new one if more than itself did
+    if as_of is not None:
+        touched = F.when(F.col("was"), F.col("__new") > 0).otherwise(F.col("n") > 1)
+        merged = merged.withColumn("last_updated", F.when(touched, as_of).otherwise(F.col("last_updated")))
+    return merged.select(*keys, *rest, "id", "content", "confidence", "importance", "tags", "extracted_from", "n", "last_updated", "order")
 
-    folded = per.select(*keys, F.explode(F.aggregate(F.slice("items", 2, 1 << 30), F.slice("items", 1, 1), merge)).alias("i"))
-    return folded.select(*keys, *(f"i.{c}" for c in (*rest, "content", "confidence", "importance", "tags", "extracted_from", "n", "last_updated")), F.col("i.o").alias("order"))
 
-
-def consolidated(insights: DataFrame, isolation: str = "tenant", threshold: float = 0.7) -> DataFrame:
+def consolidated(insights: DataFrame, isolation: str = "tenant", threshold: float = 0.7, as_of: Column | None = None) -> DataFrame:
     """Greedy pairwise merging as a join: an insight stays unless an earlier one of its actor and type is similar, and
-    what stays takes the maximum confidence and importance, the sources and the tags of all later similar ones."""
-    keys = [*ISOLATION[isolation], "type"]
-    rows = insights.withColumn("words", X.raw_words(F.col("content")))
-    a, b = rows.alias("a"), rows.alias("b")
-    similar = X.jaccard(F.col("a.words"), F.col("b.words")) > threshold
-    meet = similar & (F.col("a.order") < F.col("b.order"))
-    for k in keys:
-        meet = meet & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    pairs = a.join(b, meet).select(F.col("a.id").alias("into"), F.col("b.*"))
-    stay = insights.join(pairs.select(F.col("id")).distinct(), "id", "left_anti")
-    more = pairs.groupBy(F.col("into").alias("id")).agg(
+    what stays takes the maximum confidence and importance, the sources and the tags of all later similar ones, and is
+    updated at `as_of`, if given."""
+    pairs = similar_pairs(insights, [*ISOLATION[isolation], "type"], threshold)
+    stay = insights.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+    more = pairs.select(F.col("a").alias("into"), F.col("b").alias("id")).join(insights.select("id", "order", "confidence", "importance", "extracted_from", "tags"), "id").groupBy(F.col("into").alias("id")).agg(
         F.max("confidence").alias("__c"), F.max("importance").alias("__i"),
         F.transform(F.array_sort(F.collect_list(F.struct("order", "extracted_from"))), lambda x: x["extracted_from"]).alias("__f"),
         F.transform(F.array_sort(F.collect_list(F.struct("order", "tags"))), lambda x: x["tags"]).alias("__t"), F.count("*").alias("__n"),
     )
     out = stay.join(more, "id", "left")
     none = F.array().cast("array<string>")
+    if as_of is not None:
+        out = out.withColumn("last_updated", F.when(F.col("__n") > 0, as_of).otherwise(F.col("last_updated")))
     return (
         out.withColumn("confidence", F.greatest("confidence", "__c")).withColumn("importance", F.greatest("importance", "__i"))
         .withColumn("extracted_from", F.concat("extracted_from", F.coalesce(F.flatten("__f"), none)))
@@ -184,31 +223,32 @@ def by_actor(insights: DataFrame, actors: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, insights: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:
-    """(query_id, rank, id, memory_type, text, score): insights above the threshold; where they are fewer than the
+    """(query_id, rank, id, memory_type, text, summary, thread_id, score, reason): insights above the threshold; where they are fewer than the
     limit, of the newest events (twice what is missing) those above theirs, newest first, fill up; by score.
 
-    Only tenant, application and actor filter. A limit or min_score of 0 is none: 20, and 0.1 or 0.05.
+    Only tenant, application and actor filter. A limit or min_score of 0 is none: 20, and 0.1 or 0.05; a limit is MOST at most.
     """
     from sparkrecall.operators.search import with_defaults
 
     c = F.col
-    q = with_defaults(queries).select("query_id", "tenant_id", "app_id", "actor_id", X.raw_words(c("query")).alias("q_words"), F.when(c("limit") > 0, c("limit")).otherwise(20).alias("most"), F.when(c("min_score") > 0, c("min_score")).alias("least"))
+    q = with_defaults(queries).select("query_id", "tenant_id", "app_id", "actor_id", X.raw_words(c("query")).alias("q_words"), F.least(F.when(c("limit") > 0, c("limit")).otherwise(20), F.lit(MOST)).alias("most"), F.when(c("min_score") > 0, c("min_score")).alias("least"))
     fits = lambda n: c(f"q.{n}").isNull() | (c(f"q.{n}") == "") | (c(f"q.{n}") == c(f"m.{n}"))
     test = (c("q.tenant_id") == c("m.tenant_id")) & fits("app_id") & fits("actor_id")
 
     i = q.alias("q").join(insights.alias("m"), test)
     score = X.jaccard(c("q_words"), X.raw_words(c("m.content"))) * c("m.confidence") * c("m.importance") * X.insight_decay(as_of, c("m.last_updated"))
     i = i.withColumn("score", score).where(c("score") > F.coalesce("q.least", F.lit(0.1)))
-    i = i.select("q.query_id", "q.most", c("m.id"), c("m.type").alias("memory_type"), c("m.content").alias("text"), "score", F.lit(0).alias("layer"), c("m.order").alias("__o"))
-    i = i.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("__o"))).drop("__o")
+    reason = F.concat(F.lit("Long-term insight (confidence: "), c("m.confidence").cast("string"), F.lit(")"))
+    i = i.select("q.query_id", "q.most", c("m.id"), c("m.type").alias("memory_type"), c("m.content").alias("text"), "score", reason.alias("reason"), F.lit("long_term").alias("thread_id"), F.concat(c("m.type"), F.lit(": "), F.substring("m.content", 1, 100), F.lit("...")).alias("summary"), F.lit(0).alias("layer"), c("m.order").alias("o"), F.lit(0).alias("place"))
     left = q.join(i.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").withColumn("missing", c("most") - F.coalesce("n", F.lit(0)))
 
     e = left.where("missing > 0").alias("q").join(events.alias("m"), test)
-    e = e.select("q.query_id", "q.most", "q.missing", "q.least", "q.q_words", c("m.event_id").alias("id"), c("m.content").alias("text"), c("m.ts"), c("m.seq"))
+    e = e.select("q.query_id", "q.most", "q.missing", "q.least", "q.q_words", c("m.event_id").alias("id"), c("m.content").alias("text"), c("m.session_id").alias("thread_id"), c("m.ts"), c("m.seq"))
     newest = W.partitionBy("query_id").orderBy(F.desc("ts"), "seq")
-    e = e.withColumn("place", F.row_number().over(newest)).where(c("place") <= c("missing") * 2)
+    # the constant bounds let Spark keep that many rows of each query before the exchange
+    e = e.withColumn("place", F.row_number().over(newest)).where(c("place") <= 2 * MOST).where(c("place") <= c("missing") * 2)
     e = e.withColumn("score", X.jaccard(c("q_words"), X.raw_words(c("text")))).where(c("score") > F.coalesce("least", F.lit(0.05)))
     e = e.withColumn("kept", F.row_number().over(W.partitionBy("query_id").orderBy("place"))).where("kept <= missing")
-    e = e.select("query_id", "most", "id", F.lit("episode").alias("memory_type"), "text", (c("score") * 0.8).alias("score"), F.lit(1).alias("layer"), "place")
-    both = i.unionByName(e)
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "layer", "place"))).where("rank <= most").select("query_id", "rank", "id", "memory_type", "text", "score")
+    e = e.select("query_id", "most", "id", F.lit("episode").alias("memory_type"), "text", (c("score") * 0.8).alias("score"), F.lit("Recent conversation context").alias("reason"), "thread_id", F.concat(F.substring("text", 1, 100), F.lit("...")).alias("summary"), F.lit(1).alias("layer"), F.lit(None).cast(i.schema["o"].dataType).alias("o"), "place")
+    ranked = i.unionByName(e).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "layer", "o", "place")))
+    return ranked.where(c("rank") <= MOST).where("rank <= most").select("query_id", "rank", "id", "memory_type", "text", "summary", "thread_id", "score", "reason")

@@ -47,26 +47,47 @@ def with_feedback(memories: DataFrame, feedback: DataFrame, as_of: Column) -> Da
     return out.select(*memories.columns)
 
 
-def contradictions(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """(new_seq, old_id, confidence): pairs of one actor whose texts contradict, new ones by arrival_seq."""
-    keys = ["tenant_id", "app_id", "actor_id"]
-    # only texts that match some side of a pattern take part, so that pairs are made of these alone
-    a = new.where(_names_any(F.col("text"))).select(*keys, F.col("arrival_seq").alias("new_seq"), F.col("text").alias("new_text"))
-    b = stored.where(_names_any(F.col("text"))).select(*keys, F.col("id").alias("old_id"), F.col("text").alias("old_text"))
-    met = a.join(b, keys).where(P.contradictory(F.col("new_text"), F.col("old_text")))
-    return met.select("new_seq", "old_id", P.contradiction_confidence(F.col("new_text"), F.col("old_text")).alias("confidence"))
+def _sides(text: Column, swapped: bool = False) -> Column:
+    """A bit for each side of each pattern that the text matches; swapped, the bits of the sides that contradict it."""
+    out = F.lit(0)
+    for i, sides in enumerate(P.CONTRADICTIONS):
+        for j, side in enumerate(sides):
+            out = out.bitwiseOR(F.when(text.rlike(side), 1 << (2 * i + (1 - j if swapped else j))).otherwise(0))
+    return out
 
 
-def _names_any(text: Column) -> Column:
-    out = F.lit(False)
-    for yes, no in P.CONTRADICTIONS:
-        out = out | text.rlike(yes) | text.rlike(no)
-    return out
+_BITS = 2 * len(P.CONTRADICTIONS)
+
+
+def contradictions(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """(new_seq, old_id, confidence): pairs of one actor whose texts contradict, new ones by arrival_seq.
+
+    Each text is matched and split once; pairs meet by the sides that contradict, at the least of these.
+    """
+    keys = ["tenant_id", "app_id", "actor_id"]
+    c = F.col
+    bits = lambda m: F.explode(F.filter(F.array(*map(F.lit, range(_BITS))), lambda i: F.getbit(m, i) == 1))
+    a = new.select(*keys, c("arrival_seq").alias("new_seq"), X.raw_words(c("text")).alias("new_words"), _sides(c("text")).alias("new_sides")).where("new_sides != 0").withColumn("bit", bits(c("new_sides")))
+    b = stored.select(*keys, c("id").alias("old_id"), X.raw_words(c("text")).alias("old_words"), _sides(c("text"), swapped=True).alias("against")).where("against != 0").withColumn("bit", bits(c("against")))
+    both = c("new_sides").bitwiseAND(c("against"))
+    lower = F.call_function("shiftleft", F.lit(1), c("bit")) - 1
+    met = a.join(b, [*keys, "bit"]).where(both.bitwiseAND(lower) == 0)
+    return met.select("new_seq", "old_id", P.contradiction_confidence(c("new_words"), c("old_words")).alias("confidence"))
+
+
+def contradiction_counts(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """(old_id, n) of stored memories that new texts of their actor contradict. No pairs: of an actor's new texts only
+    the few different sets of sides are counted."""
+    keys = ["tenant_id", "app_id", "actor_id"]
+    a = new.select(*keys, _sides(F.col("text")).alias("new_sides")).where("new_sides != 0").groupBy(*keys, "new_sides").agg(F.count("*").alias("k"))
+    b = stored.select(*keys, F.col("id").alias("old_id"), _sides(F.col("text"), swapped=True).alias("against")).where("against != 0")
+    met = b.join(a, keys).where(F.col("new_sides").bitwiseAND(F.col("against")) != 0)
+    return met.groupBy("old_id").agg(F.sum("k").alias("n"))
 
 
-def penalized(memories: DataFrame, found: DataFrame) -> DataFrame:
-    """Each contradiction takes 0.2 off the old memory's confidence, which ends at 0.1 at least."""
-    n = found.groupBy(F.col("old_id").alias("id")).agg(F.count("*").alias("__n"))
+def penalized(memories: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each contradiction (old_id, n) takes 0.2 off the old memory's confidence, which ends at 0.1 at least."""
+    n = counts.select(F.col("old_id").alias("id"), F.col("n").alias("__n"))
     less = F.greatest(F.col("confidence") - 0.2 * F.col("__n"), F.lit(0.1))
     return memories.join(n, "id", "left").withColumn("confidence", F.when(F.col("__n") > 0, less).otherwise(F.col("confidence"))).drop("__n")
 

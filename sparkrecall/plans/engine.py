@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrecall import model as M
 from sparkrecall.operators import context as C
 from sparkrecall.operators import ingest as I
+from sparkrecall.operators import layers as Y
 from sparkrecall.operators import lifecycle as L
 from sparkrecall.operators import search as S
-from sparkrecall.sources.store import JsonStore, ParquetStore
+from sparkrecall.sources.store import JsonStore, LayerStore, MemoryStore, ParquetStore, persist_if_compacted
 
 MODES = ("lexical", "enhanced", "dual_layer")
 
@@ -34,20 +36,6 @@ class Embedding(Protocol):
     def similarity(self, a: Column, b: Column) -> Column: ...
 
 
-class MemoryStore:
-    """Memories of this session alone; contents are checkpointed, so that a chain of writes doesn't grow the plan."""
-
-    def __init__(self, spark: SparkSession):
-        self.rows = spark.createDataFrame([], M.MEMORIES)
-
-    def read(self) -> DataFrame:
-        return self.rows
-
-    def write(self, memories: DataFrame) -> None:
-        self.rows = memories.persist()
-        self.rows.count()
-
-
 @dataclass
 class Config:
     """mode: how search scores. store: memory, parquet or json. path: where the latter two are."""
@@ -56,7 +44,6 @@ class Config:
     store: str = "memory"
     path: str | None = None
     rate_limit_per_min: int = 120
-    api_keys: frozenset[str] = field(default_factory=frozenset)
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
@@ -72,64 +59,77 @@ class Config:
         raw = env.get("RATE_LIMIT_PER_MIN", "120")
         if not raw.isdigit():
             raise ValueError("rate limit: a whole number")
-        keys = frozenset(k.strip() for k in env.get("API_KEYS", "").split(",") if k.strip())
         path = env.get("STORE_PATH")
-        return cls(env.get("ENGINE_MODE", "lexical"), env.get("ENGINE_STORE", "json" if path else "memory"), path, int(raw), keys)
+        return cls(env.get("ENGINE_MODE", "lexical"), env.get("ENGINE_STORE", "json" if path else "memory"), path, int(raw))
 
 
 class Engine:
+    """Queries, actors and signals come as tables, many at once; a table's rows are checked as a single request's
+    arguments would be."""
+
     def __init__(self, spark: SparkSession, config: Config | None = None, now: Callable[[], Column] = F.current_timestamp):
         self.spark, self.config, self.now = spark, config or Config(), now
         kinds = {"parquet": ParquetStore, "json": JsonStore}
         self.store: Store = kinds[self.config.store](spark, self.config.path) if self.config.store in kinds else MemoryStore(spark)
 
     def ingest(self, observations: DataFrame, strict: bool = True) -> dict[str, int]:
-        """Stored memories take part as what came before: a repeat of one merges into it."""
+        """Stored memories take part as what came before: a repeat of one merges into it. Arrival numbers that go on after
+        the stored ones are kept, so that an ingest in parts leaves what one ingest of all leaves; else they are raised."""
         valid, _ = M.validated(observations, strict)
         stored = L.archived(self.store.read(), self.now())
         new = I.ingest(valid, self.now())
         keys = ["tenant_id", "app_id", "actor_id", "memory_type"]
         old = stored.where("status = 'active'").withColumn("low", F.lower("text"))
-        first = old.groupBy(*keys, "low").agg(F.min_by("id", "ord").alias("old_id"))
-        met = new.withColumn("low", F.lower("text")).join(first, [*keys, "low"], "left").drop("low").persist()
-        counts = met.agg(F.count_if(F.col("old_id").isNull()).alias("created"), F.coalesce(F.sum(F.col("n_observations") - F.when(F.col("old_id").isNull(), 1).otherwise(0)), F.lit(0)).alias("updated")).first()
-        base = stored.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0] + 1
+        first = old.groupBy(*keys, "low").agg(F.min_by("id", "ord").alias("stored_id"))
+        # of the memories that new observations of one text leave, only the first can be the stored one
+        place = F.row_number().over(W.partitionBy(*keys, "low").orderBy("ord"))
+        met = new.withColumn("low", F.lower("text")).withColumn("place", place).join(first, [*keys, "low"], "left")
+        met = met.withColumn("old_id", F.when(F.col("place") == 1, F.col("stored_id"))).drop("low", "place", "stored_id").persist()
+        counts = met.agg(F.count_if(F.col("old_id").isNull()).alias("created"), F.coalesce(F.sum(F.col("n_observations") - F.when(F.col("old_id").isNull(), 1).otherwise(0)), F.lit(0)).alias("updated"), F.min("ord").alias("first")).first()
+        last = stored.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
+        base = 0 if counts["first"] is None or counts["first"] > last else last + 1
         fresh = met.where("old_id is null").withColumn("ord", F.col("ord") + base).withColumn("id", I.memory_id(*keys, "ord"))
-        again = met.where("old_id is not null").select(F.col("old_id").alias("id"), *(F.col(c).alias(f"__{c}") for c in ("confidence", "importance", "metadata", "last_seen_at", "updated_at")))
+        again = met.where("old_id is not null").select(F.col("old_id").alias("id"), *(F.col(c).alias(f"__{c}") for c in ("confidence", "importance", "metadata", "status", "last_seen_at", "updated_at")))
         both = stored.join(again, "id", "left")
         for c in ("confidence", "importance"):
             both = both.withColumn(c, F.greatest(c, f"__{c}"))
         both = both.withColumn("metadata", F.when(F.col("__metadata").isNotNull(), I.X.merge_maps(F.col("metadata"), F.col("__metadata"))).otherwise(F.col("metadata")))
-        for c in ("last_seen_at", "updated_at"):
+        for c in ("status", "last_seen_at", "updated_at"):
             both = both.withColumn(c, F.coalesce(f"__{c}", c))
         self.store.write(both.select(*stored.columns).unionByName(fresh.select(*stored.columns)))
         met.unpersist()
         return {"created": int(counts.created), "updated": int(counts.updated)}
 
     def search(self, queries: DataFrame) -> DataFrame:
+        return self._found(M.checked_search(queries))
+
+    def _found(self, queries: DataFrame) -> DataFrame:
         find = S.enhanced_hits if self.config.mode == "enhanced" else S.lexical_hits
         return find(queries, self.store.read(), self.now())
 
     def context(self, queries: DataFrame) -> DataFrame:
-        wide = C.budgets(queries).withColumn("limit", F.col("max_items") * 2)
-        return C.contexts(queries, self.store.read(), self.now(), self.search(wide))
+        checked = M.checked_budget(M.checked_search(queries))
+        wide = C.budgets(checked).withColumn("limit", F.col("max_items") * 2)
+        return C.contexts(checked, self._memories(), self.now(), self._found(wide))
+
+    def _memories(self) -> DataFrame:
+        return self.store.read()
 
     def profile(self, actors: DataFrame) -> DataFrame:
         keys = ["tenant_id", "app_id", "actor_id"]
-        return C.profiles(self.store.read().join(actors.select(*keys).distinct(), keys, "left_semi"), self.now())
+        return C.profiles(self._memories().join(actors.select(*keys).distinct(), keys, "left_semi"), self.now())
 
     def feedback(self, signals: DataFrame) -> int:
         """How many signals found a live memory."""
-        stored = self.store.read()
-        hit = signals.join(L.live(stored, self.now()).select(F.col("id").alias("memory_id")), "memory_id", "left_semi").count()
-        self.store.write(L.with_feedback(stored, signals, self.now()))
+        stored, checked = self.store.read(), M.checked_signals(signals)
+        hit = checked.join(L.live(stored, self.now()).select(F.col("id").alias("memory_id")), "memory_id", "left_semi").count()
+        self.store.write(L.with_feedback(stored, checked, self.now()))
         return hit
 
     def compact(self) -> dict[str, int]:
         stored = self.store.read()
         row = L.compact(stored, self.now()).first()
-        if row.archived_expired:
-            self.store.write(L.archived(stored, self.now()))
+        persist_if_compacted(self.store, L.archived(stored, self.now()), row.archived_expired)
         return row.asDict()
 
     def get(self, ids: DataFrame) -> DataFrame:
@@ -142,4 +142,86 @@ class Engine:
         return self.store.read()
 
     def health(self) -> dict[str, object]:
-        return {"ok": True, "provider": self.config.mode, "detail": f"records={self.store.read().count()}"}
+        """ok says whether the store can be read now."""
+        try:
+            return {"ok": True, "provider": self.config.mode, "detail": f"records={self.dump().count()}"}
+        except Exception as e:  # noqa: BLE001 - whatever keeps the store from being read
+            return {"ok": False, "provider": self.config.mode, "detail": str(e).split("\n")[0]}
+
+
+class DualLayerEngine(Engine):
+    """The same calls over an event log and the insights drawn from it. Ingest appends events; process() draws from those
+    not yet processed, merges what it draws into the insights and consolidates these, as often as a caller wants.
+    Feedback has no effect here, and no observation is a duplicate."""
+
+    def __init__(self, spark: SparkSession, config: Config | None = None, now: Callable[[], Column] = F.current_timestamp, isolation: str = "tenant", strategies: tuple[Y.Strategy, ...] = Y.STRATEGIES):
+        self.spark, self.config, self.now = spark, config or Config(mode="dual_layer"), now
+        self.isolation, self.strategies = isolation, strategies
+        if self.config.store == "json":
+            raise ValueError("two layers are kept in memory or as parquet")
+        self.layers = LayerStore(spark, self.config.path if self.config.store == "parquet" else None)
+
+    def ingest(self, observations: DataFrame, strict: bool = True) -> dict[str, int]:
+        valid, _ = M.validated(observations, strict)
+        events, insights = self.layers.read()
+        last = events.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+        new = I.normalized(valid, self.now()).persist()
+        first, n = new.agg(F.min("arrival_seq"), F.count("*")).first()
+        base = 0 if first is None or first > last else last + 1
+        rows = new.withColumn("ord", F.col("arrival_seq") + base).withColumn("id", F.concat(F.lit("event_"), F.substring(F.sha2(F.concat_ws("|", "tenant_id", "app_id", "actor_id", F.col("ord").cast("string")), 256), 1, 16)))
+        self.layers.write(events.unionByName(Y.events_of(rows, self.now()).withColumn("processed", F.lit(False))), insights)
+        new.unpersist()
+        return {"created": int(n), "updated": 0}
+
+    def process(self) -> int:
+        """Insights from the events not yet processed; how many insights there are then."""
+        events, insights = self.layers.read()
+        keys = [*Y.ISOLATION[self.isolation], "session_id"]
+        new = events.where("not processed")
+        # a summary is of the whole session
+        of_new = events.join(new.select(*keys).distinct(), keys, "left_semi")
+        summaries = [s for s in self.strategies if s.draw is Y.session_summaries]
+        drawn = Y.drawn(new, self.strategies, whole=of_new) if summaries else Y.drawn(new, self.strategies)
+        merged = Y.stored(drawn, self.isolation, as_of=self.now(), existing=insights)
+        self.layers.write(events.withColumn("processed", F.lit(True)), Y.consolidated(merged, self.isolation, as_of=self.now()))
+        return self.layers.read()[1].count()
+
+    def _found(self, queries: DataFrame) -> DataFrame:
+        events, insights = self.layers.read()
+        return Y.search(queries, insights, events, self.now()).withColumn("reasons", F.array("reason")).drop("reason")
+
+    def _memories(self) -> DataFrame:
+        return self._records(Y.insight_memories(self.layers.read()[1]))
+
+    @staticmethod
+    def _records(rows: DataFrame) -> DataFrame:
+        decay = F.struct(F.col("decay_kind").alias("kind"), "ttl_days").cast(M.DECAY)
+        return rows.withColumn("decay", decay).withColumn("ord", F.xxhash64("id")).drop("decay_kind", "ttl_days")
+
+    def feedback(self, signals: DataFrame) -> int:
+        M.checked_signals(signals).count()
+        return 0
+
+    def compact(self) -> dict[str, int]:
+        events, insights = self.layers.read()
+        row = Y.compact(events, insights, self.now()).first()
+        if row.archived_expired:
+            self.layers.write(*Y.compacted(events, insights, self.now()))
+        return row.asDict()
+
+    def get(self, ids: DataFrame) -> DataFrame:
+        events, insights = self.layers.read()
+        return Y.by_id(insights, events, ids)
+
+    def list(self, actors: DataFrame) -> DataFrame:
+        return Y.by_actor(self.layers.read()[1], actors)
+
+    def dump(self) -> DataFrame:
+        events, insights = self.layers.read()
+        return Y.insight_memories(insights).unionByName(Y.event_memories(events))
+
+
+def open_engine(spark: SparkSession, config: Config | None = None, now: Callable[[], Column] = F.current_timestamp) -> Engine:
+    """The engine that the configuration's mode names."""
+    config = config or Config()
+    return DualLayerEngine(spark, config, now) if config.mode == "dual_layer" else Engine(spark, config, now)

@@ -143,8 +143,9 @@ def m6_query_entities(spark: SparkSession, d: str) -> DataFrame:
     return V.obs(spark, d).select("seq", F.array_join(F.array_sort(P.query_entities(C("text"))), "|").alias("entities"))
 
 
-QENT_SQL = "list_sort(list_distinct(flatten([regexp_extract_all({x},'''([^'']+)''',1)," + ",".join("regexp_extract_all({x}," + V.words(w) + ")" for w in P.QUERY_ENTITIES) + "])))"
-SQL["m6_query_entities"] = f"with obs as ({OBS_SQL}) select seq, {V.joined(QENT_SQL.replace('{x}', 'text'), '|')} as entities from obs"
+_QENT = "flatten([regexp_extract_all({x},'''([^'']+)''',1)," + ",".join("regexp_extract_all({x}," + V.words(w) + ")" for w in P.QUERY_ENTITIES) + "])"
+QENT_SQL = f"list_filter({_QENT}, lambda e, i: list_position({_QENT}, e) = i)"  # distinct, in order
+SQL["m6_query_entities"] = f"with obs as ({OBS_SQL}) select seq, {V.joined('list_sort(' + QENT_SQL.replace('{x}', 'text') + ')', '|')} as entities from obs"
 
 
 def m7_classify(spark: SparkSession, d: str) -> DataFrame:

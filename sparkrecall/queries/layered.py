@@ -57,32 +57,44 @@ SQL["q6_summaries"] = f"with {_EV}, {SUM_SQL} select tenant_id, actor_id, conten
 
 def q7_store(spark: SparkSession, d: str) -> DataFrame:
     i = V.insights(spark, d)
-    return i.select("tenant_id", "actor_id", "type", "content", "confidence", "importance", F.size("extracted_from").alias("n_sources"), "n")
+    return i.select("tenant_id", "actor_id", "type", "content", "confidence", "importance", F.size("extracted_from").alias("n_sources"), "n", F.array_join("tags", ",").alias("tags"), F.unix_millis("last_updated").alias("last_ms"))
 
 
-def q7_store_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Stored facts: their contents are so unlike that only equal ones merge."""
-    i = V.insights(spark, d).where("type = 'fact'")
-    return i.select("tenant_id", "actor_id", "content", "confidence", "importance", F.size("extracted_from").alias("n_sources"), F.unix_millis("last_updated").alias("last_ms"))
+#: dr: what is drawn; it: equal ones merged, numbered; fo: for each the number of the one it is stored as; st: what is stored.
+#: Needs `with recursive`.
+INS_SQL = f"""{_EV}, {SUM_SQL}, fa as (select seq, tenant_id, actor_id, observed_at, unnest({_FACTS}) as x from ev),
+dr as (select tenant_id, actor_id, 'fact' as type, x.content as content, x.c::double as confidence, x.i::double as importance, x.tags::varchar as tags, 1 as ns, observed_at as lu, {{'seq':seq::bigint,'strategy':0,'pos':x.pos::int}} as o from fa
+ union all select tenant_id, actor_id, 'summary', content, 0.6::double, 0.5::double, 'summary,session', n::int, last_updated, {{'seq':seq::bigint,'strategy':2,'pos':0::int}} from sm),
+sa as (select tenant_id, actor_id, type, lower(content) as low, min(o) as o, arg_min(content,o) as content, max(confidence) as confidence, arg_min(importance,o) as importance, arg_min(tags,o) as tags, sum(ns)::int as ns, count(*) as n, max(lu) as lu from dr group by 1,2,3,4),
+it as (select *, row_number() over (partition by tenant_id, actor_id, type order by o) as k, {V.raw('content')} as w from sa),
+fo as (select tenant_id, actor_id, type, k, k as into_, [{{'k':k,'w':w}}] as kept from it where k=1
+ union all select tenant_id, actor_id, type, k, coalesce(hit,k), case when hit is null then list_append(kept,{{'k':k,'w':w}}) else kept end
+ from (select it.tenant_id, it.actor_id, it.type, it.k, it.w, fo.kept, list_filter(fo.kept, lambda x: {V.jac('x.w', 'it.w')}>0.8)[1].k as hit from fo join it on it.tenant_id=fo.tenant_id and it.actor_id=fo.actor_id and it.type=fo.type and it.k=fo.k+1)),
+st as (select tenant_id, actor_id, type, into_ as k, max(case when k=into_ then content end) as content, max(confidence) as confidence, max(case when k=into_ then importance end) as importance, max(case when k=into_ then tags end) as tags,
+ sum(ns)::int as n_sources, sum(n)::bigint as n, case when sum(n)>1 then {AS_OF_SQL} else max(lu) end as last_updated, min(o) as o from fo join it using (tenant_id, actor_id, type, k) group by 1,2,3,4)"""
+SQL["q7_store"] = f"with recursive {INS_SQL} select tenant_id, actor_id, type, content, confidence, importance, n_sources, n, tags, epoch_ms(last_updated) as last_ms from st"
 
 
-FACTS_SQL = f"{_EV}, f as (select seq, tenant_id, actor_id, observed_at, unnest({_FACTS}) as x from ev), fs as (select tenant_id, actor_id, x.content as content, max(x.c)::double as confidence, max(x.i)::double as importance, count(*)::int as n_sources, epoch_ms(max(observed_at)) as last_ms, max(observed_at) as last_updated, min({{'seq':seq,'strategy':0,'pos':x.pos}}) as o from f group by 1,2,3)"
-SQL["q7_store_facts"] = f"with {FACTS_SQL} select tenant_id, actor_id, content, confidence, importance, n_sources, last_ms from fs"
+def q8_consolidate(spark: SparkSession, d: str) -> DataFrame:
+    c = Y.consolidated(V.insights(spark, d), as_of=V.as_of())
+    return c.select("tenant_id", "actor_id", "type", "content", "confidence", "importance", F.size("extracted_from").alias("n_sources"), F.array_join(F.array_sort("tags"), ",").alias("tags"), "absorbed", F.unix_millis("last_updated").alias("last_ms"))
 
 
-def q8_consolidate(spark: SparkSession, d: str) -> DataFrame:
-    c = Y.consolidated(V.insights(spark, d))
-    return c.select("tenant_id", "actor_id", "type", "content", "confidence", "importance", F.size("extracted_from").alias("n_sources"), F.array_join("tags", ",").alias("tags"), "absorbed")
+SQL["q8_consolidate"] = f"""with recursive {INS_SQL}, w as (select *, {V.raw('content')} as w from st),
+pr as (select a.tenant_id, a.actor_id, a.type, a.k as into_, b.k, b.confidence, b.importance, b.n_sources, b.tags from w a join w b on a.tenant_id=b.tenant_id and a.actor_id=b.actor_id and a.type=b.type and a.o<b.o and {V.jac('a.w', 'b.w')}>0.7),
+m as (select tenant_id, actor_id, type, into_ as k, max(confidence) as c, max(importance) as i, sum(n_sources) as s, count(*) as n, string_agg(tags,',') as t from pr group by 1,2,3,4)
+select st.tenant_id, st.actor_id, st.type, content, greatest(confidence,coalesce(c,0)) as confidence, greatest(importance,coalesce(i,0)) as importance, (n_sources+coalesce(s,0))::int as n_sources, array_to_string(list_sort(list_distinct(string_split(concat_ws(',',tags,t),','))),',') as tags, coalesce(m.n,0)::bigint as absorbed, epoch_ms(case when m.n>0 then {AS_OF_SQL} else last_updated end) as last_ms
+from st left join m using (tenant_id, actor_id, type, k) where (tenant_id, actor_id, type, k) not in (select (tenant_id, actor_id, type, k) from pr)"""
 
 
 def q8_consolidate_messages(spark: SparkSession, d: str) -> DataFrame:
     """Raw messages as insights of one type: similar ones of an actor are merged into the first."""
-    rows = V.obs(spark, d).select(C("seq").alias("id"), C("seq").alias("order"), "tenant_id", "app_id", "actor_id", F.lit("fact").alias("type"), F.substring("text", 1, 60).alias("content"), "confidence", "importance", F.array(C("thread_id")).alias("extracted_from"), F.array("memory_type").alias("tags"))
+    rows = V.obs(spark, d).select(C("seq").alias("id"), C("seq").alias("order"), "tenant_id", "app_id", "actor_id", F.lit("fact").alias("type"), C("text").alias("content"), "confidence", "importance", F.array(C("thread_id")).alias("extracted_from"), F.array("memory_type").alias("tags"))
     c = Y.consolidated(rows, threshold=0.3)
     return c.select("id", r6(C("confidence")).alias("confidence"), r6(C("importance")).alias("importance"), F.size("extracted_from").alias("n_sources"), F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
 
-SQL["q8_consolidate_messages"] = f"""with {_EV}, r as (select seq as id, tenant_id, actor_id, confidence, importance, memory_type, {V.raw('substring(text,1,60)')} as w from ev),
+SQL["q8_consolidate_messages"] = f"""with {_EV}, r as (select seq as id, tenant_id, actor_id, confidence, importance, memory_type, {V.raw('text')} as w from ev),
 pr as (select a.id as into_, b.* from r a join r b on a.tenant_id=b.tenant_id and a.actor_id=b.actor_id and a.id<b.id and {V.jac('a.w', 'b.w')}>0.3),
 st as (select * from r where id not in (select id from pr)), m as (select into_, max(confidence) as c, max(importance) as i, count(*) as n, list(memory_type) as t from pr group by 1)
 select id, round(greatest(confidence,coalesce(c,0)),6) as confidence, round(greatest(importance,coalesce(i,0)),6) as importance, (1+coalesce(n,0))::int as n_sources, array_to_string(list_sort(list_distinct(list_concat([memory_type],coalesce(t,[])))),',') as tags from st left join m on id=into_"""
@@ -90,55 +102,53 @@ select id, round(greatest(confidence,coalesce(c,0)),6) as confidence, round(grea
 
 def q9_search(spark: SparkSession, d: str) -> DataFrame:
     q = V.asked(spark).withColumn("min_score", F.lit(0.02)).withColumn("limit", F.lit(12))
-    i = V.insights(spark, d).where("type = 'fact'")
-    return Y.search(q, i, V.events(spark, d), V.as_of()).select("query_id", "rank", "memory_type", "text", r6(C("score")).alias("score"))
+    return Y.search(q, V.insights(spark, d), V.events(spark, d), V.as_of()).select("query_id", "rank", "memory_type", "text", "thread_id", "summary", r6(C("score")).alias("score"))
 
 
-SQL["q9_search"] = f"""with {FACTS_SQL}, q as (select *, {V.raw('query')} as qw from ({ASKED_SQL})),
-h as (select query_id, 'fact' as memory_type, content as text, {V.jac('qw', V.raw('content'))}*confidence*importance*(1+0.2*exp(-{V.age('last_updated')}/30)) as score, 0 as layer, o from q join fs on q.tenant_id=fs.tenant_id and (q.actor_id is null or q.actor_id=fs.actor_id)),
+SQL["q9_search"] = f"""with recursive {INS_SQL}, q as (select *, {V.raw('query')} as qw from ({ASKED_SQL})),
+h as (select query_id, type as memory_type, content as text, 'long_term' as thread_id, type||': '||substring(content,1,100)||'...' as summary, {V.jac('qw', V.raw('content'))}*confidence*importance*(1+0.2*exp(-{V.age('last_updated')}/30)) as score, 0 as layer, o from q join st on q.tenant_id=st.tenant_id and (q.actor_id is null or q.actor_id=st.actor_id)),
 ih as (select *, row_number() over (partition by query_id order by o) as place from h where score>0.02),
 lf as (select q.*, 12-(select count(*) from ih where ih.query_id=q.query_id) as missing from q),
-e as (select query_id, missing, qw, text, row_number() over (partition by query_id order by observed_at desc, seq) as place from lf join ev on lf.tenant_id=ev.tenant_id and (lf.actor_id is null or lf.actor_id=ev.actor_id) where missing>0),
+e as (select query_id, missing, qw, text, thread_id, row_number() over (partition by query_id order by observed_at desc, seq) as place from lf join ev on lf.tenant_id=ev.tenant_id and (lf.actor_id is null or lf.actor_id=ev.actor_id) where missing>0),
 e2 as (select *, {V.jac('qw', V.raw('text'))} as score from e where place<=missing*2), e3 as (select *, row_number() over (partition by query_id order by place) as kept from e2 where score>0.02),
-b as (select query_id, memory_type, text, score, layer, place from ih union all select query_id, 'episode', text, score*0.8, 1, place from e3 where kept<=missing),
+b as (select query_id, memory_type, text, thread_id, summary, score, layer, place from ih union all select query_id, 'episode', text, thread_id, substring(text,1,100)||'...', score*0.8, 1, place from e3 where kept<=missing),
 r as (select *, row_number() over (partition by query_id order by score desc, layer, place) as rank from b)
-select query_id, rank::int as rank, memory_type, text, round(score,6) as score from r where rank<=12"""
+select query_id, rank::int as rank, memory_type, text, thread_id, summary, round(score,6) as score from r where rank<=12"""
 
 
 def b8_layer_records(spark: SparkSession, d: str) -> DataFrame:
-    both = Y.insight_memories(V.insights(spark, d).where("type = 'fact'")).unionByName(Y.event_memories(V.events(spark, d)))
-    return both.select("memory_type", "thread_id", "scope", "text", "summary", "confidence", "importance", "decay_kind", "ttl_days")
+    both = Y.insight_memories(V.insights(spark, d)).unionByName(Y.event_memories(V.events(spark, d)))
+    return both.select("memory_type", "thread_id", "scope", "text", "summary", "confidence", "importance", "decay_kind", "ttl_days", F.unix_millis("last_seen_at").alias("last_ms"))
 
 
-SQL["b8_layer_records"] = f"""with {FACTS_SQL} select 'fact' as memory_type, 'long_term' as thread_id, 'actor' as scope, content as text, 'fact: '||substring(content,1,100)||'...' as summary, confidence, importance, 'none' as decay_kind, null::int as ttl_days from fs
-union all select 'episode', thread_id, 'thread', text, substring(text,1,100)||'...', 0.8::double, 0.6::double, 'time', 7 from ev"""
+SQL["b8_layer_records"] = f"""with recursive {INS_SQL} select type as memory_type, 'long_term' as thread_id, 'actor' as scope, content as text, type||': '||substring(content,1,100)||'...' as summary, confidence, importance, 'none' as decay_kind, null::int as ttl_days, epoch_ms(last_updated) as last_ms from st
+union all select 'episode', thread_id, 'thread', text, substring(text,1,100)||'...', 0.8::double, 0.6::double, 'time', 7, epoch_ms(observed_at) from ev"""
 
 
 def a10_layer_lookup(spark: SparkSession, d: str) -> DataFrame:
     """By id over both layers; an id that both have is the insight's."""
-    e = V.events(spark, d).where("seq % 3 = 0")
-    twin = V.insights(spark, d).where("type = 'fact'").withColumn("id", F.concat(F.lit("e"), C("order.seq").cast("string"))).dropDuplicates(["id"])
+    e = V.events(spark, d)
+    twin = V.insights(spark, d).withColumn("id", F.concat(F.lit("e"), C("order.seq").cast("string"))).dropDuplicates(["id"])
     ids = e.select(C("event_id").alias("id"))
     return Y.by_id(twin, e, ids).select("id", "scope")
 
 
-SQL["a10_layer_lookup"] = f"with {FACTS_SQL}, t as (select distinct 'e'||o.seq as id from fs) select 'e'||seq as id, case when 'e'||seq in (select id from t) then 'actor' else 'thread' end as scope from ev where seq%3=0"
+SQL["a10_layer_lookup"] = f"with recursive {INS_SQL}, t as (select distinct 'e'||o.seq as id from st) select 'e'||seq as id, case when 'e'||seq in (select id from t) then 'actor' else 'thread' end as scope from ev"
 
 
 def a12_layer_list(spark: SparkSession, d: str) -> DataFrame:
-    actors = V.events(spark, d).where("actor_id in ('u1','u3','u6')").select("tenant_id", "app_id", "actor_id")
-    return Y.by_actor(V.insights(spark, d).where("type = 'fact'"), actors).select("tenant_id", "actor_id", "text")
+    return Y.by_actor(V.insights(spark, d), V.asked(spark).where("actor_id is not null")).select("tenant_id", "actor_id", "memory_type", "text")
 
 
-SQL["a12_layer_list"] = f"with {FACTS_SQL} select tenant_id, actor_id, content as text from fs where actor_id in ('u1','u3','u6')"
+SQL["a12_layer_list"] = f"with recursive {INS_SQL} select tenant_id, actor_id, type as memory_type, content as text from st where (tenant_id, actor_id) in (select (tenant_id, actor_id) from ({ASKED_SQL}) where actor_id is not null)"
 
 
 def e6_dual_compact(spark: SparkSession, d: str) -> DataFrame:
-    i = V.insights(spark, d).withColumn("confidence", C("confidence") - 0.55).where("type = 'fact'")
+    i = V.insights(spark, d).withColumn("confidence", C("confidence") - 0.55)
     return Y.compact(V.events(spark, d), i, V.as_of())
 
 
-SQL["e6_dual_compact"] = f"with {FACTS_SQL} select (select count(*) from ev where epoch_ms({AS_OF_SQL})-epoch_ms(observed_at) > 30*86400000::bigint)+(select count(*) from fs where confidence-0.55<0.3) as archived_expired, 0::bigint as archived_superseded"
+SQL["e6_dual_compact"] = f"with recursive {INS_SQL} select (select count(*) from ev where epoch_ms({AS_OF_SQL})-epoch_ms(observed_at) > 30*86400000::bigint)+(select count(*) from st where confidence-0.55<0.3) as archived_expired, 0::bigint as archived_superseded"
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
@@ -328,4 +338,4 @@ SQL["v14_assistant_replies"] = f"""with {MSG_SQL} select seq, case when {V.part(
  when {V.part('text', 'goal', 'achieve')} then 'I''d love to help you set and achieve your goals. What would you like to work on?' when {V.part('text', 'hello', 'hi', 'good')} then (case when seq%24<12 then 'Good morning' when seq%24<18 then 'Good afternoon' else 'Good evening' end)||', Sarah! How can I assist you today?'
  else 'I understand. Based on our previous conversations about user''s name: sarah, how can I help you today?' end as reply from ms"""
 
-QUERIES = {f.__name__: f for f in (b10_events, q4_facts, q5_preferences, q6_summaries, q7_store, q7_store_facts, q8_consolidate, q8_consolidate_messages, q9_search, b8_layer_records, a10_layer_lookup, a12_layer_list, e6_dual_compact, s1_rate_limit, f7_ema, s4_sessions, v1_support_importance, v2_support_extract, v3_severity, v4_history, v5_support_replies, v6_assistant_importance, v7_personal_info, v8_preferences, v9_schedule, v10_habits, v11_suggestions, v12_personality, v13_schedule_item, v14_assistant_replies)}
+QUERIES = {f.__name__: f for f in (b10_events, q4_facts, q5_preferences, q6_summaries, q7_store, q8_consolidate, q8_consolidate_messages, q9_search, b8_layer_records, a10_layer_lookup, a12_layer_list, e6_dual_compact, s1_rate_limit, f7_ema, s4_sessions, v1_support_importance, v2_support_extract, v3_severity, v4_history, v5_support_replies, v6_assistant_importance, v7_personal_info, v8_preferences, v9_schedule, v10_habits, v11_suggestions, v12_personality, v13_schedule_item, v14_assistant_replies)}

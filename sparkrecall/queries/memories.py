@@ -10,6 +10,7 @@ from sparkrecall.operators import context as K
 from sparkrecall.operators import ingest as I
 from sparkrecall.operators import lifecycle as L
 from sparkrecall.operators import search as S
+from sparkrecall.plans import tuned as U
 from sparkrecall.queries import functions as Q
 from sparkrecall.queries import views as V
 from sparkrecall.queries.views import ASKED_SQL, LIVE_SQL, MEM_SQL, OBS_SQL, r6
@@ -199,13 +200,19 @@ def m11_answer(spark: SparkSession, d: str) -> DataFrame:
     return S.answers(q, S.enhanced_hits(q, V.memories(spark, d), V.as_of()))
 
 
+SQL["m11_answer"] = f"""with {ENH_SQL}, h as (select query_id, rank, text, score, lower(text) as low, fi, has_problem, type='comparative' and len(qe0)>=2 as cmp, list_filter(list_transform(range(len(qe0)), lambda i: {{'i':i,'e':qe0[i+1]}}), lambda x: contains(lower(text),lower(x.e))) as held from rk where rank<=20),
+a as (select query_id, bool_or(fi and has_problem and contains(low,'gps') and {V.part('low', 'issue', 'problem', 'not', 'malfunction')}) as gps, arg_min(held[1].e, rank) filter (where cmp and len(held)>0 and {V.part('low', 'first', 'before', 'initially')}) as timed,
+ (min(held[1]) filter (where cmp and len(held)>0)).e as any_, arg_min(case when score>0.3 then string_split(text,'.')[1]||'.' else '' end, rank) as best from h group by 1)
+select q.query_id, coalesce(case when gps then 'GPS system not functioning correctly' else coalesce(timed, any_, best) end, '') as answer from q left join a using (query_id)"""
+
+
 def o7_enhanced_context(spark: SparkSession, d: str) -> DataFrame:
     q = V.asked(spark)
     out = K.answered_contexts(q, S.enhanced_hits(q.withColumn("limit", F.lit(5)), V.memories(spark, d), V.as_of()))
     return out.select("query_id", "context_text")
 
 
-SQL["o7_enhanced_context"] = f"""with {ENH_SQL} select query_id, 'ENHANCED MEMORY SEARCH RESULTS:'||chr(10)||string_agg('- ['||memory_type||'] '||text||' (score: '||format('{{:.3f}}',score)||')', chr(10) order by rank) as context_text from rk where rank<=5 group by 1"""
+SQL["o7_enhanced_context"] = f"""with {ENH_SQL} select q.query_id, 'ENHANCED MEMORY SEARCH RESULTS:'||coalesce(string_agg(chr(10)||'- ['||memory_type||'] '||text||' (score: '||format('{{:.3f}}',score)||')', '' order by rank),'') as context_text from q left join rk on q.query_id=rk.query_id and rank<=5 group by 1"""
 
 
 def f1_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -244,7 +251,7 @@ def o3_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["o3_context"] = f"""with {PACK_SQL}, {PROF_SQL}, body as (select query_id, 'RELEVANT MEMORIES:'||chr(10)||string_agg('- ['||memory_type||'] '||case when length(text)<=120 then text else substring(text,1,117)||'...' end, chr(10) order by rank) as b, count(*) as n from ln where used<=600 and rank<=5 group by 1)
-select q.query_id, coalesce(prof.summary,'') as profile_summary, coalesce(n,0)::bigint as total_memories, trim(concat_ws(chr(10), case when prof.summary is not null then 'KNOWN ACTOR PROFILE:'||chr(10)||prof.summary||chr(10) end, b)) as context_text
+select q.query_id, coalesce(prof.summary,'') as profile_summary, coalesce(n,0)::bigint as total_memories, regexp_replace(concat_ws(chr(10), case when prof.summary is not null then 'KNOWN ACTOR PROFILE:'||chr(10)||prof.summary||chr(10) end, b),'^[ \n]+|[ \n]+$','','g') as context_text
 from q left join body using (query_id) left join prof on prof.tenant_id=q.tenant_id and prof.actor_id=q.actor_id"""
 
 
@@ -254,6 +261,33 @@ def o5_diverse(spark: SparkSession, d: str) -> DataFrame:
     return K.diverse(q, hits).select("query_id", F.posexplode(F.transform("selected", lambda h: h["rank"])).alias("pos", "rank"))
 
 
+def _either(yes: str, no: str) -> str:
+    t = lambda x, p: f"regexp_matches({x},'(?i){p}')"
+    return f"(({t('a.text', yes)} and {t('b.text', no)}) or ({t('a.text', no)} and {t('b.text', yes)}))"
+
+
+CON_SQL = f"""{MEM_SQL}, con as (select a.seq as new_seq, b.ord as old_ord, case when {V.jac(V.raw('a.text'), V.raw('b.text'))}>0.5 then 0.8 else 0.3 end::double as confidence from obs a join mem b on a.tenant_id=b.tenant_id and a.app_id=b.app_id and a.actor_id=b.actor_id
+ and ({_either('gps.*work', 'gps.*not.*work|gps.*broken|gps.*issue')} or {_either('car.*fine', 'car.*problem|car.*issue|car.*trouble')}))"""
+#: con, with obs said again; obs3: these.
+CON3_SQL = CON_SQL.replace(", con as (", ", obs3 as (select * replace ('again,  '||text as text) from obs), con as (").replace("from obs a join", "from obs3 a join")
+
+
+#: sl: (query_id, pos, rank) of the hits that are chosen of h3 (18 of each query, 6 wanted, 700 characters).
+PICK_SQL = f"""{LEX_SQL}, h3 as (select query_id, rank, memory_type, score, coalesce(nullif(summary,''),text) as said, coalesce(thread_id,'~') as th, row_number() over (partition by query_id order by score desc, rank) as k, count(*) over (partition by query_id) as n from rk where rank<=18),
+fd as (select distinct query_id, 0::bigint as k, []::bigint[] as kept, 0::bigint as chars, []::varchar[] as ths from h3
+ union all select query_id, k, case when skip then kept else list_append(kept, rank) end, case when skip then chars else chars+length(said) end, case when skip or list_contains(ths, th) then ths else list_append(ths, th) end
+ from (select h3.query_id, h3.k, h3.rank::bigint as rank, h3.said, h3.th, fd.kept, fd.chars, fd.ths, len(fd.kept)>=6 or fd.chars+length(h3.said)>700 or (list_contains(fd.ths, h3.th) and len(fd.ths)<3) as skip from fd join h3 on h3.query_id=fd.query_id and h3.k=fd.k+1)),
+sl as (select query_id, (rank-1)::bigint as pos, rank from h3 where n<=6 union all select query_id, unnest(range(len(kept))) as pos, unnest(kept) as rank from (select query_id, arg_max(kept, k) as kept from fd where query_id in (select query_id from h3 where n>6) group by 1))"""
+SQL["o5_diverse"] = f"with recursive {PICK_SQL} select query_id, pos::int as pos, rank::int as rank from sl"
+
+
+def r4_tuned_context(spark: SparkSession, d: str) -> DataFrame:
+    """The second service's contexts: three times the items, chosen by thread, in sections."""
+    q = V.asked(spark).withColumn("max_items", F.lit(6)).withColumn("max_chars", F.lit(700))
+    m = V.memories(spark, d)
+    return U.tuned_contexts(q, m, V.as_of(), S.lexical_hits(q.withColumn("limit", F.lit(18)), m, V.as_of()))
+
+
 def o6_sections(spark: SparkSession, d: str) -> DataFrame:
     q = V.asked(spark).withColumn("max_items", F.lit(10))
     hits = S.lexical_hits(q, V.memories(spark, d), V.as_of())
@@ -264,6 +298,31 @@ SQL["o6_sections"] = f"""with {LEX_SQL}, h as (select query_id, memory_type, min
 select query_id, string_agg(chr(10)||upper(memory_type)||' MEMORIES:'||chr(10)||lines, chr(10) order by first) as context_text from h group by 1"""
 
 
+SQL["r4_tuned_context"] = f"""with recursive {PICK_SQL}, {PROF_SQL}, sc3 as (select query_id, memory_type, min(pos) as first, string_agg('- ['||memory_type||'] '||said||case when score>0.8 then ' (high relevance)' else '' end, chr(10) order by pos) as lines from sl join h3 using (query_id, rank) group by 1,2),
+tx as (select query_id, string_agg(chr(10)||upper(memory_type)||' MEMORIES:'||chr(10)||lines, chr(10) order by first) as t from sc3 group by 1)
+select q.query_id, coalesce(nullif(prof.summary,''),'No profile available') as profile_summary, coalesce((select max(n) from h3 where h3.query_id=q.query_id),0)::bigint as total_memories, coalesce(t,'') as context_text from q left join tx using (query_id) left join prof on prof.tenant_id=q.tenant_id and prof.actor_id=q.actor_id"""
+
+
+def r3_tuned_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """All observations, said again in other words, against the memories of all: the memories that they contradict lose
+    confidence, and the observations become memories with the importance that the preparation gives them."""
+    m = V.memories(spark, d)
+    new = V.observations(spark, d).withColumn("text", F.concat(F.lit("again,  "), "text"))
+    ready = U.prepared(new.withColumn("confidence", F.lit(0.5)))
+    old = L.penalized(m, L.contradiction_counts(ready, m)).select("ord", "confidence", "importance", "text")
+    fresh = I.ingest(ready, V.as_of()).select(C("ord") + 10_000_000, "confidence", "importance", "text")
+    return old.union(fresh).select("ord", r6(C("confidence")).alias("confidence"), r6(C("importance")).alias("importance"), F.md5("text").alias("text_md5"))
+
+
+SQL["r3_tuned_ingest"] = f"""with {CON3_SQL}, pn as (select old_ord, count(*) as k from con group by 1),
+p3 as (select seq, tenant_id, actor_id, memory_type, observed_at, ttl_days, least({Q.IMPORTANCE_SQL},1.0)::double as imp, substring({V.norm('text')},1,1000) as nt from obs3),
+k3 as (select *, lag(observed_at) over w as prev3, first_value(ttl_days) over w as pol3 from p3 window w as (partition by tenant_id, actor_id, memory_type, lower(nt) order by seq)),
+s3 as (select *, sum(case when prev3 is null or {V.exp_('prev3', 'pol3')} then 1 else 0 end) over (partition by tenant_id, actor_id, memory_type, lower(nt) order by seq) as seg from k3),
+g3 as (select tenant_id, actor_id, memory_type, lower(nt) as low, seg, min(seq)+10000000 as ord, 0.5::double as confidence, max(imp) as importance, arg_min(nt,seq) as text from s3 group by all)
+select ord, round((case when k>0 then greatest(confidence-0.2*k,0.1) else confidence end)::double,6) as confidence, round(importance,6) as importance, md5(text) as text_md5 from mem left join pn on ord=old_ord
+union all select ord, confidence, round(importance,6), md5(text) from g3"""
+
+
 def e5_compact(spark: SparkSession, d: str) -> DataFrame:
     return L.compact(V.memories(spark, d), V.as_of())
 
@@ -305,10 +364,9 @@ SQL["a2_upsert"] = f"with {MEM_SQL} select {_ID} as id, case when ord%4=0 then '
 
 
 def _contradictions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Observations of odd conversations against memories of all."""
-    new = V.observations(spark, d).where("arrival_seq % 200 >= 100")
+    """All observations against all memories."""
     m = V.memories(spark, d)
-    return L.contradictions(new, m), m
+    return L.contradictions(V.observations(spark, d), m), m
 
 
 def m8_contradictions(spark: SparkSession, d: str) -> DataFrame:
@@ -316,19 +374,12 @@ def m8_contradictions(spark: SparkSession, d: str) -> DataFrame:
     return found.join(m.select(C("id").alias("old_id"), "ord"), "old_id").select("new_seq", C("ord").alias("old_ord"), "confidence")
 
 
-def _either(yes: str, no: str) -> str:
-    t = lambda x, p: f"regexp_matches({x},'(?i){p}')"
-    return f"(({t('a.text', yes)} and {t('b.text', no)}) or ({t('a.text', no)} and {t('b.text', yes)}))"
-
-
-CON_SQL = f"""{MEM_SQL}, con as (select a.seq as new_seq, b.ord as old_ord, case when {V.jac(V.raw('a.text'), V.raw('b.text'))}>0.5 then 0.8 else 0.3 end::double as confidence from obs a join mem b on a.tenant_id=b.tenant_id and a.app_id=b.app_id and a.actor_id=b.actor_id
- and a.seq%200>=100 and ({_either('gps.*work', 'gps.*not.*work|gps.*broken|gps.*issue')} or {_either('car.*fine', 'car.*problem|car.*issue|car.*trouble')}))"""
 SQL["m8_contradictions"] = f"with {CON_SQL} select * from con"
 
 
 def p5_confidence_penalty(spark: SparkSession, d: str) -> DataFrame:
-    found, m = _contradictions(spark, d)
-    return L.penalized(m, found).select("ord", r6(C("confidence")).alias("confidence"))
+    m = V.memories(spark, d)
+    return L.penalized(m, L.contradiction_counts(V.observations(spark, d), m)).select("ord", r6(C("confidence")).alias("confidence"))
 
 
 SQL["p5_confidence_penalty"] = f"with {CON_SQL}, pn as (select old_ord, count(*) as k from con group by 1) select ord, round((case when k>0 then greatest(confidence-0.2*k,0.1) else confidence end)::double,6) as confidence from mem left join pn on ord=old_ord"
@@ -357,4 +408,4 @@ def m5_flags(spark: SparkSession, d: str) -> DataFrame:
 SQL["m5_flags"] = f"""with {MEM_SQL}, t as (select ord, text, {Q.ENTITIES_SQL} as e, {Q.TEMPORAL_SQL}, {Q.ORDER_SQL} as temporal_order, len({V.tok('text')})::int as n_tokens from mem)
 select ord, len(list_filter(e, lambda x: x.type='PROBLEM'))>0 as has_problem, len(list_filter(e, lambda x: x.type='OBJECT'))>0 as has_device, {Q.RELEVANT_SQL} as relevant, temporal_order, n_tokens from t"""
 
-QUERIES = {f.__name__: f for f in (b2_normalize, b7_preprocess, b6_episodes, c8_validate, d1_duplicates, p1_ingest, e4_ingest_counts, e11_merge, a9_lookup, a11_actor_list, c1_filter, c2_metadata, g1_search_lexical, n1_scores, n2_enhanced, g2_temporal_rank, m11_answer, o7_enhanced_context, f1_budget, e1_profile_by_type, e2_profile_summary, o3_context, o5_diverse, o6_sections, e5_compact, p2_archive, e14_feedback, p3_feedback_apply, a2_upsert, m8_contradictions, p5_confidence_penalty, p6_resolve, p7_forget, m5_flags)}
+QUERIES = {f.__name__: f for f in (b2_normalize, b7_preprocess, b6_episodes, c8_validate, d1_duplicates, p1_ingest, e4_ingest_counts, e11_merge, a9_lookup, a11_actor_list, c1_filter, c2_metadata, g1_search_lexical, n1_scores, n2_enhanced, g2_temporal_rank, m11_answer, o7_enhanced_context, f1_budget, e1_profile_by_type, e2_profile_summary, o3_context, o5_diverse, o6_sections, r3_tuned_ingest, r4_tuned_context, e5_compact, p2_archive, e14_feedback, p3_feedback_apply, a2_upsert, m8_contradictions, p5_confidence_penalty, p6_resolve, p7_forget, m5_flags)}

@@ -9,7 +9,10 @@ from sparkrecall.functions import text as X
 from sparkrecall.functions.text import STOPWORDS
 from sparkrecall.operators import ingest as I
 from sparkrecall.operators import layers
+from sparkrecall.sources.store import settled
 
+# Every turn of a conversation, with a phrase that the patterns know before it; every third phrase occurs alone too, so that
+# texts repeat.
 AS_OF_SQL = "timestamp '2024-02-01 00:00:00'"
 OBS_SQL = """
 with phrase as (select * from (values
@@ -19,15 +22,15 @@ with phrase as (select * from (values
  (7,'Which came first, the workshop or the webinar?'),(8,'Remind me to call Rachel on Friday'),(9,'I usually walk home every morning'),
  (10,'My name is Sarah and I live in Hawaii'),(11,'Deadline is next Tuesday'),(12,'The laptop then failed with an error'),
  (13,'I want email notifications over SMS'),(14,'My routine includes yoga'),(15,'Nothing unusual today')) as v(pid, phrase))
-select conv_id*100+turn as seq, 't'||cast(conv_id%2 as varchar(9)) as tenant_id, 'app' as app_id,
+select conv_id*100+turn+case when alone then 50 else 0 end as seq, 't'||cast(conv_id%2 as varchar(9)) as tenant_id, 'app' as app_id,
  'u'||cast(conv_id%20 as varchar(9)) as actor_id, 'c'||cast(conv_id as varchar(19)) as thread_id, role,
  case turn%8 when 0 then 'fact' when 1 then 'preference' when 2 then 'goal' when 3 then 'project' when 4 then 'fact'
              when 5 then 'episode' when 6 then 'preference' else 'instruction' end as memory_type,
- case when turn%3=0 then phrase else phrase||' '||substring(text,1,200) end as text,
+ case when alone then phrase else phrase||' '||text end as text,
  cast(50+10*((conv_id+turn)%5) as double)/cast(100 as double) as confidence,
  cast(40+15*(turn%4) as double)/cast(100 as double) as importance, cast(30+60*(conv_id%3) as int) as ttl_days,
  timestamp '2023-11-01 00:00:00' + (conv_id*20 + turn) * interval '1' hour as observed_at
-from conversations join phrase on pid=(conv_id*7+turn)%16
+from conversations join phrase on pid=(conv_id*7+turn)%16 join (values (false),(true)) as b(alone) on not alone or turn%3=0
 """
 ASKED_SQL = """
 select * from (values
@@ -78,9 +81,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored insights with an id and the time of the last event behind them."""
-    found = layers.stored(layers.drawn(events(spark, sf_dir)))
-    return found.withColumn("id", F.concat_ws("_", F.lit("i"), F.col("order.seq").cast("string"), F.col("order.strategy").cast("string"), F.col("order.pos").cast("string")))
+    """Stored insights; those that several met are updated at as_of."""
+    return settled(layers.stored(layers.drawn(events(spark, sf_dir)), as_of=as_of()))
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:

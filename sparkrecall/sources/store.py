@@ -1,7 +1,8 @@
-"""Where memories are kept: Parquet tables, or one JSON document {version, records}."""
+"""Where memories are kept: versions of Parquet tables, or one JSON document {version, records}."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,40 +18,136 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OBSERVATIONS).json(path)
 
 
-class ParquetStore:
-    """A directory of versions; a small file names the current one, so readers see a whole version or the one before."""
+def session_folder(spark: SparkSession) -> str:
+    """A new folder of this session, below spark.checkpoint.dir; where that is unset and the master is local, a temporary one.
+    It is removed when the application ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    path = f"{named.rstrip('/')}/memories-{uuid.uuid4().hex}" if named else "file://" + tempfile.mkdtemp(prefix="memories-")
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._hadoop = jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self) -> str | None:
-        pointer = self._hadoop.Path(f"{self.path}/CURRENT")
-        if not self._fs.exists(pointer):
+def settled(rows: DataFrame) -> DataFrame:
+    """`rows` written to a folder of the session and read again: later writes to what they were made of don't matter."""
+    path = f"{session_folder(rows.sparkSession)}/rows"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+class Versions:
+    """Folders of data, of which the one that the pointer file with the highest number names is current.
+
+    A pointer appears by a rename to a name that isn't there yet, after its data are whole, and none is removed before
+    a later one stands: a crash at any step leaves the version before. Of two writers that began with one version the
+    second fails. The last `keep` versions stay, for what still reads them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        there = self._path(folder)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(there)) if self._fs.exists(there) else []
+
+    def _pointers(self) -> list[str]:
+        return [n for n in self._names(f"{self.path}/pointers") if n.isdigit()]
+
+    def _data(self) -> list[str]:
+        return [n for n in self._names(self.path) if n.startswith("v-")]
+
+    def _named(self, pointer: str) -> str:
+        return self.spark.read.text(f"{self.path}/pointers/{pointer}").first()[0]
+
+    def _point(self, number: int, name: str) -> None:
+        new = self._path(f"{self.path}/pointers/new-{uuid.uuid4().hex}")
+        out = self._fs.create(new, False)
+        out.write(bytearray(name.encode()))
+        out.close()
+        to = self._path(f"{self.path}/pointers/{number:020d}")
+        if self._fs.exists(to) or not self._fs.rename(new, to):
+            self._fs.delete(new, False)
+            raise RuntimeError(f"{self.path}: another writer was faster")
+
+    def current(self) -> str | None:
+        """The folder of the current version; None if nothing was ever written."""
+        pointers = self._pointers()
+        if not pointers:
+            if self._data():
+                raise RuntimeError(f"{self.path}: there are versions but no pointer")
             return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        name = self._named(pointers[-1])
+        return None if name == "-" else f"{self.path}/{name}"
+
+    def write(self, **tables: DataFrame) -> str:
+        """A new version with these tables in it, each partitioned by tenant and application; its folder."""
+        pointers = self._pointers()
+        if not pointers:
+            if self._data():
+                raise RuntimeError(f"{self.path}: there are versions but no pointer")
+            self._point(0, "-")  # so that a first write that breaks off leaves an empty store
+            pointers = self._pointers()
+        number, name = int(pointers[-1]) + 1, f"v-{uuid.uuid4().hex}"
+        for table, rows in tables.items():
+            rows.write.partitionBy("tenant_id", "app_id").parquet(f"{self.path}/{name}/{table}")
+        self._point(number, name)
+        old = [p for p in pointers if int(p) <= number - self.keep]
+        for p in old:
+            gone = self._named(p)
+            if gone != "-":
+                self._fs.delete(self._path(f"{self.path}/{gone}"), True)
+            self._fs.delete(self._path(f"{self.path}/pointers/{p}"), False)
+        return f"{self.path}/{name}"
+
+
+class ParquetStore:
+    """Memories in versions: readers see a whole version, and what was read before a write can still be computed after."""
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
+        self.spark, self.versions = spark, Versions(spark, path, keep)
 
     def read(self) -> DataFrame:
         """The memories; of a store that isn't there yet, none."""
-        name = self._current()
-        if name is None:
-            return self.spark.createDataFrame([], MEMORIES)
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        now = self.versions.current()
+        return self.spark.createDataFrame([], MEMORIES) if now is None else self.spark.read.schema(MEMORIES).parquet(f"{now}/memories")
 
     def write(self, memories: DataFrame) -> None:
-        """Partitioned by tenant and application, so that a search reads its own. The version before is removed after."""
-        before, name = self._current(), f"v-{uuid.uuid4().hex}"
-        memories.write.partitionBy("tenant_id", "app_id").parquet(f"{self.path}/{name}")
-        out = self._fs.create(self._hadoop.Path(f"{self.path}/CURRENT.new"), True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        pointer = self._hadoop.Path(f"{self.path}/CURRENT")
-        self._fs.delete(pointer, False)
-        self._fs.rename(self._hadoop.Path(f"{self.path}/CURRENT.new"), pointer)
-        if before:
-            self._fs.delete(self._hadoop.Path(f"{self.path}/{before}"), True)
+        """Partitioned by tenant and application, so that a search reads its own."""
+        self.versions.write(memories=memories)
+
+
+class MemoryStore(ParquetStore):
+    """Memories of this session alone, in its own folder: each write cuts the lineage, and a lost executor costs nothing."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__(spark, session_folder(spark))
+
+
+#: Columns of the two layers' tables.
+EVENTS = "seq bigint, event_id string, tenant_id string, app_id string, actor_id string, session_id string, ts timestamp, type string, role string, content string, processed boolean"
+INSIGHTS = "tenant_id string, app_id string, actor_id string, type string, id string, content string, confidence double, importance double, tags array<string>, extracted_from array<string>, n bigint, last_updated timestamp, `order` struct<seq:bigint,strategy:int,pos:int>"
+
+
+class LayerStore:
+    """Events and insights in versions that hold both, so that no reader sees events without what was drawn from them."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, keep: int = 3):
+        self.spark, self.versions = spark, Versions(spark, path or session_folder(spark), keep)
+
+    def read(self) -> tuple[DataFrame, DataFrame]:
+        now = self.versions.current()
+        if now is None:
+            return self.spark.createDataFrame([], EVENTS), self.spark.createDataFrame([], INSIGHTS)
+        return self.spark.read.schema(EVENTS).parquet(f"{now}/events"), self.spark.read.schema(INSIGHTS).parquet(f"{now}/insights")
+
+    def write(self, events: DataFrame, insights: DataFrame) -> None:
+        kind = self.spark.createDataFrame([], INSIGHTS).schema
+        typed = insights.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kind))
+        self.versions.write(events=events.select(*self.spark.createDataFrame([], EVENTS).columns), insights=typed)
 
 
 class JsonStore:
@@ -71,15 +168,21 @@ class JsonStore:
         return rows.select(F.explode("records").alias("r")).select("r.*")
 
     def write(self, memories: DataFrame) -> None:
+        """The document is written beside and takes the old one's place in one rename."""
         record = F.struct(*(F.col(c) for c in memories.columns))
         whole = memories.agg(F.to_json(F.struct(F.lit(VERSION).alias("version"), F.array_sort(F.collect_list(record), lambda a, b: F.when(a["ord"] < b["ord"], -1).otherwise(1)).alias("records"))).alias("value"))
         new = f"{self.path}.{uuid.uuid4().hex}"
         whole.coalesce(1).write.text(new)
-        jvm = self.spark.sparkContext._jvm
-        fs_path = jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(new).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(fs_path(self.path), True)
-        fs.rename(fs_path(new), fs_path(self.path))
+        context = self.spark.sparkContext
+        hadoop, conf = context._jvm.org.apache.hadoop.fs, context._jsc.hadoopConfiguration()
+        fs = hadoop.Path(new).getFileSystem(conf)
+        (part,) = [f.getPath() for f in fs.listStatus(hadoop.Path(new)) if f.getPath().getName().startswith("part-")]
+        rename = getattr(context._jvm, "org.apache.hadoop.fs.Options$Rename")
+        how = context._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        files = hadoop.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else fs.getUri(), conf)
+        files.rename(part, fs.makeQualified(hadoop.Path(self.path)), how)
+        fs.delete(hadoop.Path(new), True)
 
 
 def _fields() -> list[str]:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
-from sparkrecall.operators.ingest import ingest, upsert
 from sparkrecall.operators.layers import drawn
+from sparkrecall.plans.engine import Engine
 
 WINDOW_MS = 60_000
 
@@ -103,10 +103,12 @@ def sessions_stream(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", "30 days").groupBy("tenant_id", "app_id", "actor_id", "session_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
 
 
-def upsert_stream(observations: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], as_of: Callable[[], Column], **options: str) -> StreamingQuery:
-    """Each micro-batch is ingested and merged by id into the stored memories; batches run one after the other."""
+def ingest_stream(observations: DataFrame, engine: Engine, **options: str) -> StreamingQuery:
+    """Each micro-batch is ingested into the engine's store, where what came in earlier batches takes part; batches run
+    one after the other, so batches leave what one ingest of all leaves. A batch that is run again, after a failure, finds
+    its own memories and merges into them."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        write(upsert(read(), ingest(rows, as_of())))
+        engine.ingest(rows, strict=False)
 
     return observations.writeStream.foreachBatch(batch).options(**options).start()

@@ -6,6 +6,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from sparkrecall import queries as Q
@@ -23,7 +24,14 @@ def duck():
 
 def rows(frame):
     columns = sorted(frame.columns)
-    text = lambda v: "-" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)
+
+    def text(v):
+        if pd.api.types.is_scalar(v) and pd.isna(v):
+            return "-"
+        if isinstance(v, float):  # a column of whole numbers that has nulls comes as float from one side
+            return str(int(v)) if v.is_integer() else repr(v)
+        return str(v)
+
     return sorted(tuple(text(v) for v in r) for r in frame[columns].itertuples(index=False))
 
 
