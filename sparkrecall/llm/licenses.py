@@ -1,24 +1,26 @@
 """License scan: ordered signature rules over normalised words, as one projection without a shuffle.
 
-A text is normalised to its words. A first filter looks for any of a few stems in the raw text; texts without one have
-no detection and are not normalised. In the others, every word that leads a rule opens a window of WINDOW words. Only
-the rules of that lead are tried there, and only those whose keyword is in the window; their regexes are anchored at
-the window's start. At one place the rule of the highest priority wins, then the longest match, then the order of the
-rules. Of two detections one of which contains the other, that of lower priority goes, and of equal priority the inner
-one. Base phrases are counted before that, and their labels always stay.
+The rules are hand-written: about 175 names of licences, and each of them behind each of eight phrases that grant one,
+the SPDX tags and `license x` of their labels, and a few whole sentences; 1,700 rules are that product.
+
+A text is normalised to its words. A first filter looks for any of a few stems, parts of single words; texts without one have
+no detection and are not normalised. In the others, every word that leads a rule opens a window as long as the longest
+signature. One regex for all rules of that lead, anchored at the window's start, says whether any fits; only then are the rules
+tried one by one, those whose keyword is in the window. At one place the rule of the highest priority wins, then the longest
+match, then the order of the rules. Of two detections one of which contains the other, that of lower priority goes, and of
+equal priority the inner one. Base phrases are counted before that, and their labels always stay.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrecall.llm.common import documents, let, lower_ascii
 
-#: Words of a window; no signature is longer.
-WINDOW = 24
 #: What words don't hold, once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a text as it is.
@@ -173,6 +175,8 @@ GRANTS = (
 
 @dataclass(frozen=True)
 class Rule:
+    """label, lead (first word), keyword (must be in the window), regex over words parted by one blank each, standing."""
+
     label: str
     lead: str
     keyword: str
@@ -203,31 +207,89 @@ def rules() -> list[Rule]:
     return out
 
 
-#: Every rule needs one of these in the raw text (letters of any case; no word of the corpus is changed by this test).
-STEMS = r"(?i)licen[cs]|gnu|gpl|apache|creative|(?:^|[\x00-\x2F\x3A-\x60\x7B-\x7F])(?:cc|mpl)[\x00-\x2F\x3A-\x60\x7B-\x7F]|cc0|bsd|wtfpl|cddl|eupl|odbl|odc|domain|openrail|spdx|rights|permission|redistribution"
+def examples(regex: str) -> tuple[str, str]:
+    """The texts with the fewest and the most words that one of the rules' regexes matches: these are made of letters,
+    blanks, [..], (?:..|..) and ?."""
 
+    def more(x: str, y: str) -> bool:
+        return (x.count(" "), len(x)) > (y.count(" "), len(y))
 
-def _rule_map(all_rules: list[Rule]) -> Column:
-    """Lead to its rules, as one literal."""
-    by_lead: dict[str, list[tuple[int, Rule]]] = {}
+    def choice(i: int) -> tuple[int, str, str]:
+        least = most = None
+        low = high = ""
+        while True:
+            if i == len(regex) or regex[i] in "|)":
+                least = low if least is None or more(least, low) else least
+                most = high if most is None or more(high, most) else most
+                if i == len(regex) or regex[i] == ")":
+                    return i, least, most
+                low = high = ""
+                i += 1
+                continue
+            if regex.startswith("(?:", i):
+                i, x, y = choice(i + 3)
+                i += 1
+            elif regex[i] == "[":
+                x = y = regex[i + 1]
+                i = regex.index("]", i) + 1
+            else:
+                x = y = regex[i]
+                i += 1
+            if i < len(regex) and regex[i] == "?":
+                x, i = "", i + 1
+            low, high = low + x, high + y
+
+    return choice(0)[1:]
+
+
+#: Every rule needs one of these within a word; the second ones are whole words.
+STEMS = "licen gnu gpl apache creative cc0 bsd wtfpl cddl eupl odbl odc domain openrail spdx rights permission redistribution".split()
+SHORT = "cc mpl".split()
+
+
+def _any_stem(raw: Column) -> Column:
+    """Whether a text holds a stem, its letters of any case. Other letters may change too; the texts that are scanned don't."""
+    short = rf"(?:^|{SEPARATORS})(?:{'|'.join(SHORT)})(?:{SEPARATORS}|$)"
+    return let(F.lower(raw), lambda low: reduce(lambda x, y: x | y, [F.contains(low, F.lit(x)) for x in STEMS]) | (reduce(lambda x, y: x | y, [F.contains(low, F.lit(x)) for x in SHORT]) & low.rlike(short)))
+
+
+def window_of(all_rules: list[Rule]) -> int:
+    """Words of the longest text that any rule matches."""
+    return max(len(examples(r.regex)[1].split()) for r in all_rules)
+
+
+def _by_lead(all_rules: list[Rule]) -> dict[str, list[tuple[int, Rule]]]:
+    out: dict[str, list[tuple[int, Rule]]] = {}
     for i, r in enumerate(all_rules):
-        by_lead.setdefault(r.lead, []).append((i, r))
-    entries: list[Column] = []
-    for lead, some in by_lead.items():
-        entries.append(F.lit(lead))
-        entries.append(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(f"^(?:{r.regex})(?= |$)").alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r.base).alias("base")) for i, r in some)))
-    return F.create_map(*entries)
+        out.setdefault(r.lead, []).append((i, r))
+    return out
+
+
+def _rule_map(all_rules: list[Rule]) -> Column:
+    """Lead to its rules, as one literal that the parser makes."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    one = lambda i, r: f"struct({i},{quoted(r.label)},{quoted(r.keyword)},{quoted(f'^(?:{r.regex})(?= |$)')},{r.priority},{r.weight}D,{str(r.base).lower()})"
+    entries = [f"{quoted(lead)},array({','.join(one(i, r) for i, r in some)})" for lead, some in _by_lead(all_rules).items()]
+    return F.expr(f"map({','.join(entries)})").cast("map<string,array<struct<i:int,label:string,keyword:string,regex:string,priority:int,weight:double,base:boolean>>>")
+
+
+def _fits_any(text: Column, lead: Column, all_rules: list[Rule]) -> Column:
+    """Whether any rule of that lead matches at the text's start. Regexes that begin alike are not taken apart."""
+    out = F.lit(False)
+    for word, some in sorted(_by_lead(all_rules).items(), reverse=True):
+        out = F.when(lead == word, text.rlike(f"^(?:{'|'.join(dict.fromkeys(r.regex for _, r in some))})(?= |$)")).otherwise(out)
+    return out
 
 
 def _detections(words: Column, all_rules: list[Rule]) -> Column:
     """array of (at array, base, found) for each word that leads a rule: base holds the base phrases' labels there,
     found the winner."""
     leads = sorted({r.lead for r in all_rules})
-    table = _rule_map(all_rules)
+    table, longest = _rule_map(all_rules), window_of(all_rules)
     places = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: s["w"].isin(leads))
 
     def at(place: Column) -> Column:
-        window = F.concat_ws(" ", F.slice(words, place["i"] + 1, WINDOW))
+        window = F.concat_ws(" ", F.slice(words, place["i"] + 1, longest))
 
         def matched(text: Column) -> Column:
             tried = F.filter(F.element_at(table, place["w"]), lambda r: F.contains(text, r["keyword"]) & F.regexp_like(text, r["regex"]))
@@ -240,7 +302,8 @@ def _detections(words: Column, all_rules: list[Rule]) -> Column:
                 ),
             )
 
-        return let(window, matched)
+        none = F.array().cast("array<struct<start:int,end:int,i:int,label:string,priority:int,weight:double,base:boolean>>")
+        return let(window, lambda text: F.when(_fits_any(text, place["w"], all_rules), matched(text)).otherwise(none))
 
     def best(found: Column) -> Column:
         order = lambda x: F.struct(x["priority"], x["end"], -x["i"])
@@ -252,16 +315,16 @@ def _detections(words: Column, all_rules: list[Rule]) -> Column:
     return F.transform(F.filter(F.transform(places, at), lambda found: F.size(found) > 0), best)
 
 
-def _standing(found: Column) -> Column:
-    """The detections that no other suppresses. There is one at most at each place, none longer than WINDOW words, so
-    what contains or is contained is among the WINDOW before and behind."""
+def _standing(found: Column, longest: int) -> Column:
+    """The detections that no other suppresses. There is one at most at each place, none longer than `longest` words, so
+    what contains or is contained is among as many before and behind."""
 
     def loses(d: Column, e: Column) -> Column:
         inside = (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & (e["start"] != d["start"])
         around = (d["start"] < e["start"]) & (d["end"] >= e["end"])
         return (inside & (e["priority"] >= d["priority"])) | (around & (e["priority"] > d["priority"]))
 
-    return F.filter(found, lambda d, i: ~F.exists(F.slice(found, F.greatest(i - WINDOW + 1, F.lit(1)), 2 * WINDOW), lambda e: loses(d, e)))
+    return F.filter(found, lambda d, i: ~F.exists(F.slice(found, F.greatest(i - longest + 1, F.lit(1)), 2 * longest), lambda e: loses(d, e)))
 
 
 def license_scan(docs: DataFrame, text: str = "text", all_rules: list[Rule] | None = None) -> DataFrame:
@@ -295,13 +358,13 @@ def license_scan(docs: DataFrame, text: str = "text", all_rules: list[Rule] | No
 
             return let(base, packed)
 
-        return let(let(F.transform(places, lambda p: p["found"]), _standing), from_standing)
+        return let(let(F.transform(places, lambda p: p["found"]), lambda f: _standing(f, window_of(all_rules))), from_standing)
 
     scanned = let(words, lambda w: let(_detections(w, all_rules), result))
     nothing = F.struct(F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"))
     names = ("n_base", "first_word", "last_word", "base_labels", "labels", "score")
     kept = docs.drop("n_words", *names, "__scan")
-    out = kept.withColumn("n_words", F.regexp_count(raw, F.lit(RAW_WORD)).cast("long")).withColumn("__scan", F.when(raw.rlike(STEMS), scanned).otherwise(nothing))
+    out = kept.withColumn("n_words", F.regexp_count(raw, F.lit(RAW_WORD)).cast("long")).withColumn("__scan", F.when(_any_stem(raw), scanned).otherwise(nothing))
     return out.select(*kept.columns, "n_words", *(F.col(f"__scan.{x}").alias(x) for x in names))
 
 

@@ -91,12 +91,55 @@ def test_rules_and_suppression(spark):
     assert len(L.rules()) > 300
 
 
-def test_first_filter_lets_every_rule_through():
-    """What a rule's names say, put as a text, passes the stems."""
-    stems = re.compile(L.STEMS)
-    for r in L.rules():
-        plain = re.sub(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)\??", "", r.regex.replace(L._LIC, "license")).replace("?", "")
-        assert stems.search(f" {plain} ") or stems.search(f" {r.lead} {r.keyword} ") or "licen" in r.regex, r
+def scan(text, rules, by_lead):
+    """labels and score, every rule of a place's word tried over all that follows."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    found, labels, weights = [], set(), []
+    for at, word in enumerate(words):
+        if word not in by_lead:
+            continue
+        rest, here = " ".join(words[at:]), []
+        for i, r, regex in by_lead[word]:
+            m = regex.match(rest)
+            if m:
+                here.append((r.priority, at + m.group().count(" ") + 1, -i, r))
+        if here:
+            priority, end, _, r = max(here, key=lambda x: x[:3])
+            found.append((at, end, priority, r))
+            labels |= {x[3].label for x in here if x[3].base}
+            weights += [x[3].weight for x in here if x[3].base]
+    for d in found:
+        inside = any(e[0] <= d[0] and e[1] >= d[1] and e[0] != d[0] and e[2] >= d[2] for e in found)
+        around = any(d[0] < e[0] and d[1] >= e[1] and e[2] > d[2] for e in found)
+        if not inside and not around:
+            labels.add(d[3].label)
+            weights.append(d[3].weight)
+    return ",".join(sorted(labels)), max(weights, default=0.0)
+
+
+def compiled():
+    out = {}
+    for i, r in enumerate(L.rules()):
+        out.setdefault(r.lead, []).append((i, r, re.compile(f"(?:{r.regex})(?= |$)")))
+    return out
+
+
+def test_scan_against_brute_force(spark):
+    """Every rule's shortest and longest text, its words parted in several ways, and random mixtures of them."""
+    rng, rules, by_lead = random.Random(4), L.rules(), compiled()
+    texts = sorted({x for r in rules for x in L.examples(r.regex)})
+    assert all(any(re.fullmatch(r.regex, x) for x in [L.examples(r.regex)[1]]) for r in rules)
+    docs = [(x.replace(" ", gap), i) for i, x in enumerate(texts) for gap in (" ", "\n", "  ", ", ", "\n// ")]
+    more = ["the", "version 2", "Apache", "license", "gnu", "as published by", "cc", "terms of"]
+    docs += [(" ".join(rng.choice(texts if rng.random() < 0.6 else more) for _ in range(rng.randint(1, 12))), -1) for _ in range(1500)]
+    got = L.license_scan(spark.createDataFrame(docs, "text string, n int").repartition(8)).select("text", "n", "labels", "score").collect()
+    assert len(got) == len(docs)
+    for r in got:
+        labels, score = scan(r.text, rules, by_lead)
+        assert (r.labels, round(r.score, 6)) == (labels, round(score, 6)), r.text
+        assert r.n < 0 or labels, r.text
+    assert L.window_of(rules) > 30
 
 
 # ---- line dedup -------------------------------------------------------------------------------------------------------
