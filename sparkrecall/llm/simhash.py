@@ -224,12 +224,25 @@ def differing_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def bands(n: int, similarity: float, recall: float = 0.97) -> tuple[int, int]:
-    """(bits in a band, bands) such that unrelated fingerprints share a band by chance about every fourth time among n,
-    and ones just `similarity` alike share some band with probability `recall`."""
-    bits = max(12, int(np.ceil(np.log2(max(n, 2)))) + 2)
-    one = (1 - differing_share(similarity)) ** bits
-    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - one)))
+#: Minima in a key, and keys: texts of similarity j share a key with probability 1 - (1 - j^MINIMA)^KEYS, which is 0.987
+#: at 0.8 and 0.03 at 0.3. The number of keys doesn't grow with the corpus.
+MINIMA, KEYS = 5, 11
+_ODD = np.random.default_rng(11).integers(0, 1 << 63, MINIMA * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def block_keys(hashes: np.ndarray) -> np.ndarray:
+    """KEYS numbers (int64) of a set of shingles' hashes, each of MINIMA least hashes under mixes of their own."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    out = np.zeros(KEYS, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 2048):
+            x = hashes[at : at + 2048]
+            x = (x ^ (x >> np.uint64(32)))[None, :] * _ODD[:, None]
+            least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=1))
+        for column in least.reshape(KEYS, MINIMA).T:
+            out = (out ^ (column * np.uint64(0xBF58476D1CE4E5B9))) * np.uint64(0x94D049BB133111EB)
+            out ^= out >> np.uint64(31)
+        return (out + np.arange(KEYS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -315,33 +328,17 @@ def sub_blocks(blocks: DataFrame, task_rows: int) -> DataFrame:
     return met.select(*blocks.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def _wide_links(reps: DataFrame, docs: DataFrame, n: int, shingle: int, similarity: float, recall: float, block_rows: int, task_rows: int) -> DataFrame:
+def _wide_links(reps: DataFrame, docs: DataFrame, shingle: int, similarity: float, block_rows: int, task_rows: int) -> DataFrame:
     """(a, b) of nodes that are as similar.
 
-    Candidates share the coordinate offsets to some band of one-bit references, that is, those bits; the sets of shingles
-    decide. All pairs of a block of at most block_rows are candidates. In larger blocks, groups of near copies, each
-    node first meets its nearest and the least of those near it. What these links leave apart is compared whole: of
-    blocks that hold several components, all near pairs between two of them are candidates. A block of more than
-    task_rows is split, and every two of its parts meet in a task of their own.
+    Candidates share a block key; fingerprints rule out and the sets of shingles decide. All pairs of a block of at most
+    block_rows are candidates. In larger blocks, groups of near copies, each node first meets its nearest and the least
+    of those near it. What these links leave apart is compared whole: of blocks that hold several components, all near
+    pairs between two of them are candidates. A block of more than task_rows is split, and every two of its parts meet in
+    a task of their own. So block_rows and task_rows don't change which nodes are connected.
     """
-    bits, many = bands(n, similarity, recall)
-    rng = np.random.default_rng(11)
-    places = np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(many)])
     most = _most(similarity)
 
-    def keys_of(fps: pa.Array, some: np.ndarray) -> np.ndarray:
-        """(rows of `some`, fingerprints): the bits at each row's places as a number."""
-        set_ = np.unpackbits(np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")
-        return np.stack([set_[:, p].astype(np.int64) @ (np.int64(1) << np.arange(len(p), dtype=np.int64)) for p in some])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                keys = keys_of(part.column(1), places) + (np.arange(many, dtype=np.int64) << 48)[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(part.column(0).to_numpy(), many)), pa.array(keys.reshape(-1))], names=["node", "key"])
-        trim()
-
     def wide_of(table: pa.Table) -> np.ndarray:
         return np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
 
@@ -358,7 +355,7 @@ def _wide_links(reps: DataFrame, docs: DataFrame, n: int, shingle: int, similari
         a, b = across(table.column("node").to_numpy(), table.column("label").to_numpy(), wide_of(table), most)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    blocks = materialize(reps.select("node", "fp").mapInArrow(keyed, "node bigint, key bigint"), "bands")
+    blocks = reps.select("node", F.explode("keys").alias("key"))
     sizes = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(blocks.join(sizes, "key"), "met")
     small, large = met.where(F.col("n") <= block_rows), met.where(F.col("n") > block_rows)
@@ -384,34 +381,34 @@ def _wide_links(reps: DataFrame, docs: DataFrame, n: int, shingle: int, similari
     return found.unionByName(_verified(rest, reps, docs, shingle, similarity))
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, key: str = "doc_id", text: str = "text", block_rows: int = 64, task_rows: int = 4096) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", block_rows: int = 64, task_rows: int = 4096) -> DataFrame:
     """(key, component_id) of documents whose sets of shingles are `similarity` alike or more, by SimHash.
 
     At such similarities fingerprints differ in many bits: a distance of a sixth of the bits leaves no reference whose
     distances could tell pairs apart, and no few segments untouched. So the fingerprint has 64 * WIDE bits, candidates
-    share one of many sampled bands, and the shingles decide on all pairs that their bits don't rule out. Pairs just at the
-    threshold are found with probability `recall`, closer ones more surely, equal sets always: how often a shingle occurs in
-    a text plays no part. Nulls, repeats and empty tables as in near_duplicates.
+    share one of KEYS keys made of least hashes, and the shingles decide on all pairs that their bits don't rule out.
+    Pairs just at 0.8 are found with probability 0.98, closer ones more surely, equal sets always: how often a shingle
+    occurs in a text plays no part. Nulls, repeats and empty tables as in near_duplicates.
     """
 
-    @F.pandas_udf("node bigint, fp binary")
+    @F.pandas_udf("node bigint, fp binary, keys array<bigint>")
     def wide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 3) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": nodes, "fp": pd.Series([wide_fingerprint_of(s).tobytes() for s in sets], dtype=object)})
+            yield pd.DataFrame({"node": nodes, "fp": pd.Series([wide_fingerprint_of(s).tobytes() for s in sets], dtype=object), "keys": pd.Series([block_keys(s) for s in sets], dtype=object)})
         trim()
 
     bounded_batches(docs.sparkSession)
     # texts of equal sets are one node; keys may be null or occur with other texts, so a text's hash goes with its key
     own = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("h")).alias("key"), F.col(text).alias("text"))
-    marked = materialize(own.select("key", wide("text").alias("w")).select("key", "w.node", "w.fp"), "wide")
-    reps = materialize(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("key").alias("first")), "distinct")
-    parts = materialize(components(_wide_links(reps, own, reps.count(), shingle, similarity, recall, block_rows, task_rows)), "parts")
+    marked = materialize(own.select("key", wide("text").alias("w")).select("key", "w.node", "w.fp", "w.keys"), "wide")
+    reps = materialize(marked.groupBy("node").agg(F.min(F.struct("fp", "keys")).alias("w"), F.min("key").alias("first")).select("node", "w.fp", "w.keys", "first"), "distinct")
+    parts = materialize(components(_wide_links(reps, own, shingle, similarity, block_rows, task_rows)), "parts")
     of = reps.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     ids = of.groupBy("component").agg(F.min("first").alias("component_id"))
     named = of.join(ids, "component").select("node", "component_id")
-    return marked.join(named, "node").select(F.col("key.key").alias(key), F.col("component_id.key").alias("component_id"))
+    return marked.select("key", "node").join(named, "node").select(F.col("key.key").alias(key), F.col("component_id.key").alias("component_id"))
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
