@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import tarfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sparkrecall.llm import licenses as L
@@ -275,29 +278,115 @@ def test_dictionary_has_no_effect_on_counts(spark, monkeypatch):
     assert sorted(map(key, X.scores(docs, sample_docs=3).collect())) == whole
 
 
+def _counts(words, count):
+    """Counts of a corpus of which `words` are the dictionary."""
+    head, tokens, types = np.zeros(X.DICTIONARY, np.int64), np.zeros(X.FORMS, np.int64), np.zeros(X.FORMS, np.int64)
+    for w, n in count.items():
+        if w in words:
+            head[words.index(w)] = n
+        else:
+            tokens[X.form_of(w)] += n
+            types[X.form_of(w)] += 1
+    return X.Counts(head, tokens, types)
+
+
+def test_forms_and_codes():
+    texts = ["Tea tea  été xx", "", None, " \n", "tea " * 3, "a bc déf ghij"]
+    coder = X.Coder([X.END, b"tea", b"bc"])
+    codes, forms, sizes = coder(pa.array(texts))
+    words = [X.words_of(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    assert forms.tolist() == [X.form_of(w) for w in flat] == coder(pa.array(["x", *texts]).slice(1))[1].tolist()
+    known = {X.END: 0, b"tea": 1, b"bc": 2}
+    assert codes.tolist() == [known.get(w, max(xxhash.xxh64_intdigest(w, 1), X.DICTIONARY)) for w in flat]
+
+
 def test_cells_are_probabilities():
     rng = np.random.default_rng(1)
-    counts = X.Counts(np.bincount(rng.zipf(1.4, 50_000) % 600, minlength=X.DICTIONARY), 60_000, 5000)
-    of = X.cells(counts, 600)
-    w = X.first_weights(counts, of)
-    w.by_class += rng.normal(0, 0.3, w.by_class.shape).astype(np.float32)
-    w.by_cell += rng.normal(0, 0.3, w.by_cell.shape).astype(np.float32)
-    one = [np.full(X.CELLS, f, np.uint64) for f in rng.integers(1 << 63, size=3, dtype=np.uint64)]
-    p = np.exp(X.log_p(w, one, np.arange(X.CELLS)).astype(np.float64))
-    assert p[: X.CELLS - X.CLASS].sum() + p[X.OTHER] == pytest.approx(1, abs=1e-5)
+    count = {b"w%d" % i: int(n) for i, n in enumerate(np.bincount(rng.zipf(1.4, 50_000) % 600)) if n}
+    words = [X.END, *list(count)[:400]]
+    counts = _counts(words, count | {X.END: 90})
+    of, w = X.cells(counts, words)
+    for t in w.tables:
+        t += rng.normal(0, 0.3, t.shape).astype(np.float32)
+    n = w.width
+    one = [np.full(n**3, f, np.uint64) for f in rng.integers(1 << 63, size=6, dtype=np.uint64)]
+    classes, cells = np.repeat(np.arange(n * n), n), np.tile(np.arange(n), n * n)
+    p = np.exp(X.log_p(w, one, classes, cells).astype(np.float64))
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+    # within a shared cell the words and one that was never seen share all there is
+    for c in range(n * n):
+        mine = [v for x, v in count.items() if X.classes_of(np.array([X.form_of(x)]), n)[0] == c and (x not in words or of.cells[words.index(x)] == n - 1)]
+        assert sum(v + 0.5 for v in mine) + 0.5 == pytest.approx(10 ** of.rest[c])
 
 
 def test_training_learns_a_pattern():
     """Words that follow from the word before become likelier."""
-    codes = np.tile(np.array([1, 2, 3, 4, 5, 6, 7, 8], np.uint64), 4000)
-    counts = X.Counts(np.bincount(codes.astype(np.int64), minlength=X.DICTIONARY), len(codes), 8)
-    of = X.cells(counts, 9)
-    trainer = X.Trainer(X.first_weights(counts, of))
-    f, y = X._contexts(codes, np.array([len(codes)])), X._cells_of(codes, of)
-    before = X.log_p(trainer.w, f, y).mean()
-    for some in X._batches(f, y):
+    codes = np.tile(np.arange(1, 9, dtype=np.uint64), 4000)
+    words = [X.END, *(b"w%d" % i for i in range(8))]
+    of, w = X.cells(_counts(words, {x: 4000 for x in words[1:]}), words)
+    forms = np.array([X.form_of(words[int(c)]) for c in codes])
+    trainer, f = X.Trainer(w), X._contexts(codes, forms, np.array([len(codes)]))
+    before = X.log_p(trainer.w, f, *of(codes, forms, w.width)).mean()
+    for some in X._batches(f, *of(codes, forms, w.width)):
         trainer.batch(*some)
-    assert X.log_p(trainer.w, f, y).mean() > before + 0.5
+    assert X.log_p(trainer.w, f, *of(codes, forms, w.width)).mean() > before + 0.5
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    """Every document's score from the trained weights, token by token: features, rows, three softmaxes, the share."""
+    kept = {}
+    train = X.train
+
+    def seen(docs, words, cell_of, w, rounds=2):
+        kept.update(words=words, w=train(docs, words, cell_of, w, rounds))
+        return kept["w"]
+
+    monkeypatch.setattr(X, "train", seen)
+    monkeypatch.setattr(X, "DICTIONARY", 200)
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice(["the", "of", "tea", f"w{rng.randint(0, 300)}", f"zz{rng.randint(0, 2000)}"]) for _ in range(rng.randint(0, 60)))) for i in range(200)]
+    got = {r.doc_id: r for r in X.scores(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    words, w = kept["words"], kept["w"]
+    assert any(t.any() for t in w.tables) and len(words) == 200
+    count = {}
+    for k, t in docs:
+        if zlib.crc32(str(k).encode()) % 5 != 1:
+            for x in X.words_of(t):
+                count[x] = count.get(x, 0) + 1
+    n, mask = w.width, (1 << 64) - 1
+    class_of = lambda x: X.form_of(x) * n * n // X.FORMS
+    number = {x: i for i, x in enumerate(words)}
+    cell, rest = {}, {}
+    for c in {class_of(x) for x in [*count, *words]}:
+        mine = sorted((x for x in words if class_of(x) == c and count.get(x)), key=lambda x: (-count[x], number[x]))
+        cell |= {x: i for i, x in enumerate(mine[: n - 1])}
+        rest[c] = sum(v + 0.5 for x, v in count.items() if class_of(x) == c and x not in cell) + 0.5
+
+    def shift(x, k):
+        return x ^ (x >> k)
+
+    def probability(context, x):
+        code = lambda y: number.get(y, max(xxhash.xxh64_intdigest(y, 1), 200))
+        start, before = 1 << 40, context[::-1]
+        one, two, three = (code(before[k - 1]) if len(before) >= k else start + k for k in (1, 2, 3))
+        near, next_ = (X.form_of(before[k - 1]) if len(before) >= k else start + k for k in (1, 2))
+        features = [one, two, three, near, (one * 0x2545F4914F6CDD1D & mask) ^ two, (near * 0x2545F4914F6CDD1D & mask) ^ next_]
+        features = [shift(shift(f, 29) * int(m) & mask, 32) for f, m in zip(features, X._MULTIPLIERS, strict=True)]
+        c = class_of(x)
+        total = 0.0
+        for level, given, bias, right in ((0, 0, w.biases[0], c // n), (1, c // n, w.biases[1][c // n], c % n), (2, c, w.biases[2][c], cell.get(x, n - 1))):
+            salt = (given + 1 + (level << 20)) * 0x9E3779B97F4A7C15 & mask
+            at = [(shift((features[k] * 0xD6E8FEB86659FD93 + salt) & mask, 31) * 0xBF58476D1CE4E5B9 & mask) >> (64 - X.BITS[level]) for k in X.USED[level]]
+            logits = [float(bias[j]) + sum(float(w.tables[level][a][j]) for a in at) for j in range(n)]
+            total += logits[right] - math.log(sum(map(math.exp, logits)))
+        share = 0.0 if x in cell else math.log10((count.get(x, 0) + 0.5) / rest.get(c, 0.5))
+        return total / math.log(10) + share
+
+    for k, t in docs:
+        ws = X.words_of(t)
+        assert got[k].score == pytest.approx(sum(probability(ws[:i], x) for i, x in enumerate(ws)), rel=1e-4)
 
 
 def test_cells_grow_with_the_types():
