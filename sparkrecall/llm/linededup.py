@@ -6,12 +6,19 @@ matter begin in segments, stretches of consecutive lines of which each stands tw
 their first line, then, in each round, by the pair of the ranks of their first 2^k lines and of the 2^k after those.
 A rank is a place in a sort over ranges, so the ranks are in suffix order and no partition holds all of them.
 
-The suffixes that share their first m lines are an interval of the array, an interval of longest common prefixes of at
-least m. With 2^k <= m < 2^(k+1) the interval is found by two ranks of depth 2^k: those of the first and of the last 2^k
-of the m lines. A repeated run of at least min_words words is the union of the smallest windows of min_words words in
-it, from each first line onward and from each last line backward. So a line is in such a run that stands earlier
-too exactly if one of these windows covers it and isn't the first in its interval; doubling ends at the depth that the
-longest window needs. Overlapping windows join to maximal runs.
+Neighbours in the array are compared: the length of their longest common prefix is found by descent, from the largest power of
+two down, each step by one rank behind what is common so far. The suffixes that share their first m lines are an interval of
+the array, within which no neighbours have less than m lines in common. So, of the suffixes that begin with a window of m
+lines, a new interval begins wherever the common prefix with the suffix before is shorter than m: what shares the window has
+the same window, so no other suffix can stand between.
+
+A repeated run of at least min_words words is the union of the smallest windows of min_words words in it, from each first
+line onward and from each last line backward. So a line is in such a run that stands earlier too exactly if one of these
+windows covers it and isn't the first in its interval; doubling ends at the depth that the longest window needs. Overlapping
+windows join to maximal runs.
+
+No step holds all rows of one line, run or text in a task: keys with more than a thousandth of the rows, of which there
+are fewer than a thousand, are joined by broadcast.
 
 Equal texts are one sequence; that of the least key is kept, and the others are later copies as a whole if they have
 min_words words. DataFrame functions only.
@@ -29,13 +36,45 @@ from sparkrecall.llm.common import WORD, documents, materialize
 MIN_WORDS = 50
 
 
+#: A key with more than this share of the rows is joined by broadcast; fewer than a thousand keys can have that.
+HOT = 1000
+
+
 def _ranked(keys: DataFrame, *columns: str) -> DataFrame:
-    """Distinct `keys` with a bigint rank in the order of `columns`. Written at once, since the ranks' values follow
-    the ranges that Spark happens to cut."""
-    ordered = keys.select(*columns).distinct().repartitionByRange(*columns).sortWithinPartitions(*columns)
+    """Distinct `keys` with a bigint rank in the order of `columns`, and n, their rows. Written at once, since the ranks'
+    values follow the ranges that Spark happens to cut."""
+    ordered = keys.groupBy(*columns).agg(F.count("*").alias("n")).repartitionByRange(*columns).sortWithinPartitions(*columns)
     return materialize(ordered.withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
+def _join(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> DataFrame:
+    """`rows` (`total` of them) joined with `table`, which has each key once, with n, the rows that have it."""
+    values = [c for c in table.columns if c not in (*on, "n")]
+    often = F.col("n") > max(total // HOT, 1)
+    few = F.broadcast(table.where(often).select(*on, F.struct(*values).alias("__hot")))
+    met = rows.join(few, on, "left")
+    hot = met.where("__hot is not null").select(*rows.columns, *(f"__hot.{c}" for c in values))
+    cold = met.where("__hot is null").drop("__hot").join(table.where(~often).drop("n"), on).select(*rows.columns, *values)
+    return hot.unionByName(cold)
+
+
+def _in_order(rows: DataFrame, *columns: str) -> DataFrame:
+    """`rows` with int part, so that parts, and rows in a part by `columns`, are in order; these columns tell rows apart."""
+    ordered = rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    return materialize(ordered.withColumn("part", F.spark_partition_id()), "ordered")
+
+
+def _from_before(rows: DataFrame, *columns: str, value: Column) -> DataFrame:
+    """`rows` of _in_order() with `before`: `value` of the last row before that has one."""
+    here = W.partitionBy("part").orderBy(*columns)
+    inside = rows.withColumn("before", F.last(value, ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, -1)))
+    # one row for each part: the last value in it, and that of the parts before
+    ends = rows.withColumn("__v", value).where("__v is not null").groupBy("part").agg(F.max_by("__v", F.struct(*columns)).alias("__v"))
+    parts = rows.select("part").distinct().join(F.broadcast(ends), "part", "left")
+    carried = parts.select("part", F.last("__v", ignorenulls=True).over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("__carried"))
+    return inside.join(F.broadcast(carried), "part").withColumn("before", F.coalesce("before", "__carried")).drop("__carried")
+
+
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, t1, t2, pos, h1, h2, words): hashes of 128 bits stand for texts and lines."""
     hashed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
@@ -49,8 +88,9 @@ def segments(lines: DataFrame, min_words: int) -> DataFrame:
     upto: the segment's words up to and with this line.
     """
     at = F.xxhash64("t1", "t2", "pos")  # copies of one text don't repeat its lines
-    twice = lines.groupBy("h1", "h2").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("h1", "h2")
-    mine = lines.join(twice, ["h1", "h2"]).select("t1", "t2", "pos", "h1", "h2", "words").distinct()
+    own = ["h1", "h2"]
+    twice = lines.groupBy(*own).agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("n")).where("a != b").select(*own, "n", F.lit(True).alias("twice"))
+    mine = _join(lines, materialize(twice, "twice"), own, lines.count()).select("t1", "t2", "pos", "h1", "h2", "words").distinct()
     text = W.partitionBy("t1", "t2").orderBy("pos")  # the lines of one document
     marked = mine.withColumn("seg", F.col("pos") - F.row_number().over(text))
     seg = W.partitionBy("t1", "t2", "seg")
@@ -63,18 +103,37 @@ def suffix_ranks(segs: DataFrame, depth: int) -> DataFrame:
 
     A suffix that ends at its segment's end within those lines sorts before all that go on.
     """
+    total = segs.count()
     first = _ranked(segs, "h1", "h2")
-    now = segs.join(first, ["h1", "h2"]).drop("h1", "h2").withColumn("ranks", F.array("rank"))
+    now = _join(segs, first, ["h1", "h2"], total).drop("h1", "h2").withColumn("ranks", F.array("rank"))
     step = 1
-    while 2 * step <= depth:
+    while step < depth:
         ahead = F.lead("rank", step).over(W.partitionBy("t1", "t2", "seg").orderBy("pos"))
         pairs = materialize(now.withColumn("then", F.coalesce(ahead, F.lit(-1))).withColumnRenamed("rank", "own"), "suffixes")
         doubled = _ranked(pairs, "own", "then")
-        now = pairs.join(doubled, ["own", "then"]).drop("own", "then").withColumn("ranks", F.concat("ranks", F.array("rank")))
+        now = _join(pairs, doubled, ["own", "then"], total).drop("own", "then").withColumn("ranks", F.concat("ranks", F.array("rank")))
         step *= 2
     return materialize(now.drop("rank"), "suffixes")
 
 
+def common_prefixes(ranks: DataFrame) -> DataFrame:
+    """(rank, lcp) of each different last rank of suffix_ranks(): how many lines the suffixes of that rank and of the one
+    before have in common. Of two that end alike, where their segments end, a greater number may be given."""
+    last = ranks.select("t1", "t2", "pos", F.element_at("ranks", -1).alias("rank"))
+    one = last.groupBy("rank").agg(F.min(F.struct("t1", "t2", "pos")).alias("at"))
+    pairs = _from_before(_in_order(one, "rank"), "rank", value=F.col("at")).drop("part").withColumn("lcp", F.lit(0))
+    levels = ranks.select(F.size("ranks").alias("k")).first()
+    for k in reversed(range(levels.k if levels else 0)):
+        of = ranks.select("t1", "t2", "pos", F.element_at("ranks", k + 1).alias("r"))
+        for side in ("at", "before"):
+            place = of.select(F.col("t1").alias("__1"), F.col("t2").alias("__2"), F.col("pos").alias("__3"), F.col("r").alias(f"__{side}"))
+            # behind the end of its segment a suffix has no rank
+            pairs = pairs.join(place, (F.col(f"{side}.t1") == F.col("__1")) & (F.col(f"{side}.t2") == F.col("__2")) & (F.col(f"{side}.pos") + F.col("lcp") == F.col("__3")), "left").drop("__1", "__2", "__3")
+        # two suffixes are equally ranked at a depth only if both go on that far, or end alike
+        pairs = pairs.withColumn("lcp", F.col("lcp") + F.when(F.col("__at") == F.col("__before"), 1 << k).otherwise(0)).drop("__at", "__before")
+    return materialize(pairs.select("rank", "lcp"), "lcp")
+
+
 def windows(segs: DataFrame, min_words: int) -> DataFrame:
     """(t1, t2, a, b): from each first line the least last line, and to each last line the greatest first line, with
     min_words words between."""
@@ -91,16 +150,18 @@ def windows(segs: DataFrame, min_words: int) -> DataFrame:
 
 def _later(found: DataFrame, ranks: DataFrame, firsts: DataFrame) -> DataFrame:
     """Those windows that aren't the first in their interval."""
-    m = F.col("b") - F.col("a") + 1
-    k = F.floor(F.log2(m.cast("double"))).cast("int")
-    sized = found.withColumn("k", k).withColumn("c", F.col("b") - F.call_function("shiftleft", F.lit(1), F.col("k")) + 1)
-    at = ranks.select("t1", "t2", F.col("pos").alias("a"), F.col("ranks").alias("left"))
-    to = ranks.select("t1", "t2", F.col("pos").alias("c"), F.col("ranks").alias("right"))
-    both = sized.join(at, ["t1", "t2", "a"]).join(to, ["t1", "t2", "c"])
-    keyed = both.select("t1", "t2", "a", "b", (F.col("b") - F.col("a")).alias("m"), F.element_at("left", F.col("k") + 1).alias("l"), F.element_at("right", F.col("k") + 1).alias("r"))
-    keyed = materialize(keyed.join(firsts, ["t1", "t2"]).withColumn("place", F.struct("first", "t1", "t2", "a")), "windows")
-    intervals = keyed.groupBy("m", "l", "r").agg(F.min("place").alias("kept"), F.count("*").alias("n")).where("n > 1")
-    return keyed.join(intervals.select("m", "l", "r", "kept"), ["m", "l", "r"]).where("place != kept").select("t1", "t2", "a", "b")
+    own = ranks.select("t1", "t2", F.col("pos").alias("a"), F.element_at("ranks", -1).alias("rank"))
+    m = (F.col("b") - F.col("a") + 1).alias("m")
+    placed = found.join(own, ["t1", "t2", "a"]).join(firsts, ["t1", "t2"]).select("t1", "t2", "a", "b", m, "rank", F.struct("first", "t1", "t2", "a").alias("place"))
+    placed = materialize(placed, "windows")
+    # suffixes of one rank have the same windows
+    heads = _in_order(placed.groupBy("m", "rank").agg(F.min("place").alias("least"), F.count("*").alias("n")).join(common_prefixes(ranks), "rank"), "m", "rank")
+    new = F.col("lcp") < F.col("m")
+    inside = _from_before(heads, "m", "rank", value=F.when(new, F.col("rank"))).withColumn("head", F.when(new, F.col("rank")).otherwise(F.col("before")))
+    inside = materialize(inside.select("m", "rank", "least", F.col("n").alias("k"), "head"), "intervals")
+    intervals = inside.groupBy("m", "head").agg(F.min("least").alias("kept"), F.sum("k").alias("all"), F.count("*").alias("n")).where("all > 1").drop("all")
+    repeated = _join(inside, materialize(intervals, "repeated"), ["m", "head"], inside.count()).select("m", "rank", F.col("k").alias("n"), "kept")
+    return _join(placed, materialize(repeated, "repeated"), ["m", "rank"], placed.count()).where("place != kept").select("t1", "t2", "a", "b")
 
 
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

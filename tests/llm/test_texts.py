@@ -193,6 +193,44 @@ def test_line_dedup_against_brute_force(spark, least):
     assert all(r.n_lines == len(t.split("\n")) for r, t in ((got[k], t) for k, t in docs))
 
 
+def test_common_prefixes_against_brute_force(spark):
+    """Ranks are in suffix order, and neighbours have in common what a plain comparison finds."""
+    rng = random.Random(5)
+    docs = [(i, "\n".join(rng.choice(["a b", "c d", "e f", "g h"]) for _ in range(rng.randint(1, 14)))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    segs = D.segments(D.lines_of(df, "doc_id", "text"), 2).repartition(5)
+    ranks = D.suffix_ranks(D.materialize(segs, "s"), 8)
+    code = {(r.t1, r.t2, r.pos): (r.h1, r.h2) for r in segs.collect()}
+    first = {r.l: r.r for r in ranks.select(F.struct("t1", "t2", "pos").alias("l"), F.col("ranks")[0].alias("r")).collect()}
+    seg = {tuple(k): r for k, r in first.items()}
+    suffixes = {}
+    for r in ranks.collect():
+        out, at = [], r.pos
+        while (r.t1, r.t2, at) in code and len(out) < 8:
+            out.append(seg[(r.t1, r.t2, at)])
+            at += 1
+        suffixes.setdefault(r.ranks[-1], set()).add(tuple(out))
+    assert all(len(x) == 1 for x in suffixes.values())
+    ordered = [(rank, next(iter(x))) for rank, x in sorted(suffixes.items())]
+    assert [x for _, x in ordered] == sorted(x for _, x in ordered)
+    lcp = {r.rank: r.lcp for r in D.common_prefixes(ranks).collect()}
+    assert len(lcp) == len(ordered) > 60 and lcp[ordered[0][0]] == 0
+    for (_, x), (rank, y) in zip(ordered, ordered[1:]):
+        common = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
+        assert lcp[rank] == common
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_frequent_lines_and_passages(spark, monkeypatch, hot):
+    """One line, and one passage, in most texts, whichever way they are joined."""
+    monkeypatch.setattr(D, "HOT", hot)
+    rng = random.Random(3)
+    passage = "\n".join(f"p{i} q r s t" for i in range(4))
+    docs = [(i, "\n".join([f"x{i} y", "common line of five words", *([passage] if i % 3 else []), rng.choice(["end one two", "end three four", f"end {i}"])])) for i in range(90)]
+    got = {r.doc_id: r.text for r in D.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string"), min_words=12).collect()}
+    assert got == brute(docs, 12)
+
+
 def test_line_dedup_keeps_odd_rows(odd, none):
     rows = D.line_dedup(odd).collect()
     assert len(rows) == odd.count()
