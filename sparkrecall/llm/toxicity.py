@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features say whether a text holds an n-gram (of the lower-cased bytes, n = 3 to 5, hashed). A feature's ratio r is the
-log of how much likelier toxic training texts hold it than others. Features whose counts differ by chance only are
-left out; over the others a logistic regression is trained on r times the feature.
+Features say whether a text holds an n-gram (of the lower-cased bytes, n = 4, 6 and 8, hashed; letters beyond ASCII have two
+bytes and more, so that shorter ones would tell compounds of other languages badly apart). A feature's ratio r is the log of
+how much likelier toxic training texts hold it than others. Features whose counts differ by chance only are left out; over
+the others a logistic regression is trained on r times the feature.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from sparkrecall.llm.common import bounded_batches, documents, lowest, trim
 
-BITS = 20
-ORDERS = (3, 4, 5)
+BITS = 22
+ORDERS = (4, 6, 8)
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -38,7 +39,7 @@ def features(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    """2^BITS weights (4 MB) and a bias, whatever it was trained on."""
+    """2^BITS weights (16 MB) and a bias, whatever it was trained on."""
 
     weights: np.ndarray
     bias: float
@@ -49,33 +50,44 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[f].sum(dtype=np.float64), -50, 50))))
 
 
-def train(texts: list[str | None], labels: list[int], least_texts: int = 3, least_z: float = 3.0, most_features: int = 40_000, penalty: float = 0.05, steps: int = 300) -> Model:
-    """The model of these texts. Without any toxic or any other text: no weights, the smoothed share as the score."""
+def ratios(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, texts that hold it, log-count ratio, z) of the features held by any text. z: by how many deviations the toxic
+    texts that hold it are more than their share."""
     y = np.array(labels, np.float64)
     pos, neg = float(y.sum()), float((1 - y).sum())
-    bias = float(np.log((pos + 0.5) / (neg + 1.5)))
-    weights = np.zeros(1 << BITS, np.float32)
-    if not pos or not neg:
-        return Model(weights, bias)
-    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    p, q = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     for t, label in zip(texts, labels, strict=True):
         (p if label else q)[np.unique(features(t))] += 1
+    held = np.nonzero(p + q)[0]
+    p, q = p[held].astype(np.float64), q[held].astype(np.float64)
     r = np.log((p + 1) / (pos + 2)) - np.log((q + 1) / (neg + 2))
     share = (p + q) / (pos + neg)
     z = (p - share * pos) / np.sqrt(np.maximum(share * (1 - share) * pos * neg / (pos + neg), 1e-9))
-    strength = np.where(p + q >= least_texts, np.abs(z), 0)
-    kept = np.nonzero(strength >= least_z)[0]
-    kept = kept[np.argsort(-strength[kept], kind="stable")][:most_features]
-    if not len(kept):
+    return held, p + q, r, z
+
+
+def train(texts: list[str | None], labels: list[int], least_texts: int = 3, least_z: float = 3.0, most_features: int = 40_000, penalty: float = 0.1, steps: int = 300) -> Model:
+    """The model of these texts. Without any toxic or any other text: no weights, the smoothed share as the score."""
+    y = np.array(labels, np.float64)
+    pos, neg = float(y.sum()), float((1 - y).sum())
+    bias = float(np.log((pos + 0.5) / (neg + 1.5)))
+    weights = np.zeros(1 << BITS, np.float32)
+    if not pos or not neg:
+        return Model(weights, bias)
+    held, n_texts, r, z = ratios(texts, labels)
+    strength = np.where(n_texts >= least_texts, np.abs(z), 0)
+    some = np.nonzero(strength >= least_z)[0]
+    some = some[np.argsort(-strength[some], kind="stable")][:most_features]
+    if not len(some):
         return Model(weights, bias)
-    place = np.full(1 << BITS, -1, np.int64)
+    kept, scale = held[some], r[some]
+    place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     # the features are made anew, since only those kept take memory
     columns = [np.unique(c[c >= 0]).astype(np.int32) for c in (place[features(t)] for t in texts)]
     n = len(texts)
     row, col = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in columns]), np.concatenate(columns)
-    del columns, p, q, share, z, strength
-    scale = r[kept]
+    del columns, held, n_texts, r, z, strength
     value = scale[col]
     w, b = np.zeros(len(kept)), bias
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)  # Adam over all texts at once
@@ -94,18 +106,21 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
-def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 6000) -> Model:
-    """The model of about `most_rows` labelled documents that aren't held out: those with low hashes of their keys.
-    Of a key with several labels the largest counts; rows without a label don't. Keys and labels of these rows,
-    and their texts, are all that reaches the driver."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
-    chosen = known.where(F.xxhash64(key) <= lowest(most_rows, known.count()))
-    picked = {r[0]: r[1] for r in chosen.select(key, "y").limit(2 * most_rows).collect()}
-    if not picked:
+def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 6000, most_bytes: int = 1 << 26) -> Model:
+    """The model of about `most_rows` labelled documents that aren't held out, those with low hashes of their keys, and of
+    no more than `most_bytes` of text (by hash, until they are reached). Of a key with several labels the largest counts;
+    rows without a label don't. These texts and their labels are all that reaches the driver."""
+    own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where(~held_out("key"))
+    known = own.groupBy("key").agg(F.max("y").alias("y"))
+    chosen = known.where(F.xxhash64("key") <= lowest(most_rows, known.count()))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").withColumn("h", F.xxhash64("key", "text"))
+    sizes = rows.select("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h").limit(2 * most_rows).collect()  # keys that repeat don't grow it
+    within = int(np.searchsorted(np.cumsum([r.n for r in sizes]), most_bytes, side="right"))
+    if not within:
         return train([], [])
-    small = docs.sparkSession.createDataFrame(pd.DataFrame({"k": list(picked)}), f"k {docs.schema[key].dataType.simpleString()}")
-    rows = docs.join(F.broadcast(small), F.col(key) == F.col("k"), "left_semi").select(key, text).orderBy(key).limit(2 * most_rows).collect()  # keys that repeat don't grow it
-    return train([r[1] for r in rows], [picked[r[0]] for r in rows])
+    picked = rows.where(F.col("h") <= sizes[within - 1].h).select("h", "y", "text").limit(2 * most_rows).collect()
+    picked.sort(key=lambda r: (r.h, r.y))
+    return train([r.text for r in picked], [r.y for r in picked])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
@@ -123,10 +138,12 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` (with doc_id and text) with held_out, score and predicted. The score depends on the text alone, so equal
-    texts score alike. Repeated rows stay. No labels at all: the score is 0.25, predicted 0."""
+    """`docs` (with doc_id and text) with held_out, score and predicted; columns of these names are replaced, all others
+    stay, whatever their names. The score depends on the text alone, so equal texts score alike. Repeated rows stay. Null
+    keys are not held out and have no label. No labels at all: the score is 0.25, predicted 0."""
     model = trained(docs, labels)
-    return scored(docs.withColumn("held_out", F.coalesce(held_out(), F.lit(False))), model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    held = docs.drop("held_out", "score", "predicted").withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+    return scored(held, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op6_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,6 +284,50 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert T.toxicity(none, labels).count() == 0
 
 
+def test_toxicity_against_brute_force(spark):
+    """Features, ratios and scores from their definitions; the fit by its optimum: no slope is left along any weight."""
+    rows = planted(400, 7)
+    texts, y = [r[1] for r in rows], [r[2] for r in rows]
+
+    def grams(text):
+        x = b" " + b" ".join(text.encode().lower().split()) + b" "
+        return {(int.from_bytes(x[i : i + n], "little") * f % (1 << 64)) >> (64 - T.BITS) for n, f in zip(T.ORDERS, T._FACTORS, strict=True) for i in range(len(x) - n + 1)}
+
+    sets = [grams(t) for t in texts]
+    pos, neg = sum(y), len(y) - sum(y)
+    held, n, r, z = T.ratios(texts, y)
+    assert set(held.tolist()) == set().union(*sets)
+    of = {f: (a, b, c) for f, a, b, c in zip(held.tolist(), n, r, z, strict=True)}
+    for f in held.tolist()[::37]:
+        p, q = (sum(f in s for s, label in zip(sets, y, strict=True) if label == k) for k in (1, 0))
+        share = (p + q) / len(y)
+        assert of[f][0] == p + q and of[f][1] == pytest.approx(math.log((p + 1) / (pos + 2)) - math.log((q + 1) / (neg + 2)))
+        assert of[f][2] == pytest.approx((p - share * pos) / math.sqrt(max(share * (1 - share) * pos * neg / len(y), 1e-9)))
+    model = T.train(texts, y, steps=3000)
+    weights = {f: float(model.weights[f]) for f in np.nonzero(model.weights)[0].tolist()}
+    assert set(weights) <= {f for f, (a, _, c) in of.items() if a >= 3 and abs(c) >= 3}
+    logit = [model.bias + sum(weights.get(f, 0) for f in s) for s in sets]
+    for t, x in zip(texts, logit, strict=True):
+        assert model.score(t) == pytest.approx(1 / (1 + math.exp(-x)), abs=1e-5)
+    error = [1 / (1 + math.exp(-x)) - label for x, label in zip(logit, y, strict=True)]
+    assert abs(sum(error)) < 0.1
+    for f, w in weights.items():  # of the weight w / ratio, which the penalty pulls to 0
+        ratio = of[f][1]
+        assert abs(ratio * sum(e for e, s in zip(error, sets, strict=True) if f in s) + 0.1 * w / ratio) < 0.1
+
+
+def test_toxicity_with_clashing_names_and_bounds(spark):
+    rows = planted(300, 2)
+    docs = spark.createDataFrame([(i, t, 5, "x", 0.5, "h") for i, t, _ in rows], "doc_id bigint, text string, k int, y string, score double, h string")
+    labels = spark.createDataFrame([(r[0], r[2], "z") for r in rows], "doc_id bigint, toxic int, text string")
+    out = T.toxicity(docs, labels)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "k", "y", "h", "held_out", "score", "predicted"]) and out.count() == 300
+    assert {(r.k, r.y, r.h) for r in out.collect()} == {(5, "x", "h")}
+    assert T.trained(docs, labels, most_bytes=10).weights.any() == False  # noqa: E712
+    few = T.trained(docs, labels, most_bytes=4000)
+    assert np.isfinite(few.bias)
+
+
 # ---- language model ---------------------------------------------------------------------------------------------------
 
 
