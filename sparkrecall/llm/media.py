@@ -88,9 +88,11 @@ def feature(payload: bytes, width: int, height: int) -> str:
 
 
 def _open(folder: str):
+    """The file system of a folder and the folder's path in it. Spark's names of object stores are Arrow's of the same."""
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(folder)
+    scheme, colon, rest = folder.partition(":")
+    return FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + colon + rest)
 
 
 def store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", shard_bytes: int = 1 << 30) -> DataFrame:

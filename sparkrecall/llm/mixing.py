@@ -60,30 +60,33 @@ def curriculum(rows: DataFrame, seed: int = 0, piece_rows: int = 2_000, share: f
     array<double> positions: the training times of the copies taken, one for each.
 
     Sources may be null (one source of its own). Null sizes are 0. Documents of size 0 are taken never. Rows that are
-    equal in every column are interchangeable, so reruns agree. Empty table: no rows. `rows` must have no such columns yet.
+    equal in every column are interchangeable, so reruns agree. Empty table: no rows. Columns of `rows` named like the
+    results are replaced, all others stay, whatever their names.
     """
-    names = rows.columns
-    key = F.xxhash64(F.lit(seed), *(names))
-    held = materialize(rows.withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long")).withColumn("__h", key), "sized")
-    many = held.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    plan = targets(many.select("source", "source_size"), share, most).withColumnRenamed("source", "__s")
+    rows = rows.drop("source_size", "target", "copies", "taken", "positions")
+    words = F.coalesce(F.col("size"), F.lit(0)).cast("long")
+    # what the caller has goes along whole, so that no name of it meets one of these tables'
+    held = materialize(rows.withColumn("size", words).select(F.struct(*rows.columns).alias("row"), F.xxhash64(F.lit(seed), *rows.columns).alias("h")), "sized")
+    own, size = F.col("row.source"), F.col("row.size")
+    many = held.groupBy(own.alias("source")).agg(F.sum(size).alias("source_size"), F.count("*").alias("n"))
+    plan = targets(many.select("source", "source_size"), share, most).withColumnRenamed("source", "s")
     pieces = F.greatest(F.ceil(F.col("n") / piece_rows), F.lit(1))
-    plan = materialize(plan.join(many.select("source", pieces.alias("pieces")), F.col("source").eqNullSafe(F.col("__s"))).drop("source"), "targets")
+    plan = materialize(plan.join(many.select("source", pieces.alias("pieces")), F.col("source").eqNullSafe(F.col("s"))).drop("source"), "targets")
     # one row for each source: a broadcast only if Spark finds it small, else a join whose large partitions are split
-    joined = held.join(plan, F.col("source").eqNullSafe(F.col("__s")), "left")
-    piece = F.floor((F.shiftrightunsigned("__h", 11) / F.lit(float(1 << 53))) * F.col("pieces")).cast("long")
-    cut = materialize(joined.withColumn("__piece", piece), "pieces")
-    sums = cut.groupBy("__s", "__piece").agg(F.sum("size").alias("w"))
-    run = F.sum("w").over(W.partitionBy("__s").orderBy("__piece").rowsBetween(W.unboundedPreceding, -1))
-    starts = sums.select(F.col("__s").alias("s"), F.col("__piece").alias("p"), F.coalesce(run, F.lit(0)).alias("start"))
-    ahead = F.sum("size").over(W.partitionBy("__s", "__piece").orderBy("__h", *(c for c in names)).rowsBetween(W.unboundedPreceding, -1))
-    lined = cut.withColumn("__ahead", F.coalesce(ahead, F.lit(0)))
-    placed = lined.join(starts, F.col("__s").eqNullSafe(F.col("s")) & (F.col("__piece") == F.col("p")))
-    middle = F.col("start") + F.col("__ahead") + F.col("size") / 2
+    joined = held.join(plan, own.eqNullSafe(F.col("s")), "left")
+    piece = F.floor((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) * F.col("pieces")).cast("long")
+    cut = materialize(joined.withColumn("piece", piece), "pieces")
+    sums = cut.groupBy("s", "piece").agg(F.sum(size).alias("w"))
+    run = F.sum("w").over(W.partitionBy("s").orderBy("piece").rowsBetween(W.unboundedPreceding, -1))
+    starts = sums.select(F.col("s").alias("of"), F.col("piece").alias("p"), F.coalesce(run, F.lit(0)).alias("start"))
+    ahead = F.sum(size).over(W.partitionBy("s", "piece").orderBy("h", "row").rowsBetween(W.unboundedPreceding, -1))
+    lined = cut.withColumn("ahead", F.coalesce(ahead, F.lit(0)))
+    placed = lined.join(starts, F.col("s").eqNullSafe(F.col("of")) & (F.col("piece") == F.col("p")))
+    middle = F.col("start") + F.col("ahead") + size / 2
     at = [middle + epoch * F.col("source_size") for epoch in range(most)]
-    positions = F.filter(F.array(*(F.when((x <= F.col("target")) & (F.col("size") > 0), when_demanded(F.try_divide(x, F.col("target")), F.col("slope"))) for x in at)), lambda t: t.isNotNull())
-    out = placed.withColumn("positions", positions).withColumn("copies", F.size("positions")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*names, "source_size", "target", "copies", "taken", "positions")
+    positions = F.filter(F.array(*(F.when((x <= F.col("target")) & (size > 0), when_demanded(F.try_divide(x, F.col("target")), F.col("slope"))) for x in at)), lambda t: t.isNotNull())
+    out = placed.withColumn("positions", positions).withColumn("copies", F.size("positions")).withColumn("taken", F.col("copies") * size)
+    return out.select("row.*", "source_size", "target", "copies", "taken", "positions")
 
 
 def n_words(text: Column) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecall.llm.common import documents, materialize
+from sparkrecall.llm.common import bounded_batches, documents, materialize
 
 #: Rows of an input partition are numbered in the low 33 bits of Spark's increasing ids, partitions above them.
 ROW_BITS = 33
@@ -84,21 +84,26 @@ class Matrix:
         return colors
 
 
-def uniform_shuffle(rows: DataFrame, shards: int, seed: int = 0, block_rows: int = 1 << 16) -> DataFrame:
+def uniform_shuffle(rows: DataFrame, shards: int, seed: int = 0, block_rows: int = 1 << 16, block_bytes: int = 1 << 25) -> DataFrame:
     """`rows` with int columns shard and bigint slot: shard sizes differ by one at most, slots are gapless from 0.
 
-    Values play no part: nulls, repeats and equal rows are dealt like others. An empty table gives no rows. `rows`
-    must not have columns named shard, slot or __row. Its rows are written to the shared folder once, with the
-    numbers by which they are dealt; a rerun of a lost task therefore deals the same.
+    Values play no part: nulls, repeats and equal rows are dealt like others. An empty table gives no rows. Columns
+    named shard, slot, __row and __block are replaced. The rows are written to the shared folder once, with the numbers by which
+    they are dealt; a rerun of a lost task therefore deals the same. A task settles blocks of at most block_rows rows, fewer
+    where so many are more than block_bytes on average: which rows meet in a block is random, so the average holds for each.
     """
     spark = rows.sparkSession
+    rows = rows.drop("shard", "slot", "__row", "__block")
     names = rows.columns
     held = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
     number = F.shiftright("__row", ROW_BITS)
     counts = held.groupBy(number.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # one row for each input partition
     place = {r.p: i for i, r in enumerate(counts)}
     sizes = [r.n for r in counts]
-    shard, first, size = blocks_of(sum(sizes), shards, block_rows)
+    long = [F.octet_length(f.name) for f in rows.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    mean = held.agg(F.avg(sum((F.coalesce(x, F.lit(0)) for x in long), F.lit(16)))).first()[0] or 16
+    shard, first, size = blocks_of(sum(sizes), shards, max(1, min(block_rows, int(block_bytes // mean))))
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((place, sizes))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +137,6 @@ def uniform_shuffle(rows: DataFrame, shards: int, seed: int = 0, block_rows: int
 
 
 def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Law `rows`. Null texts: size 16, checksum 0."""
-    text = F.coalesce("text", F.lit(""))
-    rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    dealt = uniform_shuffle(rows, 40)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Law `rows`. The documents are dealt with their texts, and told by what arrives. Null texts: size 16, checksum 0."""
+    dealt, text = uniform_shuffle(documents(spark, sf_dir), 40), F.coalesce("text", F.lit(""))
+    return dealt.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecall.llm.common import documents
+from sparkrecall.llm.common import bounded_batches, documents, trim
 
 HASHES = 3
 #: Cells of the fingerprint itself, and by how much a retry is larger.
@@ -205,46 +205,56 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", per_stre
     last, nulls = max(len(bounds) - 1, 0), known < total
 
     @F.pandas_udf("stretch int, before int")
-    def stretch(keys: pd.Series) -> pd.DataFrame:
-        there = keys.notna().to_numpy()
+    def stretch(keys: pd.Series, known: pd.Series) -> pd.DataFrame:
+        there = known.to_numpy()
         at = np.zeros(len(keys), np.int32)
         before = np.full(len(keys), -1, np.int32)
         if len(bounds):
-            own = keys[there].to_numpy().astype(bounds.dtype)
+            own = np.array(keys[there].tolist(), None if bounds.dtype.kind == "U" else bounds.dtype)  # strings keep their own lengths
             at[there] = np.maximum(np.searchsorted(bounds, own, side="right") - 1, 0)
             begins = bounds[at[there]] == own
             before[there] = np.where(begins, np.where(at[there] > 0, at[there] - 1, -1 if nulls else last), -1)
         before[~there] = last
         return pd.DataFrame({"stretch": at, "before": before})
 
-    placed = docs.withColumn("at", stretch("key"))
+    # keys beside nulls would come as floating point numbers
+    key_or = F.coalesce("key", F.lit(bounds[0].item() if hasattr(bounds[0], "item") else bounds[0]).cast(docs.schema["key"].dataType)) if len(bounds) else F.lit(0)
+    bounded_batches(docs.sparkSession)
+    placed = docs.withColumn("at", stretch(key_or, F.col("key").isNotNull()))
     own, late = F.struct(F.col("at.stretch").alias("stretch"), F.lit(0).alias("late")), F.struct(F.col("at.before").alias("stretch"), F.lit(1).alias("late"))
     dealt = placed.select("key", "text", F.explode(F.when(F.col("at.before") >= 0, F.array(own, late)).otherwise(F.array(own))).alias("s")).select("s.stretch", "s.late", "key", "text")
     return dealt.repartition(last + 1, "stretch").sortWithinPartitions("stretch", "late", "key", "text")
 
 
-def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text", batch_rows: int = 256) -> DataFrame:
+def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text", batch_rows: int = 256, batch_chars: int = 1 << 21) -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_differences).
 
     The next document is that of the next key, after the last the first; of a single document, itself. Rows of one key
-    follow each other by text. Null texts are empty; texts without paragraphs are alike. Empty table: no rows.
+    follow each other by text, in one task, which holds at most batch_rows of them and batch_chars characters, or two
+    documents. Null texts are empty; texts without paragraphs are alike. Other columns are ignored. Empty table: no rows.
+
+    The likenesses are of the whole sets of digests: two sketches are subtracted and peeled, and where the sets differ in
+    more than their cells can tell, larger sketches of the same sets are. The fingerprints returned have CELLS cells.
     """
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_differences"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
+        chars = 0
         before, kind = None, None
         for batch in batches:
             kind = batch.schema.field(2).type
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if before and before[0] == row[0] and not before[1]:
                     rows.append((before[2], before[3], row[3]))
-                    if len(rows) >= batch_rows:
+                    chars += len(before[3])
+                    if len(rows) >= batch_rows or chars >= batch_chars:
                         yield _compared(rows, names, kind)
-                        rows = []
+                        rows, chars = [], 0
                 before = row
         if rows:
             yield _compared(rows, names, kind)
+        trim()
 
     kind = docs.schema[key].dataType.simpleString()
     return with_next(docs, key, text).mapInArrow(walk, f"`{key}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_differences bigint")

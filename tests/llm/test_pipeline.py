@@ -64,6 +64,15 @@ def test_null_and_repeated_ids(spark, tmp_path):
     near.unpersist()
 
 
+def test_repeated_rows_are_mixed_once_each(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(10))
+    df = spark.createDataFrame([(3, words, "en", s, 1) for s in ("a", "a", "a", "b", None)] + [(None, words, "en", "a", 1)] * 2, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = C.mixing_sources(spark, df, str(tmp_path)).groupBy("doc_id", "source").count().collect()
+    of = {(r.doc_id, r.source): r["count"] for r in got}
+    assert of[(3, "a")] <= 6 and of.get((3, "b"), 0) <= 2 and of.get((None, "a"), 0) <= 4
+    assert 9 <= sum(of.values()) <= 12  # 150 % of 7 documents
+
+
 def test_run(spark):
     rows = C.run(spark, DATA).collect()
     docs = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}

@@ -53,6 +53,9 @@ def test_shuffle(spark, block_rows):
 
 def test_shuffle_of_odd_rows(odd, none):
     rows = odd.drop("shard")
+    again = H.uniform_shuffle(odd.withColumn("slot", F.lit("x")).withColumn("__row", F.lit(1)), 3)
+    assert again.columns == [c for c in odd.columns if c != "shard"] + ["shard", "slot"] and again.count() == odd.count()
+    assert H.uniform_shuffle(odd, 3, block_bytes=1).count() == odd.count()  # a block for each row
     assert H.uniform_shuffle(rows, 3).count() == rows.count()
     assert H.uniform_shuffle(none.drop("shard"), 3).count() == 0
 
@@ -111,5 +114,9 @@ def test_mix_of_odd_rows(odd, none):
     sized = lambda d: d.select("doc_id", "source", M.n_words(F.col("text")).alias("size"))
     assert M.curriculum(sized(odd)).count() == odd.count()
     assert M.curriculum(sized(none)).count() == 0
+    clash = sized(odd).withColumn("target", F.lit("x")).withColumn("positions", F.lit(1)).withColumn("weight", F.lit("w")).withColumn("n", F.lit(3)).withColumn("pieces", F.lit(0)).withColumn("s", F.lit(0)).withColumn("start", F.lit(0))
+    mixed = M.curriculum(clash)
+    assert mixed.count() == odd.count() and dict(mixed.dtypes)["target"] == "double" and dict(mixed.dtypes)["weight"] == "string"
+    assert sorted(map(str, M.curriculum(sized(odd.repartition(3))).collect())) == sorted(map(str, M.curriculum(sized(odd)).collect()))  # reruns agree
     copies = M.by_position(M.curriculum(sized(odd))).collect()
     assert all(r.size > 0 for r in copies)

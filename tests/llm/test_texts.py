@@ -537,6 +537,21 @@ def test_next_documents(spark, odd, none, per_stretch):
     assert len(rows) == odd.count()
     assert len({r.fingerprint for r in rows if r.doc_id == 1}) == 1
     assert K.sketched(none).count() == 0
+    # keys that floating point numbers can't hold, beside null; and strings longer than any bound
+    big = df.withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id") + 2**60))
+    texts = df.withColumn("doc_id", F.concat(F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.repeat(F.lit("é"), (F.col("doc_id") % 7).cast("int"))))
+    told = lambda d: [tuple(r)[1:] for r in sorted(K.sketched(d).collect(), key=lambda r: (r.doc_id is not None, r.doc_id))]
+    with_next = K.with_next
+    K.with_next = lambda d, key, text: with_next(d, key, text, 4)
+    try:
+        plain = told(df)
+        assert told(texts) == plain
+        assert sorted(r[1] for r in told(big)) != [] and len(told(big)) == len(plain)
+        moved = {r.doc_id: r.edited_sha256 for r in K.sketched(big).collect()}
+        same = {r.doc_id: r.edited_sha256 for r in K.sketched(df).collect()}
+        assert all(moved[i + 2**60] == h for i, h in same.items() if i not in (0, 3, max(same)))
+    finally:
+        K.with_next = with_next
     (only,) = K.sketched(df.where("doc_id = 0")).collect()
     assert only.near_next == 1.0
 
