@@ -374,7 +374,7 @@ def _counts(words, count):
 
 def test_forms_and_codes():
     texts = ["Tea tea  été xx", "", None, " \n", "tea " * 3, "a bc déf ghij"]
-    coder = X.Coder([X.END, b"tea", b"bc"])
+    coder = X.Coder(pa.array(["", "tea", "bc"]))
     codes, forms, sizes = coder(pa.array(texts))
     words = [X.words_of(t) for t in texts]
     assert sizes.tolist() == [len(w) for w in words]
@@ -389,17 +389,17 @@ def test_cells_are_probabilities():
     count = {b"w%d" % i: int(n) for i, n in enumerate(np.bincount(rng.zipf(1.4, 50_000) % 600)) if n}
     words = [X.END, *list(count)[:400]]
     counts = _counts(words, count | {X.END: 90})
-    of, w = X.cells(counts, words)
+    of, w = X.cells(counts, pa.array([x.decode() for x in words]))
     for t in w.tables:
         t += rng.normal(0, 0.3, t.shape).astype(np.float32)
-    n = w.width
-    one = [np.full(n**3, f, np.uint64) for f in rng.integers(1 << 63, size=6, dtype=np.uint64)]
-    classes, cells = np.repeat(np.arange(n * n), n), np.tile(np.arange(n), n * n)
+    n, width = X.WIDTH**w.depth, X.WIDTH
+    one = [np.full(n * width, f, np.uint64) for f in rng.integers(1 << 63, size=5, dtype=np.uint64)]
+    classes, cells = np.repeat(np.arange(n), width), np.tile(np.arange(width), n)
     p = np.exp(X.log_p(w, one, classes, cells).astype(np.float64))
     assert p.sum() == pytest.approx(1, abs=1e-4)
     # within a shared cell the words and one that was never seen share all there is
-    for c in range(n * n):
-        mine = [v for x, v in count.items() if X.classes_of(np.array([X.form_of(x)]), n)[0] == c and (x not in words or of.cells[words.index(x)] == n - 1)]
+    for c in range(n):
+        mine = [v for x, v in count.items() if X.classes_of(X.form_of(x), w.depth) == c and (x not in words or of.cells[words.index(x)] == width - 1)]
         assert sum(v + 0.5 for v in mine) + 0.5 == pytest.approx(10 ** of.rest[c])
 
 
@@ -407,13 +407,13 @@ def test_training_learns_a_pattern():
     """Words that follow from the word before become likelier."""
     codes = np.tile(np.arange(1, 9, dtype=np.uint64), 4000)
     words = [X.END, *(b"w%d" % i for i in range(8))]
-    of, w = X.cells(_counts(words, {x: 4000 for x in words[1:]}), words)
+    of, w = X.cells(_counts(words, {x: 4000 for x in words[1:]}), pa.array([x.decode() for x in words]))
     forms = np.array([X.form_of(words[int(c)]) for c in codes])
     trainer, f = X.Trainer(w), X._contexts(codes, forms, np.array([len(codes)]))
-    before = X.log_p(trainer.w, f, *of(codes, forms, w.width)).mean()
-    for some in X._batches(f, *of(codes, forms, w.width)):
+    before = X.log_p(trainer.w, f, *of(codes, forms, w.depth)).mean()
+    for some in X._batches(f, *of(codes, forms, w.depth)):
         trainer.batch(*some)
-    assert X.log_p(trainer.w, f, *of(codes, forms, w.width)).mean() > before + 0.5
+    assert X.log_p(trainer.w, f, *of(codes, forms, w.depth)).mean() > before + 0.5
 
 
 def test_scores_against_brute_force(spark, monkeypatch):
@@ -422,7 +422,7 @@ def test_scores_against_brute_force(spark, monkeypatch):
     train = X.train
 
     def seen(docs, words, cell_of, w, rounds=2):
-        kept.update(words=words, w=train(docs, words, cell_of, w, rounds))
+        kept.update(words=[x.encode() for x in words.to_pylist()], w=train(docs, words, cell_of, w, rounds))
         return kept["w"]
 
     monkeypatch.setattr(X, "train", seen)
@@ -437,8 +437,8 @@ def test_scores_against_brute_force(spark, monkeypatch):
         if zlib.crc32(str(k).encode()) % 5 != 1:
             for x in X.words_of(t):
                 count[x] = count.get(x, 0) + 1
-    n, mask = w.width, (1 << 64) - 1
-    class_of = lambda x: X.form_of(x) * n * n // X.FORMS
+    n, mask, depth = X.WIDTH, (1 << 64) - 1, w.depth
+    class_of = lambda x: X.form_of(x) * n**depth // X.FORMS
     number = {x: i for i, x in enumerate(words)}
     cell, rest = {}, {}
     for c in {class_of(x) for x in [*count, *words]}:
@@ -452,16 +452,19 @@ def test_scores_against_brute_force(spark, monkeypatch):
     def probability(context, x):
         code = lambda y: number.get(y, max(xxhash.xxh64_intdigest(y, 1), 200))
         start, before = 1 << 40, context[::-1]
-        one, two, three = (code(before[k - 1]) if len(before) >= k else start + k for k in (1, 2, 3))
-        near, next_ = (X.form_of(before[k - 1]) if len(before) >= k else start + k for k in (1, 2))
-        features = [one, two, three, near, (one * 0x2545F4914F6CDD1D & mask) ^ two, (near * 0x2545F4914F6CDD1D & mask) ^ next_]
+        one = code(before[0]) if before else start + 1
+        near, second, third = (X.form_of(before[k - 1]) if len(before) >= k else start + k for k in (1, 2, 3))
+        features = [one, near, (near * 0x2545F4914F6CDD1D & mask) ^ second, second, third]
         features = [shift(shift(f, 29) * int(m) & mask, 32) for f, m in zip(features, X._MULTIPLIERS, strict=True)]
         c = class_of(x)
         total = 0.0
-        for level, given, bias, right in ((0, 0, w.biases[0], c // n), (1, c // n, w.biases[1][c // n], c % n), (2, c, w.biases[2][c], cell.get(x, n - 1))):
-            salt = (given + 1 + (level << 20)) * 0x9E3779B97F4A7C15 & mask
-            at = [(shift((features[k] * 0xD6E8FEB86659FD93 + salt) & mask, 31) * 0xBF58476D1CE4E5B9 & mask) >> (64 - X.BITS[level]) for k in X.USED[level]]
-            logits = [float(bias[j]) + sum(float(w.tables[level][a][j]) for a in at) for j in range(n)]
+        for level in range(depth + 1):
+            node = c // n ** (depth - level)
+            right = c // n ** (depth - level - 1) % n if level < depth else cell.get(x, n - 1)
+            salt = (node + 1 + (level << 20)) * 0x9E3779B97F4A7C15 & mask
+            bits = X.BITS[min(level, len(X.BITS) - 1)]
+            at = [(shift((features[k] * 0xD6E8FEB86659FD93 + salt) & mask, 31) * 0xBF58476D1CE4E5B9 & mask) >> (64 - bits) for k in X.USED[min(level, len(X.USED) - 1)]]
+            logits = [float(w.biases[level][node][j]) + sum(float(w.tables[level][a][j]) for a in at) for j in range(n)]
             total += logits[right] - math.log(sum(map(math.exp, logits)))
         share = 0.0 if x in cell else math.log10((count.get(x, 0) + 0.5) / rest.get(c, 0.5))
         return total / math.log(10) + share
@@ -472,19 +475,25 @@ def test_scores_against_brute_force(spark, monkeypatch):
 
 
 def test_cells_grow_with_the_types():
-    head = np.bincount(np.repeat(np.arange(5000), np.arange(5000, 0, -1) % 90 + 1), minlength=X.DICTIONARY)
-    counts = X.Counts(head, int(head.sum()) + 1_000_000, 1_000_000)
-    of = X.cells(counts, 5000)
-    w = X.first_weights(counts, of)
-    assert w.width == 32 and (of != w.other).sum() == 32 * 31
-    one = [np.full(32 * 32, 7 + i, np.uint64) for i in range(4)]
-    p = np.exp(X.log_p(w, one, np.arange(32 * 32)).astype(np.float64))
-    assert p[: 32 * 31].sum() + p[w.other] == pytest.approx(1, abs=1e-5)
-
-
-def test_third_word_before_is_a_feature():
-    f = X._contexts(np.array([1, 2, 3, 9, 5, 2, 3, 9], np.uint64), np.array([8]))
-    assert len(f) == 4 and sum(x[3] != x[7] for x in f) == 1  # behind 1 2 3 and 5 2 3
+    words = pa.array(["", *(f"w{i}" for i in range(5000))])
+    head = np.zeros(X.DICTIONARY, np.int64)
+    head[1:5001] = np.arange(5000, 0, -1)
+    before = 0
+    for types, depth in ((0, 2), (20_000, 2), (1_000_000, 3), (20_000_000, 4)):
+        spread = np.full(X.FORMS, types // X.FORMS)
+        of, w = X.cells(X.Counts(head, spread * 3, spread), words)
+        own = len({(X.classes_of(X.form_of(x.encode()), depth), c) for x, c in zip(words.to_pylist(), of.cells, strict=False) if c < X.WIDTH - 1})
+        assert w.depth == depth and own > before and len(w.biases[-1]) == X.WIDTH**depth
+        before = own - 1
+
+
+def test_features_of_the_context():
+    codes, forms = np.array([1, 2, 3, 9, 5, 2, 3, 9, 1, 2, 4, 9], np.uint64), np.array([1, 2, 3, 9, 5, 2, 3, 9, 1, 2, 4, 9])
+    f = X._contexts(codes, forms, np.array([4, 4, 4]))
+    assert len(f) == 5
+    assert [bool(x[3] != x[7]) for x in f] == [False, False, False, False, True]  # behind 1 2 3 and 5 2 3
+    assert [bool(x[3] != x[11]) for x in f] == [True, True, True, False, False]  # behind 1 2 3 and 1 2 4
+    assert all(x[0] == x[4] == x[8] for x in f)
 
 
 def test_scores_of_nothing(none):
