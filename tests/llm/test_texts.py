@@ -421,8 +421,8 @@ def test_scores_against_brute_force(spark, monkeypatch):
     kept = {}
     train = X.train
 
-    def seen(docs, words, cell_of, w, rounds=2):
-        kept.update(words=[x.encode() for x in words.to_pylist()], w=train(docs, words, cell_of, w, rounds))
+    def seen(docs, words, cell_of, w, size, rounds=2):
+        kept.update(words=[x.encode() for x in words.to_pylist()], w=train(docs, words, cell_of, w, size, rounds))
         return kept["w"]
 
     monkeypatch.setattr(X, "train", seen)
