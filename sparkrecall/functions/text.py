@@ -35,8 +35,8 @@ def normalize_key(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case words of letters a-z and digits, longer than one, without stop words; repeats stay."""
-    plain = F.regexp_replace(normalize_key(text), r"[^a-z0-9\s]", " ")
-    return F.filter(F.split(plain, r"\s+"), lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS))
+    word = rf"(?<![a-z0-9])(?!(?:{'|'.join(STOPWORDS)})(?![a-z0-9]))[a-z0-9]{{2,}}+"
+    return F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0))
 
 
 def summarize(text: Column) -> Column:

@@ -49,6 +49,9 @@ def _boost() -> Column:
     return X.feedback_boost(F.col("m.stats.positive"), F.col("m.stats.negative"))
 
 
+# Fixed values in what follows: the weights, thresholds and reasons of both kinds of score.
+
+
 def lexical_hits(queries: DataFrame, memories: DataFrame, as_of: Column) -> DataFrame:
     """(query_id, rank, id, memory_type, text, score, reasons, and what contexts need), by score, recency of update,
     order. At least 0.2 (or min_score); limit 8, within 1 to 100."""

@@ -321,11 +321,18 @@ def v5_support_replies(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).select("seq", F.md5(R.support_reply(C("text"), mem)).alias("reply_md5"))
 
 
-SQL["v5_support_replies"] = f"""with {MSG_SQL}, r as (select seq, case when {V.part('text', 'hello', 'hi')} then case when seq%2<>0 then 'Hello! I see you''ve contacted us before about some issues. How can I help you today? Is this related to your previous an issue with tea?' else 'Hello! Welcome to customer support. How can I assist you today?' end
- when {V.part('text', 'issue', 'problem')} then case when seq%2<>0 then 'I understand you''re experiencing an issue. I can see this might be related to a previous problem you had: "An issue with tea". Let me help you troubleshoot this. Can you provide more details about what''s happening?' else 'I''m sorry to hear you''re experiencing an issue. Can you please describe what''s happening in detail so I can assist you better?' end
- when {V.part('text', 'status', 'update')} then case when seq%2<>0 then 'Let me check the status of your recent issue: "An issue with tea". I''ll look into this and provide you with an update shortly.' else 'I''d be happy to check the status for you. Can you please specify which issue or request you''d like an update on?' end
- when {V.part('text', 'thank')} then 'You''re welcome! Is there anything else I can help you with today?'
- when seq%2=0 then 'Based on your preferences (Customer prefers: tea), I''d recommend... How does that sound?' else 'I understand your concern. Based on our previous conversations, I can see that we''ve discussed An issue with tea. Let me help you with your current question.' end as reply from ms) select seq, md5(reply) as reply_md5 from r"""
+def _reply(replies: dict[str, str], name: str, x: str | None = None) -> str:
+    """A reply as SQL, with what a memory says, if it has a place for that."""
+    quoted = replies[name].replace("'", "''")
+    return f"'{quoted}'" if x is None else "'" + quoted.replace("{}", f"'||{x}||'") + "'"
+
+
+_S = R.SUPPORT_REPLIES
+SQL["v5_support_replies"] = f"""with {MSG_SQL}, r as (select seq, case when {V.part('text', 'hello', 'hi')} then case when seq%2<>0 then {_reply(_S, 'greet_known', "'an issue with tea'")} else {_reply(_S, 'greet')} end
+ when {V.part('text', 'issue', 'problem')} then case when seq%2<>0 then {_reply(_S, 'issue_known', "'An issue with tea'")} else {_reply(_S, 'issue')} end
+ when {V.part('text', 'status', 'update')} then case when seq%2<>0 then {_reply(_S, 'status_known', "'An issue with tea'")} else {_reply(_S, 'status')} end
+ when {V.part('text', 'thank')} then {_reply(_S, 'thanks')}
+ when seq%2=0 then {_reply(_S, 'preference', "'Customer prefers: tea'")} else {_reply(_S, 'any', "'An issue with tea'")} end as reply from ms) select seq, md5(reply) as reply_md5 from r"""
 
 
 def v14_assistant_replies(spark: SparkSession, d: str) -> DataFrame:
@@ -333,9 +340,11 @@ def v14_assistant_replies(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).select("seq", R.assistant_reply(C("text"), mem, C("seq") % 24).alias("reply"))
 
 
-SQL["v14_assistant_replies"] = f"""with {MSG_SQL} select seq, case when {V.part('text', 'what is my', 'when is my')} then 'Based on what you''ve told me: User''s name: Sarah' when {V.part('text', 'what do i have', 'schedule', 'appointment')} then 'I don''t see any scheduled items. Would you like to add something?'
- when {V.part('text', 'recommend', 'suggest', 'what should i')} then 'I''d be happy to make recommendations. Can you tell me more about what you''re looking for?' when {V.part('text', 'remind me', 'routine')} then 'I''ll help you build and maintain good routines. What would you like to be reminded about?'
- when {V.part('text', 'goal', 'achieve')} then 'I''d love to help you set and achieve your goals. What would you like to work on?' when {V.part('text', 'hello', 'hi', 'good')} then (case when seq%24<12 then 'Good morning' when seq%24<18 then 'Good afternoon' else 'Good evening' end)||', Sarah! How can I assist you today?'
- else 'I understand. Based on our previous conversations about user''s name: sarah, how can I help you today?' end as reply from ms"""
+_A = R.ASSISTANT_REPLIES
+_HELLO = "(case when seq%24<12 then 'Good morning' when seq%24<18 then 'Good afternoon' else 'Good evening' end||', Sarah')"
+SQL["v14_assistant_replies"] = f"""with {MSG_SQL} select seq, case when {V.part('text', 'what is my', 'when is my')} then {_reply(_A, 'personal_known', "'User''s name: Sarah'")} when {V.part('text', 'what do i have', 'schedule', 'appointment')} then {_reply(_A, 'schedule')}
+ when {V.part('text', 'recommend', 'suggest', 'what should i')} then {_reply(_A, 'recommend')} when {V.part('text', 'remind me', 'routine')} then {_reply(_A, 'habit')}
+ when {V.part('text', 'goal', 'achieve')} then {_reply(_A, 'goal')} when {V.part('text', 'hello', 'hi', 'good')} then {_reply(_A, 'greet_known', _HELLO)}
+ else {_reply(_A, 'any', "'user''s name: sarah'")} end as reply from ms"""
 
 QUERIES = {f.__name__: f for f in (b10_events, q4_facts, q5_preferences, q6_summaries, q7_store, q8_consolidate, q8_consolidate_messages, q9_search, b8_layer_records, a10_layer_lookup, a12_layer_list, e6_dual_compact, s1_rate_limit, f7_ema, s4_sessions, v1_support_importance, v2_support_extract, v3_severity, v4_history, v5_support_replies, v6_assistant_importance, v7_personal_info, v8_preferences, v9_schedule, v10_habits, v11_suggestions, v12_personality, v13_schedule_item, v14_assistant_replies)}

@@ -17,6 +17,7 @@ from sparkrecall.operators import ingest as I
 from sparkrecall.operators import layers as Y
 from sparkrecall.operators import lifecycle as L
 from sparkrecall.operators import search as S
+from sparkrecall.plans import assistants as A
 from sparkrecall.plans.engine import Config, Engine, open_engine
 from sparkrecall.plans.tuned import TunedEngine
 from sparkrecall.sources.store import JsonStore, ParquetStore
@@ -369,6 +370,25 @@ def test_requests_are_checked(spark):
         e.feedback(spark.createDataFrame([("m", "good")], "memory_id string, signal string"))
 
 
+def test_assistants_store_read_reply_and_store(spark):
+    messages = "seq long, actor_id string, thread_id string, role string, text string"
+    e = Engine(spark, now=now)
+    first = spark.createDataFrame([(1, "ann", "s1", "customer", "I prefer green tea"), (2, "bob", "s2", "customer", "There is a problem with my phone")], messages)
+    got = {r.actor_id: r for r in A.support_turn(e, first).collect()}
+    assert got["ann"].reply == "Based on your preferences (Customer prefers: green tea), I'd recommend... How does that sound?" and got["ann"].found_memories == 2
+    stored = e.dump().collect()
+    assert {r.text for r in stored} >= {"I prefer green tea", "Customer prefers: green tea", "There is a problem with my phone"}
+    assert not any(r.memory_type == "system" for r in stored)  # replies are turned away
+    assert next(r for r in stored if r.text == "I prefer green tea").metadata == {"role": '"customer"', "category": '"chat"', "channel": '"web-chat"'}
+    again = A.support_turn(e, spark.createDataFrame([(3, "bob", "s3", "customer", "hello, the phone again")], messages)).first()
+    assert again.reply.startswith("Hello! I see you've contacted us before about some issues.") and "there is a problem with my phone" in again.reply
+    p = Engine(spark, now=now)
+    A.assistant_turn(p, spark.createDataFrame([(1, "eve", "s", "user", "My name is Sarah")], messages), F.lit(9))
+    said = A.assistant_turn(p, spark.createDataFrame([(2, "eve", "s", "user", "what is my name")], messages), F.lit(9)).first()
+    # the question was stored first, and is the best hit for itself
+    assert said.reply == "Based on what you've told me: what is my name" and said.found_memories == 3
+
+
 def test_the_second_service(spark):
     e = TunedEngine(Engine(spark, now=now), supersede_above=0.25)
     first = observation(0, "My  GPS works well", at=NOW, confidence=0.5, importance=0.4, metadata={"role": '"user"'})
