@@ -171,3 +171,21 @@ def answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
     best = F.when(c("best.score") > 0.3, X.first_sentence(c("best.text"))).otherwise("")
     said = per.select("query_id", F.when(c("gps"), "GPS system not functioning correctly").otherwise(F.coalesce("timed.e", "any.e", best)).alias("answer"))
     return queries.select("query_id").join(said, "query_id", "left").select("query_id", F.coalesce("answer", F.lit("")).alias("answer"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 2_000, part_rows: int = 20_000) -> DataFrame:
+    """(q_id, rank, vec_id, similarity): of each of `queries` (q_id, q) the k nearest of `vectors` (vec_id, embedding), itself
+    not among them; ties by vec_id.
+
+    Every query meets every vector, in blocks of queries and parts of vectors of a bounded size, each pair of which is one
+    key of an equi-join; neither side is broadcast. Only k of each query and task go on to the ranking.
+    """
+    n, m = vectors.count(), queries.count()
+    parts, blocks = max(-(-n // part_rows), 8), max(-(-m // block_rows), 1)
+    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    dealt = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+    v = vectors.select("vec_id", "embedding", dealt("vec_id", parts).alias("part"), all_of(blocks).alias("block"))
+    q = queries.select("q_id", "q", dealt("q_id", blocks).alias("block"), all_of(parts).alias("part"))
+    met = v.join(q.hint("shuffle_hash"), ["block", "part"]).where("vec_id != q_id").select("q_id", "vec_id", X.vector_similarity(F.col("q"), F.col("embedding")).alias("similarity"))
+    best = W.partitionBy("q_id").orderBy(F.desc("similarity"), "vec_id")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q_id", "rank", "vec_id", "similarity")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrecall.functions import patterns as P
 from sparkrecall.functions import text as X
+from sparkrecall.operators import search as S
 from sparkrecall.queries import views as V
 from sparkrecall.queries.views import AS_OF_SQL, OBS_SQL, r6
 
@@ -60,9 +60,7 @@ def k5_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of every vector whose id is divisible by 50."""
     v = V.table(spark, d, "embeddings").select("vec_id", "embedding")
     q = v.where("vec_id % 50 = 0").select(C("vec_id").alias("q_id"), C("embedding").alias("q"))
-    met = v.join(q, C("vec_id") != C("q_id")).select("q_id", "vec_id", X.vector_similarity(C("q"), C("embedding")).alias("s"))
-    ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("s"), "vec_id"))).where("rank <= 5")
-    return ranked.select("q_id", "rank", "vec_id", r6(C("s")).alias("similarity"))
+    return S.nearest(v, q, 5).select("q_id", "rank", "vec_id", r6(C("similarity")).alias("similarity"))
 
 
 SQL["k5_vector_topk"] = """with q as (select vec_id as q_id, embedding as q from embeddings where vec_id % 50 = 0),

@@ -24,13 +24,13 @@ def rate_limited(requests: DataFrame, limit: int, window_ms: int = WINDOW_MS) ->
     A window begins with the first request that no window holds and ends window_ms later; the limit's excess in it is
     turned away. Where windows begin depends on all requests before, so the times are folded in order, to the windows'
     beginnings alone; an identity's requests are first cut where a pause of a whole window resets any state, so that a
-    fold is over one busy stretch. Requests find their window as the last beginning before them.
+    fold is over the different times of one busy stretch. Requests find their window as the last beginning before them.
     """
     by = W.partitionBy("identity").orderBy("ts", "seq")
     rows = requests.withColumn("__ms", F.unix_millis("ts"))
     new = F.coalesce((F.col("__ms") - F.lag("__ms").over(by) >= window_ms).cast("int"), F.lit(1))
     rows = rows.withColumn("__new", new).withColumn("__stretch", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    per = rows.groupBy("identity", "__stretch").agg(F.array_sort(F.collect_list("__ms")).alias("times"))
+    per = rows.groupBy("identity", "__stretch").agg(F.array_sort(F.collect_set("__ms")).alias("times"))
     start = F.array().cast("array<bigint>")
 
     def step(begins: Column, ms: Column) -> Column:
