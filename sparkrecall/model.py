@@ -17,6 +17,9 @@ STATUSES = ["active", "superseded", "archived"]
 DECAY_KINDS = ["none", "time", "inactivity"]
 SIGNALS = ["selected", "positive", "negative"]
 
+#: A time as requests give it.
+UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
+
 DECAY = "struct<kind:string,ttl_days:int>"
 SOURCE = "struct<source_type:string,source_id:string,source_session_id:string>"
 STATS = "struct<selected:bigint,positive:bigint,negative:bigint>"
@@ -51,6 +54,8 @@ def errors(obs: DataFrame) -> Column:
     ]
     if "source" in obs.columns:
         rules.append(rule(c("source.source_type").isNull() | (c("source.source_type") == ""), "source.source_type: must not be empty"))
+    if "observed_at_text" in obs.columns:
+        rules.append(rule(c("observed_at_text").isNotNull() & c("observed_at").isNull(), "observed_at: not a time in UTC"))
     if "decay" in obs.columns:
         rules += [rule(c("decay").isNotNull() & (c("decay.kind").isNull() | ~c("decay.kind").isin(DECAY_KINDS)), "decay.kind: not in the domain"), rule(c("decay.ttl_days") <= 0, "decay.ttl_days: must be positive")]
     return F.array_compact(F.array(*rules))

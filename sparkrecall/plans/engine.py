@@ -173,17 +173,21 @@ class DualLayerEngine(Engine):
         new.unpersist()
         return {"created": int(n), "updated": 0}
 
-    def process(self) -> int:
-        """Insights from the events not yet processed; how many insights there are then."""
+    def process(self, most: int | None = None) -> int:
+        """Insights from the events not yet processed, or from the first `most` of them; how many insights there are then."""
         events, insights = self.layers.read()
         keys = [*Y.ISOLATION[self.isolation], "session_id"]
         new = events.where("not processed")
+        if most is not None:
+            new = new.orderBy("seq").limit(most)
         # a summary is of the whole session
         of_new = events.join(new.select(*keys).distinct(), keys, "left_semi")
         summaries = [s for s in self.strategies if s.draw is Y.session_summaries]
         drawn = Y.drawn(new, self.strategies, whole=of_new) if summaries else Y.drawn(new, self.strategies)
         merged = Y.stored(drawn, self.isolation, as_of=self.now(), existing=insights)
-        self.layers.write(events.withColumn("processed", F.lit(True)), Y.consolidated(merged, self.isolation, as_of=self.now()))
+        last = new.agg(F.max("seq")).first()[0]
+        seen = F.col("processed") | (F.col("seq") <= F.lit(last if last is not None else -1))
+        self.layers.write(events.withColumn("processed", seen), Y.consolidated(merged, self.isolation, as_of=self.now()))
         return self.layers.read()[1].count()
 
     def _found(self, queries: DataFrame) -> DataFrame:

@@ -8,14 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecall.model import MEMORIES, OBSERVATIONS
+from sparkrecall.model import MEMORIES, OBSERVATIONS, UTC
 
 VERSION = 1
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with the schema of observations; a line that is no JSON has only nulls, which validation turns away."""
-    return spark.read.schema(OBSERVATIONS).json(path)
+    """JSON lines with the schema of observations; a line that is no JSON has only nulls, which validation turns away. Times
+    are in UTC and end in Z; `observed_at_text` keeps them as they were given, which validation needs to tell wrong ones."""
+    rows = spark.read.schema(OBSERVATIONS.replace("observed_at timestamp", "observed_at string")).json(path)
+    return rows.withColumn("observed_at_text", F.col("observed_at")).withColumn("observed_at", F.when(F.col("observed_at").rlike(UTC), F.try_to_timestamp("observed_at")))
 
 
 def session_folder(spark: SparkSession) -> str:

@@ -6,12 +6,13 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
+from sparkrecall.functions.text import DAY_MS
 from sparkrecall.operators.layers import drawn
 from sparkrecall.plans.engine import Engine
 
@@ -98,6 +99,36 @@ def extract_stream(events: DataFrame, write: Callable[[DataFrame, int], None], e
     return events.writeStream.foreachBatch(batch).trigger(processingTime=every).options(**options).start()
 
 
+def files_stream(spark: SparkSession, path: str, schema: str, per_batch: int = 5) -> DataFrame:
+    """Parquet files as a stream, so many in a micro-batch at most."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
+def expiry_stream(seen: DataFrame) -> DataFrame:
+    """(id, expired_at) of each memory as it expires, from a stream of (id, last_seen_at, ttl_days): its state is the latest
+    time it was seen and its days to live then, and goes when these have passed without another sight of it. A ttl of 0
+    or less never ends, without one it is 180 days."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last, days = state.get
+            state.remove()
+            yield pd.DataFrame({"id": [key[0]], "expired_at": [pd.Timestamp(last + days * DAY_MS, unit="ms")]})
+            return
+        last, days = state.get if state.exists else (-1, 0)
+        for batch in batches:
+            for at, ttl in zip(batch.last_seen_at, batch.ttl_days, strict=True):
+                ms = int(pd.Timestamp(at).value // 1_000_000)
+                if ms >= last:
+                    last, days = ms, 180 if pd.isna(ttl) else int(ttl)
+        state.update((last, days))
+        if days > 0:  # strictly after the ttl, and after what the stream has seen already
+            state.setTimeoutTimestamp(max(last + days * DAY_MS, state.getCurrentWatermarkMs() + 1))
+
+    marked = seen.withWatermark("last_seen_at", "0 seconds")
+    return marked.groupBy("id").applyInPandasWithState(run, "id string, expired_at timestamp", "last long, days long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def sessions_stream(events: DataFrame) -> DataFrame:
     """Counts and last times of the sessions seen within 30 days, as events stream in."""
     return events.withWatermark("ts", "30 days").groupBy("tenant_id", "app_id", "actor_id", "session_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
