@@ -56,6 +56,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than the HOT-th part of the rows is joined by broadcast; fewer than HOT keys can have that.
+HOT = 1000
+
+
+def join_once(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> DataFrame:
+    """`rows` (`total` of them) joined with `table`, which has each key once, with n, how many rows have it: no task holds
+    all rows of a key. Both are read twice, so they should be written tables."""
+    values = [c for c in table.columns if c not in (*on, "n")]
+    often = F.col("n") > max(total // HOT, 1)
+    few = F.broadcast(table.where(often).select(*on, F.struct(*values).alias("__hot")))
+    met = rows.join(few, on, "left")
+    hot = met.where("__hot is not null").select(*rows.columns, *(f"__hot.{c}" for c in values))
+    cold = met.where("__hot is null").drop("__hot").join(table.where(~often).drop("n"), on).select(*rows.columns, *values)
+    return hot.unionByName(cold)
+
+
 #: Spark's own bound of a batch of rows that goes to Python.
 _BATCH, _SPARKS_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 

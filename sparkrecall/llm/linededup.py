@@ -30,16 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkrecall.llm.common import WORD, documents, materialize
+from sparkrecall.llm.common import WORD, documents, join_once, materialize
 
 #: A shorter run is no passage: headers and licence lines stay.
 MIN_WORDS = 50
 
 
-#: A key with more than this share of the rows is joined by broadcast; fewer than a thousand keys can have that.
-HOT = 1000
-
-
 def _ranked(keys: DataFrame, *columns: str) -> DataFrame:
     """Distinct `keys` with a bigint rank in the order of `columns`, and n, their rows. Written at once, since the ranks'
     values follow the ranges that Spark happens to cut."""
@@ -47,17 +43,6 @@ def _ranked(keys: DataFrame, *columns: str) -> DataFrame:
     return materialize(ordered.withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
-def _join(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> DataFrame:
-    """`rows` (`total` of them) joined with `table`, which has each key once, with n, the rows that have it."""
-    values = [c for c in table.columns if c not in (*on, "n")]
-    often = F.col("n") > max(total // HOT, 1)
-    few = F.broadcast(table.where(often).select(*on, F.struct(*values).alias("__hot")))
-    met = rows.join(few, on, "left")
-    hot = met.where("__hot is not null").select(*rows.columns, *(f"__hot.{c}" for c in values))
-    cold = met.where("__hot is null").drop("__hot").join(table.where(~often).drop("n"), on).select(*rows.columns, *values)
-    return hot.unionByName(cold)
-
-
 def _in_order(rows: DataFrame, *columns: str) -> DataFrame:
     """`rows` with int part, so that parts, and rows in a part by `columns`, are in order; these columns tell rows apart."""
     ordered = rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
@@ -90,7 +75,7 @@ def segments(lines: DataFrame, min_words: int) -> DataFrame:
     at = F.xxhash64("t1", "t2", "pos")  # copies of one text don't repeat its lines
     own = ["h1", "h2"]
     twice = lines.groupBy(*own).agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("n")).where("a != b").select(*own, "n", F.lit(True).alias("twice"))
-    mine = _join(lines, materialize(twice, "twice"), own, lines.count()).select("t1", "t2", "pos", "h1", "h2", "words").distinct()
+    mine = join_once(lines, materialize(twice, "twice"), own, lines.count()).select("t1", "t2", "pos", "h1", "h2", "words").distinct()
     text = W.partitionBy("t1", "t2").orderBy("pos")  # the lines of one document
     marked = mine.withColumn("seg", F.col("pos") - F.row_number().over(text))
     seg = W.partitionBy("t1", "t2", "seg")
@@ -105,13 +90,13 @@ def suffix_ranks(segs: DataFrame, depth: int) -> DataFrame:
     """
     total = segs.count()
     first = _ranked(segs, "h1", "h2")
-    now = _join(segs, first, ["h1", "h2"], total).drop("h1", "h2").withColumn("ranks", F.array("rank"))
+    now = join_once(segs, first, ["h1", "h2"], total).drop("h1", "h2").withColumn("ranks", F.array("rank"))
     step = 1
     while step < depth:
         ahead = F.lead("rank", step).over(W.partitionBy("t1", "t2", "seg").orderBy("pos"))
         pairs = materialize(now.withColumn("then", F.coalesce(ahead, F.lit(-1))).withColumnRenamed("rank", "own"), "suffixes")
         doubled = _ranked(pairs, "own", "then")
-        now = _join(pairs, doubled, ["own", "then"], total).drop("own", "then").withColumn("ranks", F.concat("ranks", F.array("rank")))
+        now = join_once(pairs, doubled, ["own", "then"], total).drop("own", "then").withColumn("ranks", F.concat("ranks", F.array("rank")))
         step *= 2
     return materialize(now.drop("rank"), "suffixes")
 
@@ -160,8 +145,8 @@ def _later(found: DataFrame, ranks: DataFrame, firsts: DataFrame) -> DataFrame:
     inside = _from_before(heads, "m", "rank", value=F.when(new, F.col("rank"))).withColumn("head", F.when(new, F.col("rank")).otherwise(F.col("before")))
     inside = materialize(inside.select("m", "rank", "least", F.col("n").alias("k"), "head"), "intervals")
     intervals = inside.groupBy("m", "head").agg(F.min("least").alias("kept"), F.sum("k").alias("all"), F.count("*").alias("n")).where("all > 1").drop("all")
-    repeated = _join(inside, materialize(intervals, "repeated"), ["m", "head"], inside.count()).select("m", "rank", F.col("k").alias("n"), "kept")
-    return _join(placed, materialize(repeated, "repeated"), ["m", "rank"], placed.count()).where("place != kept").select("t1", "t2", "a", "b")
+    repeated = join_once(inside, materialize(intervals, "repeated"), ["m", "head"], inside.count()).select("m", "rank", F.col("k").alias("n"), "kept")
+    return join_once(placed, materialize(repeated, "repeated"), ["m", "rank"], placed.count()).where("place != kept").select("t1", "t2", "a", "b")
 
 
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

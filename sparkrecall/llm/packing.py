@@ -104,8 +104,10 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, part_rows: int = 50_000, m
     """`pieces` (with a bigint column length, 1 to capacity) with bigint sequence_id and offset.
 
     Every row is packed, equal rows too. Which of equal lengths goes where follows the rows' numbers in the table that
-    is written first. Partitions have about part_rows rows. `pieces` must have no column named sequence_id or offset.
+    is written first. Partitions have about part_rows rows. Columns named sequence_id and offset, and those that begin with
+    two underscores, are replaced; all others stay.
     """
+    pieces = pieces.drop("sequence_id", "offset", *(c for c in pieces.columns if c.startswith("__")))
     names = pieces.columns
     left = materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     done: list[DataFrame] = []

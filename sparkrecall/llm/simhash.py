@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecall.llm.common import bounded_batches, documents, materialize, trim
+from sparkrecall.llm.common import bounded_batches, documents, join_once, materialize, trim
 from sparkrecall.llm.components import components
 
 #: References in each segment's group.
@@ -182,13 +182,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, key: s
     Columns other than key and text are ignored.
     """
     marked = materialize(with_fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), shingle, "text").select("key", "fp"), "fingerprints")
-    first = materialize(marked.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
+    first = materialize(marked.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n")), "distinct")
     parts = materialize(components(links(first.select("fp"), max_bits)), "parts")
     # a component's id is the least key of all its fingerprints, not that of its least fingerprint
-    of = first.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    of = first.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component"))
     ids = of.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = of.join(ids, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("key").alias(key), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = materialize(of.join(ids, "component").select("fp", "n", "component_id"), "named")
+    return join_once(marked, named, ["fp"], marked.count()).select(F.col("key").alias(key), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # ---- near copies that differ in more than a few bits -------------------------------------------------------------------

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkrecall.llm.common import bounded_batches, documents, lowest, trim
 
-BITS = 22
+BITS = 21
 ORDERS = (4, 6, 8)
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -39,7 +39,7 @@ def features(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    """2^BITS weights (16 MB) and a bias, whatever it was trained on."""
+    """2^BITS weights (8 MB) and a bias, whatever it was trained on."""
 
     weights: np.ndarray
     bias: float
@@ -66,7 +66,7 @@ def ratios(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, np.n
     return held, p + q, r, z
 
 
-def train(texts: list[str | None], labels: list[int], least_texts: int = 3, least_z: float = 3.0, most_features: int = 40_000, penalty: float = 0.1, steps: int = 300) -> Model:
+def train(texts: list[str | None], labels: list[int], least_texts: int = 3, least_z: float = 3.0, most_features: int = 20_000, penalty: float = 0.1, steps: int = 300) -> Model:
     """The model of these texts. Without any toxic or any other text: no weights, the smoothed share as the score."""
     y = np.array(labels, np.float64)
     pos, neg = float(y.sum()), float((1 - y).sum())
@@ -120,7 +120,10 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         return train([], [])
     picked = rows.where(F.col("h") <= sizes[within - 1].h).select("h", "y", "text").limit(2 * most_rows).collect()
     picked.sort(key=lambda r: (r.h, r.y))
-    return train([r.text for r in picked], [r.y for r in picked])
+    model = train([r.text for r in picked], [r.y for r in picked])
+    del picked
+    trim()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

@@ -62,6 +62,13 @@ def test_pack(spark, part_rows):
     assert bound <= used <= bound * (1.03 if part_rows > 900 else 1.06) + 1
 
 
+def test_pack_with_clashing_names(spark):
+    df = spark.createDataFrame([(i, 100 + i, "x", 5, "y", 2.0) for i in range(50)], "doc_id bigint, length bigint, offset string, __bin int, part string, bins double")
+    out = P.pack(df)
+    assert out.columns == ["doc_id", "length", "part", "bins", "sequence_id", "offset"] and out.count() == 50
+    assert {(r.part, r.bins) for r in out.collect()} == {("y", 2.0)}
+
+
 def test_exchange_saves_bins(spark):
     """Parts of few rows each leave a loose bin; after the exchange fewer are left than the parts had."""
     df = spark.createDataFrame([(i, 700) for i in range(200)], "doc_id bigint, length bigint")

@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from sparkrecall.llm import common
 from sparkrecall.llm import licenses as L
 from sparkrecall.llm import linededup as D
 from sparkrecall.llm import maxent as X
@@ -223,7 +224,7 @@ def test_common_prefixes_against_brute_force(spark):
 @pytest.mark.parametrize("hot", [1, 1000])
 def test_frequent_lines_and_passages(spark, monkeypatch, hot):
     """One line, and one passage, in most texts, whichever way they are joined."""
-    monkeypatch.setattr(D, "HOT", hot)
+    monkeypatch.setattr(common, "HOT", hot)
     rng = random.Random(3)
     passage = "\n".join(f"p{i} q r s t" for i in range(4))
     docs = [(i, "\n".join([f"x{i} y", "common line of five words", *([passage] if i % 3 else []), rng.choice(["end one two", "end three four", f"end {i}"])])) for i in range(90)]
