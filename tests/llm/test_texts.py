@@ -361,6 +361,25 @@ def test_dictionary_has_no_effect_on_counts(spark, monkeypatch):
     assert sorted(map(key, X.scores(docs, sample_docs=3).collect())) == whole
 
 
+def test_held_out_texts_teach_nothing(spark):
+    """Other texts, words and lengths in the held-out documents change no other document's score."""
+    rng = random.Random(4)
+    text = lambda stem: " ".join(rng.choice(["the", "of", f"{stem}{rng.randint(0, 90)}", "y" * 80]) for _ in range(rng.randint(1, 40)))
+    docs = [(i, text("w")) for i in range(150)]
+    out = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
+    other = [(k, text("q") + " w1 w1 w1" * 50 if out(k) else t) for k, t in docs]
+    a, b = ({r.doc_id: r for r in X.scores(spark.createDataFrame(d, "doc_id bigint, text string")).collect()} for d in (docs, other))
+    kept = [k for k, _ in docs if not out(k)]
+    assert 0 < len(kept) < len(docs) and all(a[k].score == b[k].score and a[k].base_score == b[k].base_score for k in kept)
+    assert any(a[k].score != b[k].score for k, _ in docs if out(k))
+
+
+def test_long_words_stay_off_the_driver(spark):
+    docs = spark.createDataFrame([(i, "a b " + "z" * (X.LONGEST + i)) for i in range(9)], "doc_id bigint, text string")
+    words = X.dictionary(docs.withColumn("dk", F.xxhash64("text")), 9, 100, 100).to_pylist()
+    assert sorted(words) == ["", "a", "b", "z" * X.LONGEST]
+
+
 def _counts(words, count):
     """Counts of a corpus of which `words` are the dictionary."""
     head, tokens, types = np.zeros(X.DICTIONARY, np.int64), np.zeros(X.FORMS, np.int64), np.zeros(X.FORMS, np.int64)
