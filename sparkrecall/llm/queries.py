@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrecall.llm.common import documents
+from sparkrecall.llm.lexical import op11_csr_impact_search
 from sparkrecall.llm.licenses import license_scan, op3_license_rules
 from sparkrecall.llm.linededup import op5_suffix_line_dedup
 from sparkrecall.llm.maxent import op8_hashed_maxent
@@ -46,6 +47,7 @@ QUERIES = {
         op8_hashed_maxent,
         op9_iblt_fingerprints,
         op10_curriculum_mix,
+        op11_csr_impact_search,
         llm_license_base,
         llm_edited_texts,
         llm_mix_targets,
@@ -54,7 +56,17 @@ QUERIES = {
 
 _IN_PART = "((length({x}) - length(replace({x}, ' ', ''))) // 2)"  # words, each of which has a blank on both sides
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 SQL: dict[str, str] = {
+    "op11_csr_impact_search": f"""with d as (select doc_id, {_TERMS} as w from documents),
+s as (select count(*) filter (where len(w) > 0) as n_docs, sum(len(w))::bigint as n_terms from d),
+p as (select doc_id, n, term, count(*) as tf from (select doc_id, len(w) as n, unnest(w) as term from d) group by all),
+h as (select term, count(*) as df from p group by term),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({_TERMS}) as term from benchmark) group by all),
+w as (select item_id, term, times * floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint as w from q join h using (term), s),
+r as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // n_terms)))))::bigint as score from w join p using (term), s group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from r where score > 0 qualify rank <= 10""",
     "llm_license_base": f"""with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
 s as (select doc_id, len(w) as n, array_to_string(list_transform(w, lambda x: ' ' || x || ' '), '') as s from d),
 p as (select doc_id, n, label, k, string_split(s, phrase) as parts from s, (values ('gpl', ' gnu  general  public  license ', 4), ('apache', ' apache  license ', 2), ('cc-by', ' cc  by ', 2), ('mit', ' mit  license ', 2)) as v(label, phrase, k)),

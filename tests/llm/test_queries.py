@@ -13,7 +13,8 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for table in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     expected = con.execute(Q.SQL[name])
     columns = [c[0] for c in expected.description]
     got = Q.QUERIES[name](spark, DATA).select(*columns).collect()
