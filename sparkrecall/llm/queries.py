@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrecall.llm.common import documents
+from sparkrecall.llm.conversations import op12_earley_repair
 from sparkrecall.llm.lexical import op11_csr_impact_search
 from sparkrecall.llm.licenses import license_scan, op3_license_rules
 from sparkrecall.llm.linededup import op5_suffix_line_dedup
@@ -48,6 +49,7 @@ QUERIES = {
         op9_iblt_fingerprints,
         op10_curriculum_mix,
         op11_csr_impact_search,
+        op12_earley_repair,
         llm_license_base,
         llm_edited_texts,
         llm_mix_targets,
