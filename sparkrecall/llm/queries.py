@@ -17,6 +17,7 @@ from sparkrecall.llm.maxent import op8_hashed_maxent
 from sparkrecall.llm.media import op2_tar_media
 from sparkrecall.llm.mixing import op10_curriculum_mix
 from sparkrecall.llm.packing import op7_bound_certified_packing
+from sparkrecall.llm.secrets import op13_crf_secrets
 from sparkrecall.llm.sharding import op4_hypergeometric_shards
 from sparkrecall.llm.simhash import op1_simhash_pivots
 from sparkrecall.llm.sketches import op9_iblt_fingerprints, sketched
@@ -50,6 +51,7 @@ QUERIES = {
         op10_curriculum_mix,
         op11_csr_impact_search,
         op12_earley_repair,
+        op13_crf_secrets,
         llm_license_base,
         llm_edited_texts,
         llm_mix_targets,
