@@ -5,7 +5,7 @@ tags each as the begin of a secret, inside one, or outside, from hashed features
 many, how often they change), the words before and after it, what stands between it and its neighbours, and what the
 whole file is like. Its weights are trained here on windows of tokens that the patterns label. Each window with a secret is
 there again, OTHERS times, with a random one of another alphabet and length in its place, and each window with its
-neighbours hidden, so that the field knows secrets by their shapes or their places where no pattern has them.
+neighbours and its file hidden, so that the field knows secrets by their shapes or their places where no pattern has them.
 
 Decoding is Viterbi's, and exact: where `outside` leads by more than any change of tags could win back through
 transitions, it is on the best path for certain, which parts the chain into short runs. Runs of one length are decoded
@@ -44,6 +44,8 @@ BITS = 16
 STRETCH = 1 << 22
 #: Tokens on either side of a labelled one in a training window, and the most in one.
 AROUND, LONGEST = 8, 40
+#: The length from which a token without a pattern may be a secret.
+UNSURE = 12
 #: Alphabets of secrets that stand in for those of the patterns, and signs that may part them.
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 SIGNS = ("", "", "-", ".", "+/")
@@ -130,8 +132,8 @@ def files_of(t: Tokens) -> np.ndarray:
 
 
 def features(t: Tokens, files: np.ndarray | None = None) -> list[np.ndarray]:
-    """The rows of weights of each token, one array for each kind of feature. Kinds from CONTEXT on look at neighbours.
-    `files` says what the texts' files are like; without it they are the texts."""
+    """The rows of weights of each token, one array for each kind of feature. Kinds from CONTEXT on look beyond
+    the token. `files` says what the texts' files are like; without it they are the texts."""
     n = len(t)
     shape, digits, vowels = _shapes(t.words)
     short = pc.less_equal(pc.binary_length(t.words), 20).to_numpy(zero_copy_only=False) & ((shape >> 4 & 8) == 0) if n else np.zeros(0, bool)
@@ -159,13 +161,13 @@ def features(t: Tokens, files: np.ndarray | None = None) -> list[np.ndarray]:
     after = byte(t.end, t.end < bounds[1]) * 512 + byte(shifted(t.start, -1) - 1, ~last)
     file = files_of(t) if files is None else files
     kind = own >> 4
-    plain = [own, digits[t.code], vowels[t.code], file[t.of] * 64 + kind, np.zeros(n, np.int64)]
-    context = [shifted(who, 1) + 1, shifted(who, 2) + 1, shifted(who, -1) + 1, before, after, before * 64 + kind, shifted(kind, 1) * 64 + kind + 64]
+    plain = [own, digits[t.code], vowels[t.code], np.zeros(n, np.int64)]
+    context = [file[t.of] * 64 + kind, shifted(who, 1) + 1, shifted(who, 2) + 1, shifted(who, -1) + 1, before, after, before * 64 + kind, shifted(kind, 1) * 64 + kind + 64]
     return [_slot(k, x) for k, x in enumerate([*plain, *context])]
 
 
-#: Kinds of features that look at the token and the file, and all.
-CONTEXT, ALL = 5, 12
+#: Kinds of features that look at the token alone, and all.
+CONTEXT, ALL = 4, 12
 
 
 @dataclass
@@ -252,7 +254,7 @@ def likelihood(rows: np.ndarray, tags: np.ndarray, mask: np.ndarray, m: Model) -
     return float((value - whole).mean()), share / n, pairs / n, share[:, 0].sum(axis=0) / n
 
 
-def fit(windows: list[tuple[np.ndarray, np.ndarray]], steps: int = 50, rate: float = 0.3, penalty: float = 1e-5) -> Model | None:
+def fit(windows: list[tuple[np.ndarray, np.ndarray]], steps: int = 80, rate: float = 0.3, penalty: float = 1e-5) -> Model | None:
     """The field trained on windows of (rows [token, feature], tags); each counts twice, once with its neighbours hidden.
     None without a secret among them."""
     if not any((t != OUTSIDE).any() for _, t in windows):
@@ -304,10 +306,14 @@ def _marked(t: Tokens, texts: int) -> tuple[dict[int, list], np.ndarray]:
 
 def _windows(t: Tokens, tags: np.ndarray, texts: int) -> Iterator[tuple[int, int]]:
     """First and last token (exclusive) of what a text teaches: around its secrets, around two tokens with digits that are
-    none, and at one place that its bytes choose."""
+    none, and at one place that its bytes choose. Tokens that no pattern marks and that may be secrets by their looks (of
+    UNSURE characters or more, letters and digits by turns) teach neither: there is no window without a secret around them."""
     ends = np.searchsorted(t.of, np.arange(texts + 1))
-    number = (_shapes(t.words)[0] >> 4 & 8) > 0
-    numbers = number[t.code] & (tags == OUTSIDE) if len(t) else tags
+    shape, digits, _ = _shapes(t.words)
+    number = (shape >> 4 & 8) > 0
+    unsure = number & (digits % 8 >= 3) & (pc.binary_length(t.words).to_numpy(zero_copy_only=False) >= UNSURE) if len(t) else number
+    out = tags == OUTSIDE
+    numbers, before = (number[t.code] & out, np.concatenate(([0], np.cumsum(unsure[t.code] & out)))) if len(t) else (out, np.zeros(1, int))
     for i in range(texts):
         a, b = int(ends[i]), int(ends[i + 1])
         if a < b:
@@ -316,7 +322,9 @@ def _windows(t: Tokens, tags: np.ndarray, texts: int) -> Iterator[tuple[int, int
                 to = at + 1
                 while to < b and tags[at] == BEGIN and tags[to] == INSIDE:
                     to += 1
-                yield max(a, int(at) - AROUND), min(b, int(to) + AROUND, int(at) + LONGEST - AROUND)
+                x, y = max(a, int(at) - AROUND), min(b, int(to) + AROUND, int(at) + LONGEST - AROUND)
+                if (tags[x:y] == BEGIN).any() or before[x] == before[y]:
+                    yield x, y
 
 
 def _another(t: Tokens, tags: np.ndarray, a: int, b: int, files: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -328,13 +336,14 @@ def _another(t: Tokens, tags: np.ndarray, a: int, b: int, files: np.ndarray, i:
     raw = t.raw[t.start[a] : t.end[b - 1]]
     rng = random.Random(xxhash.xxh64_intdigest(raw, i))
     letters, sign = rng.choice(ALPHABETS), rng.choice(SIGNS)
-    new = sign[:1].join("".join(rng.choice(letters + sign[1:]) for _ in range(rng.randint(5, 20))) for _ in range(rng.randint(1, 4) if sign else 1))
-    new = (new + "".join(rng.choice(letters) for _ in range(max(0, 16 - len(new))))).encode()
+    sizes = [rng.randint(4, 24) for _ in range(rng.randint(2, 5))] if sign else [rng.randint(12, 64)]
+    new = sign[:1].join("".join(rng.choice(letters + sign[1:]) for _ in range(n)) for n in sizes).encode()
     first = int(t.start[at] - t.start[a])
     w = Tokens(pa.array([(raw[:first] + new + raw[int(t.end[to - 1] - t.start[a]) :]).decode()]))
     own = np.full(len(w), OUTSIDE, np.int8)
     x, y = np.searchsorted(w.end, first, side="right"), np.searchsorted(w.start, first + len(new), side="left")
-    own[x], own[x + 1 : y] = BEGIN, INSIDE
+    own[x:y] = INSIDE
+    own[x : x + 1] = BEGIN
     return np.stack(features(w, files[t.of[a : a + 1]]), axis=1)[:LONGEST], own[:LONGEST]
 
 
