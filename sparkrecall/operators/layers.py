@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sparkrecall.functions import patterns as P
 from sparkrecall.functions import text as X
+from sparkrecall.operators.leaders import leaders
 
 # Devices looked for, and what insights say.
 DEVICES = ["samsung", "galaxy", "s22", "dell", "xps", "bike", "car"]
@@ -91,15 +92,17 @@ def drawn(events: DataFrame, strategies: tuple[Strategy, ...] = STRATEGIES, whol
 
 
 def similar_pairs(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """(a, b, oa, ob) of rows (id, order, content) of equal keys whose words overlap more than the threshold: ids and orders,
-    a before b.
+    """(k, a, b, oa, ob) of rows (id, order, content) of equal keys whose words overlap more than the threshold: the keys, ids
+    and orders, a before b.
 
     Texts so alike share a word among the rarest of each, the first |x| - floor(threshold * |x|) by frequency, and are
     no shorter than the threshold's share of one another; so pairs meet by rare words, not all with all. A pair is made
     where its first shared word of these is.
     """
     held = rows.select(F.struct(*keys).alias("k"), "id", "order", F.array_distinct(X.raw_words(F.col("content"))).alias("w"))
-    told = held.select("k", "id", F.explode("w").alias("t")).withColumn("n", F.count("*").over(W.partitionBy("k", "t")))
+    told = held.select("k", "id", F.explode("w").alias("t"))
+    # counted before they meet, so that a frequent word of one actor is no task's rows
+    told = told.join(told.groupBy("k", "t").agg(F.count("*").alias("n")), ["k", "t"])
     ranked = told.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("r"))
     rare = F.slice("r", 1, F.greatest(F.size("r") - F.floor(F.lit(threshold) * F.size("r")), F.lit(1)).cast("int"))
     sides = held.join(ranked, "id").withColumn("r", rare).withColumn("t", F.explode("r"))
@@ -107,7 +110,7 @@ def similar_pairs(rows: DataFrame, keys: list[str], threshold: float) -> DataFra
     met = sides.alias("a").join(sides.alias("b"), (c("a.k") == c("b.k")) & (c("a.t") == c("b.t")) & (c("a.order") < c("b.order")) & (F.size("a.w") >= threshold * F.size("b.w")) & (F.size("b.w") >= threshold * F.size("a.w")))
     once = c("a.t") == F.filter("a.r", lambda t: F.array_contains(c("b.r"), t))[0]
     alike = met.where(once).where(X.jaccard(c("a.w"), c("b.w")) > threshold)
-    return alike.select(c("a.id").alias("a"), c("b.id").alias("b"), c("a.order").alias("oa"), c("b.order").alias("ob"))
+    return alike.select(c("a.k").alias("k"), c("a.id").alias("a"), c("b.id").alias("b"), c("a.order").alias("oa"), c("b.order").alias("ob"))
 
 
 def stored(insights: DataFrame, isolation: str = "tenant", threshold: float = 0.8, as_of: Column | None = None, existing: DataFrame | None = None) -> DataFrame:
@@ -116,9 +119,9 @@ def stored(insights: DataFrame, isolation: str = "tenant", threshold: float = 0.
 
     Similar means a word overlap above the threshold with what is stored, in order. Equal contents always meet the same
     one, so they are merged first; of equal ones the first is stored, which keeps its importance and tags. Which of the
-    others stay is a fold over the numbers of those that have a similar one before; no words are compared in it. What
-    was merged into is updated at `as_of` (without it, at the latest of its events). `existing` insights, stored before,
-    stay as they are or are merged into; their order must be before that of the new.
+    others stay is settled in rounds over the table of pairs (leaders()); no words are compared in these. What was merged
+    into is updated at `as_of` (without it, at the latest of its events). `existing` insights, stored before, stay as they
+    are or are merged into; their order must be before that of the new.
     """
     keys = [*ISOLATION[isolation], "type"]
     rest = [k for k in ("tenant_id", "app_id", "actor_id") if k not in keys]
@@ -134,18 +137,9 @@ def stored(insights: DataFrame, isolation: str = "tenant", threshold: float = 0.
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("order", "extracted_from"))), lambda x: x["extracted_from"])).alias("extracted_from"), F.sum("k").alias("n"), F.max("last_updated").alias("last_updated"),
     ).drop("low", "of")
     pairs = similar_pairs(same, keys, threshold)
-    near = pairs.groupBy(F.col("b").alias("id")).agg(F.min("ob").alias("o"), F.array_sort(F.collect_list(F.struct(F.col("oa").alias("o"), F.col("a").alias("id")))).alias("before"))
-    item = F.struct("o", "id", F.transform("before", lambda x: x["id"]).alias("before"))
-    asked = same.where(~F.col("was")).select("id", F.struct(*keys).alias("k")).join(near, "id")
-    per = asked.groupBy("k").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    # the state: those merged, and into which; all others before are kept
-    none = F.create_map().cast("map<string,string>")
-
-    def step(gone: Column, x: Column) -> Column:
-        first = F.try_element_at(F.filter(x["before"], lambda y: ~F.map_contains_key(gone, y)), F.lit(1))
-        return X.let(first, lambda f: F.when(f.isNull(), gone).otherwise(F.map_concat(gone, F.map_from_arrays(F.array(x["id"]), F.array(f)))))
-
-    into = per.select(F.explode(F.aggregate("items", none, step)).alias("id", "into"))
+    if existing is not None:  # what was stored stays
+        pairs = pairs.join(same.where("was").select(F.col("id").alias("b")), "b", "left_anti")
+    into = leaders(pairs)
     named = same.join(into, "id", "left").withColumn("into", F.coalesce("into", "id"))
     own = F.col("id") == F.col("into")
     kept = lambda x: F.max(F.when(own, F.struct(x)))[x].alias(x)

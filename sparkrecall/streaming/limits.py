@@ -15,36 +15,78 @@ from pyspark.sql.streaming.query import StreamingQuery
 from sparkrecall.functions.text import DAY_MS
 from sparkrecall.operators.layers import drawn
 from sparkrecall.plans.engine import Engine
+from sparkrecall.sources.store import settled
 
 WINDOW_MS = 60_000
 
 
+#: Slots of a window's length that are looked through together for the next one with requests.
+SLOTS = 4096
+
+
+def _with_next(times: DataFrame, window_ms: int) -> DataFrame:
+    """`times` (identity, ms, slot), all different, with next: the first time window_ms or more later.
+
+    It is looked for in the slot of ms + window_ms, else at the beginning of a later slot: within SLOTS of these, then
+    beyond. So no task sorts more than a slot's times, or one row for each of SLOTS slots.
+    """
+    c = F.col
+    asked = times.select("identity", (c("ms") + window_ms).alias("at"), (c("slot") + 1).alias("slot"), F.lit(False).alias("there"))
+    both = times.select("identity", c("ms").alias("at"), "slot", F.lit(True).alias("there")).unionByName(asked)
+    rest = W.partitionBy("identity", "slot").orderBy("at", "there").rowsBetween(0, W.unboundedFollowing)
+    own = both.withColumn("next", F.first(F.when(c("there"), c("at")), ignorenulls=True).over(rest)).where("not there")
+    later = lambda *keys: W.partitionBy("identity", *keys).rowsBetween(1, W.unboundedFollowing)
+    slots = both.groupBy("identity", "slot").agg(F.min(F.when(c("there"), c("at"))).alias("first")).withColumn("many", F.floor(c("slot") / SLOTS))
+    slots = slots.withColumn("near", F.first("first", ignorenulls=True).over(later("many").orderBy("slot")))
+    far = slots.groupBy("identity", "many").agg(F.min("first").alias("first"))
+    far = far.withColumn("far", F.first("first", ignorenulls=True).over(later().orderBy("many"))).drop("first")
+    found = own.join(slots.join(far, ["identity", "many"]).select("identity", "slot", "near", "far"), ["identity", "slot"])
+    return found.select("identity", (c("at") - window_ms).alias("ms"), F.coalesce("next", "near", "far").alias("next"))
+
+
+def window_begins(times: DataFrame, window_ms: int) -> DataFrame:
+    """(identity, ms) of the times with which windows begin: an identity's first, and of each that begins one the first that
+    is window_ms or more later. `times` are (identity, ms), all different.
+
+    A time after a pause of a whole window begins one, whatever was before. From these all others are reached by jumps: the
+    table of next begins is joined with itself, so that its jumps span 1, 2, 4, ... windows, and each jump doubles how far
+    is known, until it reaches nothing new. That is a logarithm of joins, of however many requests of however few identities.
+    """
+    c = F.col
+    slotted = times.withColumn("slot", F.floor(c("ms") / window_ms))
+    ends = slotted.groupBy("identity", "slot").agg(F.min("ms").alias("ms"), F.max("ms").alias("last"))
+    before = ends.select("identity", (c("slot") + 1).alias("slot"), c("last").alias("before"))
+    # slots are as long as windows, so only the first time of a slot can come after a pause
+    found = settled(ends.join(before, ["identity", "slot"], "left").where(c("before").isNull() | (c("ms") - c("before") >= window_ms)).select("identity", "ms"))
+    known = found.select("identity", c("ms").alias("next"))
+    jumps = settled(_with_next(slotted, window_ms).where("next is not null").join(known, ["identity", "next"], "left_anti"))
+    while True:
+        new = found.join(jumps, ["identity", "ms"]).select("identity", c("next").alias("ms")).distinct()
+        new = settled(new.join(found, ["identity", "ms"], "left_anti"))
+        if new.isEmpty():
+            return found
+        found = found.unionByName(new)
+        jumps = settled(jumps.withColumnRenamed("next", "mid").join(jumps.select("identity", c("ms").alias("mid"), "next"), ["identity", "mid"]).select("identity", "ms", "next"))
+
+
 def rate_limited(requests: DataFrame, limit: int, window_ms: int = WINDOW_MS) -> DataFrame:
     """`requests` (identity, ts, seq) with boolean allowed, int retry_after (seconds, of those that aren't).
 
     A window begins with the first request that no window holds and ends window_ms later; the limit's excess in it is
-    turned away. Where windows begin depends on all requests before, so the times are folded in order, to the windows'
-    beginnings alone; an identity's requests are first cut where a pause of a whole window resets any state, so that a
-    fold is over the different times of one busy stretch. Requests find their window as the last beginning before them.
+    turned away. A request's window began in its own slot of a window's length or in the one before, each of which has one
+    beginning at most: so requests are joined with beginnings by slot, and numbered within one window. Null identities are
+    one; requests without a time are turned away by no rule and have null results.
     """
-    by = W.partitionBy("identity").orderBy("ts", "seq")
-    rows = requests.withColumn("__ms", F.unix_millis("ts"))
-    new = F.coalesce((F.col("__ms") - F.lag("__ms").over(by) >= window_ms).cast("int"), F.lit(1))
-    rows = rows.withColumn("__new", new).withColumn("__stretch", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    per = rows.groupBy("identity", "__stretch").agg(F.array_sort(F.collect_set("__ms")).alias("times"))
-    start = F.array().cast("array<bigint>")
-
-    def step(begins: Column, ms: Column) -> Column:
-        fresh = (F.size(begins) == 0) | (ms - F.try_element_at(begins, F.lit(-1)) >= window_ms)
-        return F.when(fresh, F.concat(begins, F.array(ms))).otherwise(begins)
-
-    begins = per.select("identity", F.explode(F.aggregate("times", start, step)).alias("__ms")).withColumn("__begins", F.lit(True))
-    both = rows.drop("__new", "__stretch").withColumn("__begins", F.lit(False)).unionByName(begins, allowMissingColumns=True)
-    last = W.partitionBy("identity").orderBy("__ms", F.desc("__begins")).rowsBetween(W.unboundedPreceding, 0)
-    placed = both.withColumn("__begin", F.max(F.when(F.col("__begins"), F.col("__ms"))).over(last)).where("not __begins")
-    numbered = placed.withColumn("__n", F.row_number().over(W.partitionBy("identity", "__begin").orderBy("__ms", "seq")))
-    wait = F.ceil((F.col("__begin") + window_ms - F.col("__ms")) / 1000).cast("int")
-    out = numbered.withColumn("allowed", F.col("__n") <= limit).withColumn("retry_after", F.when(F.col("__n") > limit, F.greatest(wait, F.lit(1))))
+    c = F.col
+    rows = requests.withColumn("__ms", F.unix_millis("ts")).withColumn("__slot", F.floor(c("__ms") / window_ms)).withColumn("__who", F.to_json(F.struct("identity")))
+    times = rows.where("__ms is not null").select(c("__who").alias("identity"), c("__ms").alias("ms")).distinct()
+    begins = window_begins(times, window_ms).select(c("identity").alias("__who"), F.floor(c("ms") / window_ms).alias("__slot"), c("ms").alias("__own"))
+    earlier = begins.select("__who", (c("__slot") + 1).alias("__slot"), c("__own").alias("__before"))
+    placed = rows.join(begins, ["__who", "__slot"], "left").join(earlier, ["__who", "__slot"], "left")
+    placed = placed.withColumn("__begin", F.when(c("__own") <= c("__ms"), c("__own")).otherwise(c("__before")))
+    numbered = placed.withColumn("__n", F.when(c("__ms").isNotNull(), F.row_number().over(W.partitionBy("__who", "__begin").orderBy("__ms", "seq"))))
+    wait = F.ceil((c("__begin") + window_ms - c("__ms")) / 1000).cast("int")
+    out = numbered.withColumn("allowed", c("__n") <= limit).withColumn("retry_after", F.when(c("__n") > limit, F.greatest(wait, F.lit(1))))
     return out.select(*requests.columns, "allowed", "retry_after")
 
 
