@@ -287,7 +287,7 @@ def test_toxicity_of_odd_rows(spark, odd, none):
 
 def test_toxicity_against_brute_force(spark):
     """Features, ratios and scores from their definitions; the fit by its optimum: no slope is left along any weight."""
-    rows = planted(400, 7)
+    rows = [r for r in planted(500, 7) if zlib.crc32(str(r[0]).encode()) % 5]
     texts, y = [r[1] for r in rows], [r[2] for r in rows]
 
     def grams(text):
@@ -296,20 +296,27 @@ def test_toxicity_against_brute_force(spark):
 
     sets = [grams(t) for t in texts]
     pos, neg = sum(y), len(y) - sum(y)
-    held, n, r, z = T.ratios(texts, y)
-    assert set(held.tolist()) == set().union(*sets)
-    of = {f: (a, b, c) for f, a, b, c in zip(held.tolist(), n, r, z, strict=True)}
-    for f in held.tolist()[::37]:
+    of = {}
+    for f in set().union(*sets):
         p, q = (sum(f in s for s, label in zip(sets, y, strict=True) if label == k) for k in (1, 0))
         share = (p + q) / len(y)
-        assert of[f][0] == p + q and of[f][1] == pytest.approx(math.log((p + 1) / (pos + 2)) - math.log((q + 1) / (neg + 2)))
-        assert of[f][2] == pytest.approx((p - share * pos) / math.sqrt(max(share * (1 - share) * pos * neg / len(y), 1e-9)))
-    model = T.train(texts, y, steps=3000)
-    weights = {f: float(model.weights[f]) for f in np.nonzero(model.weights)[0].tolist()}
-    assert set(weights) <= {f for f, (a, _, c) in of.items() if a >= 3 and abs(c) >= 3}
-    logit = [model.bias + sum(weights.get(f, 0) for f in s) for s in sets]
-    for t, x in zip(texts, logit, strict=True):
-        assert model.score(t) == pytest.approx(1 / (1 + math.exp(-x)), abs=1e-5)
+        of[f] = p + q, math.log((p + 1) / (pos + 2)) - math.log((q + 1) / (neg + 2)), (p - share * pos) / math.sqrt(max(share * (1 - share) * pos * neg / len(y), 1e-9))
+        if not f % 37:
+            assert [float(x) for x in T.ratios(np.float64(p), np.float64(q), pos, neg)] == pytest.approx(of[f][1:])
+    strong = sorted(f for f, (a, _, c) in of.items() if a >= 3 and abs(c) >= 3)
+    docs, labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id bigint, toxic int")
+    model = T.trained(docs, labels)
+    assert model.features.tolist() == strong and len(strong) > 20
+    few = T.trained(docs, labels, most_features=9).features.tolist()  # the strongest
+    assert len(few) == 9 and min(abs(of[f][2]) for f in few) >= sorted((abs(of[f][2]) for f in strong), reverse=True)[8] - 1e-9
+    place = {f: i for i, f in enumerate(strong)}
+    at = [(i, place[f]) for i, s in enumerate(sets) for f in s if f in place]
+    of_model = dict(zip(strong, model.weights.tolist(), strict=True))
+    for t, s in zip(texts, sets, strict=True):
+        assert model.score(t) == pytest.approx(1 / (1 + math.exp(-model.bias - sum(of_model.get(f, 0) for f in s))), abs=1e-5)
+    fitted, bias = T.fit(np.array([i for i, _ in at]), np.array([j for _, j in at]), np.array(y, np.float64), np.array([of[f][1] for f in strong]), steps=3000)
+    weights = dict(zip(strong, fitted.tolist(), strict=True))
+    logit = [bias + sum(weights.get(f, 0) for f in s) for s in sets]
     error = [1 / (1 + math.exp(-x)) - label for x, label in zip(logit, y, strict=True)]
     assert abs(sum(error)) < 0.1
     for f, w in weights.items():  # of the weight w / ratio, which the penalty pulls to 0
