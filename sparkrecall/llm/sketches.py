@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,48 +190,68 @@ def _compared(rows: list[tuple[object, str, str]], names: list[str], kind: pa.Da
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", per_stretch: int = 5000) -> DataFrame:
-    """Rows (stretch, late, key, text), partitioned by stretch and sorted by (stretch, late, key, text): within a
-    stretch every row with late = 0 is followed by the document after it.
+    """Rows (stretch, late, key, text), partitioned by stretch and sorted so that within a stretch every row with late = 0 is
+    followed by the document after it.
 
-    Stretches begin at about every per_stretch-th key, and there are at most 100 thousand of them. The documents at
-    such a key stand in their own stretch and, late, at the end of the one before; the first document stands late in
-    the last stretch. So one shuffle of the texts brings neighbours together, and no window runs over all rows. Only
-    the keys at which stretches begin are collected. Null keys come first.
+    Documents are in the order of their keys, null ones first, and of one key, or of none, by the text's first 32
+    characters and a hash of it. A stretch begins at about every per_stretch-th row, whatever its key, and there are at most
+    100 thousand of them. The first row of a stretch stands in it and, late, at the end of the one before; the first of
+    all stands late in the last stretch. So one shuffle of the texts brings neighbours together, hardly a text is sent
+    twice, and no window runs over all rows. Only the places at which stretches begin are collected.
+
+    Rows equal in key and text take several places that are the same. They are dealt by turns over the stretches that begin
+    with such a place: which of them is where makes no difference, but that the last of these stretches has one.
     """
     docs = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    total, known = docs.agg(F.count("*"), F.count("key")).first()
-    per = max(per_stretch, total // 100_000)
-    ranked = docs.select("key").where("key is not null").repartitionByRange("key").sortWithinPartitions("key").withColumn("r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    bounds = np.array(sorted({r.key for r in ranked.where(F.pmod("r", F.lit(per)) == 0).select("key").collect()}))
-    last, nulls = max(len(bounds) - 1, 0), known < total
-
-    @F.pandas_udf("stretch int, before int")
-    def stretch(keys: pd.Series, known: pd.Series) -> pd.DataFrame:
-        there = known.to_numpy()
-        at = np.zeros(len(keys), np.int32)
-        before = np.full(len(keys), -1, np.int32)
-        if len(bounds):
-            own = np.array(keys[there].tolist(), None if bounds.dtype.kind == "U" else bounds.dtype)  # strings keep their own lengths
-            at[there] = np.maximum(np.searchsorted(bounds, own, side="right") - 1, 0)
-            begins = bounds[at[there]] == own
-            before[there] = np.where(begins, np.where(at[there] > 0, at[there] - 1, -1 if nulls else last), -1)
-        before[~there] = last
-        return pd.DataFrame({"stretch": at, "before": before})
+    named = F.col("key").isNotNull()
+    order = ["named", "key", "begins", "h"]
+    placed = docs.withColumns({"named": named, "begins": F.left("text", F.lit(32)), "h": F.xxhash64("text")})
+    per = max(per_stretch, docs.count() // 100_000)
+    ranked = placed.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    bounds = sorted((r.named, r.key if r.named else 0, r.begins, r.h) for r in ranked.where(F.pmod("r", F.lit(per)) == 0).collect())
+    last, nulls = max(len(bounds) - 1, 0), sum(not x[0] for x in bounds)
+    known = np.array([x[1] for x in bounds[nulls:]])
+
+    @F.pandas_udf("stretch int, before array<int>")
+    def stretch(there: pd.Series, keys: pd.Series, begins: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        named = there.to_numpy()
+        at = np.full(len(keys), -1, np.int64)
+        tied = ~named
+        if len(known) and named.any():
+            own = np.array(keys[named].tolist(), None if known.dtype.kind == "U" else known.dtype)  # strings keep their own lengths
+            at[named] = np.searchsorted(known, own, side="right") - 1
+            tied[named] = known[at[named]] == own
+        at += nulls
+        before: list[list[int]] = [[]] * len(keys)
+        turns: dict[tuple, int] = {}
+        for i in np.nonzero(tied)[0]:
+            place = (bool(named[i]), keys.iloc[i] if named[i] else 0, begins.iloc[i], int(hashes.iloc[i]))
+            lo, hi = bisect_left(bounds, place), bisect_right(bounds, place)
+            if lo == hi:
+                at[i] = lo - 1
+            else:
+                turn = turns[place] = turns.get(place, -1) + 1
+                at[i] = hi - 1 - turn % (hi - lo)
+                if turn == 0:  # more of them would do nothing
+                    before[i] = [x if x >= 0 else last for x in range(lo - 1, hi - 1)]
+        return pd.DataFrame({"stretch": np.maximum(at, 0).astype(np.int32), "before": before})
 
     # keys beside nulls would come as floating point numbers
-    key_or = F.coalesce("key", F.lit(bounds[0].item() if hasattr(bounds[0], "item") else bounds[0]).cast(docs.schema["key"].dataType)) if len(bounds) else F.lit(0)
+    first = known[0].item() if len(known) and hasattr(known[0], "item") else 0
+    key_or = F.coalesce("key", F.lit(first).cast(docs.schema["key"].dataType))
     bounded_batches(docs.sparkSession)
-    placed = docs.withColumn("at", stretch(key_or, F.col("key").isNotNull()))
-    own, late = F.struct(F.col("at.stretch").alias("stretch"), F.lit(0).alias("late")), F.struct(F.col("at.before").alias("stretch"), F.lit(1).alias("late"))
-    dealt = placed.select("key", "text", F.explode(F.when(F.col("at.before") >= 0, F.array(own, late)).otherwise(F.array(own))).alias("s")).select("s.stretch", "s.late", "key", "text")
-    return dealt.repartition(last + 1, "stretch").sortWithinPartitions("stretch", "late", "key", "text")
+    dealt = placed.withColumn("at", stretch(named, key_or, F.col("begins"), F.col("h")))
+    late = F.transform("at.before", lambda x: F.struct(x.alias("stretch"), F.lit(1).alias("late")))
+    both = F.concat(F.array(F.struct(F.col("at.stretch").alias("stretch"), F.lit(0).alias("late"))), late)
+    rows = dealt.select(*order, "text", F.explode(both).alias("s")).select("s.stretch", "s.late", *order, "text")
+    return rows.repartition(last + 1, "stretch").sortWithinPartitions("stretch", "late", *order).select("stretch", "late", "key", "text")
 
 
 def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text", batch_rows: int = 256, batch_chars: int = 1 << 21) -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_differences).
 
     The next document is that of the next key, after the last the first; of a single document, itself. Rows of one key
-    follow each other by text, in one task, which holds at most batch_rows of them and batch_chars characters, or two
+    follow each other by text (with_next()); a task holds at most batch_rows of them and batch_chars characters, or two
     documents. Null texts are empty; texts without paragraphs are alike. Other columns are ignored. Empty table: no rows.
 
     The likenesses are of the whole sets of digests: two sketches are subtracted and peeled, and where the sets differ in

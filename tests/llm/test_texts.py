@@ -603,3 +603,21 @@ def test_wrapped_licence_headers(spark):
     }
     for r in L.license_scan(spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id bigint, text string")).collect():
         assert r.labels == cases[r.text] and (r.score > 0) == bool(r.labels)
+
+
+@pytest.mark.parametrize("per_stretch", [5, 40, 5000])
+def test_most_keys_are_null_or_alike(spark, monkeypatch, per_stretch):
+    """Rows without a key, rows of one key and equal rows are dealt over the stretches, and have the right next one."""
+    rng = random.Random(2)
+    text = lambda: f"{rng.randint(0, 10**9)} " + "w. " * rng.randint(0, 9)
+    docs = [(None, text()) for _ in range(150)] + [(None, "the same.")] * 60 + [(7, text()) for _ in range(50)] + [(7, "one two.")] * 30 + [(i, text()) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    dealt = {r.stretch: (r["own"], r.late) for r in K.with_next(df, per_stretch=per_stretch).groupBy("stretch").agg(F.count_if(F.col("late") == 0).alias("own"), F.count_if(F.col("late") == 1).alias("late")).collect()}
+    assert sum(n for n, _ in dealt.values()) == len(docs) and all(late >= 1 for _, late in dealt.values())
+    if per_stretch < 5000:
+        assert max(n for n, _ in dealt.values()) <= 5 * per_stretch and sum(late for _, late in dealt.values()) <= 6 * len(dealt)
+    with_next = K.with_next
+    monkeypatch.setattr(K, "with_next", lambda d, key, text: with_next(d, key, text, per_stretch))
+    ordered = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1][:32]))
+    expected = sorted(repr((k, len(t), hashlib.sha256(K.edited(t, n).encode()).hexdigest())) for (k, t), (_, n) in zip(ordered, [*ordered[1:], ordered[0]], strict=True))
+    assert sorted(repr((r.doc_id, r.n_chars, r.edited_sha256)) for r in K.sketched(df).collect()) == expected
