@@ -120,6 +120,7 @@ def contradiction_confidence(a: Column, b: Column) -> Column:
 
 #: Topics and the parts of words that name them.
 TOPICS = {"automotive": ("car", "vehicle"), "technology": ("device", "phone", "laptop"), "real estate": ("house", "home")}
+NO_TOPIC = "general conversation"
 
 
 def topics(text: Column) -> Column:
@@ -230,4 +231,4 @@ def habits(text: Column) -> Column:
 
 
 def topics_joined(found: Column) -> Column:
-    return let(F.array_join(found, ", "), lambda x: F.when(x == "", "general conversation").otherwise(x))
+    return let(F.array_join(found, ", "), lambda x: F.when(x == "", NO_TOPIC).otherwise(x))

@@ -52,6 +52,8 @@ def errors(obs: DataFrame) -> Column:
         rule(~c("confidence").between(0, 1), "confidence: from 0 to 1"),
         rule(~c("importance").between(0, 1), "importance: from 0 to 1"),
     ]
+    if "broken" in obs.columns:
+        rules.insert(0, rule(c("broken").isNotNull(), "not an observation in JSON"))
     if "source" in obs.columns:
         rules.append(rule(c("source.source_type").isNull() | (c("source.source_type") == ""), "source.source_type: must not be empty"))
     if "observed_at_text" in obs.columns:

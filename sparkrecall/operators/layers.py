@@ -20,8 +20,6 @@ from sparkrecall.operators.leaders import leaders
 
 # Devices looked for, and what insights say.
 DEVICES = ["samsung", "galaxy", "s22", "dell", "xps", "bike", "car"]
-#: The largest limit of a search.
-MOST = 100
 ISOLATION = {"tenant": ["tenant_id", "app_id", "actor_id"], "actor": ["actor_id"]}
 
 
@@ -220,12 +218,14 @@ def search(queries: DataFrame, insights: DataFrame, events: DataFrame, as_of: Co
     """(query_id, rank, id, memory_type, text, summary, thread_id, score, reason): insights above the threshold; where they are fewer than the
     limit, of the newest events (twice what is missing) those above theirs, newest first, fill up; by score.
 
-    Only tenant, application and actor filter. A limit or min_score of 0 is none: 20, and 0.1 or 0.05; a limit is MOST at most.
+    Only tenant, application and actor filter. A limit or min_score of 0 is none: 20, and 0.1 or 0.05. Limits have no bound;
+    the largest is read off the queries beforehand, so that Spark keeps that many rows of each query before the exchange.
     """
     from sparkrecall.operators.search import with_defaults
 
     c = F.col
-    q = with_defaults(queries).select("query_id", "tenant_id", "app_id", "actor_id", X.raw_words(c("query")).alias("q_words"), F.least(F.when(c("limit") > 0, c("limit")).otherwise(20), F.lit(MOST)).alias("most"), F.when(c("min_score") > 0, c("min_score")).alias("least"))
+    q = with_defaults(queries).select("query_id", "tenant_id", "app_id", "actor_id", X.raw_words(c("query")).alias("q_words"), F.when(c("limit") > 0, c("limit")).otherwise(20).alias("most"), F.when(c("min_score") > 0, c("min_score")).alias("least"))
+    largest = q.agg(F.coalesce(F.max("most"), F.lit(0))).first()[0]
     fits = lambda n: c(f"q.{n}").isNull() | (c(f"q.{n}") == "") | (c(f"q.{n}") == c(f"m.{n}"))
     test = (c("q.tenant_id") == c("m.tenant_id")) & fits("app_id") & fits("actor_id")
 
@@ -239,10 +239,9 @@ def search(queries: DataFrame, insights: DataFrame, events: DataFrame, as_of: Co
     e = left.where("missing > 0").alias("q").join(events.alias("m"), test)
     e = e.select("q.query_id", "q.most", "q.missing", "q.least", "q.q_words", c("m.event_id").alias("id"), c("m.content").alias("text"), c("m.session_id").alias("thread_id"), c("m.ts"), c("m.seq"))
     newest = W.partitionBy("query_id").orderBy(F.desc("ts"), "seq")
-    # the constant bounds let Spark keep that many rows of each query before the exchange
-    e = e.withColumn("place", F.row_number().over(newest)).where(c("place") <= 2 * MOST).where(c("place") <= c("missing") * 2)
+    e = e.withColumn("place", F.row_number().over(newest)).where(c("place") <= 2 * largest).where(c("place") <= c("missing") * 2)
     e = e.withColumn("score", X.jaccard(c("q_words"), X.raw_words(c("text")))).where(c("score") > F.coalesce("least", F.lit(0.05)))
     e = e.withColumn("kept", F.row_number().over(W.partitionBy("query_id").orderBy("place"))).where("kept <= missing")
     e = e.select("query_id", "most", "id", F.lit("episode").alias("memory_type"), "text", (c("score") * 0.8).alias("score"), F.lit("Recent conversation context").alias("reason"), "thread_id", F.concat(F.substring("text", 1, 100), F.lit("...")).alias("summary"), F.lit(1).alias("layer"), F.lit(None).cast(i.schema["o"].dataType).alias("o"), "place")
     ranked = i.unionByName(e).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "layer", "o", "place")))
-    return ranked.where(c("rank") <= MOST).where("rank <= most").select("query_id", "rank", "id", "memory_type", "text", "summary", "thread_id", "score", "reason")
+    return ranked.where(c("rank") <= largest).where("rank <= most").select("query_id", "rank", "id", "memory_type", "text", "summary", "thread_id", "score", "reason")

@@ -25,7 +25,9 @@ MODES = ("lexical", "enhanced", "dual_layer")
 class Store(Protocol):
     def read(self) -> DataFrame: ...
 
-    def write(self, memories: DataFrame) -> None: ...
+    def write(self, memories: DataFrame, marks: dict[str, int] | None = None) -> None: ...
+
+    def marks(self) -> dict[str, int]: ...
 
 
 class Embedding(Protocol):
@@ -72,12 +74,39 @@ class Engine:
         kinds = {"parquet": ParquetStore, "json": JsonStore}
         self.store: Store = kinds[self.config.store](spark, self.config.path) if self.config.store in kinds else MemoryStore(spark)
 
-    def ingest(self, observations: DataFrame, strict: bool = True) -> dict[str, int]:
+    def moment(self) -> Column:
+        """The present as a constant, which is the same in all jobs of a call."""
+        return F.timestamp_micros(F.lit(self.spark.range(1).select(F.unix_micros(self.now())).first()[0]))
+
+    def _marks(self) -> dict[str, int]:
+        return self.store.marks()
+
+    def ingest(self, observations: DataFrame, strict: bool = True, batch: tuple[str, int] | None = None) -> dict[str, int]:
+        """How many memories are created and updated. Strict: a request without observations or with an invalid one fails;
+        else invalid ones are left out, as `rejected` says; rejected() has them with their errors.
+
+        `batch`: the name of a stream and the number of this batch in it. The number is stored together with the memories,
+        and a batch that is in the store already changes nothing.
+        """
+        if batch is not None and self._marks().get(batch[0], -1) >= batch[1]:
+            return {"created": 0, "updated": 0}
+        valid, invalid = M.validated(observations, strict)
+        if strict and observations.isEmpty():
+            raise ValueError("observations: at least one")
+        out = self._ingest(valid, {batch[0]: batch[1]} if batch else None)
+        return out if strict else out | {"rejected": invalid.count()}
+
+    @staticmethod
+    def rejected(observations: DataFrame) -> DataFrame:
+        """The invalid rows, with the list of what is wrong with each."""
+        return M.validated(observations)[1]
+
+    def _ingest(self, valid: DataFrame, marks: dict[str, int] | None) -> dict[str, int]:
         """Stored memories take part as what came before: a repeat of one merges into it. Arrival numbers that go on after
         the stored ones are kept, so that an ingest in parts leaves what one ingest of all leaves; else they are raised."""
-        valid, _ = M.validated(observations, strict)
-        stored = L.archived(self.store.read(), self.now())
-        new = I.ingest(valid, self.now())
+        now = self.moment()
+        stored = L.archived(self.store.read(), now)
+        new = I.ingest(valid, now)
         keys = ["tenant_id", "app_id", "actor_id", "memory_type"]
         old = stored.where("status = 'active'").withColumn("low", F.lower("text"))
         first = old.groupBy(*keys, "low").agg(F.min_by("id", "ord").alias("stored_id"))
@@ -96,10 +125,15 @@ class Engine:
         both = both.withColumn("metadata", F.when(F.col("__metadata").isNotNull(), I.X.merge_maps(F.col("metadata"), F.col("__metadata"))).otherwise(F.col("metadata")))
         for c in ("status", "last_seen_at", "updated_at"):
             both = both.withColumn(c, F.coalesce(f"__{c}", c))
-        self.store.write(both.select(*stored.columns).unionByName(fresh.select(*stored.columns)))
+        self.store.write(both.select(*stored.columns).unionByName(fresh.select(*stored.columns)), marks)
         met.unpersist()
         return {"created": int(counts.created), "updated": int(counts.updated)}
 
+    def change(self, memories: DataFrame) -> None:
+        """Puts whole memories, of different ids, in the place of those stored under these ids, or beside the others."""
+        stored = self.store.read()
+        self.store.write(stored.join(memories.select("id"), "id", "left_anti").select(*stored.columns).unionByName(memories.select(*stored.columns)))
+
     def search(self, queries: DataFrame) -> DataFrame:
         return self._found(M.checked_search(queries))
 
@@ -110,26 +144,27 @@ class Engine:
     def context(self, queries: DataFrame) -> DataFrame:
         checked = M.checked_budget(M.checked_search(queries))
         wide = C.budgets(checked).withColumn("limit", F.col("max_items") * 2)
-        return C.contexts(checked, self._memories(), self.now(), self._found(wide))
+        return C.contexts(checked, self.memories(), self.now(), self._found(wide))
 
-    def _memories(self) -> DataFrame:
+    def memories(self) -> DataFrame:
+        """What profiles, and a service above, see of an actor's past."""
         return self.store.read()
 
     def profile(self, actors: DataFrame) -> DataFrame:
         keys = ["tenant_id", "app_id", "actor_id"]
-        return C.profiles(self._memories().join(actors.select(*keys).distinct(), keys, "left_semi"), self.now())
+        return C.profiles(self.memories().join(actors.select(*keys).distinct(), keys, "left_semi"), self.now())
 
     def feedback(self, signals: DataFrame) -> int:
         """How many signals found a live memory."""
-        stored, checked = self.store.read(), M.checked_signals(signals)
-        hit = checked.join(L.live(stored, self.now()).select(F.col("id").alias("memory_id")), "memory_id", "left_semi").count()
-        self.store.write(L.with_feedback(stored, checked, self.now()))
+        stored, checked, now = self.store.read(), M.checked_signals(signals), self.moment()
+        hit = checked.join(L.live(stored, now).select(F.col("id").alias("memory_id")), "memory_id", "left_semi").count()
+        self.store.write(L.with_feedback(stored, checked, now))
         return hit
 
     def compact(self) -> dict[str, int]:
-        stored = self.store.read()
-        row = L.compact(stored, self.now()).first()
-        persist_if_compacted(self.store, L.archived(stored, self.now()), row.archived_expired)
+        stored, now = self.store.read(), self.moment()
+        row = L.compact(stored, now).first()
+        persist_if_compacted(self.store, L.archived(stored, now), row.archived_expired)
         return row.asDict()
 
     def get(self, ids: DataFrame) -> DataFrame:
@@ -161,18 +196,24 @@ class DualLayerEngine(Engine):
             raise ValueError("two layers are kept in memory or as parquet")
         self.layers = LayerStore(spark, self.config.path if self.config.store == "parquet" else None)
 
-    def ingest(self, observations: DataFrame, strict: bool = True) -> dict[str, int]:
-        valid, _ = M.validated(observations, strict)
+    def _marks(self) -> dict[str, int]:
+        return self.layers.marks()
+
+    def _ingest(self, valid: DataFrame, marks: dict[str, int] | None) -> dict[str, int]:
         events, insights = self.layers.read()
+        now = self.moment()
         last = events.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        new = I.normalized(valid, self.now()).persist()
+        new = I.normalized(valid, now).persist()
         first, n = new.agg(F.min("arrival_seq"), F.count("*")).first()
         base = 0 if first is None or first > last else last + 1
         rows = new.withColumn("ord", F.col("arrival_seq") + base).withColumn("id", F.concat(F.lit("event_"), F.substring(F.sha2(F.concat_ws("|", "tenant_id", "app_id", "actor_id", F.col("ord").cast("string")), 256), 1, 16)))
-        self.layers.write(events.unionByName(Y.events_of(rows, self.now()).withColumn("processed", F.lit(False))), insights)
+        self.layers.write(events.unionByName(Y.events_of(rows, now).withColumn("processed", F.lit(False))), insights, marks)
         new.unpersist()
         return {"created": int(n), "updated": 0}
 
+    def change(self, memories: DataFrame) -> None:
+        """No effect: events and what was drawn from them are not for others to change."""
+
     def process(self, most: int | None = None) -> int:
         """Insights from the events not yet processed, or from the first `most` of them; how many insights there are then."""
         events, insights = self.layers.read()
@@ -184,17 +225,18 @@ class DualLayerEngine(Engine):
         of_new = events.join(new.select(*keys).distinct(), keys, "left_semi")
         summaries = [s for s in self.strategies if s.draw is Y.session_summaries]
         drawn = Y.drawn(new, self.strategies, whole=of_new) if summaries else Y.drawn(new, self.strategies)
-        merged = Y.stored(drawn, self.isolation, as_of=self.now(), existing=insights)
+        now = self.moment()
+        merged = Y.stored(drawn, self.isolation, as_of=now, existing=insights)
         last = new.agg(F.max("seq")).first()[0]
         seen = F.col("processed") | (F.col("seq") <= F.lit(last if last is not None else -1))
-        self.layers.write(events.withColumn("processed", seen), Y.consolidated(merged, self.isolation, as_of=self.now()))
+        self.layers.write(events.withColumn("processed", seen), Y.consolidated(merged, self.isolation, as_of=now))
         return self.layers.read()[1].count()
 
     def _found(self, queries: DataFrame) -> DataFrame:
         events, insights = self.layers.read()
         return Y.search(queries, insights, events, self.now()).withColumn("reasons", F.array("reason")).drop("reason")
 
-    def _memories(self) -> DataFrame:
+    def memories(self) -> DataFrame:
         return self._records(Y.insight_memories(self.layers.read()[1]))
 
     @staticmethod
@@ -207,10 +249,10 @@ class DualLayerEngine(Engine):
         return 0
 
     def compact(self) -> dict[str, int]:
-        events, insights = self.layers.read()
-        row = Y.compact(events, insights, self.now()).first()
+        (events, insights), now = self.layers.read(), self.moment()
+        row = Y.compact(events, insights, now).first()
         if row.archived_expired:
-            self.layers.write(*Y.compacted(events, insights, self.now()))
+            self.layers.write(*Y.compacted(events, insights, now))
         return row.asDict()
 
     def get(self, ids: DataFrame) -> DataFrame:

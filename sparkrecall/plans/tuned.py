@@ -3,11 +3,13 @@ and whose contexts choose from three times the items by thread; with counters, a
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from sparkrecall import model as M
 from sparkrecall.operators import context as C
@@ -42,7 +44,7 @@ def tuned_contexts(queries: DataFrame, memories: DataFrame, as_of: Column, hits:
 class TunedEngine:
     def __init__(self, engine: Engine, supersede_above: float = 0.8, clock: Callable[[], float] = time.monotonic):
         self.engine, self.supersede_above, self.clock = engine, supersede_above, clock
-        self.found: DataFrame | None = None  # contradictions on record
+        self._records: list[DataFrame] = []
         self.requests, self.error_rate, self.seconds = 0, 0.0, 0.0
 
     def _timed(self, call: Callable[[], object]) -> object:
@@ -61,18 +63,25 @@ class TunedEngine:
         return self._timed(lambda: self._ingest(observations))
 
     def _ingest(self, observations: DataFrame) -> dict[str, int]:
+        if observations.isEmpty():
+            raise ValueError("observations: at least one")
         valid, _ = M.validated(observations, strict=True)
-        new, store, now = prepared(valid), self.engine.store, self.engine.now()
-        stored = store.read()
+        new, now = prepared(valid), self.engine.moment()
+        stored = self.engine.memories()
         seen = L.live(stored, now)
-        pairs = L.contradictions(new, seen).withColumn("found_at", now).withColumn("resolved", F.lit(False))
-        counts = L.contradiction_counts(new, seen)
+        counts = settled(L.contradiction_counts(new, seen))
         if not counts.isEmpty():
-            self.found = settled(pairs if self.found is None else self.found.unionByName(pairs))
-            store.write(L.penalized(stored, counts).select(*stored.columns))
+            self._records.append(settled(L.contradictions(new, seen).withColumn("found_at", now).withColumn("resolved", F.lit(False))))
+            hit = stored.join(counts.select(F.col("old_id").alias("id")), "id", "left_semi")
+            self.engine.change(L.penalized(hit, counts).select(*stored.columns))
         done = self.engine.ingest(new)
         return {"created": done["created"] + done["updated"], "updated": 0}
 
+    @property
+    def found(self) -> DataFrame | None:
+        """Contradictions on record: each ingest's own, and what resolve() left."""
+        return functools.reduce(DataFrame.unionByName, self._records) if self._records else None
+
     def search(self, queries: DataFrame) -> DataFrame:
         return self._timed(lambda: self.engine.search(queries))
 
@@ -81,23 +90,44 @@ class TunedEngine:
 
     def _context(self, queries: DataFrame) -> DataFrame:
         checked = M.checked_search(queries)
-        wide = C.budgets(checked, 50).withColumn("limit", F.least(F.col("max_items") * 3, F.lit(100)))
-        return tuned_contexts(checked, self.engine._memories(), self.engine.now(), self.engine._found(wide))
+        wide = C.budgets(checked, 50).withColumn("limit", F.col("max_items") * 3)  # engines bound it as they bound searches
+        return tuned_contexts(checked, self.engine.memories(), self.engine.now(), self.engine._found(wide))
 
     def resolve(self) -> int:
         """Supersedes what is contradicted surely enough, and forgets resolved contradictions of over a day; how many stay
         on record."""
-        if self.found is None:
+        if not self._records:
             return 0
-        stored = self.engine.store.read()
-        self.engine.store.write(L.resolved(stored, self.found, self.supersede_above).select(*stored.columns))
-        sure = F.col("resolved") | (F.col("confidence") > self.supersede_above)
-        self.found = settled(L.open_contradictions(self.found.withColumn("resolved", sure), self.engine.now()))
+        found, stored = self.found, self.engine.memories()
+        sure = found.where(F.col("confidence") > self.supersede_above)
+        hit = stored.join(sure.select(F.col("old_id").alias("id")).distinct(), "id", "left_semi").where("status != 'superseded'")
+        if not hit.isEmpty():
+            self.engine.change(L.resolved(hit, sure, self.supersede_above).select(*stored.columns))
+        marked = found.withColumn("resolved", F.col("resolved") | (F.col("confidence") > self.supersede_above))
+        self._records = [settled(L.open_contradictions(marked, self.engine.moment()))]
         return self.found.count()
 
     def forget(self, days: int = 90, least_importance: float = 0.3) -> None:
-        stored = self.engine.store.read()
-        self.engine.store.write(L.forgotten(stored, self.engine.now(), days, least_importance).select(*stored.columns))
+        stored = self.engine.memories()
+        gone = L.forgotten(stored.where("status = 'active'"), self.engine.moment(), days, least_importance).where("status != 'active'")
+        if not gone.isEmpty():
+            self.engine.change(gone.select(*stored.columns))
+
+    def jobs(self, every: str = "5 minutes", forget_after: float = 86_400.0, **options: str) -> StreamingQuery:
+        """Runs the periodic jobs until the query is stopped: resolve() at each trigger, and forget() when `forget_after`
+        seconds have passed since the last time, by the clock."""
+        last = self.clock()
+
+        def batch(_: DataFrame, number: int) -> None:
+            nonlocal last
+            self.resolve()
+            if self.clock() - last >= forget_after:
+                last = self.clock()
+                self.forget()
+
+        ticks = self.engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        return ticks.writeStream.foreachBatch(batch).trigger(processingTime=every).options(**options).start()
 
     def metrics(self) -> dict[str, float]:
-        return {"requests": self.requests, "error_rate": self.error_rate, "average_seconds": self.seconds, "records": self.engine.dump().count()}
+        """Of this service: requests, the moving averages of failures and seconds, contradictions on record, memories."""
+        return {"requests": self.requests, "error_rate": self.error_rate, "average_seconds": self.seconds, "contradictions": self.found.count() if self._records else 0, "records": self.engine.dump().count()}

@@ -179,11 +179,12 @@ select event_id, round(ema+1e-9,4) as ema from w"""
 
 
 def s4_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """What the session stream counts, over a whole table."""
-    return T.sessions_stream(V.events(spark, d)).select("tenant_id", "actor_id", "session_id", "n", F.unix_millis("last_ts").alias("last_ms"))
+    """What the session stream says of each session in the end, of a whole table."""
+    return T.sessions(V.events(spark, d)).select("tenant_id", "actor_id", "session_id", "n", F.unix_millis("last_ts").alias("last_ms"), "topics")
 
 
-SQL["s4_sessions"] = f"with {_EV} select tenant_id, actor_id, thread_id as session_id, count(*) as n, epoch_ms(max(observed_at)) as last_ms from ev group by 1,2,3"
+SQL["s4_sessions"] = f"""with {_EV}, ss as (select tenant_id, actor_id, thread_id, count(*) as n, max(observed_at) as last_ts, array_to_string(list_transform(list_sort(list_transform(list_filter([{_TOPICS}], lambda x: x.at is not null), lambda x: {{'at':x.at,'s':x.s,'i':x.i,'t':x.t}})), lambda x: x.t),', ') as topics from ev group by 1,2,3)
+select tenant_id, actor_id, thread_id as session_id, n, epoch_ms(last_ts) as last_ms, case when topics='' then 'general conversation' else topics end as topics from ss"""
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -20,6 +21,13 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("observed_at_text", F.col("observed_at")).withColumn("observed_at", F.when(F.col("observed_at").rlike(UTC), F.try_to_timestamp("observed_at")))
 
 
+def observations_stream(spark: SparkSession, path: str, per_batch: int = 5) -> DataFrame:
+    """Files of JSON lines as a stream of what read_observations() gives, with `broken`: a line that is no JSON, whole."""
+    schema = OBSERVATIONS.replace("observed_at timestamp", "observed_at string") + ", broken string"
+    rows = spark.readStream.schema(schema).option("columnNameOfCorruptRecord", "broken").option("maxFilesPerTrigger", per_batch).json(path)
+    return rows.withColumn("observed_at_text", F.col("observed_at")).withColumn("observed_at", F.when(F.col("observed_at").rlike(UTC), F.try_to_timestamp("observed_at")))
+
+
 def session_folder(spark: SparkSession) -> str:
     """A new folder of this session, below spark.checkpoint.dir; where that is unset and the master is local, a temporary one.
     It is removed when the application ends."""
@@ -44,7 +52,8 @@ class Versions:
 
     A pointer appears by a rename to a name that isn't there yet, after its data are whole, and none is removed before
     a later one stands: a crash at any step leaves the version before. Of two writers that began with one version the
-    second fails. The last `keep` versions stay, for what still reads them.
+    second fails. The last `keep` versions stay, for what still reads them. A pointer's second line has marks, which come
+    and go with its data: of each stream the number of the last batch in them.
     """
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 3):
@@ -63,12 +72,18 @@ class Versions:
         return [n for n in self._names(self.path) if n.startswith("v-")]
 
     def _named(self, pointer: str) -> str:
-        return self.spark.read.text(f"{self.path}/pointers/{pointer}").first()[0]
+        return self.spark.read.text(f"{self.path}/pointers/{pointer}", wholetext=True).first()[0].partition("\n")[0]
+
+    def marks(self) -> dict[str, int]:
+        """Of each stream the number of its last batch in the current version."""
+        pointers = self._pointers()
+        lines = [r[0] for r in self.spark.read.text(f"{self.path}/pointers/{pointers[-1]}", wholetext=True).collect()] if pointers else []
+        return json.loads(lines[0].partition("\n")[2] or "{}") if lines else {}
 
-    def _point(self, number: int, name: str) -> None:
+    def _point(self, number: int, said: str) -> None:
         new = self._path(f"{self.path}/pointers/new-{uuid.uuid4().hex}")
         out = self._fs.create(new, False)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(said.encode()))
         out.close()
         to = self._path(f"{self.path}/pointers/{number:020d}")
         if self._fs.exists(to) or not self._fs.rename(new, to):
@@ -85,8 +100,9 @@ class Versions:
         name = self._named(pointers[-1])
         return None if name == "-" else f"{self.path}/{name}"
 
-    def write(self, **tables: DataFrame) -> str:
-        """A new version with these tables in it, each partitioned by tenant and application; its folder."""
+    def write(self, marks: dict[str, int] | None = None, **tables: DataFrame) -> str:
+        """A new version with these tables in it, each partitioned by tenant and application, and with further marks; its
+        folder."""
         pointers = self._pointers()
         if not pointers:
             if self._data():
@@ -94,9 +110,10 @@ class Versions:
             self._point(0, "-")  # so that a first write that breaks off leaves an empty store
             pointers = self._pointers()
         number, name = int(pointers[-1]) + 1, f"v-{uuid.uuid4().hex}"
+        marks = self.marks() | (marks or {})
         for table, rows in tables.items():
             rows.write.partitionBy("tenant_id", "app_id").parquet(f"{self.path}/{name}/{table}")
-        self._point(number, name)
+        self._point(number, f"{name}\n{json.dumps(marks)}")
         old = [p for p in pointers if int(p) <= number - self.keep]
         for p in old:
             gone = self._named(p)
@@ -117,9 +134,12 @@ class ParquetStore:
         now = self.versions.current()
         return self.spark.createDataFrame([], MEMORIES) if now is None else self.spark.read.schema(MEMORIES).parquet(f"{now}/memories")
 
-    def write(self, memories: DataFrame) -> None:
+    def write(self, memories: DataFrame, marks: dict[str, int] | None = None) -> None:
         """Partitioned by tenant and application, so that a search reads its own."""
-        self.versions.write(memories=memories)
+        self.versions.write(marks, memories=memories)
+
+    def marks(self) -> dict[str, int]:
+        return self.versions.marks()
 
 
 class MemoryStore(ParquetStore):
@@ -146,22 +166,32 @@ class LayerStore:
             return self.spark.createDataFrame([], EVENTS), self.spark.createDataFrame([], INSIGHTS)
         return self.spark.read.schema(EVENTS).parquet(f"{now}/events"), self.spark.read.schema(INSIGHTS).parquet(f"{now}/insights")
 
-    def write(self, events: DataFrame, insights: DataFrame) -> None:
+    def marks(self) -> dict[str, int]:
+        return self.versions.marks()
+
+    def write(self, events: DataFrame, insights: DataFrame, marks: dict[str, int] | None = None) -> None:
         kind = self.spark.createDataFrame([], INSIGHTS).schema
         typed = insights.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kind))
-        self.versions.write(events=events.select(*self.spark.createDataFrame([], EVENTS).columns), insights=typed)
+        self.versions.write(marks, events=events.select(*self.spark.createDataFrame([], EVENTS).columns), insights=typed)
 
 
 class JsonStore:
-    """One JSON document {version, records}, for exchange with other systems; one task writes it."""
+    """One JSON document {version, records}, for exchange with other systems; one task writes it. Where streams wrote it, it
+    has marks as well: of each the number of its last batch."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _there(self) -> bool:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def marks(self) -> dict[str, int]:
+        found = self.spark.read.schema("marks map<string,bigint>").json(self.path, multiLine=True).first() if self._there() else None
+        return dict(found.marks or {}) if found else {}
+
     def read(self) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        if not self._there():
             return self.spark.createDataFrame([], MEMORIES)
         kind = self.spark.read.json(self.path, multiLine=True).schema
         if "records" not in kind.names or kind["records"].dataType.typeName() != "array":
@@ -169,10 +199,12 @@ class JsonStore:
         rows = self.spark.read.schema(f"version int, records array<struct<{', '.join(_fields())}>>").json(self.path, multiLine=True)
         return rows.select(F.explode("records").alias("r")).select("r.*")
 
-    def write(self, memories: DataFrame) -> None:
+    def write(self, memories: DataFrame, marks: dict[str, int] | None = None) -> None:
         """The document is written beside and takes the old one's place in one rename."""
         record = F.struct(*(F.col(c) for c in memories.columns))
-        whole = memories.agg(F.to_json(F.struct(F.lit(VERSION).alias("version"), F.array_sort(F.collect_list(record), lambda a, b: F.when(a["ord"] < b["ord"], -1).otherwise(1)).alias("records"))).alias("value"))
+        known = self.marks() | (marks or {})
+        said = [F.from_json(F.lit(json.dumps(known)), "map<string,bigint>").alias("marks")] if known else []
+        whole = memories.agg(F.to_json(F.struct(F.lit(VERSION).alias("version"), F.array_sort(F.collect_list(record), lambda a, b: F.when(a["ord"] < b["ord"], -1).otherwise(1)).alias("records"), *said)).alias("value"))
         new = f"{self.path}.{uuid.uuid4().hex}"
         whole.coalesce(1).write.text(new)
         context = self.spark.sparkContext

@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from sparkrecall.functions import patterns as P
+from sparkrecall.functions import text as X
 from sparkrecall.functions.text import DAY_MS
 from sparkrecall.operators.layers import drawn
 from sparkrecall.plans.engine import Engine
@@ -171,17 +174,99 @@ def expiry_stream(seen: DataFrame) -> DataFrame:
     return marked.groupBy("id").applyInPandasWithState(run, "id string, expired_at timestamp", "last long, days long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def sessions_stream(events: DataFrame) -> DataFrame:
-    """Counts and last times of the sessions seen within 30 days, as events stream in."""
-    return events.withWatermark("ts", "30 days").groupBy("tenant_id", "app_id", "actor_id", "session_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
-
-
-def ingest_stream(observations: DataFrame, engine: Engine, **options: str) -> StreamingQuery:
+#: How long a session is kept after its last event.
+KEPT_MS = 30 * DAY_MS
+SESSION = ["tenant_id", "app_id", "actor_id", "session_id"]
+
+
+def sessions(events: DataFrame) -> DataFrame:
+    """(session keys, n, last_ts, topics) of each session of a table of events: what sessions_stream() says last of it."""
+    low = F.lower("content")
+    order = F.struct("ts", "seq")
+    first = [F.min(F.when(X.contains_any(low, *parts), order)).alias(f"t{i}") for i, parts in enumerate(P.TOPICS.values())]
+    per = events.groupBy(*SESSION).agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), *first)
+    named = F.array_compact(F.array(*(F.when(F.col(f"t{i}").isNotNull(), F.struct(F.col(f"t{i}.ts").alias("ts"), F.col(f"t{i}.seq").alias("s"), F.lit(i).alias("i"), F.lit(t).alias("t"))) for i, t in enumerate(P.TOPICS))))
+    return per.select(*SESSION, "n", "last_ts", P.topics_joined(F.transform(F.array_sort(named), lambda x: x["t"])).alias("topics"))
+
+
+class _Sessions(StatefulProcessor):
+    """Of each session its number of events, its last time, and each topic's first event; a timer that goes off KEPT_MS after the
+    last event drops them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n bigint, last bigint")
+        self.topics = handle.getMapState("topics", "place int", "ts bigint, seq bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        n, last = self.seen.get() if self.seen.exists() else (0, -1)
+        first = {place[0]: tuple(at) for place, at in self.topics.iterator()}
+        before = dict(first)
+        for batch in rows:
+            ms, low = batch.ts.astype("datetime64[ms]").astype("int64"), batch.content.fillna("").str.lower()
+            n, last = n + len(batch), max(last, int(ms.max()))
+            for i, parts in enumerate(P.TOPICS.values()):
+                hit = low.map(lambda x: any(p in x for p in parts))  # noqa: B023
+                if hit.any():
+                    at = min(zip(ms[hit].tolist(), batch.seq[hit].tolist(), strict=True))
+                    first[i] = min(at, first.get(i, at))
+        for i, at in first.items():
+            if before.get(i) != at:
+                self.topics.updateValue((i,), at)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(last + KEPT_MS)
+        self.seen.update((n, last))
+        said = ", ".join(list(P.TOPICS)[i] for i, _ in sorted(first.items(), key=lambda x: (*x[1], x[0]))) or P.NO_TOPIC
+        yield pd.DataFrame({**{k: [v] for k, v in zip(SESSION, key, strict=True)}, "n": [n], "last_ts": [pd.Timestamp(last, unit="ms")], "topics": [said], "dropped": [False]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, last = self.seen.get()
+        self.seen.clear()
+        self.topics.clear()
+        yield pd.DataFrame({**{k: [v] for k, v in zip(SESSION, key, strict=True)}, "n": [n], "last_ts": [pd.Timestamp(last, unit="ms")], "topics": [None], "dropped": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def sessions_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(session keys, n, last_ts, topics, dropped) of each session at every micro-batch that has events of it, in update mode;
+    and once with dropped = true, as its state goes, when the watermark is 30 days past its last event. Events may come
+    `late`. Its state needs the session's state store to be RocksDB: with_rocksdb() starts a query with it."""
+    marked = events.withWatermark("ts", late)
+    kinds = "tenant_id string, app_id string, actor_id string, session_id string, n bigint, last_ts timestamp, topics string, dropped boolean"
+    return marked.groupBy(*SESSION).transformWithStateInPandas(_Sessions(), kinds, "Update", "eventTime")
+
+
+def with_rocksdb(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """A query that start() starts, with RocksDB as its state store; the session's own setting is as before afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return start()
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def ingest_stream(observations: DataFrame, engine: Engine, quarantine: str | None = None, **options: str) -> StreamingQuery:
     """Each micro-batch is ingested into the engine's store, where what came in earlier batches takes part; batches run
-    one after the other, so batches leave what one ingest of all leaves. A batch that is run again, after a failure, finds
-    its own memories and merges into them."""
+    one after the other, so batches leave what one ingest of all leaves. Invalid rows go to Parquet files below
+    `quarantine`, if given, in a folder for each batch, with their errors.
+
+    A batch that is run again after a failure changes nothing: its number is kept in the store's version with its memories,
+    by the stream's own id, which stays with the checkpoint, and its quarantine folder is written anew.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        engine.ingest(rows, strict=False)
+        session = rows.sparkSession
+        stream = session.sparkContext.getLocalProperty("sql.streaming.queryId") or options.get("checkpointLocation", "stream")
+        if quarantine is not None:
+            Engine.rejected(rows).write.mode("overwrite").parquet(f"{quarantine.rstrip('/')}/batch={number}")
+        engine.ingest(rows, strict=False, batch=(stream, number))
 
     return observations.writeStream.foreachBatch(batch).options(**options).start()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from sparkrecall.operators import search as S
 from sparkrecall.plans import assistants as A
 from sparkrecall.plans.engine import Config, Engine, open_engine
 from sparkrecall.plans.tuned import TunedEngine
-from sparkrecall.sources.store import JsonStore, ParquetStore, read_observations
+from sparkrecall.sources.store import JsonStore, ParquetStore, observations_stream, read_observations
 from sparkrecall.streaming import limits as T
 
 NOW = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
@@ -522,3 +523,152 @@ def test_insights_are_drawn_from_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.content for r in found) == sorted(r.content for r in Y.drawn(e).collect()) and len(found) == 7
+
+
+@pytest.mark.parametrize("mode", ["lexical", "enhanced", "dual_layer"])
+def test_the_second_service_over_every_engine(spark, mode):
+    e = TunedEngine(open_engine(spark, Config(mode=mode), now), supersede_above=0.25)
+    said = ["My GPS works well", "The GPS is broken, an issue", "I prefer green tea"]
+    assert e.ingest(frame(spark, [observation(0, said[0], at=NOW, confidence=0.9, importance=0.1)])) == {"created": 1, "updated": 0}
+    if mode == "dual_layer":
+        e.engine.process()
+    assert e.ingest(frame(spark, [observation(i, t, at=NOW) for i, t in enumerate(said[1:], 1)])) == {"created": 2, "updated": 0}
+    if mode == "dual_layer":
+        assert e.engine.process() == 1
+    q = spark.createDataFrame([("q", "gps issue", "t", "a", "u", 50)], QUERY + ", max_items int")
+    with pytest.raises(Exception, match="from 1 to 30"):
+        e.engine.context(q).collect()
+    (c,) = e.context(q).collect()  # asks for 150 hits
+    assert c.total_memories >= 2 and "GPS" in c.context_text
+    before = e.engine.dump().count()
+    on_record = e.resolve()
+    e.engine.now = lambda: F.lit("2024-06-01 00:00:00").cast("timestamp")
+    e.forget(days=1, least_importance=2.0)
+    assert e.engine.dump().count() == before
+    if mode == "dual_layer":  # its update has no effect
+        assert on_record == 0 and e.engine.dump().where("status != 'active'").count() == 0
+    else:
+        assert on_record == 1 and {r.status for r in e.engine.dump().collect()} == {"superseded", "archived"}
+    assert e.metrics()["records"] == before
+    with pytest.raises(ValueError, match="at least one"):
+        e.ingest(frame(spark, []))
+
+
+def test_periodic_jobs(spark, tmp_path):
+    ran, ticks = [], iter(range(0, 10**6, 50_000))
+    e = TunedEngine(Engine(spark, now=now), clock=lambda: next(ticks))
+    e.resolve, e.forget = lambda: ran.append("resolve"), lambda: ran.append("forget")
+    q = e.jobs(every="0 seconds", checkpointLocation=str(tmp_path / "c"))
+    q.processAllAvailable()
+    for _ in range(50):
+        if "forget" in ran:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert ran.count("resolve") >= 2 and "forget" in ran
+
+
+def test_whole_memories_take_the_place_of_stored_ones(spark):
+    e = Engine(spark, now=now)
+    e.ingest(frame(spark, [observation(i, f"memory number {i}", at=NOW) for i in range(3)]))
+    old = e.dump().where("ord < 2")
+    new = old.withColumn("text", F.lit("changed")).withColumn("id", F.when(F.col("ord") == 1, "another").otherwise(F.col("id")))
+    e.change(new)
+    assert sorted(r.text for r in e.dump().collect()) == ["changed", "changed", "memory number 1", "memory number 2"]
+
+
+def test_an_empty_request_fails_and_rejected_rows_are_told(spark):
+    for mode in ("lexical", "dual_layer"):
+        e = open_engine(spark, Config(mode=mode), now)
+        with pytest.raises(ValueError, match="at least one"):
+            e.ingest(frame(spark, []))
+        rows = frame(spark, [observation(0, "good words"), observation(1, "abc"), observation(2, "good words again", scope="?")])
+        assert e.ingest(rows, strict=False) == {"created": 1, "updated": 0, "rejected": 2}
+        assert {r.arrival_seq: r.errors for r in e.rejected(rows).collect()} == {1: ["text: at least 4 characters"], 2: ["scope: not in the domain"]}
+        assert e.ingest(frame(spark, []), strict=False) == {"created": 0, "updated": 0, "rejected": 0}
+
+
+@pytest.mark.parametrize(("mode", "kind"), [("lexical", "parquet"), ("enhanced", "json"), ("dual_layer", "parquet")])
+def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path, mode, kind):
+    config = Config(mode=mode, store=kind, path=str(tmp_path / "s"))
+    parts = [frame(spark, [observation(i, f"words of {i % 2}", at=NOW) for i in range(k, k + 3)]) for k in (0, 3)]
+    e = open_engine(spark, config, now)
+    for n, rows in enumerate(parts):
+        e.ingest(rows, strict=False, batch=("s", n))
+    told = sorted(map(str, e.dump().collect()))
+    again = open_engine(spark, config, now)  # after a crash
+    for n, rows in enumerate(parts):
+        assert again.ingest(rows, strict=False, batch=("s", n)) == {"created": 0, "updated": 0}
+    assert sorted(map(str, again.dump().collect())) == told
+    assert again.ingest(parts[0], strict=False, batch=("another", 0)) != {"created": 0, "updated": 0}
+    assert again._marks() == {"s": 1, "another": 0}
+    again.feedback(spark.createDataFrame([("none", "positive")], "memory_id string, signal string"))
+    again.compact()
+    assert again._marks() == {"s": 1, "another": 0}  # other writes keep them
+
+
+def test_invalid_lines_of_a_stream_are_quarantined(spark, tmp_path):
+    """Each line is stored or in quarantine, with what is wrong with it; a batch run again adds to neither."""
+    good = '{{"arrival_seq": {i}, "tenant_id": "t", "app_id": "a", "actor_id": "u", "memory_type": "fact", "text": "words of {i}", "source": {{"source_type": "chat"}}, "observed_at": "2024-01-31T00:00:00Z"}}'
+    lines = [[good.format(i=0), '{"arrival_seq": 1, "text"', good.format(i=2).replace("words of 2", "abc")], ["no json", good.format(i=4), good.format(i=5).replace("2024-01-31T", "2024-01-31 ")]]
+    (tmp_path / "in").mkdir()
+
+    def run():
+        engine = Engine(spark, Config(store="parquet", path=str(tmp_path / "store")), now)
+        q = T.ingest_stream(observations_stream(spark, str(tmp_path / "in"), 1), engine, quarantine=str(tmp_path / "bad"), checkpointLocation=str(tmp_path / "c"))
+        q.processAllAvailable()
+        q.stop()
+        return engine
+
+    for n, some in enumerate(lines):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(some))
+        engine = run()
+    bad = spark.read.parquet(str(tmp_path / "bad")).collect()
+    assert engine.dump().count() + len(bad) == 6 and {r.ord for r in engine.dump().collect()} == {0, 4}
+    assert sorted(r.errors[0] for r in bad) == ["not an observation in JSON"] * 2 + ["observed_at: not a time in UTC", "text: at least 4 characters"]
+    assert {r.broken for r in bad} >= {"no json", lines[0][1]}
+    commits = tmp_path / "c" / "commits"
+    for name in ("1", ".1.crc"):  # as if the last batch had broken off before its commit
+        (commits / name).unlink(missing_ok=True)
+    again = run()
+    assert sorted(map(str, again.dump().collect())) == sorted(map(str, engine.dump().collect())) and spark.read.parquet(str(tmp_path / "bad")).count() == len(bad)
+
+
+def test_searches_in_two_layers_have_no_largest_limit(spark):
+    e = open_engine(spark, Config(mode="dual_layer"), now)
+    e.ingest(frame(spark, [observation(i, f"words in common and {i}", at=NOW) for i in range(160)]))
+    q = spark.createDataFrame([("q", "words in common", "t", "a", "u", 150), ("r", "words in common", "t", "a", "u", 0)], QUERY + ", limit int")
+    events, insights = e.layers.read()
+    found = Y.search(q, insights, events, now())
+    assert {r.query_id: r["count"] for r in found.groupBy("query_id").count().collect()} == {"q": 150, "r": 20}
+
+
+def test_sessions_of_a_stream_have_topics_and_end(spark, tmp_path):
+    """After every micro-batch counts and topics are those of all events so far; a month later the state goes."""
+    schema = "seq long, event_id string, tenant_id string, app_id string, actor_id string, session_id string, ts timestamp, content string"
+    rng = random.Random(3)
+    said = ["my phone is new", "the CAR is red", "a house by the sea", "nothing much", "Devices and cars", None]
+    at = [NOW + dt.timedelta(minutes=rng.randint(0, 50)) for _ in range(40)]
+    rows = [(i, f"e{i}", "t", "a", rng.choice("uv"), rng.choice(["s1", "s2"]), at[i], rng.choice(said)) for i in range(40)]
+    parts = [rows[:15], rows[15:], [(90, "e90", "t", "a", "w", "s", NOW + dt.timedelta(days=40), "hi")], [(91, "e91", "t", "a", "w", "s", NOW + dt.timedelta(days=40, hours=2), "hi")]]
+    got = []
+    (tmp_path / "in").mkdir()
+    stream = T.sessions_stream(T.files_stream(spark, str(tmp_path / "in"), schema, 1))
+    sink = lambda df, n: got.extend((n, r) for r in df.collect())
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    q = T.with_rocksdb(spark, lambda: stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).start())
+    assert spark.conf.get(name, None) == before
+    for n, some in enumerate(parts):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+        if n < 2:
+            live = {(r.actor_id, r.session_id): (r.n, r.last_ts, r.topics) for _, r in got if not r.dropped}
+            want = {(r.actor_id, r.session_id): (r.n, r.last_ts, r.topics) for r in T.sessions(spark.createDataFrame(sum(parts[: n + 1], []), schema)).collect()}
+            assert live == want
+    q.stop()
+    summaries = Y.session_summaries(spark.createDataFrame(rows, schema)).collect()
+    last = {(r.actor_id, r.n, r.topics) for _, r in got if not r.dropped}
+    assert summaries and all((r.actor_id, len(r.extracted_from), r.content.partition(" exchanged about ")[2]) in last for r in summaries)
+    ended = {(r.actor_id, r.session_id): r.n for _, r in got if r.dropped}
+    assert ended == {k: v[0] for k, v in live.items()}
