@@ -20,6 +20,8 @@ from sparkrecall.operators import search as S
 from sparkrecall.sources.store import JsonStore, LayerStore, MemoryStore, ParquetStore, persist_if_compacted
 
 MODES = ("lexical", "enhanced", "dual_layer")
+#: As many values Spark pushes down one by one.
+FEW = 10
 
 
 class Store(Protocol):
@@ -29,6 +31,8 @@ class Store(Protocol):
 
     def marks(self) -> dict[str, int]: ...
 
+    def whole(self, memories: DataFrame) -> DataFrame: ...
+
 
 class Embedding(Protocol):
     """What a text's vector is, and how alike two are, as expressions."""
@@ -71,8 +75,14 @@ class Engine:
 
     def __init__(self, spark: SparkSession, config: Config | None = None, now: Callable[[], Column] = F.current_timestamp):
         self.spark, self.config, self.now = spark, config or Config(), now
-        kinds = {"parquet": ParquetStore, "json": JsonStore}
-        self.store: Store = kinds[self.config.store](spark, self.config.path) if self.config.store in kinds else MemoryStore(spark)
+        # what enhanced search reads off a text is stored with it; the JSON document has memories alone
+        derive = I.enriched if self.config.mode == "enhanced" else None
+        self.store: Store
+        if self.config.store == "json":
+            self.store = JsonStore(spark, self.config.path)
+        else:
+            self.store = ParquetStore(spark, self.config.path, derive=derive) if self.config.store == "parquet" else MemoryStore(spark, derive)
+        self.columns = spark.createDataFrame([], M.MEMORIES).columns
 
     def moment(self) -> Column:
         """The present as a constant, which is the same in all jobs of a call."""
@@ -118,6 +128,7 @@ class Engine:
         last = stored.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
         base = 0 if counts["first"] is None or counts["first"] > last else last + 1
         fresh = met.where("old_id is null").withColumn("ord", F.col("ord") + base).withColumn("id", I.memory_id(*keys, "ord"))
+        fresh = self.store.whole(fresh.select(*self.columns))
         again = met.where("old_id is not null").select(F.col("old_id").alias("id"), *(F.col(c).alias(f"__{c}") for c in ("confidence", "importance", "metadata", "status", "last_seen_at", "updated_at")))
         both = stored.join(again, "id", "left")
         for c in ("confidence", "importance"):
@@ -131,8 +142,8 @@ class Engine:
 
     def change(self, memories: DataFrame) -> None:
         """Puts whole memories, of different ids, in the place of those stored under these ids, or beside the others."""
-        stored = self.store.read()
-        self.store.write(stored.join(memories.select("id"), "id", "left_anti").select(*stored.columns).unionByName(memories.select(*stored.columns)))
+        stored, new = self.store.read(), self.store.whole(memories.select(*self.columns))
+        self.store.write(stored.join(new.select("id"), "id", "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns)))
 
     def search(self, queries: DataFrame) -> DataFrame:
         return self._found(M.checked_search(queries))
@@ -148,7 +159,7 @@ class Engine:
 
     def memories(self) -> DataFrame:
         """What profiles, and a service above, see of an actor's past."""
-        return self.store.read()
+        return self.store.read().select(*self.columns)
 
     def profile(self, actors: DataFrame) -> DataFrame:
         keys = ["tenant_id", "app_id", "actor_id"]
@@ -168,13 +179,16 @@ class Engine:
         return row.asDict()
 
     def get(self, ids: DataFrame) -> DataFrame:
-        return S.by_id(self.store.read(), ids, self.now())
+        """Live memories by id. Up to FEW ids are a filter that the store's files are skipped by; more are a join."""
+        few = [r.id for r in ids.select("id").distinct().limit(FEW + 1).collect()]
+        stored = self.dump()
+        return S.by_id(stored.where(F.col("id").isin(few)) if len(few) <= FEW else stored, ids, self.now())
 
     def list(self, actors: DataFrame) -> DataFrame:
-        return S.by_actor(self.store.read(), actors, self.now())
+        return S.by_actor(self.dump(), actors, self.now())
 
     def dump(self) -> DataFrame:
-        return self.store.read()
+        return self.store.read().select(*self.columns)
 
     def health(self) -> dict[str, object]:
         """ok says whether the store can be read now."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,7 +113,9 @@ class Versions:
         number, name = int(pointers[-1]) + 1, f"v-{uuid.uuid4().hex}"
         marks = self.marks() | (marks or {})
         for table, rows in tables.items():
-            rows.write.partitionBy("tenant_id", "app_id").parquet(f"{self.path}/{name}/{table}")
+            # files are ordered by id and have Bloom filters of it, so that a look-up skips most row groups
+            key = "event_id" if "event_id" in rows.columns else "id"
+            rows.sortWithinPartitions("tenant_id", "app_id", key).write.partitionBy("tenant_id", "app_id").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{self.path}/{name}/{table}")
         self._point(number, f"{name}\n{json.dumps(marks)}")
         old = [p for p in pointers if int(p) <= number - self.keep]
         for p in old:
@@ -123,20 +126,38 @@ class Versions:
         return f"{self.path}/{name}"
 
 
+Derive = Callable[[DataFrame], DataFrame]
+
+
 class ParquetStore:
-    """Memories in versions: readers see a whole version, and what was read before a write can still be computed after."""
+    """Memories in versions: readers see a whole version, and what was read before a write can still be computed after.
 
-    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
-        self.spark, self.versions = spark, Versions(spark, path, keep)
+    `derive` adds columns that are made of a memory's text. They are stored with the memories and made for those alone that
+    are written without them; a version that was written without them has them made as it is read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3, derive: Derive | None = None):
+        self.spark, self.versions, self.derive = spark, Versions(spark, path, keep), derive
+        none = spark.createDataFrame([], MEMORIES)
+        self.schema = (derive(none) if derive else none).schema
 
     def read(self) -> DataFrame:
         """The memories; of a store that isn't there yet, none."""
         now = self.versions.current()
-        return self.spark.createDataFrame([], MEMORIES) if now is None else self.spark.read.schema(MEMORIES).parquet(f"{now}/memories")
+        if now is None:
+            return self.spark.createDataFrame([], self.schema)
+        path = f"{now}/memories"
+        if self.derive is None or set(self.schema.names) <= set(self.spark.read.parquet(path).columns):
+            return self.spark.read.schema(self.schema).parquet(path)
+        return self.derive(self.spark.read.schema(MEMORIES).parquet(path))
 
     def write(self, memories: DataFrame, marks: dict[str, int] | None = None) -> None:
         """Partitioned by tenant and application, so that a search reads its own."""
-        self.versions.write(marks, memories=memories)
+        self.versions.write(marks, memories=self.whole(memories).select(*self.schema.names))
+
+    def whole(self, memories: DataFrame) -> DataFrame:
+        """`memories` with the derived columns."""
+        return memories if set(self.schema.names) <= set(memories.columns) else self.derive(memories)
 
     def marks(self) -> dict[str, int]:
         return self.versions.marks()
@@ -145,8 +166,8 @@ class ParquetStore:
 class MemoryStore(ParquetStore):
     """Memories of this session alone, in its own folder: each write cuts the lineage, and a lost executor costs nothing."""
 
-    def __init__(self, spark: SparkSession):
-        super().__init__(spark, session_folder(spark))
+    def __init__(self, spark: SparkSession, derive: Derive | None = None):
+        super().__init__(spark, session_folder(spark), derive=derive)
 
 
 #: Columns of the two layers' tables.
@@ -182,6 +203,9 @@ class JsonStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def whole(self, memories: DataFrame) -> DataFrame:
+        return memories
+
     def _there(self) -> bool:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

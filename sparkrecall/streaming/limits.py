@@ -117,22 +117,33 @@ def rate_limit_stream(requests: DataFrame, limit: int, window_ms: int = WINDOW_M
 
 
 def moving_average(rows: DataFrame, key: str, order: str, value: str, keep: float = 0.9, chunk: int = 256) -> DataFrame:
-    """`rows` with double ema: x <- keep * x + (1 - keep) * value in order, from 0.
+    """`rows` with double ema: x <- keep * x + (1 - keep) * value in order, from 0. Null keys are one.
 
-    The closed form keep^n * sum((1 - keep) * keep^-k * v_k) would overflow in long series, so it is used within chunks,
-    and the chunks' ends are carried by a second one.
+    n steps in a row are the map x -> keep^n * x + e, and such maps compose. Rows are dealt by ranges of key and order, so
+    that a key's rows are in as many tasks as they need; each range is cut into chunks. Within a chunk the closed form
+    keep^i * sum((1 - keep) * keep^-k * v_k) is used, which would overflow in longer ones; then the chunks of a range are
+    composed, the ranges of a key, and the x with which each chunk begins is carried back to its rows.
     """
-    by = W.partitionBy(key).orderBy(order)
-    out = rows.withColumn("__k", F.row_number().over(by) - 1)
-    out = out.withColumn("__c", F.floor(F.col("__k") / chunk)).withColumn("__i", F.col("__k") % chunk + 1)
-    within = W.partitionBy(key, "__c").orderBy("__i").rowsBetween(W.unboundedPreceding, 0)
-    out = out.withColumn("__e", F.pow(F.lit(keep), F.col("__i")) * F.sum((1 - keep) * F.pow(F.lit(keep), -F.col("__i")) * F.col(value)).over(within))
-    # beyond three chunks back, keep^(3 * chunk) is below the last digit of any double
-    ends = out.groupBy(key, "__c").agg(F.max_by("__e", "__i").alias("__end"))
-    for n in range(1, 4):
-        out = out.join(ends.select(key, (F.col("__c") + n).alias("__c"), F.col("__end").alias(f"__b{n}")), [key, "__c"], "left")
-    carried = sum((F.coalesce(f"__b{n}", F.lit(0.0)) * F.pow(F.lit(keep), F.col("__i") + (n - 1) * chunk) for n in range(1, 4)), F.lit(0.0))
-    return out.withColumn("ema", F.col("__e") + carried).select(*rows.columns, "ema")
+    c, k = F.col, F.lit(keep)
+    spread = settled(rows.withColumn("__who", F.to_json(F.struct(key))).repartitionByRange("__who", order).withColumn("__p", F.spark_partition_id()))
+    out = spread.withColumn("__k", F.row_number().over(W.partitionBy("__who", "__p").orderBy(order)) - 1)
+    out = out.withColumn("__c", F.floor(c("__k") / chunk)).withColumn("__i", c("__k") % chunk + 1)
+    within = W.partitionBy("__who", "__p", "__c").orderBy("__i").rowsBetween(W.unboundedPreceding, 0)
+    out = out.withColumn("__e", F.pow(k, c("__i")) * F.sum((1 - keep) * F.pow(k, -c("__i")) * c(value)).over(within))
+
+    def composed(maps: Column, x: Column) -> Column:
+        """struct(x behind all maps, array of (at, x before the map of that number))."""
+        none = F.array().cast("array<struct<at:bigint,x:double>>")
+        return F.aggregate(maps, F.struct(x.alias("x"), none.alias("before")), lambda s, m: F.struct((F.pow(k, m["n"]) * s["x"] + m["e"]).alias("x"), F.concat(s["before"], F.array(F.struct(m["at"].alias("at"), s["x"].alias("x")))).alias("before")))
+
+    def gathered(at: str) -> Column:
+        return F.array_sort(F.collect_list(F.struct(c(at).cast("bigint").alias("at"), "n", "e"))).alias("maps")
+
+    chunks = out.groupBy("__who", "__p", "__c").agg(F.count("*").alias("n"), F.max_by("__e", "__i").alias("e")).groupBy("__who", "__p").agg(gathered("__c"), F.sum("n").alias("n"))
+    chunks = settled(chunks.withColumn("e", composed(c("maps"), F.lit(0.0))["x"]))
+    ranges = chunks.groupBy("__who").agg(gathered("__p")).select("__who", F.explode(composed(c("maps"), F.lit(0.0))["before"]).alias("b")).select("__who", c("b.at").cast("int").alias("__p"), c("b.x").alias("__x"))
+    begins = chunks.join(ranges, ["__who", "__p"]).select("__who", "__p", F.explode(composed(c("maps"), c("__x"))["before"]).alias("b")).select("__who", "__p", c("b.at").alias("__c"), c("b.x").alias("__x"))
+    return out.join(begins, ["__who", "__p", "__c"]).select(*rows.columns, (c("__e") + F.pow(k, c("__i")) * c("__x")).alias("ema"))
 
 
 def extract_stream(events: DataFrame, write: Callable[[DataFrame, int], None], every: str = "30 seconds", **options: str) -> StreamingQuery:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import re
 import time
 
 import pytest
@@ -672,3 +673,35 @@ def test_sessions_of_a_stream_have_topics_and_end(spark, tmp_path):
     assert summaries and all((r.actor_id, len(r.extracted_from), r.content.partition(" exchanged about ")[2]) in last for r in summaries)
     ended = {(r.actor_id, r.session_id): r.n for _, r in got if r.dropped}
     assert ended == {k: v[0] for k, v in live.items()}
+
+
+def test_what_search_reads_off_texts_is_stored_with_them(spark, tmp_path, monkeypatch):
+    config = Config(mode="enhanced", store="parquet", path=str(tmp_path / "s"))
+    said = ["My GPS had an issue first", "I met Sarah on 2024-01-05", "the dell laptop is fine"]
+    q = spark.createDataFrame([("q", "what was the first issue with my GPS", "t", "a", "u"), ("r", "when did I meet Sarah", "t", "a", "u")], QUERY)
+    hits = lambda e: sorted(map(str, e.search(q).collect()))
+    e = Engine(spark, config, now)
+    e.ingest(frame(spark, [observation(i, t, at=NOW) for i, t in enumerate(said[:2])]))
+    derived, calls = I.enriched, []
+    monkeypatch.setattr(e.store, "derive", lambda m: calls.append(sorted(r.text for r in m.collect())) or derived(m))
+    e.ingest(frame(spark, [observation(2, said[2], at=NOW), observation(3, said[0], at=NOW)]))  # one new, one that merges
+    assert calls == [[said[2]]]
+    e.feedback(e.dump().limit(1).select(F.col("id").alias("memory_id"), F.lit("positive").alias("signal")))
+    e.compact()
+    assert len(calls) == 1
+    plan = e.search(q)._jdf.queryExecution().executedPlan().toString()
+    assert "query#" in plan and not re.search(r"(?i)(regexp|rlike|split)[^\n]*\btext#", plan)
+    assert re.search(r"ReadSchema: [^\n]*(tokens|id:)", plan)
+    other = S.enhanced_hits(q, e.dump(), now())  # made anew
+    assert hits(e) == sorted(map(str, other.collect())) and len(hits(e)) > 1
+    assert e.dump().columns == e.memories().columns == Engine(spark, now=now).dump().columns
+    changed = e.dump().where("ord = 2").withColumn("text", F.lit("Sarah again, on 2024-01-09"))
+    e.change(changed)
+    assert hits(e) == sorted(map(str, S.enhanced_hits(q, e.dump(), now()).collect()))
+    # a store that a lexical engine wrote has them made as it is read, and stored by the next write
+    plain = Config(mode="lexical", store="parquet", path=config.path)
+    Engine(spark, plain, now).ingest(frame(spark, [observation(9, "words about Sarah", at=NOW)]))
+    again = Engine(spark, config, now)
+    assert hits(again) == sorted(map(str, S.enhanced_hits(q, again.dump(), now()).collect()))
+    again.ingest(frame(spark, [observation(10, "words about nobody", at=NOW)]))
+    assert "entities" in spark.read.parquet(again.store.versions.current() + "/memories").columns

@@ -8,8 +8,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkrecall import model as M
+from sparkrecall.operators import ingest as I
 from sparkrecall.operators import layers as Y
 from sparkrecall.operators.leaders import leaders
+from sparkrecall.plans.engine import Config, Engine
 from sparkrecall.streaming import limits as T
 
 NOW = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
@@ -95,3 +98,62 @@ def test_begins_are_few_jumps_away(spark):
 
 def test_rate_limit_of_nothing(spark):
     assert limited(spark, [], 3) == {}
+
+
+@pytest.mark.parametrize(("keep", "chunk"), [(0.9, 256), (0.999, 64), (0.1, 256)])
+def test_moving_average_of_one_key_over_many_tasks(spark, keep, chunk):
+    rng = random.Random(5)
+    rows = [(rng.choice(["x"] * 30 + ["y", None]), i, rng.uniform(-5, 5)) for i in range(6000)]
+    expected, state = {}, {}
+    for who, i, v in rows:
+        state[who] = expected[i] = keep * state.get(who, 0.0) + (1 - keep) * v
+    df = spark.createDataFrame(rows, "who string, i long, v double").repartition(7)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that the rows are in several ranges
+    try:
+        got = {r.i: r.ema for r in T.moving_average(df, "who", "i", "v", keep, chunk).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert set(got) == set(expected) and all(abs(got[i] - x) < 1e-9 for i, x in expected.items())
+
+
+def scanned(df):
+    """Rows that the scan of memories gave."""
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        if "Scan parquet" in p.nodeName():
+            out.append(p.metrics().apply("numOutputRows").value())
+        inner = [p.executedPlan()] if "AdaptiveSparkPlan" in p.nodeName() else [p.plan()] if "QueryStage" in p.nodeName() else []
+        for x in inner + [p.children().apply(i) for i in range(p.children().size())]:
+            walk(x)
+
+    walk(plan)
+    return sum(out)
+
+
+def test_a_lookup_of_ten_ids_reads_few_row_groups(spark, tmp_path):
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    rows = spark.range(40_000).select(
+        F.col("id").alias("arrival_seq"), F.lit("t").alias("tenant_id"), F.lit("a").alias("app_id"), (F.col("id") % 50).cast("string").alias("actor_id"), F.lit("fact").alias("memory_type"),
+        F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.struct(F.lit("chat").alias("source_type"), F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("string").alias("source_session_id")).alias("source"), now.alias("observed_at"),
+    )
+    have = set(rows.columns)
+    for f in spark.createDataFrame([], M.OBSERVATIONS).schema:
+        if f.name not in have:
+            rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+    e = Engine(spark, Config(store="parquet", path=str(tmp_path / "s")), lambda: now)
+    name = "parquet.block.size"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set(name, str(64 << 10))  # row groups of a few thousand rows
+    try:
+        e.store.write(I.ingest(rows, now).select(*e.columns))
+    finally:
+        conf.unset(name)
+    ids = e.dump().where("ord % 4001 = 7").select("id")
+    found = e.get(ids)
+    assert found.count() == 10 and {r.ord % 4001 for r in found.select("ord").collect()} == {7}
+    assert scanned(e.get(ids)) < 0.7 * 40_000
+    many = e.dump().where("ord < 300").select("id")
+    assert e.get(many).count() == 300
