@@ -17,17 +17,23 @@ from sparkrecall.operators import ingest as I
 from sparkrecall.operators import layers as Y
 from sparkrecall.operators import lifecycle as L
 from sparkrecall.operators import search as S
-from sparkrecall.sources.store import JsonStore, LayerStore, MemoryStore, ParquetStore, persist_if_compacted
+from sparkrecall.sources.store import JsonStore, LayerStore, MemoryStore, ParquetStore
 
 MODES = ("lexical", "enhanced", "dual_layer")
+#: The store's mark of the highest order of a memory.
+_ORD = "highest ord"
 #: As many values Spark pushes down one by one.
 FEW = 10
 
 
 class Store(Protocol):
-    def read(self) -> DataFrame: ...
+    """`buckets`: parts of the store that a call is about, as touched() names them; None is all."""
 
-    def write(self, memories: DataFrame, marks: dict[str, int] | None = None) -> None: ...
+    def touched(self, memories: DataFrame) -> list[int] | None: ...
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame: ...
+
+    def write(self, memories: DataFrame, marks: dict[str, int] | None = None, buckets: list[int] | None = None) -> None: ...
 
     def marks(self) -> dict[str, int]: ...
 
@@ -89,7 +95,12 @@ class Engine:
         return F.timestamp_micros(F.lit(self.spark.range(1).select(F.unix_micros(self.now())).first()[0]))
 
     def _marks(self) -> dict[str, int]:
-        return self.store.marks()
+        """Of each stream the number of the last batch in the store."""
+        return {k: n for k, n in self.store.marks().items() if k != _ORD}
+
+    def _last_ord(self) -> int:
+        known = self.store.marks().get(_ORD)
+        return self.store.read().agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0] if known is None else known
 
     def ingest(self, observations: DataFrame, strict: bool = True, batch: tuple[str, int] | None = None) -> dict[str, int]:
         """How many memories are created and updated. Strict: a request without observations or with an invalid one fails;
@@ -113,10 +124,12 @@ class Engine:
 
     def _ingest(self, valid: DataFrame, marks: dict[str, int] | None) -> dict[str, int]:
         """Stored memories take part as what came before: a repeat of one merges into it. Arrival numbers that go on after
-        the stored ones are kept, so that an ingest in parts leaves what one ingest of all leaves; else they are raised."""
+        the stored ones are kept, so that an ingest in parts leaves what one ingest of all leaves; else they are raised.
+        Only the buckets of the new texts are read and written; what expired in others is archived as they are touched."""
         now = self.moment()
-        stored = L.archived(self.store.read(), now)
-        new = I.ingest(valid, now)
+        new = I.ingest(valid, now).persist()
+        touched = self.store.touched(new)
+        stored = L.archived(self.store.read(touched), now)
         keys = ["tenant_id", "app_id", "actor_id", "memory_type"]
         old = stored.where("status = 'active'").withColumn("low", F.lower("text"))
         first = old.groupBy(*keys, "low").agg(F.min_by("id", "ord").alias("stored_id"))
@@ -124,8 +137,8 @@ class Engine:
         place = F.row_number().over(W.partitionBy(*keys, "low").orderBy("ord"))
         met = new.withColumn("low", F.lower("text")).withColumn("place", place).join(first, [*keys, "low"], "left")
         met = met.withColumn("old_id", F.when(F.col("place") == 1, F.col("stored_id"))).drop("low", "place", "stored_id").persist()
-        counts = met.agg(F.count_if(F.col("old_id").isNull()).alias("created"), F.coalesce(F.sum(F.col("n_observations") - F.when(F.col("old_id").isNull(), 1).otherwise(0)), F.lit(0)).alias("updated"), F.min("ord").alias("first")).first()
-        last = stored.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
+        counts = met.agg(F.count_if(F.col("old_id").isNull()).alias("created"), F.coalesce(F.sum(F.col("n_observations") - F.when(F.col("old_id").isNull(), 1).otherwise(0)), F.lit(0)).alias("updated"), F.min("ord").alias("first"), F.max("ord").alias("last")).first()
+        last = self._last_ord()
         base = 0 if counts["first"] is None or counts["first"] > last else last + 1
         fresh = met.where("old_id is null").withColumn("ord", F.col("ord") + base).withColumn("id", I.memory_id(*keys, "ord"))
         fresh = self.store.whole(fresh.select(*self.columns))
@@ -136,14 +149,23 @@ class Engine:
         both = both.withColumn("metadata", F.when(F.col("__metadata").isNotNull(), I.X.merge_maps(F.col("metadata"), F.col("__metadata"))).otherwise(F.col("metadata")))
         for c in ("status", "last_seen_at", "updated_at"):
             both = both.withColumn(c, F.coalesce(f"__{c}", c))
-        self.store.write(both.select(*stored.columns).unionByName(fresh.select(*stored.columns)), marks)
+        if touched is None or touched or marks:
+            highest = max(last, base + counts["last"] if counts["last"] is not None else -1)
+            self.store.write(both.select(*stored.columns).unionByName(fresh.select(*stored.columns)), (marks or {}) | {_ORD: highest}, touched)
         met.unpersist()
+        new.unpersist()
         return {"created": int(counts.created), "updated": int(counts.updated)}
 
     def change(self, memories: DataFrame) -> None:
         """Puts whole memories, of different ids, in the place of those stored under these ids, or beside the others."""
-        stored, new = self.store.read(), self.store.whole(memories.select(*self.columns))
-        self.store.write(stored.join(new.select("id"), "id", "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns)))
+        new = self.store.whole(memories.select(*self.columns))
+        before = self.store.read().join(new.select("id"), "id", "left_semi")
+        touched = self.store.touched(before.select(*self.columns).unionByName(new.select(*self.columns)))
+        highest = new.agg(F.max("ord")).first()[0]
+        if highest is None:
+            return
+        stored = self.store.read(touched)
+        self.store.write(stored.join(new.select("id"), "id", "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns)), {_ORD: max(highest, self._last_ord())}, touched)
 
     def search(self, queries: DataFrame) -> DataFrame:
         return self._found(M.checked_search(queries))
@@ -169,13 +191,17 @@ class Engine:
         """How many signals found a live memory."""
         stored, checked, now = self.store.read(), M.checked_signals(signals), self.moment()
         hit = checked.join(L.live(stored, now).select(F.col("id").alias("memory_id")), "memory_id", "left_semi").count()
-        self.store.write(L.with_feedback(stored, checked, now))
+        touched = self.store.touched(stored.join(checked.select(F.col("memory_id").alias("id")), "id", "left_semi"))
+        if touched is None or touched:
+            self.store.write(L.with_feedback(self.store.read(touched), checked, now), buckets=touched)
         return hit
 
     def compact(self) -> dict[str, int]:
         stored, now = self.store.read(), self.moment()
         row = L.compact(stored, now).first()
-        persist_if_compacted(self.store, L.archived(stored, now), row.archived_expired)
+        if row.archived_expired:
+            touched = self.store.touched(stored.where(L.is_expired(now)))
+            self.store.write(L.archived(self.store.read(touched), now), buckets=touched)
         return row.asDict()
 
     def get(self, ids: DataFrame) -> DataFrame:
@@ -188,7 +214,8 @@ class Engine:
         return S.by_actor(self.dump(), actors, self.now())
 
     def dump(self) -> DataFrame:
-        return self.store.read().select(*self.columns)
+        """All memories, expired ones as archived."""
+        return L.archived(self.store.read(), self.now()).select(*self.columns)
 
     def health(self) -> dict[str, object]:
         """ok says whether the store can be read now."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrecall.model import MEMORIES, OBSERVATIONS, UTC
@@ -54,7 +55,8 @@ class Versions:
     A pointer appears by a rename to a name that isn't there yet, after its data are whole, and none is removed before
     a later one stands: a crash at any step leaves the version before. Of two writers that began with one version the
     second fails. The last `keep` versions stay, for what still reads them. A pointer's second line has marks, which come
-    and go with its data: of each stream the number of the last batch in them.
+    and go with its data: of each stream the number of the last batch in them. Its third says, of a table in buckets, in
+    which folder each bucket is: a version that changes some of them names the old folders for the others.
     """
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 3):
@@ -70,16 +72,24 @@ class Versions:
         return [n for n in self._names(f"{self.path}/pointers") if n.isdigit()]
 
     def _data(self) -> list[str]:
-        return [n for n in self._names(self.path) if n.startswith("v-")]
+        return [n for n in self._names(self.path) if n.startswith("v=")]
 
-    def _named(self, pointer: str) -> str:
-        return self.spark.read.text(f"{self.path}/pointers/{pointer}", wholetext=True).first()[0].partition("\n")[0]
+    def _said(self, pointer: str) -> tuple[str, dict, dict]:
+        """The folder, the marks and the buckets' folders that a pointer names."""
+        lines = self.spark.read.text(f"{self.path}/pointers/{pointer}", wholetext=True).first()[0].split("\n")
+        marks, buckets = (json.loads(lines[i]) if len(lines) > i and lines[i] else {} for i in (1, 2))
+        return lines[0], marks, buckets
 
-    def marks(self) -> dict[str, int]:
-        """Of each stream the number of its last batch in the current version."""
+    def _last(self) -> tuple[str, dict, dict]:
         pointers = self._pointers()
-        lines = [r[0] for r in self.spark.read.text(f"{self.path}/pointers/{pointers[-1]}", wholetext=True).collect()] if pointers else []
-        return json.loads(lines[0].partition("\n")[2] or "{}") if lines else {}
+        return self._said(pointers[-1]) if pointers else ("-", {}, {})
+
+    def marks(self) -> dict[str, int]:
+        return self._last()[1]
+
+    def buckets(self) -> dict[int, tuple[str, bool]]:
+        """Of each bucket of the current version that has rows, its folder, and what replace() was told of it."""
+        return {int(b): (f"{self.path}/{folder}/bucket={b}", kind) for b, (folder, kind) in self._last()[2].items()}
 
     def _point(self, number: int, said: str) -> None:
         new = self._path(f"{self.path}/pointers/new-{uuid.uuid4().hex}")
@@ -98,42 +108,80 @@ class Versions:
             if self._data():
                 raise RuntimeError(f"{self.path}: there are versions but no pointer")
             return None
-        name = self._named(pointers[-1])
+        name = self._said(pointers[-1])[0]
         return None if name == "-" else f"{self.path}/{name}"
 
-    def write(self, marks: dict[str, int] | None = None, **tables: DataFrame) -> str:
-        """A new version with these tables in it, each partitioned by tenant and application, and with further marks; its
-        folder."""
+    def _begin(self) -> tuple[list[str], str]:
+        """The pointers, of which there is one at least, and the name of a new folder."""
         pointers = self._pointers()
         if not pointers:
             if self._data():
                 raise RuntimeError(f"{self.path}: there are versions but no pointer")
             self._point(0, "-")  # so that a first write that breaks off leaves an empty store
             pointers = self._pointers()
-        number, name = int(pointers[-1]) + 1, f"v-{uuid.uuid4().hex}"
-        marks = self.marks() | (marks or {})
-        for table, rows in tables.items():
-            # files are ordered by id and have Bloom filters of it, so that a look-up skips most row groups
-            key = "event_id" if "event_id" in rows.columns else "id"
-            rows.sortWithinPartitions("tenant_id", "app_id", key).write.partitionBy("tenant_id", "app_id").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{self.path}/{name}/{table}")
-        self._point(number, f"{name}\n{json.dumps(marks)}")
+        return pointers, f"v={uuid.uuid4().hex}"
+
+    def _end(self, pointers: list[str], name: str, marks: dict, buckets: dict) -> None:
+        """Points to a new version, and removes what only pointers beyond the last `keep` name."""
+        number = int(pointers[-1]) + 1
+        self._point(number, "\n".join((name, json.dumps(marks), json.dumps(buckets))))
         old = [p for p in pointers if int(p) <= number - self.keep]
+        if not old:
+            return
+
+        def named(those: list[str]) -> set[str]:
+            said = [self._said(p) for p in those]
+            return {f"{folder}/bucket={b}" for _, _, bs in said for b, (folder, _) in bs.items()} | {n for n, _, bs in said if not bs and n != "-"}
+
+        stay = named([p for p in self._pointers() if p not in old])
+        gone = named(old) - stay
+        roots = {x.partition("/")[0] for x in gone} - {x.partition("/")[0] for x in stay}
+        for x in roots | {x for x in gone if x.partition("/")[0] not in roots}:
+            self._fs.delete(self._path(f"{self.path}/{x}"), True)
         for p in old:
-            gone = self._named(p)
-            if gone != "-":
-                self._fs.delete(self._path(f"{self.path}/{gone}"), True)
             self._fs.delete(self._path(f"{self.path}/pointers/{p}"), False)
+
+    def _save(self, rows: DataFrame, path: str, *parts: str) -> None:
+        """Files are ordered by id and have Bloom filters of it, so that a look-up skips most row groups."""
+        key = "event_id" if "event_id" in rows.columns else "id"
+        rows.sortWithinPartitions(*parts, key).write.partitionBy(*parts).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+
+    def write(self, marks: dict[str, int] | None = None, **tables: DataFrame) -> str:
+        """A new version with these tables in it, each partitioned by tenant and application, and with further marks; its
+        folder."""
+        pointers, name = self._begin()
+        marks = self._said(pointers[-1])[1] | (marks or {})
+        for table, rows in tables.items():
+            self._save(rows, f"{self.path}/{name}/{table}", "tenant_id", "app_id")
+        self._end(pointers, name, marks, {})
         return f"{self.path}/{name}"
 
+    def replace(self, rows: DataFrame, these: list[int] | None, kind: bool, marks: dict[str, int] | None = None) -> None:
+        """A new version of a table with a column `bucket`: `rows` are all that `these` buckets have from now on, or all that
+        there are. Files of other buckets stay where they are."""
+        pointers, name = self._begin()
+        _, before, buckets = self._said(pointers[-1])
+        self._save(rows.repartition("bucket", "tenant_id", "app_id"), f"{self.path}/{name}", "bucket", "tenant_id", "app_id")
+        kept = {b: x for b, x in buckets.items() if these is not None and int(b) not in these}
+        new = {n.partition("=")[2]: (name, kind) for n in self._names(f"{self.path}/{name}") if n.startswith("bucket=")}
+        self._end(pointers, name, before | (marks or {}), kept | new)
+
 
 Derive = Callable[[DataFrame], DataFrame]
 
 
+#: Buckets of a store. A write costs the buckets that it touches.
+BUCKETS = 32
+
+
 class ParquetStore:
     """Memories in versions: readers see a whole version, and what was read before a write can still be computed after.
 
+    They lie in buckets by what tells duplicates: tenant, application, actor, type and lower-cased text. So an ingest reads
+    and writes the buckets of its own texts only. Below these they are partitioned by tenant and application.
+
     `derive` adds columns that are made of a memory's text. They are stored with the memories and made for those alone that
-    are written without them; a version that was written without them has them made as it is read.
+    are written without them; buckets that were written without them have them made as they are read.
     """
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 3, derive: Derive | None = None):
@@ -141,19 +189,30 @@ class ParquetStore:
         none = spark.createDataFrame([], MEMORIES)
         self.schema = (derive(none) if derive else none).schema
 
-    def read(self) -> DataFrame:
-        """The memories; of a store that isn't there yet, none."""
-        now = self.versions.current()
-        if now is None:
-            return self.spark.createDataFrame([], self.schema)
-        path = f"{now}/memories"
-        if self.derive is None or set(self.schema.names) <= set(self.spark.read.parquet(path).columns):
-            return self.spark.read.schema(self.schema).parquet(path)
-        return self.derive(self.spark.read.schema(MEMORIES).parquet(path))
-
-    def write(self, memories: DataFrame, marks: dict[str, int] | None = None) -> None:
-        """Partitioned by tenant and application, so that a search reads its own."""
-        self.versions.write(marks, memories=self.whole(memories).select(*self.schema.names))
+    @staticmethod
+    def _bucket() -> Column:
+        return F.pmod(F.xxhash64("tenant_id", "app_id", "actor_id", "memory_type", F.lower("text")), F.lit(BUCKETS)).cast("int")
+
+    def touched(self, memories: DataFrame) -> list[int] | None:
+        """The buckets that memories are in, or come into."""
+        return sorted(r.b for r in memories.select(self._bucket().alias("b")).distinct().collect())
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """The memories, or those of some buckets; of a store that isn't there yet, none."""
+        out = self.spark.createDataFrame([], self.schema)
+        if self.versions.current() is None:
+            return out
+        there = [x for b, x in self.versions.buckets().items() if buckets is None or b in buckets]
+        whole = [path for path, derived in there if derived or self.derive is None]
+        plain = [path for path, derived in there if not derived and self.derive is not None]
+        files = self.spark.read.option("basePath", self.versions.path)  # above which folders are no columns
+        parts = ([files.schema(self.schema).parquet(*whole)] if whole else []) + ([self.derive(files.schema(MEMORIES).parquet(*plain))] if plain else [])
+        return functools.reduce(DataFrame.unionByName, parts).select(*self.schema.names) if parts else out
+
+    def write(self, memories: DataFrame, marks: dict[str, int] | None = None, buckets: list[int] | None = None) -> None:
+        """All memories, or all of some buckets."""
+        rows = self.whole(memories).select(*self.schema.names).withColumn("bucket", self._bucket())
+        self.versions.replace(rows, buckets, self.derive is not None, marks)
 
     def whole(self, memories: DataFrame) -> DataFrame:
         """`memories` with the derived columns."""
@@ -206,6 +265,9 @@ class JsonStore:
     def whole(self, memories: DataFrame) -> DataFrame:
         return memories
 
+    def touched(self, memories: DataFrame) -> list[int] | None:
+        return None  # one document
+
     def _there(self) -> bool:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
@@ -214,7 +276,7 @@ class JsonStore:
         found = self.spark.read.schema("marks map<string,bigint>").json(self.path, multiLine=True).first() if self._there() else None
         return dict(found.marks or {}) if found else {}
 
-    def read(self) -> DataFrame:
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
         if not self._there():
             return self.spark.createDataFrame([], MEMORIES)
         kind = self.spark.read.json(self.path, multiLine=True).schema
@@ -223,7 +285,7 @@ class JsonStore:
         rows = self.spark.read.schema(f"version int, records array<struct<{', '.join(_fields())}>>").json(self.path, multiLine=True)
         return rows.select(F.explode("records").alias("r")).select("r.*")
 
-    def write(self, memories: DataFrame, marks: dict[str, int] | None = None) -> None:
+    def write(self, memories: DataFrame, marks: dict[str, int] | None = None, buckets: list[int] | None = None) -> None:
         """The document is written beside and takes the old one's place in one rename."""
         record = F.struct(*(F.col(c) for c in memories.columns))
         known = self.marks() | (marks or {})
@@ -254,10 +316,3 @@ def _fields() -> list[str]:
         else:
             now += ch
     return [f.replace(" ", ":", 1) for f in (*out, now.strip())]
-
-
-def persist_if_compacted(store: ParquetStore | JsonStore, archived: DataFrame, n_archived: int) -> bool:
-    """Writes only if something was archived."""
-    if n_archived > 0:
-        store.write(archived)
-    return n_archived > 0

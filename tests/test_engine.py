@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -704,4 +705,37 @@ def test_what_search_reads_off_texts_is_stored_with_them(spark, tmp_path, monkey
     again = Engine(spark, config, now)
     assert hits(again) == sorted(map(str, S.enhanced_hits(q, again.dump(), now()).collect()))
     again.ingest(frame(spark, [observation(10, "words about nobody", at=NOW)]))
-    assert "entities" in spark.read.parquet(again.store.versions.current() + "/memories").columns
+    assert "entities" in spark.read.parquet(again.store.versions.current()).columns
+
+
+@pytest.mark.parametrize("mode", ["lexical", "enhanced"])
+def test_files_of_untouched_buckets_stay(spark, tmp_path, mode):
+    """An ingest, a signal, a change and a compaction leave the files of all buckets but their own, and what one store would."""
+    config = Config(mode=mode, store="parquet", path=str(tmp_path / "s"))
+    e, whole = Engine(spark, config, now), Engine(spark, Config(mode=mode), now)
+    first = [observation(i, f"memory number {i}", at=NOW, ttl=5) for i in range(60)]
+    for x in (e, whole):
+        x.ingest(frame(spark, first))
+    told = lambda x: sorted(map(str, x.dump().collect()))
+    files = lambda: {p for path, _ in e.store.versions.buckets().values() for p in Path(path).rglob("*.parquet")}
+    before = files()
+    more = [observation(60, "memory number 7", at=NOW, confidence=0.9), observation(61, "another", at=NOW)]
+    assert e.ingest(frame(spark, more)) == {"created": 1, "updated": 1}
+    after = files()
+    assert len(before) > 20 and len(before - after) <= 2 and len(after - before) <= 2
+    whole.ingest(frame(spark, more))
+    assert told(e) == told(whole) and e.dump().where("ord = 61").count() == 1
+    some = e.dump().where("ord = 3").select(F.col("id").alias("memory_id"), F.lit("positive").alias("signal"))
+    for x in (e, whole):
+        assert x.feedback(some) == 1
+        x.change(x.dump().where("ord = 5").withColumn("text", F.lit("in another bucket")))
+    assert len(after - files()) <= 3 and told(e) == told(whole)
+    assert e.feedback(some.withColumn("memory_id", F.lit("none"))) == 0
+    for _ in range(4):  # versions beyond the last three go, buckets that are still named stay
+        e.ingest(frame(spark, [observation(99, "another", at=NOW)]))
+    names = e.store.versions
+    assert len(names._pointers()) == 3 and e.dump().count() == 61 and all(p.exists() for p in files())
+    named = {Path(path).parent.name for p in names._pointers() for path in [f"{f}/x" for _, (f, _) in names._said(p)[2].items()]}
+    assert set(names._data()) == named
+    e.now = lambda: F.lit("2024-02-20 00:00:00").cast("timestamp")
+    assert e.compact()["archived_expired"] >= 50 and e.compact()["archived_expired"] == 0
