@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecall.llm.common import bounded_batches, documents, materialize, new_folder
+from sparkrecall.llm.common import bounded_batches, documents, join_once, materialize, new_folder
 
 UNIT = 64
 #: Signature and IHDR, with its checksum.
@@ -198,8 +198,9 @@ def media_columns(docs: DataFrame, folder: str | None = None, key: str = "doc_id
     folder = folder or new_folder(docs.sparkSession, "media")
     index = store(docs, folder, key, text)
     where = materialize(places(index), "places")
-    told = where.join(read_back(where, folder), "digest")
-    return index.select(key, "n_bytes", "payload_bytes", "digest").join(told, "digest")
+    # rows of one text, such as empty ones, can be many: a frequent digest's columns are broadcast
+    told = materialize(where.join(read_back(where, folder), "digest").join(index.groupBy("digest").agg(F.count("*").alias("n")), "digest"), "told")
+    return join_once(index.select(key, "n_bytes", "payload_bytes", "digest"), told, ["digest"], index.count())
 
 
 def op2_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
