@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -102,16 +102,19 @@ def rate_limit_stream(requests: DataFrame, limit: int, window_ms: int = WINDOW_M
             return
         begin, n = state.get if state.exists else (-1, 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        out = []
-        for ts, seq in zip(rows.ts, rows.seq, strict=True):
-            ms = int(pd.Timestamp(ts).value // 1_000_000)
-            if begin < 0 or ms - begin >= window_ms:
-                begin, n = ms, 0
-            n += 1
-            out.append((key[0], int(seq), n <= limit, None if n <= limit else max(1, math.ceil((begin + window_ms - ms) / 1000))))
+        ms = rows.ts.astype("datetime64[ms]").astype("int64").to_numpy()
+        number, begins, at = np.zeros(len(ms), np.int64), np.zeros(len(ms), np.int64), 0
+        while at < len(ms):  # window by window
+            if begin < 0 or ms[at] - begin >= window_ms:
+                begin, n = int(ms[at]), 0
+            to = max(at + 1, int(np.searchsorted(ms, begin + window_ms)))
+            number[at:to], begins[at:to] = np.arange(n + 1, n + 1 + to - at), begin
+            n, at = n + to - at, to
+        wait = np.maximum(1, -((ms - begins - window_ms) // 1000))
+        out = pd.DataFrame({"identity": key[0], "seq": rows.seq.to_numpy(), "allowed": number <= limit, "retry_after": pd.Series(wait, dtype="Int64").where(number > limit)})
         state.update((begin, n))
         state.setTimeoutDuration(2 * window_ms)
-        yield pd.DataFrame(out, columns=["identity", "seq", "allowed", "retry_after"]).astype({"retry_after": "Int64"})
+        yield out
 
     return requests.groupBy("identity").applyInPandasWithState(run, "identity string, seq long, allowed boolean, retry_after long", "begin long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 

@@ -257,6 +257,8 @@ def test_rate_limit_against_a_model_and_as_a_stream(spark, tmp_path):
     q = T.rate_limit_stream(stream, 3).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.seq: r.allowed for r in spark.table("limited").collect()} == expected
+    told = lambda rows: {r.seq: r.retry_after for r in rows}
+    assert told(spark.table("limited").collect()) == told(T.rate_limited(df, 3).collect())
 
 
 def test_streams_equal_batches(spark, tmp_path):
