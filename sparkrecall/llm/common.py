@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_folders: dict[str, str] = {}
+#: Folders that this application made, by its id.
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,15 +38,36 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folders[context.applicationId]
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when the application ends."""
+    """A new path in the shared folder; it is removed when the application ends, if remove() wasn't told to before."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    fs, there = _folder(spark, path)
+    fs.deleteOnExit(there)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+def folders(spark: SparkSession) -> set[str]:
+    """All that new_folder() made in this application and remove() didn't take away."""
+    return set(_made.get(spark.sparkContext.applicationId, ()))
+
+
+def remove(spark: SparkSession, paths: set[str]) -> None:
+    """Deletes folders that new_folder() made, whose tables nothing reads any more."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    for path in paths & set(made):
+        fs, there = _folder(spark, path)
+        fs.delete(there, True)
+        fs.cancelDeleteOnExit(there)
+        made.remove(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again.
 
