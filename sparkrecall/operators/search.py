@@ -6,6 +6,9 @@ metadata, limit, min_score. Empty strings and empty arrays filter nothing.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -175,17 +178,83 @@ def answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 2_000, part_rows: int = 20_000) -> DataFrame:
     """(q_id, rank, vec_id, similarity): of each of `queries` (q_id, q) the k nearest of `vectors` (vec_id, embedding), itself
-    not among them; ties by vec_id.
+    not among them; ties by vec_id. Ids are of one type; rows with null ids are left out.
 
     Every query meets every vector, in blocks of queries and parts of vectors of a bounded size, each pair of which is one
-    key of an equi-join; neither side is broadcast. Only k of each query and task go on to the ranking.
+    group of a task; neither side is broadcast. Matrix products rule out, and `vector_similarity` decides on the rest. Only k
+    of each query and part go on to the ranking.
     """
     n, m = vectors.count(), queries.count()
     parts, blocks = max(-(-n // part_rows), 8), max(-(-m // block_rows), 1)
     all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     dealt = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
-    v = vectors.select("vec_id", "embedding", dealt("vec_id", parts).alias("part"), all_of(blocks).alias("block"))
-    q = queries.select("q_id", "q", dealt("q_id", blocks).alias("block"), all_of(parts).alias("part"))
-    met = v.join(q.hint("shuffle_hash"), ["block", "part"]).where("vec_id != q_id").select("q_id", "vec_id", X.vector_similarity(F.col("q"), F.col("embedding")).alias("similarity"))
+    doubles = lambda name: F.col(name).cast("array<double>").alias(name)
+    v = vectors.where("vec_id is not null").select("vec_id", doubles("embedding"), dealt("vec_id", parts).alias("part"), all_of(blocks).alias("block"))
+    q = queries.where("q_id is not null").select("q_id", doubles("q"), dealt("q_id", blocks).alias("block"), all_of(parts).alias("part"))
+    kinds = f"q_id {queries.schema['q_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, similarity double"
+    pairs = q.groupBy("block", "part").cogroup(v.groupBy("block", "part"))
+    met = pairs.applyInArrow(lambda some, part: _nearest_of(some, part, k), kinds)
     best = W.partitionBy("q_id").orderBy(F.desc("similarity"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q_id", "rank", "vec_id", "similarity")
+
+
+def _matrix(rows: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All elements one row after the other, and each row's length; 0 for nulls and rows that hold one, which are like none."""
+    lists = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    if flat.null_count:
+        holds = np.zeros(len(size), bool)
+        holds[np.repeat(np.arange(len(size)), size)[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+        values = values[np.repeat(~holds, size)]
+        size[holds] = 0
+    return values, size
+
+
+def _nearest_of(queries: pa.Table, part: pa.Table, k: int, at_once: int = 64) -> pa.Table:
+    """(q_id, vec_id, similarity): the k nearest of a part to each query. A product of doubles is off by less than `margin`
+    from the sum in order, which vector_similarity takes, so what is further than that below the k-th is out."""
+    part = part.sort_by("vec_id")  # so the place is the order of ties
+    ids = part.column("vec_id").combine_chunks().dictionary_encode()
+    own = pc.fill_null(pc.index_in(queries.column("q_id").combine_chunks(), value_set=ids.dictionary), -1).to_numpy(zero_copy_only=False)
+    code = ids.indices.to_numpy(zero_copy_only=False)
+    (values, sizes), (asked, lengths) = _matrix(part.column("embedding")), _matrix(queries.column("q"))
+    ends = np.cumsum(lengths)
+    which, places, found = [], [], []
+    for length in np.unique(lengths):
+        same = np.nonzero(sizes == length)[0] if length else np.zeros(0, np.int64)
+        others = np.nonzero(sizes != length)[0] if length else np.arange(len(sizes))  # of similarity 0
+        m = values[np.repeat(sizes == length, sizes)].reshape(len(same), length)
+        mine = np.nonzero(lengths == length)[0]
+        longest = np.sqrt((m * m).sum(axis=1).max()) if m.size else 0.0
+        for at in range(0, len(mine), at_once):
+            some = mine[at : at + at_once]
+            x = asked[(ends[some] - length)[:, None] + np.arange(length)]
+            with np.errstate(all="ignore"):
+                products = x @ m.T
+            for i, q in enumerate(some):
+                row = products[i]
+                itself = code[same] == own[q]
+                margin = 8 * (length + 2) * np.finfo(np.float64).eps * longest * np.sqrt((x[i] * x[i]).sum())
+                if len(same) == 0:
+                    near = np.zeros(0, np.int64)
+                elif np.isfinite(row).all() and np.isfinite(margin):
+                    row[itself] = -np.inf
+                    kth = np.partition(row, max(len(row) - k, 0))[max(len(row) - k, 0)]
+                    near = np.nonzero(row >= max(kth - margin, -margin))[0]
+                    if kth <= margin:  # those below 0 are equals at 0
+                        near = np.concatenate((near, np.nonzero((row < -margin) & ~itself)[0][:k]))
+                else:
+                    near = np.nonzero(~itself)[0]
+                with np.errstate(all="ignore"):
+                    exact = np.cumsum(m[near] * x[i], axis=1)[:, -1] if len(near) else np.zeros(0)  # a sum in order
+                rest = others[code[others] != own[q]][:k]
+                place = np.concatenate((same[near], rest))
+                similarity = np.concatenate((np.maximum(exact, 0.0) + 0.0, np.zeros(len(rest))))
+                top = np.lexsort((place, -similarity, ~np.isnan(similarity)))[:k]
+                which.append(np.full(len(top), q))
+                places.append(place[top])
+                found.append(similarity[top])
+    of = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return pa.table({"q_id": queries.column("q_id").take(pa.array(of(which, np.int64))), "vec_id": part.column("vec_id").take(pa.array(of(places, np.int64))), "similarity": pa.array(of(found, np.float64))})

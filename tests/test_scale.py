@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrecall import model as M
+from sparkrecall.functions import text as X
 from sparkrecall.operators import ingest as I
 from sparkrecall.operators import layers as Y
+from sparkrecall.operators import search as S
 from sparkrecall.operators.leaders import leaders
 from sparkrecall.plans.engine import Config, Engine
 from sparkrecall.streaming import limits as T
@@ -157,3 +161,29 @@ def test_a_lookup_of_ten_ids_reads_few_row_groups(spark, tmp_path):
     assert scanned(e.get(ids)) < 0.7 * 40_000
     many = e.dump().where("ord < 300").select("id")
     assert e.get(many).count() == 300
+
+
+def test_nearest_of_many_vectors(spark):
+    """Sixteen million pairs of 64 dimensions: no matter of evaluating them one by one."""
+    rows = spark.range(20_000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.col("id") * i * i).cast("float")).alias("embedding")).persist()
+    rows.count()
+    begun = time.monotonic()
+    got = S.nearest(rows, rows.where("vec_id % 25 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), 5)
+    assert got.count() == 4000 and time.monotonic() - begun < 20
+    rows.unpersist()
+
+
+def test_nearest_against_every_pair(spark):
+    """Ties, copies, zeros, other lengths, nulls, what is not finite: as vector_similarity has them."""
+    rng = random.Random(5)
+    one = [rng.gauss(0, 1) for _ in range(6)]
+    rows = [(i, [float(rng.randint(-1, 1)) for _ in range(6)]) for i in range(300)] + [(300 + i, one) for i in range(40)]
+    rows += [(340, [0.0] * 6), (341, []), (342, None), (343, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (344, [1.0] * 5), (345, [float("inf"), 1.0, 0.0, 0.0, 0.0, 0.0]), (346, [float("nan")] * 6), (347, [-x for x in one]), (7, one), (None, one)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+    met = v.join(q, F.col("vec_id") != F.col("q_id")).select("q_id", "vec_id", X.vector_similarity(F.col("q"), F.col("embedding")).alias("s"))
+    first = W.partitionBy("q_id").orderBy(F.desc("s"), "vec_id")
+    rows = lambda df: sorted((r.q_id, r.rank, repr(r.s)) for r in df.collect())  # noqa: E731  7 is there twice
+    expected = rows(met.withColumn("rank", F.row_number().over(first)).where("rank <= 5"))
+    for size in (50, 20_000):
+        assert rows(S.nearest(v, q, 5, block_rows=size, part_rows=size).withColumnRenamed("similarity", "s")) == expected
