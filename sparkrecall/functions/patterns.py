@@ -113,9 +113,9 @@ def importance(text: Column, given: Column, role: Column) -> Column:
     return F.least(raised, F.lit(1.0))
 
 
-def contradiction_confidence(a: Column, b: Column) -> Column:
-    """Of two texts' words."""
-    return F.when(jaccard(a, b) > 0.5, 0.8).otherwise(0.3)
+def contradiction_confidence(a: Column | None = None, b: Column | None = None) -> Column:
+    """Of two texts' words; without them, of texts that share half of theirs at most."""
+    return F.lit(0.3) if a is None else F.when(jaccard(a, b) > 0.5, 0.8).otherwise(0.3)
 
 
 #: Topics and the parts of words that name them.

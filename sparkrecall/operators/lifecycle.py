@@ -59,20 +59,48 @@ def _sides(text: Column, swapped: bool = False) -> Column:
 _BITS = 2 * len(P.CONTRADICTIONS)
 
 
-def contradictions(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """(new_seq, old_id, confidence): pairs of one actor whose texts contradict, new ones by arrival_seq.
+#: 64-bit words of a set's signature.
+_SIGNS = 4
 
-    Each text is matched and split once; pairs meet by the sides that contradict, at the least of these.
+
+def _signed(words: Column) -> Column:
+    """Of an array of distinct words, a struct of its size and a bit for each word in _SIGNS longs, s0, s1, ..."""
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(64 * _SIGNS)))
+    sign = lambda k: F.aggregate(places, F.lit(0).cast("long"), lambda s, x: F.when(x.between(64 * k, 64 * k + 63), s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (x - 64 * k).cast("int")))).otherwise(s))
+    return F.struct(F.size(words).alias("n"), *(sign(k).alias(f"s{k}") for k in range(_SIGNS)))
+
+
+def _most_shared(a: str, b: str) -> Column:
+    """A bound of the words that two signed sets share: each bit that only one has is a word that only it has."""
+    c = F.col
+    only = lambda x, y: c(f"{x}.n") - sum((F.bit_count(c(f"{x}.s{k}").bitwiseAND(F.bitwise_not(c(f"{y}.s{k}")))) for k in range(1, _SIGNS)), F.bit_count(c(f"{x}.s0").bitwiseAND(F.bitwise_not(c(f"{y}.s0")))))
+    return F.least(only(a, b), only(b, a))
+
+
+def contradictions(new: DataFrame, stored: DataFrame, *more: str, part_rows: int = 4096) -> DataFrame:
+    """(new_seq, old_id, confidence): pairs of one actor whose texts contradict, new ones by arrival_seq; and columns `more` of
+    the stored.
+
+    Each text is matched and split once; pairs meet by the sides that contradict, at the least of these. Where these are of
+    over part_rows new texts, both sides are dealt into parts and every two parts meet under a key of their own. Sizes and
+    signatures of the sets of words rule out that a pair shares half of its words; only the others' sets are compared.
     """
     keys = ["tenant_id", "app_id", "actor_id"]
     c = F.col
     bits = lambda m: F.explode(F.filter(F.array(*map(F.lit, range(_BITS))), lambda i: F.getbit(m, i) == 1))
-    a = new.select(*keys, c("arrival_seq").alias("new_seq"), X.raw_words(c("text")).alias("new_words"), _sides(c("text")).alias("new_sides")).where("new_sides != 0").withColumn("bit", bits(c("new_sides")))
-    b = stored.select(*keys, c("id").alias("old_id"), X.raw_words(c("text")).alias("old_words"), _sides(c("text"), swapped=True).alias("against")).where("against != 0").withColumn("bit", bits(c("against")))
+    words = lambda: F.array_distinct(X.raw_words(c("said")))
+    a = new.select(*keys, c("arrival_seq").alias("new_seq"), c("text").alias("said"), _sides(c("text")).alias("new_sides")).where("new_sides != 0").withColumn("bit", bits(c("new_sides")))
+    b = stored.select(*keys, c("id").alias("old_id"), *more, c("text").alias("said"), _sides(c("text"), swapped=True).alias("against")).where("against != 0").withColumn("bit", bits(c("against")))
+    parts = a.groupBy(*keys, "bit").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    every, own = F.explode(F.sequence(F.lit(0), c("parts") - 1)), lambda key: F.pmod(F.xxhash64(key), c("parts")).cast("int")
+    a = a.withColumn("new_words", words()).withColumn("new_signs", _signed(c("new_words"))).join(parts, [*keys, "bit"]).withColumn("i", own("new_seq")).withColumn("j", every).drop("said", "parts")
+    b = b.withColumn("old_words", words()).withColumn("old_signs", _signed(c("old_words"))).join(parts, [*keys, "bit"]).withColumn("j", own("old_id")).withColumn("i", every).drop("said", "parts")
     both = c("new_sides").bitwiseAND(c("against"))
     lower = F.call_function("shiftleft", F.lit(1), c("bit")) - 1
-    met = a.join(b, [*keys, "bit"]).where(both.bitwiseAND(lower) == 0)
-    return met.select("new_seq", "old_id", P.contradiction_confidence(c("new_words"), c("old_words")).alias("confidence"))
+    met = a.join(b, [*keys, "bit", "i", "j"]).where(both.bitwiseAND(lower) == 0)
+    maybe = 3 * _most_shared("new_signs", "old_signs") > c("new_signs.n") + c("old_signs.n")
+    confidence = F.when(maybe, P.contradiction_confidence(c("new_words"), c("old_words"))).otherwise(P.contradiction_confidence())
+    return met.select("new_seq", "old_id", *more, confidence.alias("confidence"))
 
 
 def contradiction_counts(new: DataFrame, stored: DataFrame) -> DataFrame:

@@ -366,12 +366,12 @@ SQL["a2_upsert"] = f"with {MEM_SQL} select {_ID} as id, case when ord%4=0 then '
 def _contradictions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All observations against all memories."""
     m = V.memories(spark, d)
-    return L.contradictions(V.observations(spark, d), m), m
+    return L.contradictions(V.observations(spark, d), m, "ord"), m
 
 
 def m8_contradictions(spark: SparkSession, d: str) -> DataFrame:
-    found, m = _contradictions(spark, d)
-    return found.join(m.select(C("id").alias("old_id"), "ord"), "old_id").select("new_seq", C("ord").alias("old_ord"), "confidence")
+    found, _ = _contradictions(spark, d)
+    return found.select("new_seq", C("ord").alias("old_ord"), "confidence")
 
 
 SQL["m8_contradictions"] = f"with {CON_SQL} select * from con"

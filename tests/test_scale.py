@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 import time
 
 import pytest
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from sparkrecall import model as M
 from sparkrecall.functions import text as X
+from sparkrecall.functions.patterns import CONTRADICTIONS
 from sparkrecall.operators import ingest as I
 from sparkrecall.operators import layers as Y
+from sparkrecall.operators import lifecycle as L
 from sparkrecall.operators import search as S
 from sparkrecall.operators.leaders import leaders
 from sparkrecall.plans.engine import Config, Engine
@@ -187,3 +190,25 @@ def test_nearest_against_every_pair(spark):
     expected = rows(met.withColumn("rank", F.row_number().over(first)).where("rank <= 5"))
     for size in (50, 20_000):
         assert rows(S.nearest(v, q, 5, block_rows=size, part_rows=size).withColumnRenamed("similarity", "s")) == expected
+
+
+def test_contradictions_of_one_actor_are_many_tasks(spark):
+    """All pairs of one actor, as compared one by one; no key has them all."""
+    rng = random.Random(6)
+    said = ["my gps works", "the gps does not work", "gps issue", "car is fine", "a car problem", "nothing"]
+    texts = [" ".join([rng.choice(said), *(rng.choice("abcdefgh") * 2 for _ in range(rng.randint(0, 9)))]) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string").select(F.lit("t").alias("tenant_id"), F.lit("a").alias("app_id"), F.lit("u").alias("actor_id"), F.col("n").alias("arrival_seq"), F.col("n").alias("id"), "text")
+    sides = [[(bool(re.search(p, t)), bool(re.search(q, t))) for p, q in CONTRADICTIONS] for t in texts]
+    words = [set(t.lower().split()) for t in texts]
+    expected = {(i, j): 0.8 if len(words[i] & words[j]) / len(words[i] | words[j]) > 0.5 else 0.3 for i in range(300) for j in range(300) if any((a and d) or (b and c) for (a, b), (c, d) in zip(sides[i], sides[j], strict=True))}
+    assert set(expected.values()) == {0.3, 0.8}
+    for size in (20, 4096):
+        got = L.contradictions(rows, rows, "text", part_rows=size)
+        assert {(r.new_seq, r.old_id): r.confidence for r in got.collect()} == expected and got.count() == len(expected)
+    plan = L.contradictions(rows, rows, part_rows=20)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        per = [r["count"] for r in plan.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(per) == 4 and max(per) < 0.5 * sum(per)
