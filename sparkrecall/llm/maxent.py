@@ -13,18 +13,18 @@ WIDTH^4 classes, and WIDTH times as many cells. The weights start at the counts'
 minibatches from the same weights, and the moves of all tasks, summed block by block on the executors, are averaged by how
 often each row of weights was touched.
 
-Counts, distinct words and sizes are exact and over all training documents. Frequent words, a bounded dictionary, are
-counted and looked up in the tasks; which words these are is read off a bounded sample of training documents
-(`sample_docs`) and has no effect on any count. It decides which words have a cell of their own, so `score` follows from it;
-held-out documents have no part in it. All other words travel as (document, word) rows to where the word's count is, which was summed
-up beforehand, and their shares travel back to the document: a word's rows need not be in one task for that.
+Counts, distinct words and sizes are exact and over all training documents: words are counted in the tasks and summed up by
+word first. The most frequent of all words, a bounded dictionary, have numbers that the tasks know; they alone can have a
+cell of their own. All other words of a document travel as (document, word) rows to where the word's count is, and their
+shares travel back to the document: a word's rows need not be in one task for that. Held-out documents have no part in
+counts, dictionary or weights.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +50,12 @@ USED = ((1, 2, 3, 4), (1, 2, 3), (1, 2), (0, 1))
 DICTIONARY = 1 << 19
 #: Bytes of a dictionary's longest word; longer ones are counted like those that aren't in it.
 LONGEST = 64
-#: Codes of the dictionary whose counts go together.
-PART = 1 << 16
 #: Least bytes of text in a training task.
 TASK = 1 << 24
 #: Bytes of text that are coded at once.
 STRETCH = 1 << 22
+#: Tail words' logarithms are summed as whole numbers of this fraction, so that no order of rows changes a sum.
+FRACTION = float(1 << 32)
 #: Words of one minibatch.
 BATCH = 16384
 #: Rows of weights in one block of moves.
@@ -102,27 +102,44 @@ def _forms_of(words: pa.Array) -> np.ndarray:
 _END_FORM = form_of(END)
 
 
+def _split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of the texts, lower, one text after the other; and each one's text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, parents = split.flatten(), pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # blanks at either end make empty strings
+    if not real.all():
+        flat, parents = flat.filter(pa.array(real)), parents[real]
+    return flat.dictionary_encode(), parents
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, never below DICTIONARY."""
+    texts = words.to_numpy(zero_copy_only=False).tolist()  # of many strings, much faster than to_pylist
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, texts, repeat(1)), np.uint64, len(texts))
+    return np.maximum(hashes, np.uint64(DICTIONARY))
+
+
+def numbered(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a dictionary's words in order, and the words' numbers."""
+    hashes = _hashes(words)
+    order = np.argsort(hashes)
+    return hashes[order], order.astype(np.int32)
+
+
 class Coder:
     """Codes and forms of texts' tokens; a code is a word's number in the dictionary, or else its 64-bit hash (never below
-    DICTIONARY)."""
+    DICTIONARY). Takes the dictionary's words, or what numbered() makes of them."""
 
-    def __init__(self, words: pa.Array):
-        self.words = words
+    def __init__(self, words: pa.Array | tuple[np.ndarray, np.ndarray]):
+        self.hashes, self.numbers = words if isinstance(words, tuple) else numbered(words)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes and forms of all tokens one text after the other, each text's end included; and the texts' numbers of tokens."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-        flat, parents = split.flatten(), pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
-        real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # blanks at either end make empty strings
-        if not real.all():
-            flat, parents = flat.filter(pa.array(real)), parents[real]
+        coded, parents = _split(texts)
         sizes = np.bincount(parents, minlength=len(texts)) + 1
-        coded = flat.dictionary_encode()
-        known = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False)
-        of_word = known.astype(np.uint64)
-        new = np.nonzero(known < 0)[0]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in coded.dictionary.take(pa.array(new)).to_pylist()), np.uint64, len(new))
-        of_word[new] = np.maximum(hashes, np.uint64(DICTIONARY))
+        of_word = _hashes(coded.dictionary)
+        at = np.minimum(np.searchsorted(self.hashes, of_word), len(self.hashes) - 1)
+        of_word = np.where(self.hashes[at] == of_word, self.numbers[at].astype(np.uint64), of_word)
         out = np.zeros(int(sizes.sum()), np.uint64)  # the end's number is 0
         forms = np.full(len(out), _END_FORM, np.int64)
         inside = np.ones(len(out), bool)
@@ -202,7 +219,8 @@ def log_p(w: Weights, features: list[np.ndarray], classes: np.ndarray, cells: np
     for level, rows, bias, right in _levels(w, features, classes, cells):
         x = _weights(w.tables[level], rows, bias)
         out += x[every, right]
-        out -= np.log(np.exp(x, out=x) @ _ONES)
+        # row by row: a product's order of sums may differ by where in the batch a token stands
+        out -= np.log(np.einsum("ij->i", np.exp(x, out=x)))
     return out
 
 
@@ -256,23 +274,49 @@ def _kept(n: str = "key") -> F.Column:
     return F.crc32(F.col(n).cast("string").cast("binary")) % 5 != 1
 
 
-def dictionary(docs: DataFrame, n: int, size: int, sample_docs: int) -> pa.Array:
-    """The most frequent words, of LONGEST bytes at most, of about `sample_docs` of the n documents, those whose hash is low;
-    most frequent first, END before."""
-    sample = docs.where(F.col("dk") <= lowest(sample_docs, n)).select("text")
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(code, word, form, c) of every word of the documents' texts, written down; words of over LONGEST bytes are null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(w for w in words_of(t)[:-1] if len(w) <= LONGEST)
-        top = seen.most_common(size)
-        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+            for at, rows in stretches(batch.column(0)):
+                coded, _ = _split(batch.column(0).slice(at, rows))
+                words = coded.dictionary
+                short = pc.if_else(pc.less_equal(pc.binary_length(words), LONGEST), words, pa.scalar(None, words.type))
+                n = np.bincount(coded.indices.to_numpy(), minlength=len(words))
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(words).view(np.int64)), short.cast(pa.string()), pa.array(_forms_of(words).astype(np.int32)), pa.array(n.astype(np.int64))], names=["code", "word", "form", "n"])
         trim()
 
-    top = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size - 1)
-    found = top.select("word").toArrow().column("word").combine_chunks().cast(pa.string())
-    return pa.concat_arrays([pa.array([END.decode()], pa.string()), found])
+    found = docs.select("text").mapInArrow(count, "code bigint, word string, form int, n bigint")
+    return materialize(found.groupBy("code", "word", "form").agg(F.sum("n").alias("c")), "counts")
+
+
+def frequent(counted: DataFrame, size: int) -> pa.Table:
+    """(word, c) of the `size` most frequent of word_counts(), most frequent first; of equals, those of low hashes."""
+    short = counted.where("word is not null")
+    above, left, least = 0, 0, 0
+    # as many counts are looked at as there are words at most
+    for c, n in short.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(size + 1).collect():
+        if above + n > size:
+            left, least, equals = size - above, c, n
+            break
+        above, least = above + n, c - 1
+    top = short.where(F.col("c") > least).select("word", "c", "code").toArrow()
+    if left:
+        # about twice as many as are wanted, so that no task sees all words of a low count
+        some = short.where((F.col("c") == least) & (F.col("code") <= lowest(2 * left + 1000, equals)))
+        top = pa.concat_tables([top, some.orderBy("code", "word").limit(left).select("word", "c", "code").toArrow()])
+    return top.sort_by([("c", "descending"), ("code", "ascending"), ("word", "ascending")]).select(["word", "c"])
+
+
+def _with_end(words: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([pa.array([END.decode()], pa.string()), words.combine_chunks().cast(pa.string())])
+
+
+def dictionary(docs: DataFrame, n: int, size: int, sample_docs: int | None = None) -> pa.Array:
+    """The size - 1 most frequent words, of LONGEST bytes at most, of all of the n documents; most frequent first, END before.
+    `sample_docs` is of a time when some of them were read, and has no effect."""
+    return _with_end(frequent(word_counts(docs), size - 1).column("word"))
 
 
 @dataclass
@@ -301,80 +345,34 @@ def classes_of(forms: np.ndarray, depth: int) -> np.ndarray:
     return forms // WIDTH ** (MOST - depth)
 
 
-def _tail(docs: DataFrame, head) -> tuple[DataFrame, DataFrame]:
-    """(dk, code, form, n) of words outside the dictionary, and (block, counts) of those in it, over training documents: of
-    PART codes in a row each task's counts as int32, and the codes' numbers among these as uint16.
-
-    One pass: rows of the second kind have no dk.
-    """
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(head.value)
-        totals = np.zeros(DICTIONARY, np.int32)
-        names = ["dk", "code", "form", "n", "counts"]
-        for batch in batches:
-            for at, rows in stretches(batch.column(2), STRETCH):
-                part = batch.slice(at, rows)
-                dk, train = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                c, forms, sizes = coder(part.column(2))
-                doc = np.repeat(np.arange(len(dk)), sizes)
-                known = c < DICTIONARY
-                totals += np.bincount(c[known & train[doc]].astype(np.int64), minlength=DICTIONARY).astype(np.int32)
-                c, doc, forms = c[~known], doc[~known], forms[~known]
-                order = np.lexsort((c, doc))
-                c, doc, forms = c[order], doc[order], forms[order]
-                new = np.nonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (doc[1:] != doc[:-1]))))[0] if len(c) else np.zeros(0, np.int64)
-                n = np.diff(np.append(new, len(c)))
-                doc, c, forms = doc[new], c[new], forms[new]
-                # words of held-out documents are asked for, not counted: their numbers are negative
-                yield pa.RecordBatch.from_arrays([pa.array(dk[doc]), pa.array(c.view(np.int64)), pa.array(forms.astype(np.int32)), pa.array(np.where(train[doc], n, -n).astype(np.int32)), pa.nulls(len(n), pa.binary())], names=names)
-        for block in range(-(-DICTIONARY // PART)):
-            some = totals[block * PART : (block + 1) * PART]
-            used = np.nonzero(some)[0]
-            if len(used):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([some[used].tobytes() + used.astype(np.uint16).tobytes()], pa.binary())], names=names)
-        trim()
-
-    rows = materialize(docs.select("dk", "train", "text").mapInArrow(walk, "dk bigint, code bigint, form int, n int, counts binary"), "words")
-    return rows.where("dk is not null").drop("counts"), rows.where("dk is null").select(F.col("code").alias("block"), "counts")
-
-
-def _summed_counts(table: pa.Table) -> pa.Table:
-    """int64 counts of a block's codes."""
-    total, wide = np.zeros(PART, np.int64), table.column("wide")[0].as_py()
-    for x in table.column("counts"):
-        raw = x.as_buffer()
-        if wide:
-            total += np.frombuffer(raw, np.int64)
-        else:
-            k = len(raw) // 6
-            total[np.frombuffer(raw, np.uint16, k, 4 * k)] += np.frombuffer(raw, np.int32, k)
-    return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def count_words(docs: DataFrame, words: pa.Array) -> tuple[Counts, DataFrame]:
-    """Counts, and a table (dk, tail_log, tail_known, tail_n): of each document's words outside the dictionary, the sum
-    of log10(c + 0.5), the number with c > 0, and their number."""
-    head = docs.sparkSession.sparkContext.broadcast(words)
-    tail, known = _tail(docs, head)
-    n = np.zeros(DICTIONARY, np.int64)
-    # by 64 groups first, so that no task sums all tasks' counts
-    some = known.withColumn("wide", F.lit(False)).groupBy("block", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("some")).applyInArrow(_summed_counts, "block bigint, counts binary")
-    for r in some.withColumn("wide", F.lit(True)).groupBy("block").applyInArrow(_summed_counts, "block bigint, counts binary").collect():  # DICTIONARY counts
-        own = n[r.block * PART : (r.block + 1) * PART]
-        own[:] = np.frombuffer(r.counts, np.int64, len(own))
-    # summed up before they meet, so that a frequent word is no task's burden; without a row: never seen in training
-    each = materialize(tail.where("n > 0").groupBy("code").agg(F.sum("n").alias("c"), F.min("form").alias("form")), "counts")
+def count_words(counted: DataFrame, n: int) -> tuple[pa.Array, Counts]:
+    """The dictionary, and Counts, of word_counts() over n documents."""
+    top = frequent(counted, DICTIONARY - 1)
+    words = _with_end(top.column("word"))
+    head = np.zeros(DICTIONARY, np.int64)
+    head[0] = n
+    head[1 : len(words)] = top.column("c").to_numpy()
     tokens, types = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
-    for r in each.groupBy("form").agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect():  # FORMS rows at most
+    for r in counted.groupBy("form").agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect():  # FORMS rows at most
         tokens[r.form], types[r.form] = r.c, r.k
-    times, c = F.abs("n"), F.coalesce("c", F.lit(0))
-    per = tail.select("dk", "code", "n").join(each.select("code", "c"), "code", "left").groupBy("dk").agg(
-        F.sum(F.log10(c + 0.5) * times).alias("tail_log"),
-        F.sum(F.when(c > 0, times).otherwise(0)).alias("tail_known"),
-        F.sum(times).alias("tail_n"),
+    forms = _forms_of(words)[1:]
+    np.subtract.at(tokens, forms, head[1 : len(words)])
+    np.subtract.at(types, forms, 1)
+    return words, Counts(head, tokens, types)
+
+
+def tails(scored: DataFrame, counted: DataFrame) -> DataFrame:
+    """(dk, tail_log, tail_known, tail_n): of each document's words outside the dictionary (`tail`, an array of code and n),
+    the sum of log10(c + 0.5), the number with c > 0, and their number."""
+    rows = scored.select("dk", F.explode("tail").alias("w")).select("dk", "w.code", "w.n")
+    each = counted.groupBy("code").agg(F.sum("c").alias("c"))  # without a row: never seen in training
+    c = F.coalesce("c", F.lit(0))
+    log = F.round(F.log10(c + 0.5) * FRACTION).cast("long")
+    return rows.join(each, "code", "left").groupBy("dk").agg(
+        (F.sum(log * F.col("n")) / FRACTION).alias("tail_log"),
+        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"),
+        F.sum("n").alias("tail_n"),
     )
-    return Counts(n, tokens, types), per
 
 
 @dataclass
@@ -432,7 +430,7 @@ def train(docs: DataFrame, words: pa.Array, cell_of: Cells, w: Weights, size: in
     """One run through all training documents, which have `size` bytes, an equal share of them in each round. Every task gives moves
     as large as the weights, so it goes through TASK bytes at least, unless there are idle cores."""
     context = docs.sparkSession.sparkContext
-    head = context.broadcast(words)
+    head = context.broadcast(numbered(words))
     for turn in range(rounds):
         shared = context.broadcast((w, cell_of))
 
@@ -453,22 +451,22 @@ def train(docs: DataFrame, words: pa.Array, cell_of: Cells, w: Weights, size: in
         def summed(table: pa.Table) -> pa.Table:
             """Touches, and moves times touches, as float32."""
             seen, moves = np.zeros(BLOCK), np.zeros((BLOCK, WIDTH))
-            for x in table.column("moves"):
+            for x in table.sort_by("task").column("moves"):  # in one order, as sums of floats depend on it
                 raw = x.as_buffer()
                 k = len(raw) // (4 + 2 * WIDTH + 2)
                 n = np.frombuffer(raw, np.float32, k)
                 rows = np.frombuffer(raw, np.uint16, k, (4 + 2 * WIDTH) * k)
                 seen[rows] += n
                 moves[rows] += np.frombuffer(raw, np.float16, WIDTH * k, 4 * k).reshape(k, WIDTH).astype(np.float32) * n[:, None]
-            return pa.table({"block": table.column("block")[:1], "moves": pa.array([np.concatenate((seen[:, None], moves), axis=1).astype(np.float32).tobytes()], pa.binary())})
+            return pa.table({"block": table.column("block")[:1], "some": pc.bit_wise_and(table.column("task")[:1], pa.scalar(63, pa.int32())), "moves": pa.array([np.concatenate((seen[:, None], moves), axis=1).astype(np.float32).tobytes()], pa.binary())})
 
         def total(table: pa.Table) -> pa.Table:
-            out = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in table.column("moves"))
+            out = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in table.sort_by("some").column("moves"))
             return pa.table({"block": table.column("block")[:1], "moves": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
 
         mine = docs.where(F.col("train") & (F.pmod("dk", F.lit(rounds)) == turn)).select("text").coalesce(max(context.defaultParallelism, size // rounds // TASK))
         moved = mine.mapInArrow(run, "block int, task int, moves binary")
-        some = moved.groupBy("block", (F.col("task") % 64).alias("some")).applyInArrow(summed, "block int, moves binary")
+        some = moved.groupBy("block", (F.col("task") % 64).alias("some")).applyInArrow(summed, "block int, some int, moves binary")
         merged = some.groupBy("block").applyInArrow(total, "block int, moves binary").collect()  # the size of the weights
         w = w.copy()
         # BLOCK divides the tables: their blocks are numbered on
@@ -485,26 +483,37 @@ def train(docs: DataFrame, words: pa.Array, cell_of: Cells, w: Weights, size: in
     return w
 
 
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 16_000) -> DataFrame:
+def _outside(codes: np.ndarray, in_head: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Of each text, (code, n) of its distinct words outside the dictionary."""
+    c, doc = codes[~in_head], np.repeat(np.arange(len(sizes)), sizes)[~in_head]
+    order = np.lexsort((c, doc))
+    c, doc = c[order], doc[order]
+    new = np.nonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (doc[1:] != doc[:-1]))))[0] if len(c) else np.zeros(0, np.int64)
+    n = np.diff(np.append(new, len(c))).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(np.bincount(doc[new], minlength=len(sizes)))))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(c[new].view(np.int64)), pa.array(n)], names=["code", "n"]))
+
+
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int | None = None) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs`.
 
     Documents whose crc32 of the key as text is 1 modulo 5 are held out, all others train; null keys train. No score but a
     held-out document's own follows from its text. Null texts
     are empty: the end is their one token. Rows equal in key and text score alike. Without training tokens every token
-    is unknown. An empty table gives no rows.
+    is unknown. An empty table gives no rows. `sample_docs` has no effect: all training documents are read.
     """
     named = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     named = named.withColumn("dk", F.xxhash64("key", "text")).withColumn("train", F.coalesce(_kept(), F.lit(True)))
     bounded_batches(docs.sparkSession)
     n, size = named.agg(F.count_if("train"), F.coalesce(F.sum(F.when(F.col("train"), F.octet_length("text"))), F.lit(0))).first()
-    words = dictionary(named.where("train"), n, DICTIONARY, sample_docs)
-    counts, tails = count_words(named, words)
+    counted = word_counts(named.where("train"))
+    words, counts = count_words(counted, n)
     cell_of, weights = cells(counts, words)
     weights = train(named, words, cell_of, weights, size)
     context = docs.sparkSession.sparkContext
     base = np.log10(counts.head + 0.5)
     whole = np.log10(counts.tokens + 0.5 * (counts.types + 1))
-    shared = context.broadcast((weights, cell_of, base, counts.head > 0, words))
+    shared = context.broadcast((weights, cell_of, base, counts.head > 0, numbered(words)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, of, logs, known, head = shared.value
@@ -521,14 +530,14 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs
                 p += np.where(cells_ == WIDTH - 1, plain - of.rest[classes], 0.0)
                 starts = np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(sizes), pa.array(np.add.reduceat(plain, starts)), pa.array(np.add.reduceat((in_head & known[num]).astype(np.int64), starts)), pa.array(np.add.reduceat(p, starts)), pa.array(np.add.reduceat((~in_head).astype(np.int64), starts))],
-                    names=["key", "dk", "train", "n_tokens", "head_log", "head_known", "model", "n_tail"],
+                    [part.column(0), part.column(1), part.column(2), pa.array(sizes), pa.array(np.add.reduceat(plain, starts)), pa.array(np.add.reduceat((in_head & known[num]).astype(np.int64), starts)), pa.array(np.add.reduceat(p, starts)), pa.array(np.add.reduceat((~in_head).astype(np.int64), starts)), _outside(c, in_head, sizes)],
+                    names=["key", "dk", "train", "n_tokens", "head_log", "head_known", "model", "n_tail", "tail"],
                 )
         trim()
 
     kind = named.schema["key"].dataType.simpleString()
-    scored = named.select("key", "dk", "train", "text").mapInArrow(walk, f"key {kind}, dk bigint, train boolean, n_tokens bigint, head_log double, head_known bigint, model double, n_tail bigint")
-    both = scored.join(tails, "dk", "left")
+    scored = materialize(named.select("key", "dk", "train", "text").mapInArrow(walk, f"key {kind}, dk bigint, train boolean, n_tokens bigint, head_log double, head_known bigint, model double, n_tail bigint, tail array<struct<code:bigint,n:bigint>>"), "scored")
+    both = scored.drop("tail").join(tails(scored, counted), "dk", "left")
     # the words of rows equal in key and text are summed up together; each row has its share of them
     share = F.coalesce(F.col("n_tail") / F.col("tail_n"), F.lit(0.0))
     tail = F.coalesce("tail_log", F.lit(0.0)) * share

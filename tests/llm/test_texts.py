@@ -621,3 +621,15 @@ def test_most_keys_are_null_or_alike(spark, monkeypatch, per_stretch):
     ordered = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1][:32]))
     expected = sorted(repr((k, len(t), hashlib.sha256(K.edited(t, n).encode()).hexdigest())) for (k, t), (_, n) in zip(ordered, [*ordered[1:], ordered[0]], strict=True))
     assert sorted(repr((r.doc_id, r.n_chars, r.edited_sha256)) for r in K.sketched(df).collect()) == expected
+
+
+def test_dictionary_is_of_all_documents(spark):
+    """The most frequent words of all documents, however few of them hold one, and ties that don't fit by one rule."""
+    docs = [(i, f"a b n{i} m{i}") for i in range(400)] + [(400, "rare " * 300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("dk", F.xxhash64("doc_id", "text"))
+    words = X.dictionary(df, len(docs), 10, 5).to_pylist()
+    assert words[0] == "" and set(words[1:3]) == {"a", "b"} and words[3] == "rare" and len(words) == len(set(words)) == 10
+    assert X.dictionary(df.repartition(3), len(docs), 10, 400).to_pylist() == words
+    assert X.dictionary(df, len(docs), 5000, 5).to_pylist()[:4] == words[:4]
+    counted = X.word_counts(df)
+    assert counted.count() == 803 and counted.agg(F.sum("c")).first()[0] == 1900
