@@ -273,6 +273,22 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("node", packed("text").alias("set"))
 
 
+def narrow_fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint, signed, of a set of shingles' hashes."""
+    return int(np.packbits(2 * bit_counts(hashes) > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def _near_by_references(reps: DataFrame) -> DataFrame:
+    """(a, b) of nodes whose 64-bit fingerprints links() has, by the distances to the references, or that share one: each
+    fingerprint's least node stands for it."""
+    first = materialize(reps.groupBy("narrow").agg(F.min("node").alias("first")), "narrow")
+    found = links(first.select(F.col("narrow").alias("fp")))
+    of = lambda side: first.select(F.col("narrow").alias(side), F.col("first").alias(f"{side}_node"))
+    apart = found.join(of("a"), "a").join(of("b"), "b").select("a_node", "b_node")
+    equal = reps.select("node", "narrow").join(first, "narrow").where("node != first").select(F.col("first").alias("a_node"), F.col("node").alias("b_node"))
+    return apart.unionByName(equal).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+
+
 def _most(similarity: float) -> int:
     """Bits in which texts that similar may differ: three deviations more than expected."""
     share = differing_share(similarity)
@@ -331,7 +347,8 @@ def sub_blocks(blocks: DataFrame, task_rows: int) -> DataFrame:
 def _wide_links(reps: DataFrame, docs: DataFrame, shingle: int, similarity: float, block_rows: int, task_rows: int) -> DataFrame:
     """(a, b) of nodes that are as similar.
 
-    Candidates share a block key; fingerprints rule out and the sets of shingles decide. All pairs of a block of at most
+    Candidates have 64-bit fingerprints within 2 bits, found by their distances to the references as in near_duplicates,
+    or share a block key; wide fingerprints rule out and the sets of shingles decide. All pairs of a block of at most
     block_rows are candidates. In larger blocks, groups of near copies, each node first meets its nearest and the least
     of those near it. What these links leave apart is compared whole: of blocks that hold several components, all near
     pairs between two of them are candidates. A block of more than task_rows is split, and every two of its parts meet in
@@ -360,8 +377,8 @@ def _wide_links(reps: DataFrame, docs: DataFrame, shingle: int, similarity: floa
     met = materialize(blocks.join(sizes, "key"), "met")
     small, large = met.where(F.col("n") <= block_rows), met.where(F.col("n") > block_rows)
     l, r = small.alias("l"), small.alias("r")
-    pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
+    pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    pairs = materialize(pairs.unionByName(_near_by_references(reps)).distinct(), "pairs")
     if large.isEmpty():
         return _verified(pairs, reps, docs, shingle, similarity)
     fps = reps.select("node", "fp")
@@ -384,26 +401,27 @@ def _wide_links(reps: DataFrame, docs: DataFrame, shingle: int, similarity: floa
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", block_rows: int = 64, task_rows: int = 4096) -> DataFrame:
     """(key, component_id) of documents whose sets of shingles are `similarity` alike or more, by SimHash.
 
-    At such similarities fingerprints differ in many bits: a distance of a sixth of the bits leaves no reference whose
+    Those whose 64-bit fingerprints are within 2 bits meet by the references' distances (links), however their keys are.
+    Of the others, at such similarities, fingerprints differ in many bits: a distance of a sixth of the bits leaves no reference whose
     distances could tell pairs apart, and no few segments untouched. So the fingerprint has 64 * WIDE bits, candidates
     share one of KEYS keys made of least hashes, and the shingles decide on all pairs that their bits don't rule out.
     Pairs just at 0.8 are found with probability 0.98, closer ones more surely, equal sets always: how often a shingle
     occurs in a text plays no part. Nulls, repeats and empty tables as in near_duplicates.
     """
 
-    @F.pandas_udf("node bigint, fp binary, keys array<bigint>")
+    @F.pandas_udf("node bigint, fp binary, narrow bigint, keys array<bigint>")
     def wide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 3) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": nodes, "fp": pd.Series([wide_fingerprint_of(s).tobytes() for s in sets], dtype=object), "keys": pd.Series([block_keys(s) for s in sets], dtype=object)})
+            yield pd.DataFrame({"node": nodes, "fp": pd.Series([wide_fingerprint_of(s).tobytes() for s in sets], dtype=object), "narrow": pd.Series([narrow_fingerprint_of(s) for s in sets], dtype="int64"), "keys": pd.Series([block_keys(s) for s in sets], dtype=object)})
         trim()
 
     bounded_batches(docs.sparkSession)
     # texts of equal sets are one node; keys may be null or occur with other texts, so a text's hash goes with its key
     own = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("h")).alias("key"), F.col(text).alias("text"))
-    marked = materialize(own.select("key", wide("text").alias("w")).select("key", "w.node", "w.fp", "w.keys"), "wide")
-    reps = materialize(marked.groupBy("node").agg(F.min(F.struct("fp", "keys")).alias("w"), F.min("key").alias("first")).select("node", "w.fp", "w.keys", "first"), "distinct")
+    marked = materialize(own.select("key", wide("text").alias("w")).select("key", "w.node", "w.fp", "w.narrow", "w.keys"), "wide")
+    reps = materialize(marked.groupBy("node").agg(F.min(F.struct("fp", "narrow", "keys")).alias("w"), F.min("key").alias("first")).select("node", "w.fp", "w.narrow", "w.keys", "first"), "distinct")
     parts = materialize(components(_wide_links(reps, own, shingle, similarity, block_rows, task_rows)), "parts")
     of = reps.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     ids = of.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -208,3 +208,17 @@ def test_similar_documents_are_those_with_similar_sets(spark):
     docs = [(1, same + own[0]), (2, same + own[1]), (3, own[2] + " " + own[2]), (4, (own[2] + " ") * 9), (None, "one text without a number"), (None, "and another text without any")]
     got = S.similar_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (1, 1), (2, 2), (3, 3), (4, 3)]
+
+
+def test_similar_documents_meet_by_references(spark, monkeypatch):
+    """Near copies without a common block key are found by their fingerprints' distances to the references."""
+    words = [f"w{i}" for i in range(3000)]
+    docs = [(i, " ".join([*words[:2990], *(f"x{i}y{j}" for j in range(10))])) for i in range(3)] + [(9, " ".join(reversed(words)))]
+    monkeypatch.setattr(S, "block_keys", lambda hashes: np.array([S.xxhash.xxh64_intdigest(hashes.tobytes()) >> 1], np.int64))
+    sets = [S.shingle_set(t, 5) for _, t in docs]
+    fps = [S.narrow_fingerprint_of(s) & ((1 << 64) - 1) for s in sets]
+    reps = spark.createDataFrame([(i, S.wide_fingerprint_of(s).tobytes(), S.narrow_fingerprint_of(s), S.block_keys(s).tolist(), i) for i, s in enumerate(sets)], "node bigint, fp binary, narrow bigint, keys array<bigint>, first bigint")
+    near = {(a, b) for a in range(3) for b in range(a + 1, 3) if (fps[a] ^ fps[b]).bit_count() <= 2}
+    texts = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "key bigint, text string")
+    got = {(r.a, r.b) for r in S._wide_links(reps, texts, 5, 0.8, 64, 4096).collect()}
+    assert near and near <= got and all(b < 3 for _, b in got)
