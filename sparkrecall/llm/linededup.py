@@ -2,12 +2,13 @@
 
 Texts are sequences of line ids. Lines that stand only once in the corpus end every repeated run, so the suffixes that
 matter begin in segments, stretches of consecutive lines of which each stands twice or more, and segments of fewer than
-`min_words` words hold nothing to delete. Over these the suffix array is built by prefix doubling: suffixes are ranked by
-their first line, then, in each round, by the pair of the ranks of their first 2^k lines and of the 2^k after those.
-A rank is a place in a sort over ranges, so the ranks are in suffix order and no partition holds all of them.
+`min_words` words hold nothing to delete. Over these the suffix array is built by prefix doubling, two doublings at once:
+suffixes are ranked by their first line, then, in each round, by the ranks of their first 4^k lines and of the three times 4^k
+after those. A rank is a place in a sort over ranges, so the ranks are in suffix order and no partition holds all of them.
+The driver plans a query for each round and two joins for each power, so the fewer they are, the less memory it takes.
 
 Neighbours in the array are compared: the length of their longest common prefix is found by descent, from the largest power of
-two down, each step by one rank behind what is common so far. The suffixes that share their first m lines are an interval of
+four down, each step by the ranks behind what is common so far. The suffixes that share their first m lines are an interval of
 the array, within which no neighbours have less than m lines in common. So, of the suffixes that begin with a window of m
 lines, a new interval begins wherever the common prefix with the suffix before is shorter than m: what shares the window has
 the same window, so no other suffix can stand between.
@@ -34,6 +35,8 @@ from sparkrecall.llm.common import WORD, documents, join_once, materialize
 
 #: A shorter run is no passage: headers and licence lines stay.
 MIN_WORDS = 50
+#: A round ranks suffixes by so many times the lines of the round before; the last one perhaps by twice as many.
+STEP = 4
 
 
 def _ranked(keys: DataFrame, *columns: str) -> DataFrame:
@@ -84,20 +87,27 @@ def segments(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def suffix_ranks(segs: DataFrame, depth: int) -> DataFrame:
-    """`segs` with array<bigint> ranks: element k + 1 ranks the suffix by its first 2^k lines, up to 2^k = depth or more.
+    """`segs` with array<bigint> ranks: element k + 1 ranks the suffix by its first STEP^k lines, the last one by the first
+    power of two that is depth or more; and array<array<bigint>> behind: element k + 1 has those of the next stretches of
+    STEP^k lines, which the next round looks at, but for the last.
 
-    A suffix that ends at its segment's end within those lines sorts before all that go on.
+    A suffix that ends at its segment's end within those lines sorts before all that go on; behind the end ranks are -1.
     """
     total = segs.count()
     first = _ranked(segs, "h1", "h2")
-    now = join_once(segs, first, ["h1", "h2"], total).drop("h1", "h2").withColumn("ranks", F.array("rank"))
+    now = join_once(segs, first, ["h1", "h2"], total).drop("h1", "h2")
+    now = now.withColumn("ranks", F.array("rank")).withColumn("behind", F.array().cast("array<array<bigint>>"))
     step = 1
     while step < depth:
-        ahead = F.lead("rank", step).over(W.partitionBy("t1", "t2", "seg").orderBy("pos"))
-        pairs = materialize(now.withColumn("then", F.coalesce(ahead, F.lit(-1))).withColumnRenamed("rank", "own"), "suffixes")
-        doubled = _ranked(pairs, "own", "then")
-        now = join_once(pairs, doubled, ["own", "then"], total).drop("own", "then").withColumn("ranks", F.concat("ranks", F.array("rank")))
-        step *= 2
+        times = STEP if 2 * step < depth else 2
+        seg = W.partitionBy("t1", "t2", "seg").orderBy("pos")
+        then = {f"then{i}": F.coalesce(F.lead("rank", i * step).over(seg), F.lit(-1)) for i in range(1, times)}
+        keys = ["own", *then]
+        stretches = materialize(now.withColumns(then).withColumnRenamed("rank", "own"), "suffixes")
+        longer = _ranked(stretches, *keys)
+        behind = F.array(*keys[1:-1]).cast("array<bigint>")
+        now = join_once(stretches, longer, keys, total).withColumn("behind", F.concat("behind", F.array(behind))).withColumn("ranks", F.concat("ranks", F.array("rank"))).drop(*keys)
+        step *= times
     return materialize(now.drop("rank"), "suffixes")
 
 
@@ -108,14 +118,18 @@ def common_prefixes(ranks: DataFrame) -> DataFrame:
     one = last.groupBy("rank").agg(F.min(F.struct("t1", "t2", "pos")).alias("at"))
     pairs = _from_before(_in_order(one, "rank"), "rank", value=F.col("at")).drop("part").withColumn("lcp", F.lit(0))
     levels = ranks.select(F.size("ranks").alias("k")).first()
-    for k in reversed(range(levels.k if levels else 0)):
-        of = ranks.select("t1", "t2", "pos", F.element_at("ranks", k + 1).alias("r"))
+    # neighbours have different last ranks
+    for k in reversed(range(levels.k - 1 if levels else 0)):
+        of = ranks.select("t1", "t2", "pos", F.concat(F.array(F.element_at("ranks", k + 1)), F.element_at("behind", k + 1)).alias("r"))
         for side in ("at", "before"):
             place = of.select(F.col("t1").alias("__1"), F.col("t2").alias("__2"), F.col("pos").alias("__3"), F.col("r").alias(f"__{side}"))
             # behind the end of its segment a suffix has no rank
             pairs = pairs.join(place, (F.col(f"{side}.t1") == F.col("__1")) & (F.col(f"{side}.t2") == F.col("__2")) & (F.col(f"{side}.pos") + F.col("lcp") == F.col("__3")), "left").drop("__1", "__2", "__3")
         # two suffixes are equally ranked at a depth only if both go on that far, or end alike
-        pairs = pairs.withColumn("lcp", F.col("lcp") + F.when(F.col("__at") == F.col("__before"), 1 << k).otherwise(0)).drop("__at", "__before")
+        more = F.lit(0)
+        for i in reversed(range(STEP - 1)):
+            more = F.when((F.get("__at", i) == F.get("__before", i)) & (F.get("__at", i) >= 0), more + STEP**k).otherwise(0)
+        pairs = pairs.withColumn("lcp", F.col("lcp") + more).drop("__at", "__before")
     return materialize(pairs.select("rank", "lcp"), "lcp")
 
 

@@ -221,6 +221,24 @@ def test_common_prefixes_against_brute_force(spark):
         assert lcp[rank] == common
 
 
+def test_long_passages_take_few_queries(spark, monkeypatch):
+    """Windows of 66 lines: the driver's memory follows the rounds and the joins that it plans."""
+    made, real = [], D.materialize
+
+    def counted(df, name):
+        made.append((name, df._jdf.queryExecution().analyzed().toString().count("Join ")))
+        return real(df, name)
+
+    monkeypatch.setattr(D, "materialize", counted)
+    passage = [f"w{i % 5}" for i in range(80)]
+    passage[40] = "odd"
+    docs = [(i, "\n".join([f"x{i}", *passage[i:], *passage[: i * 7]])) for i in range(6)]
+    got = {r.doc_id: r.text for r in D.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string"), min_words=66).collect()}
+    assert got == brute(docs, 66) and any(got[k] != t for k, t in docs)
+    assert sum(name == "ranks" for name, _ in made) <= 5
+    assert max(n for name, n in made if name == "lcp") <= 10
+
+
 @pytest.mark.parametrize("hot", [1, 1000])
 def test_frequent_lines_and_passages(spark, monkeypatch, hot):
     """One line, and one passage, in most texts, whichever way they are joined."""
