@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from sparkrecall.functions import patterns as P
 from sparkrecall.functions import text as X
+from sparkrecall.operators import similar as S
 from sparkrecall.operators.leaders import leaders
+from sparkrecall.sources.store import settled
 
 # Devices looked for, and what insights say.
 DEVICES = ["samsung", "galaxy", "s22", "dell", "xps", "bike", "car"]
@@ -91,24 +93,11 @@ def drawn(events: DataFrame, strategies: tuple[Strategy, ...] = STRATEGIES, whol
 
 def similar_pairs(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """(k, a, b, oa, ob) of rows (id, order, content) of equal keys whose words overlap more than the threshold: the keys, ids
-    and orders, a before b.
-
-    Texts so alike share a word among the rarest of each, the first |x| - floor(threshold * |x|) by frequency, and are
-    no shorter than the threshold's share of one another; so pairs meet by rare words, not all with all. A pair is made
-    where its first shared word of these is.
-    """
-    held = rows.select(F.struct(*keys).alias("k"), "id", "order", F.array_distinct(X.raw_words(F.col("content"))).alias("w"))
-    told = held.select("k", "id", F.explode("w").alias("t"))
-    # counted before they meet, so that a frequent word of one actor is no task's rows
-    told = told.join(told.groupBy("k", "t").agg(F.count("*").alias("n")), ["k", "t"])
-    ranked = told.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("r"))
-    rare = F.slice("r", 1, F.greatest(F.size("r") - F.floor(F.lit(threshold) * F.size("r")), F.lit(1)).cast("int"))
-    sides = held.join(ranked, "id").withColumn("r", rare).withColumn("t", F.explode("r"))
-    c = F.col
-    met = sides.alias("a").join(sides.alias("b"), (c("a.k") == c("b.k")) & (c("a.t") == c("b.t")) & (c("a.order") < c("b.order")) & (F.size("a.w") >= threshold * F.size("b.w")) & (F.size("b.w") >= threshold * F.size("a.w")))
-    once = c("a.t") == F.filter("a.r", lambda t: F.array_contains(c("b.r"), t))[0]
-    alike = met.where(once).where(X.jaccard(c("a.w"), c("b.w")) > threshold)
-    return alike.select(c("a.k").alias("k"), c("a.id").alias("a"), c("b.id").alias("b"), c("a.order").alias("oa"), c("b.order").alias("ob"))
+    and orders, a before b."""
+    held = S.by_words(rows, keys)
+    one = held.select("k", "c", F.col("id").alias("a"), F.col("order").alias("oa"))
+    two = held.select(F.col("c").alias("d"), F.col("id").alias("b"), F.col("order").alias("ob"))
+    return one.join(S.near(held, threshold), "c").join(two, "d").where("oa < ob").select("k", "a", "b", "oa", "ob")
 
 
 def stored(insights: DataFrame, isolation: str = "tenant", threshold: float = 0.8, as_of: Column | None = None, existing: DataFrame | None = None) -> DataFrame:
@@ -157,9 +146,16 @@ def consolidated(insights: DataFrame, isolation: str = "tenant", threshold: floa
     """Greedy pairwise merging as a join: an insight stays unless an earlier one of its actor and type is similar, and
     what stays takes the maximum confidence and importance, the sources and the tags of all later similar ones, and is
     updated at `as_of`, if given."""
-    pairs = similar_pairs(insights, [*ISOLATION[isolation], "type"], threshold)
-    stay = insights.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-    more = pairs.select(F.col("a").alias("into"), F.col("b").alias("id")).join(insights.select("id", "order", "confidence", "importance", "extracted_from", "tags"), "id").groupBy(F.col("into").alias("id")).agg(
+    merged = ["confidence", "importance", "extracted_from", "tags"]
+    held = S.by_words(insights, [*ISOLATION[isolation], "type"], *merged)
+    near = S.near(held, threshold)
+    # equal words are compared once; of each such group only the first is asked for
+    first = held.groupBy(F.col("c").alias("d")).agg(F.min("order").alias("first"))
+    first = near.join(first, "d").groupBy("c").agg(F.min("first").alias("first"))
+    gone = settled(held.join(first, "c").where("first < order").select("id").distinct())
+    stay = insights.join(gone, "id", "left_anti")
+    into = held.join(gone, "id", "left_anti").select(F.col("id").alias("into"), F.col("order").alias("own"), "c").join(near, "c")
+    more = into.join(held.select(F.col("c").alias("d"), "order", *merged), "d").where("own < order").groupBy(F.col("into").alias("id")).agg(
         F.max("confidence").alias("__c"), F.max("importance").alias("__i"),
         F.transform(F.array_sort(F.collect_list(F.struct("order", "extracted_from"))), lambda x: x["extracted_from"]).alias("__f"),
         F.transform(F.array_sort(F.collect_list(F.struct("order", "tags"))), lambda x: x["tags"]).alias("__t"), F.count("*").alias("__n"),

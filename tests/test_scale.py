@@ -7,6 +7,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from sparkrecall.operators import ingest as I
 from sparkrecall.operators import layers as Y
 from sparkrecall.operators import lifecycle as L
 from sparkrecall.operators import search as S
+from sparkrecall.operators import similar as N
 from sparkrecall.operators.leaders import leaders
 from sparkrecall.plans.engine import Config, Engine
 from sparkrecall.streaming import limits as T
@@ -212,3 +214,79 @@ def test_contradictions_of_one_actor_are_many_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(per) == 4 and max(per) < 0.5 * sum(per)
+
+
+def texts_of(rng, n, least, most, vocabulary=400):
+    """Words of which some are in most texts; every tenth text is said before."""
+    out = []
+    for _ in range(n):
+        words = [f"w{int(vocabulary ** rng.random())}" for _ in range(rng.randint(least, most))]
+        out.append(rng.choice(out) if out and rng.random() < 0.1 else " ".join(words))
+    return out
+
+
+def said(spark, rows):
+    """Insights of (id, actor, content)."""
+    df = spark.createDataFrame(rows, "id long, actor_id string, content string")
+    return df.select("*", F.col("id").alias("order"), F.lit("t").alias("tenant_id"), F.lit("a").alias("app_id"), F.lit("fact").alias("type"), (F.crc32("content") / 2**32).alias("confidence"), F.lit(0.5).alias("importance"), F.array(F.concat("actor_id", F.col("id").cast("string"))).alias("extracted_from"), F.array(F.lit("x")).alias("tags"))
+
+
+def merged(rows, threshold):
+    """(id, content, sources) of what consolidated() leaves, pair by pair."""
+    sets = [None if t is None else set(t.split(" ")) for *_, t in rows]
+    alike = lambda i, j: rows[i][1] == rows[j][1] and rows[i][0] < rows[j][0] and None not in (sets[i], sets[j]) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) > threshold
+    pairs = [(i, j) for i in range(len(rows)) for j in range(len(rows)) if alike(i, j)]
+    gone = {rows[j][0] for _, j in pairs}
+    source = lambda i: f"{rows[i][1]}{rows[i][0]}"
+    return sorted((r[0], str(r[2]), tuple(sorted([source(i), *(source(y) for x, y in pairs if rows[x][0] == r[0])]))) for i, r in enumerate(rows) if r[0] not in gone)
+
+
+def left(insights, threshold):
+    return sorted((r.id, str(r.content), tuple(sorted(r.extracted_from))) for r in Y.consolidated(insights, threshold=threshold).collect())
+
+
+def test_long_texts_of_one_actor_are_consolidated_at_once(spark):
+    """Common words bring nearly all pairs of 3,000 texts together; few of these are alike."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(4000 ** rng.random())}" for _ in range(90)) for _ in range(3000)]
+    begun = time.monotonic()
+    got = left(said(spark, [(i, "u", t) for i, t in enumerate(texts + texts[:5])]), 0.45)
+    assert time.monotonic() - begun < 40
+    assert [r[0] for r in got if len(r[2]) > 1][:5] == list(range(5)) and len(got) > 2900
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.3, 0.7])
+def test_consolidated_in_blocks_and_by_words(spark, monkeypatch, threshold):
+    """Both ways give every pair, for many blocks too."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice("uuuv"), t) for i, t in enumerate([*texts_of(rng, 250, 1, 12, 60), None, None, "", ""])]
+    expected = merged(rows, threshold)
+    assert 10 < len(expected) < len(rows) - 10
+    for meets, size in ((2**40, 2**14), (-1, 2**14), (-1, 40)):
+        monkeypatch.setattr(N, "MEETS", meets)
+        monkeypatch.setattr(N, "PART", 0)
+        monkeypatch.setattr(N, "ROWS", size)
+        assert left(said(spark, rows), threshold) == expected
+
+
+def test_consolidated_where_ids_repeat(spark):
+    """Rows of one id are told apart by actor and text; the id goes if any of its rows does, as the SQL of the query has it."""
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 90), rng.choice("uv"), t) for t in texts_of(rng, 120, 2, 9, 40)]
+    assert left(said(spark, rows), 0.4) == merged(rows, 0.4)
+
+
+@pytest.mark.parametrize(("at_once", "cells"), [(2**21, 2**24), (700, 2**24), (700, 900), (700, 0)])
+def test_shared_words_are_counted_in_any_pieces(monkeypatch, at_once, cells):
+    monkeypatch.setattr(N, "AT_ONCE", at_once)
+    monkeypatch.setattr(N, "CELLS", cells)
+    rng = random.Random(5)
+    sets = [sorted(set(t.split(" "))) for t in texts_of(rng, 300, 1, 30)]
+    own = [rng.choice([2, 2, 3]) for _ in sets]
+    for low, high in ((2, 2), (2, 3)):
+        chosen = [i for i in range(300) if own[i] in (low, high)]
+        table = pa.table({"own": pa.array([own[i] for i in chosen], pa.int32()), "c": pa.array([b"%d" % i for i in chosen]), "w": [sets[i] for i in chosen]})
+        got = N._shared(table, low, high, 0.3)
+        pairs = [tuple(sorted((int(x), int(y)))) for x, y in zip(got["c"].to_pylist(), got["d"].to_pylist(), strict=True)]
+        expected = {(i, j) for i in chosen for j in chosen if i < j and (low == high or own[i] != own[j]) and len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) > 0.3}
+        assert len(pairs) == len(set(pairs)) and set(pairs) == expected
