@@ -16,14 +16,14 @@ from sparkrecall.sources.store import settled
 #: A key goes by blocks if rare words would bring more than so many of its pairs together, and more than this part of all.
 MEETS, PART = 2**11, 1 / 64
 #: Texts and words of a block, about; cells counted at once, and the most cells of a block's matrix.
-ROWS, WORDS, AT_ONCE, CELLS = 2**14, 2**22, 2**21, 2**24
+ROWS, WORDS, AT_ONCE, CELLS = 2**14, 2**22, 2**18, 2**24
 
 
 def by_words(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
     """(k, c, w, id, order, *more) of rows with content: the keys, the distinct words in order, and what is equal where both
     of these are. Written, since several joins read it."""
-    w = F.array_sort(F.array_distinct(X.raw_words(F.col("content"))))
-    held = rows.select(F.struct(*keys).alias("k"), w.alias("w"), "id", "order", *more).where("w is not null")
+    w = F.sort_array(F.array_distinct(X.raw_words(F.col("content"))))
+    held = rows.where("content is not null").select(F.struct(*keys).alias("k"), w.alias("w"), "id", "order", *more)
     return settled(held.withColumn("c", F.unhex(F.sha2(F.to_json(F.struct("k", F.concat_ws(" ", "w").alias("w"))), 256))))
 
 
